@@ -8,12 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import sp_codec, warc
+from tidemark.llm import line_runs, sp_codec, warc
 from tidemark.llm.common import scratch_path, sha256_utf8, table
 
 MODEL = "piece_bpe_32k.model"
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", sha256_utf8(F.col("text")).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH l AS (
+  SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+k AS (SELECT key, max(doc_id) AS last_doc FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id < k.last_doc AS gone FROM l LEFT JOIN k ON l.key = k.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sp_codec.encode(docs, public_tokenizers.path(MODEL), decoded="decoded")
@@ -39,8 +56,8 @@ FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 100
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc}
+    return {"op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op9_warc": OP9_SQL}
