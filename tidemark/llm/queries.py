@@ -8,12 +8,59 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_runs, sp_codec, warc
+from tidemark.llm import divergence, line_runs, sp_codec, warc
 from tidemark.llm.common import scratch_path, sha256_utf8, table
 
 MODEL = "piece_bpe_32k.model"
 
 
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents")).select("doc_id", *divergence.BASE, "base_failed", "kept")
+
+
+def _op2_sql() -> str:
+    """The rules in DuckDB SQL, made from the constants of the operator."""
+    d = divergence
+    listed = ", ".join(f"('{lang}', '{w}', {k})" for lang, ws in d.COMMON_WORDS.items() for k, w in enumerate(ws))
+    marks = dict(zip(d.CLASSES, d._MARKS))
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    visible = "".join(c for c in d._FROM if c not in "\t\n\x0b\x0c\r")
+    image = "".join(t for f, t in zip(d._FROM, d._TO) if f not in "\t\n\x0b\x0c\r")
+    shape = f"translate(regexp_replace(t, '[\t\n\x0b\x0c\r]', ' ', 'g'), {quote(visible)}, {quote(image)})"
+    of = lambda c: f"length(s) - length(replace(s, {quote(marks[c])}, ''))"
+    half = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2({a} * 2 / ({a} + {b})) ELSE 0 END"
+    jsd = lambda a, b: f"sqrt(greatest(sum(({half(a, b)} + {half(b, a)}) / 2), 0))"
+    pairs = ", ".join(f"({k}, {quote(c)})" for k, c in enumerate(d.CLASSES))
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, {shape} AS s FROM t),
+win AS (SELECT doc_id, i, ws[i:i + 4] AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+line AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM t) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+cls AS (SELECT doc_id, unnest([{", ".join(of(c) for c in d.CLASSES[:-1])}, length(s) - ({" + ".join(of(c) for c in d.CLASSES[:-1])})]) AS c, generate_subscripts([{", ".join("0" for _ in d.CLASSES)}], 1) - 1 AS k, length(s) AS chars FROM w),
+base AS (SELECT w.doc_id, w.lang, len(ws) AS n_words, length(s) - ({of("space")}) AS word_chars, {of("symbol")} AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+         FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN line USING (doc_id)),
+judged AS (SELECT *, n_words < {d.MIN_WORDS} OR 100 * n_repeat_words > {d.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM base),
+list(lang, word, k) AS (VALUES {listed}),
+size AS (SELECT lang, count(*) AS size FROM list GROUP BY lang),
+good AS (SELECT * FROM judged WHERE NOT base_failed AND lang IN (SELECT lang FROM size)),
+n AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+qc AS (SELECT lang, k, round(sum(c / chars) / any_value(n.n), 9) AS q FROM cls JOIN good USING (doc_id) JOIN n USING (lang) GROUP BY lang, k),
+cnt AS (SELECT doc_id, x AS word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS x FROM w) WHERE x IN (SELECT word FROM list) GROUP BY doc_id, x),
+qw0 AS (SELECT list.lang, list.k, coalesce(sum(cnt.c / good.n_words) / any_value(n.n), 0) AS q FROM list JOIN n USING (lang) JOIN good USING (lang) LEFT JOIN cnt ON cnt.doc_id = good.doc_id AND cnt.word = list.word GROUP BY list.lang, list.k),
+qw AS (SELECT lang, k, round(q, 9) AS q FROM qw0 UNION ALL SELECT qw0.lang, any_value(size), round(greatest(0, 1 - sum(q)), 9) FROM qw0 JOIN size USING (lang) GROUP BY qw0.lang),
+pw0 AS (SELECT j.doc_id, list.lang, list.k, coalesce(cnt.c, 0) / j.n_words AS p, coalesce(cnt.c, 0) AS c, j.n_words FROM judged j JOIN list ON j.n_words > 0 JOIN n USING (lang) LEFT JOIN cnt ON cnt.doc_id = j.doc_id AND cnt.word = list.word),
+pw AS (SELECT doc_id, lang, k, p FROM pw0 UNION ALL SELECT doc_id, pw0.lang, any_value(size), (any_value(n_words) - sum(c)) / any_value(n_words) FROM pw0 JOIN size USING (lang) GROUP BY doc_id, pw0.lang),
+dw AS (SELECT doc_id, lang, {jsd("p", "q")} AS d FROM pw JOIN qw USING (lang, k) GROUP BY doc_id, lang),
+dc AS (SELECT cls.doc_id, qc.lang, {jsd("(c / chars)", "q")} AS d FROM cls JOIN qc USING (k) WHERE chars > 0 GROUP BY cls.doc_id, qc.lang),
+near AS (SELECT doc_id, arg_min(dc.d, dw.d) AS class_distance, min(dw.d) AS word_distance FROM dw JOIN dc USING (doc_id, lang) GROUP BY doc_id)
+SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(CASE WHEN n_words >= {d.LONG_WORDS} THEN class_distance > {d.MAX_CLASS_LONG} OR word_distance > {d.MAX_WORD_LONG} WHEN n_words >= {d.SHORT_WORDS} THEN class_distance > {d.MAX_CLASS_SHORT} END, false) AS kept
+FROM judged j LEFT JOIN near USING (doc_id)
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_runs.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", sha256_utf8(F.col("text")).alias("kept_sha256"))
@@ -56,8 +103,8 @@ FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 100
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc}
+    return {"op2_divergence": op2_divergence, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op2_divergence": _op2_sql(), "op6_line_dedup": OP6_SQL, "op9_warc": OP9_SQL}
