@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
                 out = [r for row in zip(rows["k"], rows["u"], rows["p"], rows["d"], rows["refers_to"]) for r in records_of(*row)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    full.mapInArrow(run, "value string").write.option("lineSep", "\r\n").text(path)
+    full.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _parse(raw: bytes) -> dict | None:
