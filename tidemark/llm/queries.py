@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, line_runs, sp_codec, warc
+from tidemark.llm import divergence, fingerprint, line_runs, sp_codec, warc
 from tidemark.llm.common import scratch_path, sha256_utf8, table
 
 MODEL = "piece_bpe_32k.model"
@@ -50,7 +50,7 @@ qc AS (SELECT lang, k, round(sum(c / chars) / any_value(n.n), 9) AS q FROM cls J
 cnt AS (SELECT doc_id, x AS word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS x FROM w) WHERE x IN (SELECT word FROM list) GROUP BY doc_id, x),
 qw0 AS (SELECT list.lang, list.k, coalesce(sum(cnt.c / good.n_words) / any_value(n.n), 0) AS q FROM list JOIN n USING (lang) JOIN good USING (lang) LEFT JOIN cnt ON cnt.doc_id = good.doc_id AND cnt.word = list.word GROUP BY list.lang, list.k),
 qw AS (SELECT lang, k, round(q, 9) AS q FROM qw0 UNION ALL SELECT qw0.lang, any_value(size), round(greatest(0, 1 - sum(q)), 9) FROM qw0 JOIN size USING (lang) GROUP BY qw0.lang),
-pw0 AS (SELECT j.doc_id, list.lang, list.k, coalesce(cnt.c, 0) / j.n_words AS p, coalesce(cnt.c, 0) AS c, j.n_words FROM judged j JOIN list ON j.n_words > 0 JOIN n USING (lang) LEFT JOIN cnt ON cnt.doc_id = j.doc_id AND cnt.word = list.word),
+pw0 AS (SELECT j.doc_id, list.lang, list.k, coalesce(cnt.c, 0) / j.n_words AS p, coalesce(cnt.c, 0) AS c, j.n_words FROM judged j JOIN list ON j.n_words > 0 JOIN n ON n.lang = list.lang LEFT JOIN cnt ON cnt.doc_id = j.doc_id AND cnt.word = list.word),
 pw AS (SELECT doc_id, lang, k, p FROM pw0 UNION ALL SELECT doc_id, pw0.lang, any_value(size), (any_value(n_words) - sum(c)) / any_value(n_words) FROM pw0 JOIN size USING (lang) GROUP BY doc_id, pw0.lang),
 dw AS (SELECT doc_id, lang, {jsd("p", "q")} AS d FROM pw JOIN qw USING (lang, k) GROUP BY doc_id, lang),
 dc AS (SELECT cls.doc_id, qc.lang, {jsd("(c / chars)", "q")} AS d FROM cls JOIN qc USING (k) WHERE chars > 0 GROUP BY cls.doc_id, qc.lang),
@@ -61,6 +61,10 @@ FROM judged j LEFT JOIN near USING (doc_id)
 """
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_runs.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", sha256_utf8(F.col("text")).alias("kept_sha256"))
@@ -103,7 +107,7 @@ FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 100
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_divergence": op2_divergence, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc}
+    return {"op2_divergence": op2_divergence, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
