@@ -53,11 +53,5 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_words(text: Column) -> Column:
-    """Number of words of a text (null: 0), without an array: starts of words are counted."""
-    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
-    return F.when(body == "", F.lit(0)).otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1).cast("long")
-
-
 def sha256_utf8(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)

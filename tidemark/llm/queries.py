@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, fingerprint, line_runs, sp_codec, warc
+from tidemark.llm import divergence, fingerprint, line_runs, mixing, sp_codec, warc
 from tidemark.llm.common import scratch_path, sha256_utf8, table
 
 MODEL = "piece_bpe_32k.model"
@@ -106,9 +106,31 @@ FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 100
 """
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS src, source IS NULL AS none, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, md5('mix:' || doc_id) AS h FROM documents),
+s AS (SELECT src, none, sum(size) AS size FROM d GROUP BY src, none),
+w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY none, encode(src)) - 1) % 3 AS INTEGER) + 1] AS w FROM s),
+o AS (SELECT *, 2.0 * size / w AS stop, coalesce(sum(2 * size) OVER r, 0) AS full_before, sum(w) OVER (ORDER BY 2.0 * size / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, 1.5 * sum(size) OVER () AS total
+      FROM w WINDOW r AS (ORDER BY 2.0 * size / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min((total - full_before) / w_left, stop) FILTER ((total - full_before) / w_left <= stop) AS x FROM o),
+t AS (SELECT src, none, size AS source_size, CASE WHEN stop <= x THEN 2.0 * size ELSE w * x END AS target FROM o, level),
+p AS (SELECT *, CAST(least(CASE WHEN abs(target - floor(target) - 0.5) < 1e-9 AND floor(target) % 2 = 0 THEN floor(target) ELSE round(target) END, 2 * source_size) AS BIGINT) AS quota FROM t),
+q AS (SELECT d.doc_id, d.size, p.source_size, p.target, CASE WHEN p.source_size = 0 THEN 0 ELSE quota // p.source_size END AS passes, CASE WHEN p.source_size = 0 THEN 0 ELSE quota % p.source_size END AS rest,
+        sum(d.size) OVER (PARTITION BY d.src, d.none ORDER BY h, d.doc_id) AS upto FROM d JOIN p ON d.src = p.src AND d.none = p.none)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * (passes + CASE WHEN upto - size < rest AND (upto <= rest OR upto - rest <= rest - upto + size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_divergence": op2_divergence, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc}
+    return {"op2_divergence": op2_divergence, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_divergence": _op2_sql(), "op6_line_dedup": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op2_divergence": _op2_sql(), "op6_line_dedup": OP6_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
