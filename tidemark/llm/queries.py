@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, fingerprint, line_runs, mixing, sp_codec, warc
+from tidemark.llm import divergence, fingerprint, langid, line_runs, mixing, sp_codec, trie_counts, warc
 from tidemark.llm.common import scratch_path, sha256_utf8, table
 
 MODEL = "piece_bpe_32k.model"
@@ -61,6 +61,18 @@ FROM judged j LEFT JOIN near USING (doc_id)
 """
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return trie_counts.count_tokens(docs, public_tokenizers.path(MODEL)).drop("text")
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
@@ -129,7 +141,7 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_divergence": op2_divergence, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op2_divergence": op2_divergence, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
