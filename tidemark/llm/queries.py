@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, fingerprint, langid, line_runs, mixing, sp_codec, trie_counts, warc
+from tidemark.llm import divergence, fingerprint, html_density, langid, line_runs, mixing, sp_codec, trie_counts, warc
 from tidemark.llm.common import scratch_path, sha256_utf8, table
 
 MODEL = "piece_bpe_32k.model"
 
 
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents")).select("doc_id", *divergence.BASE, "base_failed", "kept")
 
@@ -141,7 +145,7 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_divergence": op2_divergence, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op1_html_density": op1_html_density, "op2_divergence": op2_divergence, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
