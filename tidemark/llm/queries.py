@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, fingerprint, html_density, langid, line_runs, mixing, sp_codec, trie_counts, warc
+from tidemark.llm import divergence, fingerprint, html_density, langid, line_runs, mixing, ngram_join, sp_codec, trie_counts, warc
 from tidemark.llm.common import scratch_path, sha256_utf8, table
 
 MODEL = "piece_bpe_32k.model"
@@ -98,6 +98,10 @@ FROM d GROUP BY doc_id
 """
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sp_codec.encode(docs, public_tokenizers.path(MODEL), decoded="decoded")
@@ -145,7 +149,7 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_density": op1_html_density, "op2_divergence": op2_divergence, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op1_html_density": op1_html_density, "op2_divergence": op2_divergence, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op7_ngram_join": op7_ngram_join, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
