@@ -101,9 +101,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     Lines whose key has min_chars code points or more and is in min_docs documents or more go, except in the largest
     doc_id that holds it. The hashed lines are written once; texts are shuffled once, by their own row's hash.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "r1", "r2")]
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     r1, r2 = _two_hashes(F.col("doc_id"), F.col("text"))
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), r1.alias("r1"), r2.alias("r2"))
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), r1.alias("r1"), r2.alias("r2"))
     keys = F.transform("lines", line_key)
     h1, h2 = _two_hashes(F.col("key"))
     at = src.select("r1", "r2", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.posexplode(keys).alias("pos", "key")).where(F.length("key") >= min_chars)
@@ -123,4 +123,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     none = F.array().cast(T.ArrayType(T.IntegerType()))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", none))
     text = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
-    return left.select(*[F.col(f"`{c}`") if c != "text" else text.alias("text") for c in keep], F.size("lines").cast("long").alias("n_lines"), F.size(F.coalesce("gone", none)).cast("long").alias("n_dropped"))
+    return left.select(*[F.col(f"row.`{c}`") if c != "text" else text.alias("text") for c in keep], F.size("lines").cast("long").alias("n_lines"), F.size(F.coalesce("gone", none)).cast("long").alias("n_dropped"))

@@ -156,8 +156,6 @@ def mix(docs: DataFrame, source: str = "source", seed: str = "mix") -> DataFrame
     ends = settle(_ends(sized, wanted), "mix-ends")  # a row per pattern
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     doc, size, lane, h = _narrow(docs, source, seed)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], size, F.struct(lane, h, doc).alias("_mix"))
-    rows = rows.join(F.broadcast(ends.withColumnsRenamed({c: f"_{c}" for c in ends.columns})), F.col("_mix.lane") == F.col("_lane"), "left")
-    key = F.struct(F.col("_mix.h").alias("h"), F.col("_mix.doc_id").alias("doc_id"), F.col("size").alias("size"))
-    once = F.coalesce((F.substring("_mix.h", 1, 2 * DIGITS) < F.col("_prefix")) | (key <= F.col("_end")), F.lit(False))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * (F.col("_passes") + once.cast("long"))).alias("taken"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), doc, size, lane, h).join(F.broadcast(ends), "lane", "left")
+    once = F.coalesce((F.substring("h", 1, 2 * DIGITS) < F.col("prefix")) | (F.struct("h", "doc_id", "size") <= F.col("end")), F.lit(False))
+    return rows.select(*[F.col(f"row.`{c}`") for c in keep], "size", "source_size", "target", (F.col("size") * (F.col("passes") + once.cast("long"))).alias("taken"))
