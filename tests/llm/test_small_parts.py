@@ -124,6 +124,7 @@ def test_broken_framing_is_an_error():
         ("<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p><b>One<br><p>Two  words&nbsp;here</p></article><footer>foot</footer>", "Head\nOne\nTwo words here"),
         ("<body><ul><li><a href=a>Home page</a><li><a href=b>About us</a></ul><div><p>Text one is rather long for a menu, is it not?<p>Text two &lt;b&gt; is here.</div></body>", "Text one is rather long for a menu, is it not?\nText two <b> is here."),
         ("<body><main><h1>T</h1><p>A long enough paragraph of the article itself.</p><section id=comments><p>I disagree with all of this, and at length too, dear author.</p></section></main><div class='cookie-notice'>We use cookies</div><aside>More</aside></body>", "T\nA long enough paragraph of the article itself."),
+        ("<body class='no-sidebar'><form><div class='page-with-sidebar'><article><h1>T</h1><p>Article text that is long enough to count as one.</p></article><div class=sidebar><p>Side</p></div></div></form><ol class=commentlist><li><article class=comment><p>A comment that is longer than the article itself, by some way, as they are at times.</p></article></ol></body>", "T\nArticle text that is long enough to count as one."),
         ("<div>" * 5000 + "hello world" + "</div>" * 5000, "hello world"),
     ],
 )

@@ -41,9 +41,11 @@ IMPLIED_END = {
 #: Elements that never hold article text, and words of class, id or role that say the same.
 NEVER = set("head script style noscript template iframe object embed svg math canvas audio video nav aside footer form button select textarea input label dialog menu noembed noframes search".split())
 SAYS = set(
-    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations widget toolbar pagination pager skip hidden complementary contentinfo search".split()
+    "ad ads adbox adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations widget toolbar pagination pager skip hidden complementary contentinfo search".split()
 )
 KEEPS = {"html", "body", "main"}
+#: Of these words, the ones that hold even for an element with an article or a main heading in it.
+STRICT = set("comment comments commentlist disqus reply replies respond".split())
 #: A part with at least so much of its characters in links, and so many links, is a menu.
 MENU_LINKS, MENU_SHARE = 2, 0.6
 
@@ -119,17 +121,21 @@ class Dom:
     def kept(self) -> list[bool]:
         """Which nodes may hold article text, by their element and their names and those of all that hold them."""
         out, inside = [True], [False]
-        has_title, has_link = [False] * len(self.tag), [False] * len(self.tag)
+        has_title, has_link, has_main = [False] * len(self.tag), [False] * len(self.tag), [False] * len(self.tag)
         for k in range(len(self.tag) - 1, 0, -1):
+            if not self.names[k] & STRICT:
+                has_main[self.parent[k]] |= has_main[k] or self.tag[k] in ("article", "main", "h1")
             has_title[self.parent[k]] |= has_title[k] or self.tag[k] == "h1"
             has_link[self.parent[k]] |= has_link[k] or self.tag[k] == "a"
         for k in range(1, len(self.tag)):
             up, name, says = self.parent[k], self.tag[k], self.names[k]
             inside.append(inside[up] or name in ("article", "main"))
             site = name == "header" or "header" in says and name not in HEADINGS | KEEPS  # of the page, or a title's own
-            if site and (inside[k] or has_title[k] and not has_link[k] and self.tag[up] not in ("body", "html", "#root")):
+            if site and (inside[k] or has_main[k] and name != "header" or has_title[k] and not has_link[k] and self.tag[up] not in ("body", "html", "#root")):
                 site = False
-            out.append(out[up] and not site and name not in NEVER and (name in KEEPS or name in HEADINGS or not says & SAYS))
+            wraps = has_main[k] and name not in ("header", "nav", "aside", "footer")  # names of the page's layout, as in "with-sidebar"
+            named = says & STRICT or says & SAYS and not wraps
+            out.append(out[up] and not site and (name not in NEVER or name == "form" and wraps) and (name in KEEPS or name in HEADINGS or not named))
         return out
 
 
