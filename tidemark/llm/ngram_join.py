@@ -10,10 +10,11 @@ signatures (held by over HOT sets) is found without them and leaves those groups
 Bands double in size; a set is indexed in its own band and, if its partners may be there, in the one below.
 
 1. Equal sets become one class, by a hash of the whole set.
-2. Each task sorts its signatures; sets that share one within the task give a candidate (first set, set), and only the
-   first goes on, so a signature that a third of all sets hold meets in one task with as many rows as there are tasks.
-3. Candidates are pruned by parity bitmaps: their Hamming distance never exceeds the sets' difference. Of each set the
-   nearest candidate is verified exactly, and components are formed.
+2. Each task sorts its signatures, and of the sets that share one within the task only the first goes on, so a signature
+   that a third of all sets hold meets in one task with as many rows as there are tasks.
+3. In each signature group the most central set, by the sizes of all groups that it is in, is the star; the pairs of the
+   star with the others are pruned by parity bitmaps: their Hamming distance never exceeds the sets' difference. Of each
+   set the nearest such candidate is verified exactly, and components are formed.
 4. In each signature group, sets of different components are compared by bitmap, in blocks; what is left is verified
    exactly, and the components are completed.
 
@@ -39,7 +40,7 @@ from tidemark.llm.fingerprint import shingles, words_of
 
 #: Percent of similarity, units of distance beyond the need, subset size from which deletions are indexed, sets of a
 #: signature from which it is hot, sets in one block of comparisons, sets verified in one group, signatures sorted at once.
-PERCENT, SLACK, DELETE_FROM, HOT, BLOCK, STAR, CHUNK = 75, 24, 5, 64, 2048, 2000, 2_000_000
+PERCENT, SLACK, DELETE_FROM, HOT, BLOCK, STAR, CHUNK = 75, 24, 5, 64, 2048, 2000, 700_000
 #: Segments of a band [l, 2l): l times this, from l on; below the first, single tokens.
 SEGMENTS = ((256, 1.25), (128, 2), (64, 4))
 SINGLE = 2**24
@@ -127,10 +128,6 @@ def _set_ids(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.uint64(xxhash.xxh64_intdigest(raw, seed)).astype(np.int64)) for seed in (1, 2))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
-
-
 def _sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, bits) of each row."""
 
@@ -148,55 +145,53 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bits binary")
 
 
-# kinds of packed rows: first sets of a signature; counts of the others; and what is done: candidates, members, hot, odd
-FIRST, COUNT, PAIR, MEMBER, HOT_SIG, ODD = range(6)
+# kinds of packed rows: first sets of a signature; the signatures of the others; and what is done: members, odd sets
+FIRST, COUNT, MEMBER, ODD = range(4)
 _PAIRS = np.dtype([("x", "<i8"), ("y", "<i8")])
-_FIRSTS = np.dtype([("sig", "<u4"), ("node", "<i8")])
+_FIRSTS = np.dtype([("x", "<u4"), ("y", "<i8")])
 
 
 def _pack(a: np.ndarray, b: np.ndarray, kind: np.dtype = _PAIRS) -> bytes:
     out = np.empty(len(a), kind)
-    out[kind.names[0]], out[kind.names[1]] = a, b
+    out["x"], out["y"] = a, b
     return out.tobytes()
 
 
-def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of sorted distinct (sig, node): which are the first of their signature, and the first's place for each."""
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
-    return first, np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0)) if len(sig) else np.empty(0, int)
-
-
-def _sorted_distinct(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_distinct(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (sig, node) in order, and which are the first of their signature."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.empty(0, bool)
-    return sig[new], node[new]
+    if len(sig):
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        sig, node = sig[new], node[new]
+    return sig, node, np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
 
 
 def _index(docs: DataFrame, clashes: frozenset[int], buckets: int, percent: int) -> DataFrame:
-    """(kind, payload) after both rounds of stars: candidates, members of signature groups, hot signatures, odd sets."""
+    """(kind, payload): members of all signature groups of two sets or more, and odd sets.
+
+    Signatures are kept as (bucket, 32 bits); two that fall together only give a candidate more."""
     width = np.uint64(-(-(1 << 32) // buckets))  # a bucket is a range of the signatures' upper half
+    cut = np.uint64(int(width).bit_length())
+
+    def short(sig: np.ndarray) -> np.ndarray:
+        bucket = (sig >> np.uint64(32)) // width
+        return ((bucket << np.uint64(32)) | ((sig - (bucket * width << np.uint64(32))) >> cut)).astype(np.int64)
 
     def deal(sig: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        sig, node = _sorted_distinct(sig, node)
+        sig, node, first = _sorted_distinct(short(sig), node)
         if not len(sig):
             return
-        first, at = _stars(sig, node)
-        other = ~first
-        spread = int(node[0] % buckets)
-        if other.any():
-            yield spread, PAIR, _pack(node[at[other]], node[other])
-            yield (spread + 1) % buckets, MEMBER, _pack(_signed(sig[other]), node[other])
-        own, n = sig[first], np.diff(np.append(np.flatnonzero(first), len(sig))) - 1
-        nodes = node[first]
-        bucket = ((own >> np.uint64(32)) // width).astype(np.int64)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for k in np.unique(bucket):
+        if not first.all():
+            yield int(node[0] % buckets), MEMBER, _pack(sig[~first], node[~first])
+        start = np.flatnonzero(first)
+        own, more = sig[start], np.diff(np.append(start, len(sig))) - 1
+        cuts = np.searchsorted(own, np.arange(buckets + 1, dtype=np.int64) << 32)
+        for k in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[k], cuts[k + 1]
-            rest = (own[a:b] - (np.uint64(k) * width << np.uint64(32)))  # below 2^64 / buckets
-            yield int(k), FIRST, _pack(rest, nodes[a:b])
-            if (n[a:b] > 0).any():
-                yield int(k), COUNT, _pack(rest[n[a:b] > 0], n[a:b][n[a:b] > 0])
+            yield int(k), FIRST, _pack(own[a:b] & 0xFFFFFFFF, node[start[a:b]], _FIRSTS)
+            if (some := more[a:b] > 0).any():
+                yield int(k), COUNT, _pack(own[a:b][some], more[a:b][some])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -235,24 +230,15 @@ def _index(docs: DataFrame, clashes: frozenset[int], buckets: int, percent: int)
         def close() -> list[tuple[int, bytes]]:
             if not firsts:
                 return []
-            x = np.frombuffer(b"".join(firsts), _PAIRS)
-            sig, node = _sorted_distinct(x["x"].view(np.uint64) + (np.uint64(now) * width << np.uint64(32)), x["y"])
-            first, at = _stars(sig, node)
+            x = np.frombuffer(b"".join(firsts), _FIRSTS)
+            sig, node, first = _sorted_distinct(x["x"].astype(np.int64) | (now << 32), x["y"])
             start = np.flatnonzero(first)
             total = np.diff(np.append(start, len(sig)))
             if counts:
                 c = np.frombuffer(b"".join(counts), _PAIRS)
-                own = c["x"].view(np.uint64) + (np.uint64(now) * width << np.uint64(32))
-                total = total + np.bincount(np.searchsorted(sig[start], own), c["y"], len(start)).astype(np.int64)
-            of = np.cumsum(first) - 1
-            out = []
-            if (~first).any():
-                out.append((PAIR, _pack(node[at[~first]], node[~first])))
-            if (total >= 3).any():
-                out.append((MEMBER, _pack(_signed(sig[total[of] >= 3]), node[total[of] >= 3])))
-            if (total > HOT).any():
-                out.append((HOT_SIG, _pack(_signed(sig[start][total > HOT]), total[total > HOT])))
-            return out
+                total = total + np.bincount(np.searchsorted(sig[start], c["x"]), c["y"], len(start)).astype(np.int64)
+            shared = total[np.cumsum(first) - 1] >= 2
+            return [(MEMBER, _pack(sig[shared], node[shared]))] if shared.any() else []
 
         for whole in batches:
             done = []
@@ -405,24 +391,30 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = info.select("node", "doc_id")
     packed = settle(_index(docs, clashes, buckets, percent), "signatures")
 
-    near = settle(_near(_unpack(packed, PAIR, "a", "b").distinct(), info, percent), "near")
+    distinct = settle(_unpack(packed, MEMBER, "sig", "node").distinct(), "members")
+    # small sides of joins by signature are written first: with a plain exchange on both sides Spark can split hot ones
+    sizes = settle(distinct.groupBy("sig").agg(F.count("*").alias("g")), "sizes")
+    members = settle(distinct.join(sizes, "sig").where("g > 1"), "members")
+    # the most central member of a group is its star: the one whose signatures most sets hold, in all
+    central = members.groupBy("node").agg(F.sum("g").alias("weight"))
+    stars = settle(members.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig", F.col("x.node").alias("a")), "stars")
+    pairs = members.join(stars, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    near = settle(_near(pairs, info, percent), "near")
     best = near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = settle(_verified(best, docs, reps, percent), "links")
     comp = components(links)
 
-    hot = _unpack(packed, HOT_SIG, "sig", "g")
-    members = _unpack(packed, MEMBER, "sig", "node")
-    shared = members.join(hot, "sig", "left")
-    many = shared.where("g is not null").groupBy("node").agg(F.count("*").alias("n_hot")).join(info.select("node", "n_shingles"), "node")
+    label = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    apart = near.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    hot = members.where(F.col("g") > HOT)
+    many = hot.groupBy("node").agg(F.count("*").alias("n_hot")).join(info.select("node", "n_shingles"), "node")
     least = F.least(F.lit(SLACK), F.floor(F.ceil(percent * F.col("n_shingles") / 100) / 4))
     stay = many.where(F.col("n_hot") > F.floor(least / 2)).select("node", F.lit(True).alias("stays"))
-    lacking = _unpack(packed, ODD, "node", "y").join(shared.where("g is not null"), "node").select("sig", F.lit(True).alias("lacks")).distinct()
-    kept = shared.join(stay, "node", "left").join(lacking, "sig", "left").where("g is null or stays or lacks").select("sig", "node")
-    kept = kept.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    groups = kept.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("g")).where("x <> y").select("sig", "g")
+    lacking = _unpack(packed, ODD, "node", "y").join(hot, "node").select("sig", F.lit(True).alias("lacks")).distinct()
+    kept = members.join(stay, "node", "left").join(lacking, "sig", "left").where(F.expr("stays or lacks") | (F.col("g") <= HOT)).where("g > 2").select("sig", "node", "g")  # of two, one is the star
+    kept = kept.join(comp, "node", "left").select("sig", "node", "g", F.coalesce("comp", "node").alias("comp"))
+    groups = settle(kept.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"), "groups")
     across = _across(kept.join(groups, "sig").join(info.select("node", "n_shingles", "bits"), "node"), percent)
-    label = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-    apart = near.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     rest = settle(apart.unionByName(across).distinct().join(best.withColumn("was", F.lit(True)), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = settle(_verified(rest, docs, reps, percent), "links")
