@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Words of a shingle, part of the hash range that is kept, bits of a hash.
 WORDS, FRACTION, BITS = 5, 1 / 4, 48
 #: Word hashes remembered per worker; a bound of memory only.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -117,7 +117,7 @@ def by_range(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = src.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(1.0)), 10_000)).first()[0] or []
+    cuts = src.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(1.0)), max(10_000, 10 * n))).first()[0] or []
     cuts = np.array(sorted(set(cuts)), np.int64)  # as many as there are shuffle partitions, whatever the table holds
 
     @F.pandas_udf("int")
