@@ -41,6 +41,8 @@ from tidemark.llm.fingerprint import shingles, words_of
 #: Percent of similarity, units of distance beyond the need, subset size from which deletions are indexed, sets of a
 #: signature from which it is hot, sets in one block of comparisons, sets verified in one group, signatures sorted at once.
 PERCENT, SLACK, DELETE_FROM, HOT, BLOCK, STAR, CHUNK = 75, 24, 5, 64, 2048, 2000, 700_000
+#: Bits of the smallest bitmap: short sets just below the similarity would pass a smaller one too often.
+LEAST_BITS = 2048
 #: Segments of a band [l, 2l): l times this, from l on; below the first, single tokens.
 SEGMENTS = ((256, 1.25), (128, 2), (64, 4))
 SINGLE = 2**24
@@ -110,8 +112,8 @@ def signatures(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, bool]
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parity of the hashes by their low bits, twice as many bits as tokens or more."""
-    bits = 1 << min(16, max(6, (2 * len(h) - 1).bit_length()))
+    """Parity of the hashes by their low bits, twice as many bits as tokens or more, and LEAST_BITS at least."""
+    bits = 1 << min(16, max(LEAST_BITS.bit_length() - 1, (2 * len(h) - 1).bit_length()))
     parity = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
