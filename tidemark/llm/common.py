@@ -21,8 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, where the session does not say: rows hold whole texts or packed blocks, so rows alone are no bound.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package when only the driver's sys.path has it (on a cluster: --py-files)."""
+    """Lets Python workers import this package when only the driver's sys.path has it (on a cluster: --py-files), and
+    bounds what goes to them at once."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
