@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 from pathlib import Path
 
@@ -167,6 +168,28 @@ def test_language_of_odd_rows(odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, empty).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_language_rejects_what_it_has_not_seen(spark, size):
+    """Random letters and other languages go and every given document stays, with mislabelled rows in the sample too."""
+    if not Path(f"/root/testdata/{size}").exists():
+        pytest.skip("the given tables are not here")
+    rng = random.Random(3)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n)) for n in (12, 15, 30, 60, 100, 300, 1000, 2000, 5000, 20000)]
+    unseen = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie, że chrząszcz brzmi w trzcinie.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    ]
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text", "lang")
+    wrong = docs.where("lang = 'en' and length(text) between 200 and 400").orderBy("doc_id").limit(1).select(F.lit(-1).alias("doc_id"), "text", F.lit("de").alias("lang"))
+    for train in (docs, docs.unionByName(wrong)):
+        model = langid.fit(train)
+        new = spark.createDataFrame([(t,) for t in junk + unseen], "text string")
+        assert [r.text[:50] for r in langid.predict(new, model).where("not rejected").collect()] == []
+        assert langid.predict(docs, model).where(F.col("rejected") & F.col("text").rlike(r"\p{L}")).count() == 0
+
+
 # ---- quality rules
 
 

@@ -2,8 +2,10 @@
 
 A text is a normalised TF-IDF vector over hashed character n-grams (lower-case letters; everything else is a gap). Each
 language has several centroids, found by spherical k-means; the language of the centroid with the largest cosine wins. A
-text of MIN_LETTERS letters or more is rejected if its cosine is below that language's floor, half the smallest cosine
-among such texts of the language's own sample; shorter ones say too little to be refused.
+text of MIN_LETTERS letters or more is rejected if its cosine is below a part of that language's floor, the quantile LOW of
+the cosines of such texts in the language's own sample, so that single mislabelled or junk rows do not set it. The part
+grows with the number of different n-grams: a text of few (short, or one word over and over) is far from every centroid
+whatever its language, and one of many comes nearer to all. Texts with fewer letters say too little to be refused.
 
 Document frequencies cover all training rows. The centroids are fitted on a bounded sample: about SAMPLE rows a language,
 those with the smallest hashes of their key (a parameter; all rows where a language has fewer). The driver sees one number
@@ -29,6 +31,8 @@ from pyspark.sql import types as T
 #: Slots that n-grams are hashed to, n-gram lengths, centroids a language, sampled rows a language, k-means rounds.
 SLOTS, GRAMS, CENTROIDS, SAMPLE, ROUNDS = 4096, (1, 2, 3), 3, 1500, 8
 MAX_LANGUAGES, MIN_LETTERS = 500, 40
+#: Quantile of the sample's cosines that is the floor; part of it that texts of so many different n-grams must reach, as a line between the two.
+LOW, FEW, MANY = 0.01, (60, 0.36), (400, 0.65)
 UNKNOWN = "und"
 
 
@@ -93,6 +97,11 @@ def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.divide(x, norm, out=x, where=norm > 0), letters
 
 
+def asked(x: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Part of the floor that each text must reach; 0 for those too short to be refused."""
+    return np.where(letters >= MIN_LETTERS, np.interp((x > 0).sum(1), *zip(FEW, MANY)), 0.0)
+
+
 def _k_means(x: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means, started from rows far apart."""
     first = [0]
@@ -139,7 +148,7 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
         c = _k_means(x, centroids)
         near = (x @ c.T).max(1)[letters >= MIN_LETTERS]
-        floor = float(near.min()) / 2 if len(near) else 0.0
+        floor = float(np.quantile(near, LOW)) if len(near) else 0.0
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [v.astype(float).tolist() for v in c], "floor": floor})
 
     if not sizes:
@@ -171,7 +180,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     cosine = x @ model.centroids.T
                     best = cosine.argmax(1)
                     score, own = cosine[np.arange(len(x)), best], model.owner[best]
-                    low = (score < model.floors[own]) & (letters >= MIN_LETTERS)
+                    low = score < model.floors[own] * asked(x, letters)
                 else:
                     score, own, low = np.zeros(len(x)), np.zeros(len(x), int), np.ones(len(x), bool)
                     has[:] = False
