@@ -132,6 +132,19 @@ def test_main_text(page, text):
     assert html_density.main_text(page) == text
 
 
+@pytest.mark.parametrize("says", ['style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="A hidden valley"', 'data-hidden="no"', 'class="no-comments"', 'class="post comments-open"', 'class="post tag-comments"'])
+def test_names_that_do_not_hide(says):
+    text = "A paragraph that is long enough to be the article of this page."
+    assert html_density.main_text(f"<body><h1>T</h1><div {says}><p>{text}</p></div></body>") == f"T\n{text}"
+    assert html_density.main_text(f"<body><h1>T</h1><article {says}><p>{text}</p></article></body>").endswith(text)
+    assert html_density.main_text(f"<article><h1>T</h1><p>Go to <a href='/hidden-lake' {says}>the lake</a> by bus, and stay there.</p></article>") == "T\nGo to the lake by bus, and stay there."
+
+
+@pytest.mark.parametrize("says", ["hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display: none"', 'class="a hidden"', "id=comments", 'class="comments-area"'])
+def test_names_that_hide(says):
+    assert html_density.main_text(f"<article><h1>T</h1><p>A paragraph that is long enough.</p><div {says}><p>Not to be read.</p></div></article>") == "T\nA paragraph that is long enough."
+
+
 def test_density_formula():
     dom = html_density.Dom("<body><div><p>aaaa bbbb</p><p><a href=x>cc</a></p></div></body>")
     kept = dom.kept()

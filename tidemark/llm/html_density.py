@@ -44,21 +44,41 @@ SAYS = set(
     "ad ads adbox adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations widget toolbar pagination pager skip hidden complementary contentinfo search".split()
 )
 KEEPS = {"html", "body", "main"}
-#: Of these words, the ones that hold even for an element with an article or a main heading in it.
+#: Names that hold, as a whole class or id, even for an element with an article or a main heading in it.
 STRICT = set("comment comments commentlist disqus reply replies respond".split())
+#: A class that begins, or for STRICT ends, with such a word tells a state or topic ("no-comments", "comments-open"), not what the element is.
+STATES, STATUS = set("no not has with without tag category topic".split()), set("open opened closed enabled disabled allowed on off".split())
 #: A part with at least so much of its characters in links, and so many links, is a menu.
 MENU_LINKS, MENU_SHARE = 2, 0.6
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)/?>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _says(attributes: str) -> tuple[frozenset[str], bool]:
+    """The words of class, id and role, "hidden" for what is not shown, and whether a whole name is in STRICT."""
+    found, strict = set(), False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDES.search(value):
+            found.add("hidden")
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                strict |= token.lower() in STRICT
+                if len(words) > 1 and (words[0] in STATES or words[-1] in STATUS and STRICT.intersection(words)):
+                    continue
+                found |= set(words) if token.lower() == "hidden" else set(words) - {"hidden"}
+    return frozenset(found), strict
+
+
 class Dom:
     """Nodes in document order, as parallel lists. A node's children are text or node numbers."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.children, self.names = ["#root"], [-1], [[]], [frozenset()]
+        self.tag, self.parent, self.children, self.names, self.strict = ["#root"], [-1], [[]], [frozenset()], [False]
         self._build(page)
 
     def _add(self, tag: str, parent: int, attributes: str) -> int:
@@ -67,9 +87,8 @@ class Dom:
         self.parent.append(parent)
         self.children.append([])
         self.children[parent].append(k)
-        found = frozenset(w.lower() for m in _NAMES.findall(attributes) for w in _WORDS.findall("".join(m))) if "=" in attributes else frozenset()
-        if re.search(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attributes, re.I):
-            found |= {"hidden"}
+        found, strict = _says(attributes) if "=" in attributes or "hidden" in attributes.lower() else (frozenset(), False)
+        self.strict.append(strict)
         self.names.append(found)
         return k
 
@@ -134,7 +153,7 @@ class Dom:
             if site and (inside[k] or has_main[k] and name != "header" or has_title[k] and not has_link[k] and self.tag[up] not in ("body", "html", "#root")):
                 site = False
             wraps = has_main[k] and name not in ("header", "nav", "aside", "footer")  # names of the page's layout, as in "with-sidebar"
-            named = says & STRICT or says & SAYS and not wraps
+            named = self.strict[k] or says & SAYS and not wraps
             out.append(out[up] and not site and (name not in NEVER or name == "form" and wraps) and (name in KEEPS or name in HEADINGS or not named))
         return out
 
