@@ -145,6 +145,25 @@ def test_names_that_hide(says):
     assert html_density.main_text(f"<article><h1>T</h1><p>A paragraph that is long enough.</p><div {says}><p>Not to be read.</p></div></article>") == "T\nA paragraph that is long enough."
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ("<p>See <a href=a>the first of these</a> and <a href=b>the second of these</a>.</p>", "See the first of these and the second of these."),
+        ("<table><tr><td><a href=a>Ada Lovelace</a></td><td><a href=b>Alan Turing</a></td></tr></table>", "Ada Lovelace\nAlan Turing"),
+        ("<div><table><tr><td><a href=a>Ada Lovelace</a> <a href=b>Alan Turing</a></td></tr></table></div>", "Ada Lovelace Alan Turing"),
+        ("<ul><li>On <a href=a>one side</a>, <a href=b>the other</a></li></ul>", "On one side, the other"),
+        ("<ol><li><a href=a>A work of many pages</a>, 1843.</li><li><a href=b>A work of few pages</a>, 1950.</li></ol>", "A work of many pages, 1843.\nA work of few pages, 1950."),
+        ("<h2><a href=a>One</a> or <a href=b>Two</a></h2>", "One or Two"),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "So x=2 holds."),
+        ("<ul><li><a href=a>Home page</a></li><li><a href=b>About us</a></li></ul>", ""),
+        ("<div><a href=a>Home page</a> | <a href=b>About us</a></div>", ""),
+    ],
+)
+def test_links_in_running_text_stay(part, text):
+    first = "A paragraph that is long enough to be the article of this page."
+    assert html_density.main_text(f"<article><h1>T</h1><p>{first}</p>{part}</article>") == "\n".join(filter(None, ["T", first, text]))
+
+
 def test_density_formula():
     dom = html_density.Dom("<body><div><p>aaaa bbbb</p><p><a href=x>cc</a></p></div></body>")
     kept = dom.kept()

@@ -5,7 +5,7 @@ much of the text is in links, here and in the whole body. The node with the larg
 smallest density on its path to the body is the threshold, and below every node that reaches the threshold the node with
 the largest sum is content. The article is the smallest subtree that holds all content, widened to its heading or to the
 article element around it. Scripts, styles, forms, and elements that name themselves navigation, header, footer, sidebar,
-notice, advert or comments never count; what is left and mostly links (a menu) goes too.
+notice, advert or comments never count; a list or container of nothing but links (a menu) goes too, outside running text.
 
 Blocks are joined by line ends; white space within a block, line breaks too, is one space. A null or empty page, or one
 without text in its body, gives an empty text. Unclosed and misnested tags are closed as a browser would; unclosed comments
@@ -39,7 +39,7 @@ IMPLIED_END = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
 #: Elements that never hold article text, and words of class, id or role that say the same.
-NEVER = set("head script style noscript template iframe object embed svg math canvas audio video nav aside footer form button select textarea input label dialog menu noembed noframes search".split())
+NEVER = set("head script style noscript template iframe object embed svg annotation annotation-xml canvas audio video nav aside footer form button select textarea input label dialog menu noembed noframes search".split())
 SAYS = set(
     "ad ads adbox adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations widget toolbar pagination pager skip hidden complementary contentinfo search".split()
 )
@@ -48,8 +48,9 @@ KEEPS = {"html", "body", "main"}
 STRICT = set("comment comments commentlist disqus reply replies respond".split())
 #: A class that begins, or for STRICT ends, with such a word tells a state or topic ("no-comments", "comments-open"), not what the element is.
 STATES, STATUS = set("no not has with without tag category topic".split()), set("open opened closed enabled disabled allowed on off".split())
-#: A part with at least so much of its characters in links, and so many links, is a menu.
-MENU_LINKS, MENU_SHARE = 2, 0.6
+#: Of these elements, one with at least so many links and no letter or digit outside them is a menu, but for those in or with running text.
+MENUS, MENU_LINKS = set("ul ol dir div section center".split()), 2
+RUNNING = {"p", "td", "th", "li", "dt", "dd", "blockquote", "pre", "caption", "figcaption"} | HEADINGS
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)/?>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -245,6 +246,23 @@ def _common(dom: Dom, a: int, b: int) -> int:
     return a
 
 
+def menus(dom: Dom, kept: list[bool], link_tags: list[int]) -> list[bool]:
+    """Which nodes are menus: lists or containers of links alone."""
+    n = len(dom.tag)
+    in_link, in_text, words, runs = [False] * n, [False] * n, [False] * n, [False] * n
+    for k in range(1, n):
+        up = dom.parent[k]
+        in_link[k] = in_link[up] or dom.tag[k] == "a"
+        in_text[k] = in_text[up] or dom.tag[up] in RUNNING
+    for k in range(n - 1, 0, -1):
+        if kept[k]:
+            up, name = dom.parent[k], dom.tag[k]
+            words[k] = words[k] or not in_link[k] and any(c.isalnum() for x in dom.children[k] if isinstance(x, str) for c in x)
+            words[up] |= words[k]
+            runs[up] |= runs[k] or name in RUNNING and name != "li" or name == "table"
+    return [dom.tag[k] in MENUS and link_tags[k] >= MENU_LINKS and not (in_text[k] or words[k] or runs[k]) for k in range(n)]
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -255,6 +273,7 @@ def main_text(page: str | None) -> str:
     top = content_node(dom, kept, density, total, chars)
     if top < 0:
         return ""
+    menu = menus(dom, kept, link_tags) if link_tags[top] >= MENU_LINKS else [False] * len(kept)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -273,7 +292,7 @@ def main_text(page: str | None) -> str:
         if not enter:
             flush()
             continue
-        if x != top and (not kept[x] or name in BLOCK and link_tags[x] >= MENU_LINKS and link_chars[x] >= MENU_SHARE * chars[x]):
+        if x != top and (not kept[x] or menu[x]):
             continue
         if name == "br":
             run.append(" ")
