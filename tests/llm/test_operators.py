@@ -52,6 +52,16 @@ def test_lines_on_odd_rows(spark, odd_docs):
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in rows_of(got)), key=repr) == brute_lines([(r.doc_id, r.text) for r in odd_docs.collect()])
 
 
+def test_lines_count_a_repeated_doc_id_once(spark):
+    line = "a line that is long enough to count"
+    docs = spark.createDataFrame([(5, line), (5, line + "\nmore of it"), (6, line)], "doc_id long, text string")
+    assert [r["n_dropped"] for r in rows_of(line_runs.drop_repeated_lines(docs))] == [0, 0, 0]
+    more = docs.unionByName(spark.createDataFrame([(7, line)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in rows_of(line_runs.drop_repeated_lines(more))) == [(5, 1), (5, 1), (6, 1), (7, 0)]
+    missing = spark.createDataFrame([(None, line), (None, line + "\nmore of it"), (6, line)], "doc_id long, text string")
+    assert sum(r["n_dropped"] for r in rows_of(line_runs.drop_repeated_lines(missing))) == 0
+
+
 def test_lines_of_no_rows(no_docs):
     assert line_runs.drop_repeated_lines(no_docs).count() == 0
 

@@ -8,7 +8,7 @@ only the batch moves, never the history.
 Two uses: `unseen` gives the lines of a batch that no run holds (first come, first kept); `drop_repeated_lines` adds all
 batches first, because its rule needs the number of documents of every line, and then joins the compacted run.
 
-Rows that repeat doc_id and text are one document; a null doc_id counts as smaller than any other. A null or empty text is one empty
+Rows that repeat a doc_id are one document, whatever their texts; rows without one are one too, smaller than any other. A null or empty text is one empty
 line. Lines of repeated rows with the largest doc_id stay in each of them. Input columns pass through, those named as a
 result column are replaced; an empty table gives an empty table. Everything is DataFrame functions.
 """
@@ -107,10 +107,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     keys = F.transform("lines", line_key)
     h1, h2 = _two_hashes(F.col("key"))
     at = src.select("r1", "r2", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.posexplode(keys).alias("pos", "key")).where(F.length("key") >= min_chars)
-    hashed = settle(at.select("r1", "r2", "doc_id", "pos", h1.alias("h1"), h2.alias("h2"), F.pmod("r1", F.lit(batches)).alias("batch")), "lines")
+    hashed = settle(at.select("r1", "r2", "doc_id", "pos", h1.alias("h1"), h2.alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")), "lines")
     runs = LineRuns(docs.sparkSession)
     for k in range(batches):
-        runs.add(hashed.where(F.col("batch") == k).select("h1", "h2", "doc_id", "r1", "r2").distinct())  # a document counts once for a line
+        runs.add(hashed.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct())  # a document counts once for a line
     run = runs.compacted().where(F.col("n_docs") >= min_docs)
     total = hashed.count()
     hot_from = max(min_docs, -(-total // HOT_KEYS))
