@@ -121,7 +121,7 @@ def test_join_on_odd_rows(odd_docs, no_docs):
 
 def test_join_of_large_groups(spark, monkeypatch):
     """Groups over every limit: hot signatures, blocks that meet two by two, salted stars, chained near copies."""
-    for name, n in (("HOT", 3), ("BLOCK", 7), ("STAR", 3), ("CHUNK", 500)):
+    for name, n in (("BLOCK", 7), ("STAR", 3), ("CHUNK", 500), ("PAIRS", 40), ("HOT_COMPONENTS", 3), ("BUCKET_BYTES", 500)):
         monkeypatch.setattr(ngram_join, name, n)
     import random
 
@@ -144,6 +144,27 @@ def test_join_of_large_groups(spark, monkeypatch):
     assert joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)) == brute_join(docs)
 
 
+@pytest.mark.parametrize("kept", [3, 1])
+def test_join_of_sets_whose_hashes_clash(spark, monkeypatch, kept):
+    own = ngram_join._set_ids
+    monkeypatch.setattr(ngram_join, "_set_ids", lambda h: (own(h)[0] % kept, own(h)[1]))
+    docs = [(d, " ".join(f"w{(d // 3) * 1000 + k + d % 3}" for k in range(80))) for d in range(30)]
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute_join(docs)
+
+
+def test_join_links_rows_without_a_doc_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "end"])
+    docs = [(1, " ".join(base)), (None, near), (None, near + " more"), (None, "a text that is unlike all of the others"), (None, "another text that is unlike the rest here"), (2, None), (2, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert joined(df) == brute_join(docs)
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in ngram_join.one_of_each(df).collect()) == [(0, "a text th"), (0, "another t"), (1, "w0 w1 w2 "), (2, ""), (2, "")]
+    alone = spark.createDataFrame(docs[1:3], "doc_id long, text string")
+    assert [(r.n_shingles, r.component_id) for r in ngram_join.join(alone).orderBy("n_shingles").collect()] == [(56, None), (57, None)]
+    assert ngram_join.one_of_each(alone).count() == 1
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
+
+
 @needs_data
 def test_join_of_given_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,14 +74,36 @@ def test_signatures_lose_no_similar_pair():
         both = len(np.intersect1d(a, b))
         if not len(b) or (len(a) == len(b) == both) or 100 * both < 75 * (len(a) + len(b) - both):
             continue
-        (x, odd_x), (y, odd_y) = ngram_join.signatures(a), ngram_join.signatures(b)
+        sig, of, odd = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        (x, odd_x), (y, odd_y) = ((np.unique(sig[of == k]), odd[k]) for k in (0, 1))
         shared = len(np.intersect1d(x, y))
         assert shared > 0
         if not (odd_x or odd_y):
-            assert shared > max(ngram_join.droppable(len(a)), ngram_join.droppable(len(b)))
-        p, q = (np.frombuffer(ngram_join.bitmap(s), np.uint8) for s in (a, b))
-        size = min(len(p), len(q))
-        assert np.bitwise_count(ngram_join.fold(p, size) ^ ngram_join.fold(q, size)).sum() <= ngram_join.most_different(len(a) + len(b))
+            assert shared > ngram_join.droppable(len(a)) + ngram_join.droppable(len(b))
+        p, q = (ngram_join.Bitmaps(pa.array([ngram_join.bitmap(s)])) for s in (a, b))
+        one, limit = np.array([0]), np.array([ngram_join.most_different(len(a) + len(b))])
+        ok, d = ngram_join.near(p, one, q, one, limit)
+        assert len(ok) == 1 and d[0] <= len(a) + len(b) - 2 * both
+        assert np.bitwise_count(p.fold(one, 8) ^ q.fold(one, 8)).sum() <= d[0]
+        assert len(ngram_join.near(p, one, q, one, d - 1)[0]) == 0
+
+
+def test_shingle_sets_equal_plain_ones():
+    rng = random.Random(8)
+    words = ["a", "é" * 300, "z" * 64, "z" * 65, "Z" * 70, "B", "b", "世界", "x\x1cy", *(f"w{k}" for k in range(30))]
+    texts = [None, "", " \t\n\x0b\x0c\r ", *("".join(rng.choice(words) + rng.choice([" ", "\n", "\t \r"]) for _ in range(rng.randint(0, 60))) for _ in range(300))]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    split = [(t or "").encode().lower().split() for t in texts]
+    h, n = fingerprint.word_hashes(column)
+    assert n.tolist() == [len(w) for w in split]
+    named = {}
+    assert all(named.setdefault(w, x) == x for w, x in zip((w for ws in split for w in ws), h.tolist())) and len(set(named.values())) == len(named)
+    h, bounds = fingerprint.shingle_sets(column)
+    of = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    assert np.diff(bounds).tolist() == [len(of(w)) for w in split]
+    for i in range(0, 300, 7):
+        for j in range(i, 300, 11):
+            assert len(np.intersect1d(h[bounds[i] : bounds[i + 1]], h[bounds[j] : bounds[j + 1]])) == len(of(split[i]) & of(split[j]))
 
 
 def test_sketches_merge_and_estimate_containment():
@@ -90,7 +113,7 @@ def test_sketches_merge_and_estimate_containment():
     assert fingerprint.containment(a, b) > 0.97 and fingerprint.jaccard(a, b) < 0.2
     assert (fingerprint.from_text(fingerprint.to_text(a)) == a).all()
     x, y = fingerprint.sketch("one two three four five six"), fingerprint.sketch("six seven")
-    union = np.union1d(*(np.unique(fingerprint.shingles(fingerprint.words_of(t)) >> np.uint64(16)) for t in ("one two three four five six", "six seven")))
+    union = np.union1d(*(np.unique(fingerprint.shingles(t) >> np.uint64(16)) for t in ("one two three four five six", "six seven")))
     assert (fingerprint.merge(x, y) == fingerprint.keep(union)).all()
     assert len(fingerprint.sketch(None)) == 0 and fingerprint.containment(fingerprint.sketch(""), fingerprint.sketch(None)) == 1
 

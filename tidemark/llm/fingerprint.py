@@ -26,41 +26,83 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, part of the hash range that is kept, bits of a hash.
 WORDS, FRACTION, BITS = 5, 1 / 4, 48
-#: Word hashes remembered per worker; a bound of memory only.
-CACHE_WORDS = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0xBF58476D1CE4E5B9)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
-
-
-_hashes = _WordHashes()
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """UTF-8 words split at ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of so many words; of all words as one where there are fewer."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, np.uint64(n), np.uint64)
-    for k in range(n):  # order matters: each step mixes before the next word comes in
-        out = (out ^ h[k : len(h) - n + 1 + k]) * _MIX
-        out ^= out >> np.uint64(29)
+_MORE = np.uint64(0xD6E8FEB86659FD93)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Masks of the first 0 to 8 bytes of a little-endian word; bytes from which a word is hashed by itself.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 64
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(32))) * _MORE
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a column of texts, A-Z in lower case, and the number of words of each text.
+
+    Works on the column's UTF-8 bytes, eight at a time, without a Python object for a text or a word."""
+    column = column.cast(pa.string()).fill_null("")
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size = int(at[-1] - at[0])
+    if not size:
+        return np.empty(0, np.uint64), np.zeros(len(column), np.int64)
+    raw = np.zeros(size + 8 * (LONG_WORD // 8 + 1), np.uint8)
+    raw[:size] = _LOWER[np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]]
+    at -= at[0]
+    inside = ~_SPACE[raw[:size]]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    some = at[1:] > at[:-1]
+    first[at[:-1][some]] = inside[at[:-1][some]]  # a word ends with its text
+    last[at[1:][some] - 1] = inside[at[1:][some] - 1]
+    first = np.flatnonzero(first)
+    length = np.flatnonzero(last) + 1 - first
+    eight = np.ndarray((size + LONG_WORD,), "<u8", raw.data, strides=(1,))  # the eight bytes from each place on
+    h = mixed((length.astype(np.uint64) * _MIX) ^ (eight[first] & _FIRST[np.minimum(length, 8)]))
+    live = np.flatnonzero(length > 8)
+    for k in range(8, LONG_WORD, 8):
+        h[live] = mixed(h[live] ^ (eight[first[live] + k] & _FIRST[np.minimum(length[live] - k, 8)]))
+        live = live[length[live] > k + 8]
+    for k in live:
+        h[k] = xxhash.xxh64_intdigest(raw[first[k] : first[k] + length[k]])
+    return h, np.diff(np.searchsorted(first, at))
+
+
+def shingle_sets(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a column of texts: sorted distinct 64-bit hashes, one text after the other, and where each text's
+    begin (and the last ones end). A text of fewer words is one shingle."""
+    h, n = word_hashes(column)
+    begin = np.cumsum(n) - n
+    count = np.maximum(n - size, 0) + (n > 0)
+    at = np.flatnonzero(np.arange(len(h)) - np.repeat(begin, n) < np.repeat(count, n))
+    words = np.repeat(np.minimum(n, size), count)
+    out = words.astype(np.uint64)
+    short = np.flatnonzero(words < size)
+    for k in range(size):  # order matters: each step mixes before the next word comes in
+        new = (out ^ h[np.minimum(at + k, len(h) - 1)]) * _MIX
+        new ^= new >> np.uint64(29)
+        new[short] = np.where(k < words[short], new[short], out[short])
+        out = new
     out *= _PRIME
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        out[a:b].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[bounds[:-1][count > 0]] = True
+    return out[fresh], np.concatenate([[0], np.cumsum(fresh)])[bounds]
+
+
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    return shingle_sets(pa.array([text], pa.string()), size)[0]
 
 
 def keep(hashes: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
@@ -70,7 +112,7 @@ def keep(hashes: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
 
 
 def sketch(text: str | None, fraction: float = FRACTION) -> np.ndarray:
-    return keep(np.unique(shingles(words_of(text)) >> np.uint64(64 - BITS)), fraction)
+    return keep(np.unique(shingles(text) >> np.uint64(64 - BITS)), fraction)
 
 
 def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
