@@ -37,10 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat a doc_id are one document and stay or go together."""
+    """Rows that repeat doc_id and text are one document and stay or go together; rows without words stay."""
     ship(spark)
-    stay = ngram_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return ngram_join.one_of_each(docs)
 
 
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
