@@ -1,6 +1,7 @@
 """Pure parts of the corpus operators against brute force, without Spark."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -187,6 +188,120 @@ def test_links_in_running_text_stay(part, text):
     assert html_density.main_text(f"<article><h1>T</h1><p>{first}</p>{part}</article>") == "\n".join(filter(None, ["T", first, text]))
 
 
+PARTS = "".join(f"<p>Paragraph {k} of the article says a thing or two that no other part of this page says, at some length.</p>" for k in range(6))
+ARTICLE = "\n".join(f"Paragraph {k} of the article says a thing or two that no other part of this page says, at some length." for k in range(6))
+
+
+@pytest.mark.parametrize("title", ["<h1>T</h1>", ""])
+def test_what_stands_beside_an_article_goes_whatever_its_name(title):
+    page = (
+        "<body><div class=q1><a href=a>Home</a> <a href=b>News</a> <a href=c>About</a></div>"
+        f"<div class=q2>{title}{PARTS}</div>"
+        "<div class=q3><p>Get our letter every week and never miss a thing.</p><form><input name=m></form></div>"
+        "<div class=q4><p>I do not agree with this at all, dear author.</p></div>"
+        "<div class=q5><p>All rights reserved by the owner of the page.</p><a href=d>Terms</a> <a href=e>Privacy</a></div></body>"
+    )
+    assert html_density.main_text(page) == ("T\n" if title else "") + ARTICLE
+    assert html_density.main_text(page.replace("<body>", "").replace("</body>", "")) == ("T\n" if title else "") + ARTICLE
+
+
+def test_an_article_in_two_parts_stays_whole():
+    assert html_density.main_text(f"<body><h1>T</h1><div class=q1>{PARTS}</div><div class=q2>{PARTS}</div><div class=q3><a href=a>Home</a></div></body>") == f"T\n{ARTICLE}\n{ARTICLE}"
+
+
+@pytest.mark.parametrize("name", ["alert", "related", "notice", "widget", "search"])
+def test_parts_of_an_article_with_weak_names_stay(name):
+    assert html_density.main_text(f"<article><h1>T</h1>{PARTS}<div class={name}><p>Do not mix the two.</p></div></article>") == f"T\n{ARTICLE}\nDo not mix the two."
+    assert html_density.main_text(f"<article><h1>T</h1>{PARTS}<div class={name}><a href=a>Read this next</a></div></article>") == f"T\n{ARTICLE}"
+    assert html_density.main_text(f"<body><article><h1>T</h1>{PARTS}</article><div class={name}>We tell you this on every page.</div></body>") == f"T\n{ARTICLE}"
+
+
+@pytest.mark.parametrize("says", ['data-id="search"', 'title="hidden gem"', 'data-x=\'{"k":"v"}\'', 'x="a>b"', "x='<p>'", "/"])
+def test_attributes_are_parsed(says):
+    assert html_density.main_text(f"<article><h1>T</h1><p {says}>A paragraph that is long enough.</p></article>") == "T\nA paragraph that is long enough."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>hello</p><a " + '"x"' * 100_000, "hello"), ("<p>hello</p><a data-x='" + '{"k":"v",' * 50_000, "hello"), ("<p>hello</p>" + "<a " * 100_000, "hello"), ("<p>hello</p><" + "a='" * 100_000, "hello"),
+        ("<p>hello</p>" + "<a x='" * 60_001, None), ("<div>" * 50_000 + "hello" + "</x>" * 50_000, "hello"), ("<p>hello" + "</div>" * 100_000, "hello"), ("hello" + "<" * 200_000, None), ("<p>hello</p>" + "<!--" * 100_000, "hello"),
+        ("<p>hello</p>" + "&" * 200_000, None), ("<p>hello</p><script>" + "</scrip" * 100_000, "hello"), ("<table>" * 20_000 + "hello", "hello"), ("<ul><li>" * 20_000 + "hello", "hello"), ("<a " + " " * 300_000 + "=" * 300_000 + ">hello", "hello"),
+    ],
+)
+def test_broken_markup_takes_linear_time(page, text):
+    began = time.perf_counter()
+    got = html_density.main_text(page)
+    assert time.perf_counter() - began < 5
+    assert got.startswith("hello") if text is None else got == text
+
+
+def brute_density(page):
+    """Composite text density by recursion over a tree from the standard library's parser: {path: (density, sum)}."""
+    import html.parser
+    import math
+
+    class Tree(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack = [["#root", []]]
+
+        def handle_starttag(self, tag, attrs):
+            node = [tag, []]
+            self.stack[-1][1].append(node)
+            if tag not in html_density.VOID:
+                self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            while len(self.stack) > 1 and self.stack.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            self.stack[-1][1].append(data)
+
+    tree = Tree()
+    tree.feed(page)
+
+    def count(node):
+        c = t = lc = lt = 0
+        for x in node[1]:
+            if isinstance(x, str):
+                c += len("".join(x.split()))
+            else:
+                a = count(x)
+                c, t, lc, lt = c + a[0], t + a[1] + 1, lc + a[2], lt + a[3]
+        return (c, t, c, lt + 1) if node[0] == "a" else (c, t, lc, lt)
+
+    C, _, LC, _ = count(tree.stack[0])
+
+    def density(node):
+        c, t, lc, lt = count(node)
+        d = c / max(1, t)
+        if c and LC:
+            inner = math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt)))
+            d *= max(0, inner / math.log(max(math.log(c / max(1, c - lc) * lc + LC / C * c + math.e), 1.000001)))
+        return d
+
+    out = []
+
+    def walk(node):
+        out.append((node[0], density(node), sum(density(x) for x in node[1] if not isinstance(x, str))))
+        for x in node[1]:
+            if not isinstance(x, str):
+                walk(x)
+
+    for x in tree.stack[0][1]:
+        walk(x)
+    return out
+
+
+@pytest.mark.parametrize("page", [f"<div><a href=a>Home</a> <a href=b>News</a></div><div><h1>T</h1>{PARTS}<div>By <a href=c>Ada</a></div></div>", "<div><p>one two</p><div><div><p>three <b>four</b></p></div></div></div>"])
+def test_density_equals_brute_force(page):
+    dom = html_density.Dom(page)
+    density, total, *_ = html_density.densities(dom, [True] * len(dom.tag))
+    assert [(t, pytest.approx(d), pytest.approx(s)) for t, d, s in brute_density(page)] == list(zip(dom.tag, density, total))[1:]
+
+
 def test_density_formula():
     dom = html_density.Dom("<body><div><p>aaaa bbbb</p><p><a href=x>cc</a></p></div></body>")
     kept = dom.kept()

@@ -1,20 +1,24 @@
 """Main text of web pages by composite text density.
 
 Every DOM node has its characters, tags, link characters and link tags; its density is characters per tag, adjusted by how
-much of the text is in links, here and in the whole body. The node with the largest sum of child densities is found, the
-smallest density on its path to the body is the threshold, and below every node that reaches the threshold the node with
-the largest sum is content. The article is the smallest subtree that holds all content, widened to its heading or to the
-article element around it. Scripts, styles, forms, and elements that name themselves navigation, header, footer, sidebar,
-notice, advert or comments never count; a list or container of nothing but links (a menu) goes too, outside running text.
+much of the text is in links, here and in the whole body. The node with the largest sum of child densities is found, and the
+smallest density on its path to the body is the threshold. That node is content, widened to its heading or to the article
+element around it; so are, beside it and the nodes that hold it, bare blocks and headings that reach the threshold, and
+containers that reach it and whose largest sum is a SHARE of the largest at least. All else is dropped: a letter box, a
+reader's comment or a footer next to the article goes by its density, whatever it is called. Within the content, containers
+below the threshold go if a third of their text or more is links, and so do lists or containers of nothing but links (menus),
+outside running text. Scripts, styles, forms, and elements that name themselves navigation, header, footer, sidebar,
+advert or comments never count; weaker names (WEAK) only hint: within an article they count where the text is mostly links.
 
 Blocks are joined by line ends; white space within a block, line breaks too, is one space. A null or empty page, or one
-without text in its body, gives an empty text. Unclosed and misnested tags are closed as a browser would; unclosed comments
-and scripts end with the page. Rows are independent: repeated rows give repeated results, other columns pass through, those
+without text in its body, gives an empty text. Unclosed and misnested tags are closed as a browser would; unclosed comments,
+scripts and tags end with the page. The tokenizer and the tree take time linear in the page, however broken it is. Rows are independent: repeated rows give repeated results, other columns pass through, those
 named as the result are replaced, an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import collections
 import html
 import math
 import re
@@ -43,26 +47,74 @@ NEVER = set("head script style noscript template iframe object embed svg annotat
 SAYS = set(
     "ad ads adbox adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations widget toolbar pagination pager skip hidden complementary contentinfo search".split()
 )
+#: Names that an article's own parts may have: there they cut what is links by a third or more.
+WEAK = set("alert notice notices related recommended recommendations widget banner overlay search skip menu share social sharing".split())
 KEEPS = {"html", "body", "main"}
 #: Names that hold, as a whole class or id, even for an element with an article or a main heading in it.
 STRICT = set("comment comments commentlist disqus reply replies respond".split())
 #: A class that begins, or for STRICT ends, with such a word tells a state or topic ("no-comments", "comments-open"), not what the element is.
 STATES, STATUS = set("no not has with without tag category topic".split()), set("open opened closed enabled disabled allowed on off".split())
 #: Of these elements, one with at least so many links and no letter or digit outside them is a menu, but for those in or with running text.
-MENUS, MENU_LINKS = set("ul ol dir div section center".split()), 2
+BOXES = set("div section center".split())
+MENUS, MENU_LINKS = BOXES | set("ul ol dir".split()), 2
 RUNNING = {"p", "td", "th", "li", "dt", "dd", "blockquote", "pre", "caption", "figcaption"} | HEADINGS
+#: Part of the largest density sum that a container beside it needs, to be content as well.
+SHARE = 1 / 3
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)/?>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)(>?)")
+_GAP = re.compile(r"[\s/]*+")
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+Attributes = list[tuple[str, str]]
 
-def _says(attributes: str) -> tuple[frozenset[str], bool]:
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, Attributes, bool]]:
+    """Begin, end, kind ("open", "close" or "other"), name, attributes and whether it closes itself, of each piece of markup.
+
+    Quotes count only where an attribute's value begins; one that is never closed is part of the value. A tag that the page
+    ends in is dropped with what follows. Send ("past", k) to go on at k."""
+    at, n = 0, len(page)
+    while 0 <= (at := page.find("<", at)) < n:
+        begin = at
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            yield begin, at, "other", "", [], False
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            yield begin, at, "other", "", [], False
+            continue
+        m = _OPEN.match(page, at)
+        if not m:
+            at += 1
+            continue
+        attributes: Attributes = []
+        at, done = m.end(), bool(m[3])
+        while not done:
+            at = _GAP.match(page, at).end()
+            if at >= n:
+                break
+            if page[at] == ">":
+                at, done = at + 1, True
+                break
+            x = _ATTRIBUTE.match(page, at)
+            attributes.append((x[1].lower(), x[2] or x[3] or x[4] or ""))
+            at = x.end()
+        if not done:
+            yield begin, n, "other", "", [], False
+            return
+        past = yield begin, at, "close" if m[1] else "open", m[2].lower(), attributes, page[at - 2] == "/"
+        at = past or at
+
+
+def _says(attributes: Attributes) -> tuple[frozenset[str], bool]:
     """The words of class, id and role, "hidden" for what is not shown, and whether a whole name is in STRICT."""
     found, strict = set(), False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for name, value in attributes:
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDES.search(value):
             found.add("hidden")
         if name in ("class", "id", "role"):
@@ -80,67 +132,81 @@ class Dom:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.children, self.names, self.strict = ["#root"], [-1], [[]], [frozenset()], [False]
+        self.inside = [False]  # of an article or main element
         self._build(page)
 
-    def _add(self, tag: str, parent: int, attributes: str) -> int:
+    def _add(self, tag: str, parent: int, attributes: Attributes) -> int:
         k = len(self.tag)
         self.tag.append(tag)
         self.parent.append(parent)
         self.children.append([])
         self.children[parent].append(k)
-        found, strict = _says(attributes) if "=" in attributes or "hidden" in attributes.lower() else (frozenset(), False)
+        found, strict = _says(attributes) if attributes else (frozenset(), False)
         self.strict.append(strict)
         self.names.append(found)
         return k
 
     def _build(self, page: str) -> None:
-        tag, stack, at, n = self.tag, [0], 0, len(page)
-        while at < n:
-            m = _TOKEN.search(page, at)
-            text = page[at : m.start()] if m else page[at:]
-            if text:
-                self.children[stack[-1]].append(html.unescape(text))
-            if not m:
-                break
-            at, name = m.end(), (m[2] or "").lower()
-            if not name:
-                if m[0].startswith(("<!", "<?")):
-                    self.children[stack[-1]].append("")
-                continue
-            if m[1]:
-                inline = name not in BLOCK
+        tag, stack, at = self.tag, [0], 0
+        opened: collections.Counter = collections.Counter()  # so that no search goes through the stack in vain
+
+        def close(k: int) -> None:
+            for node in stack[k:]:
+                opened[tag[node]] -= 1
+            del stack[k:]
+
+        found = tokens(page)
+        token = next(found, None)
+        while token:
+            begin, end, kind, name, attributes, void = token
+            if begin > at:
+                self.children[stack[-1]].append(html.unescape(page[at:begin]))
+            at, past = end, None
+            if kind == "close" and opened[name]:
                 for k in range(len(stack) - 1, 0, -1):
                     if tag[stack[k]] == name:
                         if name not in ("body", "html"):
-                            del stack[k:]
-                        break
-                    if inline and tag[stack[k]] in BLOCK:
+                            close(k)
                         break
-                continue
-            if name in ("html", "body") and name in (tag[k] for k in stack):
-                continue
-            ends, bar = ({"p"}, {"table", "td", "th", "button", "object"}) if name in CLOSES_P else IMPLIED_END.get(name, ((), ()))
-            for k in range(len(stack) - 1, 0, -1) if ends else ():
-                if tag[stack[k]] in bar:
-                    break
-                if tag[stack[k]] in ends:
-                    del stack[k:]
-                    if name in CLOSES_P:
+                    if name not in BLOCK and tag[stack[k]] in BLOCK:
                         break
-            if name in HEADINGS and tag[stack[-1]] in HEADINGS:
-                stack.pop()
-            node = self._add(name, stack[-1], m[3] or "")
-            if name in RAW:
-                end = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(page, at)
-                if name in ("textarea", "title") or not end:
-                    self.children[node].append(page[at : end.start() if end else n])
-                at = page.find(">", end.start()) + 1 or n if end else n
-            elif name not in VOID and not m[0].endswith("/>"):
-                stack.append(node)
+            elif kind == "open" and not (name in ("html", "body") and opened[name]):
+                ends, bar = ({"p"}, {"table", "td", "th", "button", "object"}) if name in CLOSES_P else IMPLIED_END.get(name, ((), ()))
+                if any(opened[x] for x in ends):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if tag[stack[k]] in bar:
+                            break
+                        if tag[stack[k]] in ends:
+                            close(k)
+                            if name in CLOSES_P:
+                                break
+                if name in HEADINGS and tag[stack[-1]] in HEADINGS:
+                    close(len(stack) - 1)
+                node = self._add(name, stack[-1], attributes)
+                if name in RAW:
+                    stop = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(page, at)
+                    if name in ("textarea", "title") or not stop:
+                        self.children[node].append(page[at : stop.start() if stop else len(page)])
+                    at = past = (page.find(">", stop.start()) + 1 or len(page)) if stop else len(page)
+                elif name not in VOID and not void:
+                    stack.append(node)
+                    opened[name] += 1
+            try:
+                token = found.send(past)
+            except StopIteration:
+                token = None
+        if at < len(page):
+            self.children[stack[-1]].append(html.unescape(page[at:]))
 
     def kept(self) -> list[bool]:
         """Which nodes may hold article text, by their element and their names and those of all that hold them."""
-        out, inside = [True], [False]
+        out, inside = [True], self.inside
+        chars, link_chars = [0] * len(self.tag), [0] * len(self.tag)
+        for k in range(len(self.tag) - 1, 0, -1):
+            chars[k] += sum(len(x) for x in self.children[k] if isinstance(x, str))
+            link_chars[k] = chars[k] if self.tag[k] == "a" else link_chars[k]
+            chars[self.parent[k]] += chars[k]
+            link_chars[self.parent[k]] += link_chars[k]
         has_title, has_link, has_main = [False] * len(self.tag), [False] * len(self.tag), [False] * len(self.tag)
         for k in range(len(self.tag) - 1, 0, -1):
             if not self.names[k] & STRICT:
@@ -154,7 +220,10 @@ class Dom:
             if site and (inside[k] or has_main[k] and name != "header" or has_title[k] and not has_link[k] and self.tag[up] not in ("body", "html", "#root")):
                 site = False
             wraps = has_main[k] and name not in ("header", "nav", "aside", "footer")  # names of the page's layout, as in "with-sidebar"
-            named = self.strict[k] or says & SAYS and not wraps
+            hint = says & SAYS
+            if inside[up] and hint <= WEAK and 3 * link_chars[k] < chars[k]:
+                hint = frozenset()
+            named = self.strict[k] or hint and not wraps
             out.append(out[up] and not site and (name not in NEVER or name == "form" and wraps) and (name in KEEPS or name in HEADINGS or not named))
         return out
 
@@ -190,14 +259,14 @@ def densities(dom: Dom, kept: list[bool]) -> tuple[list[float], list[float], lis
     return density, total, chars, link_chars, link_tags
 
 
-def content_node(dom: Dom, kept: list[bool], density: list[float], total: list[float], chars: list[int]) -> int:
-    """The subtree that holds the article, or -1."""
+def content_nodes(dom: Dom, kept: list[bool], density: list[float], total: list[float], chars: list[int]) -> tuple[list[int], float]:
+    """The subtrees that are content, in page order, and the threshold."""
     n = len(dom.tag)
     body = next((k for k in range(n) if dom.tag[k] == "body" and kept[k]), 0)
     if not chars[body]:
         body = 0
     if not chars[body]:
-        return -1
+        return [], 0.0
     best = list(range(n))  # of each subtree, the node with the largest sum
     for k in range(n - 1, 0, -1):
         if kept[k]:
@@ -210,44 +279,33 @@ def content_node(dom: Dom, kept: list[bool], density: list[float], total: list[f
         k = dom.parent[k]
         if k and density[k]:
             limit = min(limit, density[k])
-    content = top
-    below = [False] * n
-    below[body] = True
-    for k in range(body, n):
-        if k != body:
-            below[k] = below[dom.parent[k]] and kept[k]
-        if below[k] and chars[k] and density[k] >= limit and k != body:
-            content = _common(dom, content, best[k] if total[best[k]] > 0 else k)
-    k = content
-    while k not in (body, 0):
-        if dom.tag[k] in ("article", "main") or (up := dom.parent[k]) in (body, 0):
-            break
-        if any(dom.tag[x] in ("article", "main") for x in _path(dom, up)) or all(isinstance(x, str) and not x.strip() or x == k or not isinstance(x, str) and (not kept[x] or not chars[x] or dom.tag[x] in HEADINGS or dom.tag[x] == "header") for x in dom.children[up]):
+    heading = lambda x: dom.tag[x] in HEADINGS or dom.tag[x] == "header"
+    empty = lambda x: not x.strip() if isinstance(x, str) else not kept[x] or not chars[x]
+    k = top
+    while k not in (body, 0) and dom.tag[k] not in ("article", "main") and (up := dom.parent[k]) not in (body, 0):
+        if dom.inside[up] or all(x == k or empty(x) or not isinstance(x, str) and heading(x) for x in dom.children[up]):
             k = up
         else:
             break
-    return k
-
-
-def _path(dom: Dom, k: int) -> list[int]:
-    out = []
-    while k >= 0:
-        out.append(k)
-        k = dom.parent[k]
-    return out
-
-
-def _common(dom: Dom, a: int, b: int) -> int:
-    while a != b:  # numbers grow along each path
-        if a > b:
-            a = dom.parent[a]
-        else:
-            b = dom.parent[b]
-    return a
+    if k == body:  # no container holds the article alone: weak ones go from beside its blocks
+        parts = [x for x in dom.children[k] if not empty(x)]
+        weak = lambda x: dom.tag[x] in BOXES and density[x] < limit and total[best[x]] < SHARE * total[top]
+        blocks = all(not isinstance(x, str) and dom.tag[x] in BLOCK for x in parts)
+        return [x for x in parts if not weak(x)] if blocks else [k], limit
+    found = [k]
+    while k not in (body, 0):  # what stands beside the content and the nodes that hold it
+        k, below = dom.parent[k], k
+        for x in dom.children[k]:
+            if isinstance(x, str) or x == below or empty(x):
+                continue
+            bare = dom.tag[x] in RUNNING or dom.tag[x] not in BLOCK
+            if density[x] >= limit and (bare or total[best[x]] >= SHARE * total[top]) or dom.tag[x] == "h1" or dom.tag[x] == "header" and x < top:
+                found.append(x)
+    return sorted(found), limit
 
 
-def menus(dom: Dom, kept: list[bool], link_tags: list[int]) -> list[bool]:
-    """Which nodes are menus: lists or containers of links alone."""
+def menus(dom: Dom, kept: list[bool], link_tags: list[int], low: list[bool]) -> list[bool]:
+    """Which nodes are menus: lists or containers of links alone, or of low density."""
     n = len(dom.tag)
     in_link, in_text, words, runs = [False] * n, [False] * n, [False] * n, [False] * n
     for k in range(1, n):
@@ -260,7 +318,8 @@ def menus(dom: Dom, kept: list[bool], link_tags: list[int]) -> list[bool]:
             words[k] = words[k] or not in_link[k] and any(c.isalnum() for x in dom.children[k] if isinstance(x, str) for c in x)
             words[up] |= words[k]
             runs[up] |= runs[k] or name in RUNNING and name != "li" or name == "table"
-    return [dom.tag[k] in MENUS and link_tags[k] >= MENU_LINKS and not (in_text[k] or words[k] or runs[k]) for k in range(n)]
+    links = [low[k] and dom.tag[k] in BOXES or link_tags[k] >= MENU_LINKS and not words[k] for k in range(n)]
+    return [links[k] and dom.tag[k] in MENUS and not (in_text[k] or runs[k]) for k in range(n)]
 
 
 def main_text(page: str | None) -> str:
@@ -270,10 +329,9 @@ def main_text(page: str | None) -> str:
     dom = Dom(page)
     kept = dom.kept()
     density, total, chars, link_chars, link_tags = densities(dom, kept)
-    top = content_node(dom, kept, density, total, chars)
-    if top < 0:
-        return ""
-    menu = menus(dom, kept, link_tags) if link_tags[top] >= MENU_LINKS else [False] * len(kept)
+    tops, limit = content_nodes(dom, kept, density, total, chars)
+    low = [3 * link_chars[k] >= chars[k] > 0 and density[k] < limit for k in range(len(kept))]
+    menu = menus(dom, kept, link_tags, low) if any(link_tags[k] for k in tops) else [False] * len(kept)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -282,26 +340,26 @@ def main_text(page: str | None) -> str:
             blocks.append(block)
         run.clear()
 
-    todo: list = [(top, True)]
-    while todo:  # an explicit stack: nesting may be deep
-        x, enter = todo.pop()
-        if isinstance(x, str):
-            run.append(x)
-            continue
-        name = dom.tag[x]
-        if not enter:
-            flush()
-            continue
-        if x != top and (not kept[x] or menu[x]):
-            continue
-        if name == "br":
-            run.append(" ")
-            continue
-        if name in BLOCK:
-            flush()
-            todo.append((x, False))
-        todo += [(c, True) for c in reversed(dom.children[x])]
-    flush()
+    for top in tops:
+        todo: list = [(top, True)]
+        while todo:  # an explicit stack: nesting may be deep
+            x, enter = todo.pop()
+            if isinstance(x, str):
+                run.append(x)
+                continue
+            name = dom.tag[x]
+            if not enter:
+                flush()
+            elif x != top and (not kept[x] or menu[x]):
+                continue
+            elif name == "br":
+                run.append(" ")
+            else:
+                if name in BLOCK:
+                    flush()
+                    todo.append((x, False))
+                todo += [(c, True) for c in reversed(dom.children[x])]
+        flush()
     return "\n".join(blocks)
 
 
