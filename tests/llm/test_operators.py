@@ -264,6 +264,43 @@ def test_fingerprints_of_odd_rows(spark, odd_docs, no_docs):
     assert fingerprint.with_next(one).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+@needs_data
+def test_fingerprints_of_given_documents(spark):
+    """The whole query against sketches and likeness worked out with plain sets."""
+    import base64
+
+    def sketch(text):
+        w = (text or "").encode().lower().split()
+        n = min(5, len(w))
+        own = {int(fingerprint.shingles(b" ".join(w[i : i + n]).decode())[0]) >> 16 for i in range(len(w) - n + 1)} if w else set()
+        low = {x for x in own if x < 2**48 // 4}
+        return low or set(sorted(own)[:1])
+
+    def likeness(a, b):
+        return float(not a and not b) if not a or not b else len(a & b) / min(len(a), len(b))
+
+    coded = lambda s: base64.b64encode(b"".join(x.to_bytes(6, "big") for x in sorted(s))).decode()
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    want, own = {}, [sketch(t) for _, t in docs]
+    for k, (d, t) in enumerate(docs):
+        edited = t[: len(t) - len(t) // 2] + docs[(k + 1) % len(docs)][1][: len(t) // 2]
+        new = sketch(edited)
+        want[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), coded(own[k]), coded(new), likeness(own[k], new), likeness(own[k], own[(k + 1) % len(docs)]))
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in queries.op5_fingerprint(spark, DATA).collect()}
+    assert got == want
+
+
+def test_fingerprints_of_a_doc_id_with_many_rows(spark, monkeypatch):
+    """A missing doc_id of half of all rows is dealt over several ranges, and its rows still follow each other."""
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 400)
+    docs = spark.range(300).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some text of row "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("h"), F.lit(2).alias("part"))
+    rows = sorted((-1 if r.doc_id is None else r.doc_id, r.x, r.text) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("x")).collect())
+    want = sorted((d, hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(k + 1) % 300][2][: len(t) // 2]).encode()).hexdigest()) for k, (d, _, t) in enumerate(rows))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.edited_sha256) for r in fingerprint.with_next(docs).collect()) == want
+    dealt = fingerprint.by_range(docs).where("role = 0").groupBy("part").count().collect()
+    assert len(dealt) > 10 and max(r["count"] for r in dealt) < 60
+
+
 # ---- tokens
 
 
@@ -325,6 +362,27 @@ def test_extraction_of_odd_pages(odd_pages):
     assert html_density.extract(odd_pages.limit(0)).count() == 0
 
 
+@needs_data
+def test_extraction_of_given_pages(spark):
+    """The whole query against a plain cut: each given page has one article element of headings and paragraphs."""
+    import html
+
+    def brute(page):
+        page = re.sub(r"<!--.*?-->|<(script|style)>.*?</\1>", "", page or "", flags=re.S)
+        m = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", page, re.S)
+        blocks = re.split("\0", re.sub("</?(?:p|h1)>", "\0", re.sub("<br>", " ", m[1]))) if m else []
+        return "\n".join(filter(None, (" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in blocks)))
+
+    want = {(r.page_id, r.url, brute(r.html), len(brute(r.html))) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = queries.op1_html_density(spark, DATA)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+
+def test_extraction_keeps_columns_with_clashing_names(spark):
+    got = html_density.extract(spark.createDataFrame([("<p>one two", "x", 5)], "html string, text string, chars int"))
+    assert got.columns == ["html", "chars", "text", "n_chars"] and got.first().text == "one two"
+
+
 # ---- mixing
 
 

@@ -6,15 +6,19 @@ below the threshold, the smallest one stands in, so that only a text without wor
 same rule again. A fingerprint is the base64 text of the sorted 48-bit hashes, eight characters each.
 
 `with_next` pairs each document with the start of the next one by doc_id without a global sort in one task: documents are
-dealt by doc_id ranges, each range is sorted, and the first document of each range is also sent to the range before it.
-Nulls are empty texts; a null doc_id comes first; repeated doc_ids follow each other by text. With a single document the
-next one is the document itself. An empty table gives an empty table; other columns are not used.
+dealt by doc_id ranges, each range is sorted, and the first document of each range is also sent to the range before it. The
+number of ranges follows from the bytes of the texts. A doc_id of many rows (a missing one, say) is dealt over several ranges
+by the hash of its texts; only rows with equal doc_id and text stay together.
+Nulls are empty texts; a null doc_id comes first; repeated doc_ids follow each other by the hash of their text, then by
+text. With a single document the next one is the document itself. An empty table gives an empty table; other columns are
+not used.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,10 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, part of the hash range that is kept, bits of a hash.
 WORDS, FRACTION, BITS = 5, 1 / 4, 48
+#: Bytes of text in a range of doc_ids (there are as many ranges as shuffle partitions at least), ranges that one doc_id may fill.
+RANGE_BYTES, MAX_SPLIT = 64 << 20, 1 << 20
+#: Stands for a missing doc_id: below every long that occurs as one.
+NO_DOC = -(2**63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0xBF58476D1CE4E5B9)
 _MORE = np.uint64(0xD6E8FEB86659FD93)
@@ -143,36 +151,57 @@ def from_text(text: str) -> np.ndarray:
     return np.hstack([np.zeros((len(raw), 2), np.uint8), raw]).view(">u8").reshape(-1).astype(np.uint64)
 
 
+def sketches(column: pa.Array, fraction: float = FRACTION) -> list[np.ndarray]:
+    """The sketch of each text of a column."""
+    h, bounds = shingle_sets(column)
+    h >>= np.uint64(64 - BITS)
+    return [keep(np.unique(h[a:b]), fraction) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """doc_id and fingerprint of each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to_text(sketch(t, fraction)) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(to_text, sketches(b.column(1), fraction)), pa.string())], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def by_range(docs: DataFrame) -> DataFrame:
-    """(part, role, doc_id, text), sorted within partitions: each range of doc_ids by itself, and at its end, with role 1,
-    the first document of the next range (of the first one after the last). One shuffle of the texts."""
+    """(part, role, doc_id, h, text), sorted within partitions: each range of (doc_id, h) by itself, and at its end, with
+    role 1, the first document of the next range (of the first one after the last). One shuffle of the texts."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = src.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(1.0)), max(10_000, 10 * n))).first()[0] or []
-    cuts = np.array(sorted(set(cuts)), np.int64)  # as many as there are shuffle partitions, whatever the table holds
-
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "left"), index=ids.index, dtype="int32")
-
-    dealt = src.select(part("doc_id").alias("part"), F.lit(0).alias("role"), "doc_id", "text")
-    firsts = src.select(part("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("first")).orderBy("part").collect()  # one row per partition
+    text, doc = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))
+    src = docs.select(doc.alias("doc_id"), text.alias("text"))
+    rows, size = src.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
+    at = F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(1.0))
+    cuts = src.agg(F.percentile_approx("doc_id", at, max(10_000, 10 * n))).first()[0] or []
+    often = {c: k + 1 for c, k in Counter(cuts).items() if k > 1}  # these fill several ranges
+    cuts = np.array(sorted(set(cuts)), np.int64)
+    hot = np.array(sorted(often), np.int64)
+    split = np.array([min(MAX_SPLIT, often[c]) for c in hot.tolist()], np.uint64)
+
+    @F.pandas_udf("long")
+    def part(ids: pd.Series, h: pd.Series) -> pd.Series:
+        own = ids.to_numpy(np.int64)
+        out = np.searchsorted(cuts, own, "left").astype(np.int64) * (2 * MAX_SPLIT)
+        if len(hot):  # below its range's own rows, as the cut itself is the last doc_id of its range
+            k = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+            top = (h.to_numpy(np.int64).astype(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+            out += np.where(hot[k] == own, 1 + ((top * split[k]) >> np.uint64(32)).astype(np.int64), 0)
+        return pd.Series(out, index=ids.index)
+
+    keyed = src.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    dealt = keyed.select(part("doc_id", "h").alias("part"), F.lit(0).alias("role"), "doc_id", "h", "text")
+    firsts = keyed.select(part("doc_id", "h").alias("part"), "doc_id", "h").groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("x"))
+    firsts = firsts.orderBy("part").select("part", "x.*").collect()  # one row per range
     if firsts:
-        before = spark.createDataFrame([(r["first"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)], "doc_id long, part int")
-        again = src.join(F.broadcast(before), "doc_id").groupBy("doc_id", "part").agg(F.min("text").alias("text"))
-        dealt = dealt.unionByName(again.select("part", F.lit(1).alias("role"), "doc_id", "text"))
-    return dealt.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "role", "doc_id", "text")
+        before = spark.createDataFrame([(r["doc_id"], r["h"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)], "doc_id long, h long, part long")
+        again = keyed.join(F.broadcast(before), ["doc_id", "h"]).groupBy("doc_id", "h", "part").agg(F.min("text").alias("text"))
+        dealt = dealt.unionByName(again.select("part", F.lit(1).alias("role"), "doc_id", "h", "text"))
+    return dealt.repartition("part").sortWithinPartitions("part", "role", "doc_id", "h", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
@@ -182,28 +211,30 @@ def with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to the edited text and to the next document.
     Edited: the last floor(n_chars / 2) code points give way to the first as many of the next document."""
 
-    def rows(one: tuple, nxt: str, own: np.ndarray, other: np.ndarray) -> dict:
-        doc_id, text = one
-        half = len(text) // 2
-        edited = text[: len(text) - half] + nxt[:half]
-        new = sketch(edited, fraction)
-        return {
-            "doc_id": None if doc_id == -(2**63) else doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": to_text(own), "edited_fingerprint": to_text(new),
-            "near_edited": containment(own, new), "near_next": containment(own, other), "jaccard_edited": jaccard(own, new), "jaccard_next": jaccard(own, other),
-        }
+    def results(pairs: list[tuple]) -> pa.RecordBatch:
+        """pairs: doc_id, text, its sketch, the next text, its sketch."""
+        edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for _, t, _, after, _ in pairs]
+        out = []
+        for (doc_id, t, own, _, other), e, new in zip(pairs, edited, sketches(pa.array(edited, pa.string()), fraction)):
+            out.append({
+                "doc_id": None if doc_id == NO_DOC else doc_id, "n_chars": len(t), "edited_sha256": hashlib.sha256(e.encode()).hexdigest(),
+                "fingerprint": to_text(own), "edited_fingerprint": to_text(new),
+                "near_edited": containment(own, new), "near_next": containment(own, other), "jaccard_edited": jaccard(own, new), "jaccard_next": jaccard(own, other),
+            })
+        return pa.RecordBatch.from_pylist(out, schema=_RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, out = None, []  # last: part, (doc_id, text), sketch
+        last = None  # part, doc_id, text, sketch
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                for part, role, doc_id, text in zip(*(c.to_pylist() for c in whole.slice(at, 500).columns)):
-                    own = sketch(text, fraction)
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                pairs = []
+                for part, role, doc_id, text, own in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), sketches(b.column(4), fraction)):
                     if last and last[0] == part:
-                        out.append(rows(last[1], text, last[2], own))
-                    last = (part, (doc_id, text), own) if role == 0 else None
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=_RESULT)
-                    out = []
+                        pairs.append((*last[1:], text, own))
+                    last = (part, doc_id, text, own) if role == 0 else None
+                if pairs:
+                    yield results(pairs)
 
     return by_range(docs).mapInArrow(run, RESULT)
 
