@@ -261,7 +261,7 @@ def _index(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
                 for k in fresh:
                     maps[k] = bitmap(h[bounds[k] : bounds[k + 1]])
                 s1, s2 = ([i[k] for i in ids] for k in (0, 1))
-                rows = {"bucket": [x % buckets for x in s1], "kind": [ROW] * len(ids), "payload": maps, "doc_id": b.column(0), "text_hash": b.column(2), "n_shingles": size.tolist(), "s1": s1, "s2": s2}
+                rows = {"bucket": b.column(3), "kind": [ROW] * len(ids), "payload": maps, "doc_id": b.column(0), "text_hash": b.column(2), "n_shingles": size.tolist(), "s1": s1, "s2": s2}
                 yield _batch(rows, len(ids))
                 if not fresh:
                     continue
@@ -312,7 +312,8 @@ def _index(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
         if last := close():
             yield _packed(last)
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")  # copies of a text go to buckets of their own
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), own.alias("bucket"))
     dealt = src.mapInArrow(emit, _DEALT).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(meet, _DEALT)
 
