@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import percentiles
 from tidemark.functions.rates import two_sided_p, wilson, with_rate
-from tidemark.operators import activity, funnel, history, sampling, sessions, taxonomy, visitors
+from tidemark.operators import activity, experiment, funnel, history, sampling, sessions, taxonomy, visitors
 
 MIN = 60_000_000
 
@@ -79,7 +80,7 @@ def test_as_of_bounds(spark):
 def test_tree(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 4), (5, 6), (6, 5), (7, 99), (2, 1)], "categoryid long, parentid long")
     assert {r.categoryid: (r.depth, r.root, r.path) for r in taxonomy.with_paths(tree.distinct()).collect()} == {1: (0, 1, [1]), 2: (1, 1, [1, 2]), 3: (2, 1, [1, 2, 3])}
-    assert {r.kind: r.findings for r in taxonomy.defects(tree).collect()} == {"duplicate_key": 1, "self_reference": 1, "missing_parent": 1, "unreachable": 4}
+    assert {r.kind: r.findings for r in taxonomy.defects(tree).collect()} == {"duplicate_key": 1, "self_reference": 1, "missing_parent": 1, "cycle": 2, "unreachable": 4}
     ids = spark.createDataFrame([(3,), (5,), (42,)], "categoryid long")
     assert {r.categoryid for r in taxonomy.ancestors(tree.distinct(), ids).collect()} == {1, 2, 3, 5, 6}
 
@@ -110,3 +111,71 @@ def test_empty_inputs_keep_their_schema(spark):
     assert sessions.session_fact(sessions.sessionize(e)).count() == 0
     assert activity.rolling_active(activity.visitor_days(e), 7).count() == 0
     assert activity.retention(activity.visitor_days(e)).count() == 0
+
+
+def test_cycles_and_what_leads_into_them(spark):
+    tree = spark.createDataFrame([(1, None), (2, 3), (3, 4), (4, 2), (5, 2), (6, 6), (7, 6), (8, 1), (9, 10), (10, 9), (11, 99)], "categoryid long, parentid long")
+    assert {r.categoryid for r in taxonomy.cycles(tree).collect()} == {2, 3, 4, 9, 10}
+    assert {r.kind: r.findings for r in taxonomy.defects(tree).collect()} == {"duplicate_key": 0, "self_reference": 1, "missing_parent": 1, "cycle": 5, "unreachable": 9}
+
+
+def test_as_of_with_a_key_of_half_of_all_rows(spark):
+    """Many days, a null key, changes to null, days without changes and a key that never changes."""
+    day = history.DAY
+    changes = [(1, k * day // 3 + 7, None if k % 17 == 0 else f"v{k}") for k in range(0, 300, 2)] + [(2, 5 * day, "x")]
+    facts = [(i, 1 if i % 2 == 0 else (None, 2, 3)[i % 3], (i * 7919 * 1_000_003) % (110 * day)) for i in range(1500)]
+    c = spark.createDataFrame(changes, "k long, us long, v string")
+    f = spark.createDataFrame(facts, "id long, k long, us long")
+
+    def brute(k, us):
+        held = [(t, v) for kk, t, v in changes if kk == k and t <= us]
+        return max(held)[1] if held else None
+
+    want = {i: brute(k, us) for i, k, us in facts}
+    for join in (history.as_of_union, history.as_of_interval):
+        got = join(f, c, "k", "v")
+        assert got.columns == ["id", "k", "us", "v"] and {r.id: r.v for r in got.collect()} == want and got.count() == 1500
+    ranges = sorted((r.k, r.valid_from, r.valid_to) for r in history.valid_ranges(c.where("k = 1"), ["k"]).collect())
+    assert [r[2] for r in ranges[:-1]] == [r[1] for r in ranges[1:]] and ranges[-1][2] is None
+
+
+def test_percentiles_equal_the_built_in_ones(spark):
+    rows = [(k % 3, float(k * k % 977) if k % 3 else None) for k in range(3000)] + [(7, 5.0)] + [(8, 1e12 if k == 0 else k / 7) for k in range(500)]
+    df = spark.createDataFrame(rows, "g long, x double")
+    which = {"a": 0.5, "b": 0.75, "c": 0.0, "d": 1.0, "e": 0.999}
+    got = {r.g: tuple(r)[1:] for r in percentiles(df, "x", which, ("g",)).collect()}
+    want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(F.count("x"), *[F.expr(f"percentile(x, {p})").alias(k) for k, p in which.items()]).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    one = tuple(percentiles(df, "x", which).first())
+    assert one == pytest.approx(tuple(df.agg(F.count("x"), *[F.expr(f"percentile(x, {p})") for p in which.values()]).first()))
+    assert tuple(percentiles(df.limit(0), "x", {"a": 0.5}).first()) == (0, None)
+
+
+def test_repurchase_gaps_go_over_days(spark):
+    tx = spark.createDataFrame([(i, v, m * MIN, dt.date(2024, 1, 1) + dt.timedelta(days=m // 1440)) for i, v, m in ((1, 1, 0), (2, 1, 720), (3, 1, 7200), (4, 2, 5), (5, 1, 7200))], "transactionid long, visitorid long, us long, d date")
+    assert sorted(r.gap_days for r in visitors.repurchase_gaps(tx).collect()) == [0.0, 0.5, 4.5]
+
+
+def test_abnormal_visitors_by_share(spark):
+    counts = spark.range(1, 2001).select(F.col("id").alias("visitorid"), "id").withColumnRenamed("id", "n_events")
+    assert sorted(r.visitorid for r in visitors.abnormal(counts).collect()) == [1999, 2000]
+    assert visitors.abnormal(counts, 0.99).count() == 20
+
+
+def test_a_pool_that_is_too_small(spark):
+    c = spark.range(30).withColumnRenamed("id", "k")
+    assert sampling.pool(c, F.col("k") < 20, 20).count() == 20 and sampling.pool(c, F.col("k") < 19, 20).count() == 30
+    with pytest.raises(ValueError):
+        sampling.pool(c.where("k < 19"), F.lit(True), 20)
+
+
+def test_synthetic_units_hold_no_key(spark):
+    rows = experiment.impressions(spark, 50).collect()
+    assert len(rows) == 100 and len({r.unit for r in rows}) == 50 and {r.data_origin for r in rows} == {"synthetic"}
+    assert rows == experiment.impressions(spark, 50).collect()
+
+
+def test_mart_filters(spark):
+    mart = spark.createDataFrame([(dt.date(2024, 1, k), "a" if k < 3 else "b", k) for k in range(1, 6)], "d date, segment string, n int")
+    n = lambda **f: [r.n for r in activity.filtered(mart, **f).orderBy("n").collect()]
+    assert n() == [1, 2, 3, 4, 5] and n(since="2024-01-02", until="2024-01-04") == [2, 3, 4] and n(segment="a") == [1, 2] and n(segment=["a", "b"], since="2024-01-02") == [2, 3, 4, 5]

@@ -43,3 +43,15 @@ def retention(days: DataFrame, offsets: tuple[int, ...] = (1, 3, 7, 14, 30)) ->
     grid = sizes.select("first_d", "cohort_size", F.explode(F.array(*[F.lit(n) for n in offsets])).alias("n"))
     out = grid.join(back, ["first_d", "n"], "left").join(F.broadcast(last))  # one row
     return out.select("first_d", "n", "cohort_size", F.when(F.date_add("first_d", F.col("n")) <= F.col("last_d"), F.coalesce("retained", F.lit(0))).cast("long").alias("retained"))
+
+
+def filtered(mart: DataFrame, since=None, until=None, category=None, cohort=None, segment=None) -> DataFrame:
+    """The rows of a mart with d from since to until and the category, cohort and segment named (one value or several); a
+    filter that is not given takes all."""
+    bounds = [F.col("d") >= F.lit(since).cast("date")] * (since is not None) + [F.col("d") <= F.lit(until).cast("date")] * (until is not None)
+    for name, value in (("category", category), ("cohort", cohort), ("segment", segment)):
+        if value is not None:
+            bounds.append(F.col(name).isin(list(value) if isinstance(value, (list, tuple, set)) else [value]))
+    for condition in bounds:
+        mart = mart.where(condition)
+    return mart

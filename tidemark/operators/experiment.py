@@ -1,8 +1,8 @@
-"""Campaign and experiment metrics on synthetic data, which is derived from row counts by hashes and never holds a visitor id."""
+"""Campaign and experiment metrics on synthetic data, made from a number of units alone: unit k of n is a hash of k, so nothing of it goes back to a visitor."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.rates import Z95, hash_unit, rate, two_sided_p
@@ -13,8 +13,9 @@ CHANNELS = ("search", "social", "email", "display")
 CLICK, CONVERT, LIFT = 0.30, 0.20, {"no_effect": 0.0, "positive_effect": 0.05}
 
 
-def impressions(keys: DataFrame, key: str) -> DataFrame:
-    """One synthetic impression per key and scenario: unit (a hash), channel, arm, clicked, converted, cost, amount."""
+def impressions(spark: SparkSession, n: int) -> DataFrame:
+    """One synthetic impression for each of n units and scenario: unit (a hash), channel, arm, clicked, converted, cost, amount."""
+    keys, key = spark.range(n), "id"
     u = lambda what: hash_unit(F.col(key), f"{SEED}-{what}")
     base = keys.select(F.md5(F.concat(F.lit(f"{SEED}:unit:"), F.col(key).cast("string"))).alias("unit"), u("channel").alias("c"), u("arm").alias("a"), u("click").alias("k"), u("convert").alias("v"), u("amount").alias("m"))
     base = base.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(x).alias("lift")) for s, x in LIFT.items()])).alias("s"))

@@ -1,8 +1,8 @@
-"""Ordered funnels by conditional aggregates: no self-join, at most one window over the group."""
+"""Ordered funnels by windows and conditional aggregates over one shuffle: no self-join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,14 +12,16 @@ def _at(event: str):
 
 def steps(events: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: first view (tv), first cart (tc), last cart, last transaction, first valid cart (fc: after the first
-    view), first transaction after that (fx), last transaction after it. Steps are strict: equal times are no order.
-
-    Two aggregations: the first views and carts of a group are joined back to its cart and transaction events alone."""
-    firsts = events.groupBy(*keys).agg(F.min(_at("view")).alias("tv"), F.min(_at("addtocart")).alias("tc"), F.max(_at("addtocart")).alias("last_tc"), F.max(_at("transaction")).alias("last_tx"))
-    later = events.where(F.col("event").isin("addtocart", "transaction")).join(firsts.select(*keys, "tv"), keys)
-    carts = later.groupBy(*keys).agg(F.min(F.when(F.col("us") > F.col("tv"), _at("addtocart"))).alias("fc"))
-    bought = later.where("event = 'transaction'").join(carts, keys).groupBy(*keys).agg(F.min(F.when(F.col("us") > F.col("fc"), F.col("us"))).alias("fx"))
-    return firsts.join(carts, keys, "left").join(bought, keys, "left")
+    view), first transaction after that (fx). Steps are strict: equal times are no order.
+
+    One shuffle by the group: the first view and the first valid cart are windows over it, all else one aggregation."""
+    group = Window.partitionBy(*keys)
+    e = events.select(*keys, "us", "event").withColumn("tv", F.min(_at("view")).over(group))
+    e = e.withColumn("fc", F.min(F.when(F.col("us") > F.col("tv"), _at("addtocart"))).over(group))
+    return e.groupBy(*keys).agg(
+        F.min("tv").alias("tv"), F.min(_at("addtocart")).alias("tc"), F.max(_at("addtocart")).alias("last_tc"), F.max(_at("transaction")).alias("last_tx"),
+        F.min("fc").alias("fc"), F.min(F.when(F.col("us") > F.col("fc"), _at("transaction"))).alias("fx"),
+    )
 
 
 #: Numerator and denominator of each rate, over steps().

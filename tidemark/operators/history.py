@@ -1,30 +1,66 @@
-"""Histories of slowly changing values, and as-of joins."""
+"""Histories of slowly changing values, and as-of joins.
+
+All work is dealt by key and day, and what holds at a day's start is carried over one row per key and day, so a key with a
+large part of all rows is no single task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DAY = 86_400_000_000
+
+
+def _day(at: str) -> Column:
+    return F.expr(f"`{at}` div {DAY}").alias("_day")
+
 
 def valid_ranges(changes: DataFrame, keys: list[str], at: str = "us") -> DataFrame:
     """changes (one row per key and time) with [valid_from, valid_to); the last one stays open."""
-    return changes.withColumnRenamed(at, "valid_from").withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("valid_from")))
+    dealt = changes.withColumn("_day", _day(at))
+    firsts = dealt.groupBy(*keys, "_day").agg(F.min(at).alias("_first"))
+    after = firsts.select(*keys, "_day", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_day")).alias("_after"))
+    within = dealt.withColumn("_within", F.lead(at).over(Window.partitionBy(*keys, "_day").orderBy(at)))
+    out = within.join(after, [*keys, "_day"]).withColumn("valid_to", F.coalesce("_within", "_after"))
+    return out.select(*changes.columns, "valid_to").withColumnRenamed(at, "valid_from")
+
+
+def _at_day_start(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """(key, _day, _before): what holds at the start of each day that a key has facts or changes on, as a struct."""
+    last = changes.groupBy(key, _day(at)).agg(F.max_by(F.struct(value), at).alias("_v"))
+    days = facts.select(key, _day(at)).distinct().withColumn("_v", F.lit(None).cast(last.schema["_v"].dataType))
+    both = days.unionByName(last).groupBy(key, "_day").agg(F.first("_v", ignorenulls=True).alias("_v"))
+    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    return both.select(key, "_day", F.last("_v", ignorenulls=True).over(before).alias("_before"))
 
 
 def as_of_union(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str = "us") -> DataFrame:
-    """facts with the value of changes that holds at their time (a change at the same time holds), null before the first.
+    """facts with the value of changes that holds at their time (a change at the same time holds), null before the first
+    and for a null key.
 
-    One shuffle by key: both sides are stacked and the last value carried forward. facts must not have the column value."""
+    Both sides are stacked and the last value of the day carried forward. facts must not have the column value."""
     names = facts.columns
-    left = facts.select(*names, F.lit(None).cast(changes.schema[value].dataType).alias(value), F.lit(1).alias("_side"))
+    known = facts.where(F.col(key).isNotNull())
+    before = _at_day_start(known, changes, key, value, at)
+    v = F.struct(value)
+    held = changes.select(v.alias("_v")).schema["_v"].dataType
+    left = known.select(*names, F.lit(None).cast(held).alias("_v"), F.lit(1).alias("_side"))
     blank = [F.lit(None).cast(facts.schema[c].dataType).alias(c) if c not in (key, at) else F.col(c) for c in names]
-    right = changes.select(*blank, value, F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    right = changes.select(*blank, v.alias("_v"), F.lit(0).alias("_side"))
+    w = Window.partitionBy(key, "_day").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    stacked = left.unionByName(right).withColumn("_day", _day(at)).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    found = stacked.join(before, [key, "_day"], "left").withColumn(value, F.coalesce("_v", "_before")[value]).select(*names, value)
+    return found.unionByName(facts.where(F.col(key).isNull()).withColumn(value, F.lit(None).cast(changes.schema[value].dataType)))
 
 
 def as_of_interval(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str = "us") -> DataFrame:
-    """The same by an equi-join on the key with the validity interval as a further condition; fits where a key has few changes."""
-    h = valid_ranges(changes, [key], at).select(F.col(key).alias("_k"), F.col(value), "valid_from", "valid_to")
-    on = (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
-    return facts.join(h, on, "left").drop("_k", "valid_from", "valid_to")
+    """The same by joins on key and day: with the validity interval for changes of the day, and with what the day began
+    with. Fits where a key has few changes a day."""
+    names = facts.columns
+    before = _at_day_start(facts.where(F.col(key).isNotNull()), changes, key, value, at)
+    day = Window.partitionBy(key, "_day").orderBy(at)
+    h = changes.withColumn("_day", _day(at)).select(key, "_day", F.struct(value).alias("_v"), F.col(at).alias("_from"), F.lead(at).over(day).alias("_to"))
+    h = h.withColumnsRenamed({key: "_k", "_day": "_d"})
+    on = (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")) & (F.col(at) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(at) < F.col("_to")))
+    found = facts.withColumn("_day", _day(at)).join(before, [key, "_day"], "left").join(h, on, "left")
+    return found.withColumn(value, F.coalesce("_v", "_before")[value]).select(*names, value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = "42"
@@ -17,7 +17,23 @@ def sample(df: DataFrame, key: str, n: int, seed: str = SEED) -> DataFrame:
     return df.orderBy(order_of(F.col(key), seed), key).limit(n)
 
 
+def pool(candidates: DataFrame, wanted: Column, n: int) -> DataFrame:
+    """The candidates that are wanted if they are n or more, else all candidates; raises where these are fewer than n."""
+    preferred = candidates.where(wanted)
+    if preferred.limit(n).count() >= n:
+        return preferred
+    if (found := candidates.limit(n).count()) < n:
+        raise ValueError(f"{found} candidates, {n} are needed")
+    return candidates
+
+
 def budgeted(df: DataFrame, keep: Column, key: str, budget: int, seed: str = SEED) -> DataFrame:
-    """All rows that keep names, and a sample of the others up to the budget (none if the first are over it)."""
+    """All rows that keep names, and a sample of the others up to the budget (none if the first are over it).
+
+    The rest is ordered by hash with the budget as limit, and cut to what the kept rows leave of it, so no count runs before."""
     kept = df.where(keep)
-    return kept.unionByName(sample(df.where(~keep), key, max(0, budget - kept.count()), seed))
+    rest = sample(df.where(~keep), key, budget, seed)
+    place = F.row_number().over(Window.orderBy(order_of(F.col(key), seed), key))  # over the budget's rows at most
+    left = kept.agg(F.greatest(F.lit(0), F.lit(budget) - F.count("*")).alias("_left"))
+    rest = rest.withColumn("_place", place).join(F.broadcast(left)).where("_place <= _left").drop("_place", "_left")  # one row
+    return kept.unionByName(rest)

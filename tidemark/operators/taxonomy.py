@@ -37,13 +37,29 @@ def ancestors(tree: DataFrame, ids: DataFrame) -> DataFrame:
     return tree.join(found, "categoryid", "left_semi")
 
 
+def cycles(tree: DataFrame) -> DataFrame:
+    """categoryid of every node that is its own ancestor over two steps or more."""
+    return tree.sparkSession.sql(
+        """WITH RECURSIVE up(categoryid, at, path) AS (
+             SELECT categoryid, parentid, array(categoryid) FROM {tree} WHERE parentid IS NOT NULL AND parentid <> categoryid
+             UNION ALL
+             SELECT u.categoryid, t.parentid, array_append(u.path, t.categoryid) FROM up u JOIN {tree} t ON t.categoryid = u.at
+             WHERE u.at <> u.categoryid AND t.parentid IS NOT NULL AND t.parentid <> t.categoryid AND NOT array_contains(u.path, t.categoryid))
+           SELECT DISTINCT categoryid FROM up WHERE at = categoryid""",
+        tree=tree,
+    )
+
+
 def defects(tree: DataFrame) -> DataFrame:
-    """(kind, findings): duplicate keys, self references, missing parents, nodes that no root reaches."""
+    """(kind, findings): duplicate keys, self references, missing parents, nodes on a cycle, nodes that no root reaches."""
     keys = tree.select("categoryid").distinct()
+    # only a node that no root reaches can be on a cycle or lead to one
+    lost = keys.join(with_paths(tree.distinct()).select("categoryid"), "categoryid", "left_anti")
     checks = {
         "duplicate_key": tree.groupBy("categoryid").count().where("count > 1"),
         "self_reference": tree.where("categoryid = parentid"),
         "missing_parent": tree.where("parentid is not null").join(keys.select(F.col("categoryid").alias("parentid")), "parentid", "left_anti"),
-        "unreachable": keys.join(with_paths(tree.distinct()).select("categoryid"), "categoryid", "left_anti"),
+        "cycle": cycles(tree.distinct().join(lost, "categoryid", "left_semi")),
+        "unreachable": lost,
     }
     return reduce(DataFrame.union, [df.agg(F.count("*").alias("findings")).select(F.lit(kind).alias("kind"), "findings") for kind, df in checks.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import percentiles
+
 #: Segments are exclusive, in this order; the first that holds is taken.
 SEGMENTS = (
     ("repeat_buyer", "n_tx >= 2"), ("first_time_buyer", "n_tx = 1"), ("cart_no_purchase", "n_cart > 0"),
@@ -35,6 +37,16 @@ def at_risk(profile: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def repurchase_gaps(tx: DataFrame) -> DataFrame:
-    """(visitorid, gap_days) between adjacent transactions (transactionid, visitorid, us) of a visitor."""
-    w = Window.partitionBy("visitorid").orderBy("us", "transactionid")
-    return tx.select("visitorid", ((F.col("us") - F.lag("us").over(w)) / 86_400_000_000).alias("gap_days")).where("gap_days is not null")
+    """(visitorid, gap_days) between adjacent transactions (transactionid, visitorid, us, d) of a visitor; dealt by visitor
+    and day, with the day before's last one carried over a row per visitor and day."""
+    day = Window.partitionBy("visitorid", "d").orderBy("us", "transactionid")
+    days = tx.groupBy("visitorid", "d").agg(F.max("us").alias("_last"))
+    days = days.select("visitorid", "d", F.lag("_last").over(Window.partitionBy("visitorid").orderBy("d")).alias("_before"))
+    marked = tx.select("visitorid", "d", "us", F.lag("us").over(day).alias("_within")).join(days, ["visitorid", "d"])
+    return marked.select("visitorid", ((F.col("us") - F.coalesce("_within", "_before")) / 86_400_000_000).alias("gap_days")).where("gap_days is not null")
+
+
+def abnormal(counts: DataFrame, share: float = 0.999) -> DataFrame:
+    """Of (visitorid, n_events), the visitors with more events than that share of all has."""
+    limit = percentiles(counts, "n_events", {"limit": share})
+    return counts.join(F.broadcast(limit), F.col("n_events") > F.col("limit")).select("visitorid", "n_events")  # one row

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import percentiles
 from tidemark.functions.rates import rate, wilson, with_rate
-from tidemark.operators import activity, funnel, history, sessions, visitors
+from tidemark.operators import activity, funnel, history, sessions, taxonomy, visitors
 from tidemark.plans import sql as q
 from tidemark.plans.registry import query
 from tidemark.sources import tables as t
@@ -24,6 +25,12 @@ def _quartiles(c: str) -> list:
     return [F.round(F.expr(f"percentile({c}, 0.5)"), 6).alias("median"), F.round(F.expr(f"percentile({c}, 0.75)"), 6).alias("p75")]
 
 
+def _exact(df: DataFrame, n: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same over many distinct values of x, with the number of values as n."""
+    found = percentiles(df, "x", {"median": 0.5, "p75": 0.75}, by)
+    return found.select(*by, F.col("n").alias(n), F.round("median", 6).alias("median"), F.round("p75", 6).alias("p75"))
+
+
 _Q = "round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS p75"
 
 
@@ -91,7 +98,7 @@ def items_per_session(spark, d):
 
 @query("session_duration_seconds", "period", f"WITH {q.EV}, {q.sess(720)}, {q.FACT} SELECT count(*) AS sessions, {_Q.format(c='((end_us - start_us) / 1e6)')} FROM s")
 def session_duration(spark, d):
-    return sessions.session_fact(_sx(spark, d, 720)).select(((F.col("end_us") - F.col("start_us")) / 1e6).alias("x")).agg(F.count("*").alias("sessions"), *_quartiles("x"))
+    return _exact(sessions.session_fact(_sx(spark, d, 720)).select(((F.col("end_us") - F.col("start_us")) / 1e6).alias("x")), "sessions")
 
 
 @query("behavior_coverage_rate", "behaviour", f"""WITH {q.EV}, {q.sess(30)}, v AS (SELECT event, count(DISTINCT visitorid) AS n FROM sx GROUP BY event),
@@ -128,7 +135,7 @@ def same_item_funnel(spark, d):
 def median_step_latency(spark, d):
     st = funnel.steps(_sx(spark, d, 720), ["visitorid", "session_number"])
     gaps = st.select(F.explode(F.array(F.struct(F.lit("view_to_cart").alias("step"), ((F.col("fc") - F.col("tv")) / 1e6).alias("x")), F.struct(F.lit("cart_to_purchase").alias("step"), ((F.col("fx") - F.col("fc")) / 1e6).alias("x")))).alias("e")).select("e.*")
-    return gaps.groupBy("step").agg(F.count("x").alias("n"), *_quartiles("x"))
+    return _exact(gaps, "n", ("step",))
 
 
 def _retention_sql(days: str, offsets: str) -> str:
@@ -160,12 +167,11 @@ def retention_weekly_orders(spark, d):
     return sums.select("week", "n", *with_rate(F.col("a"), F.col("b")))
 
 
-@query("lifecycle_segments", "segment", f"""WITH {q.EV}, e3 AS (SELECT * FROM ev WHERE d < DATE '2024-01-03'), {q.sess(30, src='e3')},
+@query("lifecycle_segments", "segment", f"""WITH {q.EV}, {q.sess(30)},
   p AS (SELECT visitorid, count(*) FILTER (event = 'view') AS n_view, count(*) FILTER (event = 'addtocart') AS n_cart, count(DISTINCT transactionid) AS n_tx, max(session_number) AS n_sessions FROM sx GROUP BY visitorid)
   SELECT CASE WHEN n_tx >= 2 THEN 'repeat_buyer' WHEN n_tx = 1 THEN 'first_time_buyer' WHEN n_cart > 0 THEN 'cart_no_purchase' WHEN n_sessions = 1 AND n_view > 0 THEN 'first_session_bounce' WHEN n_view >= 2 THEN 'active_browser' ELSE 'other' END AS segment, count(*) AS visitors FROM p GROUP BY 1""")
 def lifecycle_segments(spark, d):
-    early = t.events(spark, d).where("d < DATE '2024-01-03'")
-    return visitors.segments(visitors.profiles(sessions.sessionize(early))).groupBy("segment").agg(F.count("*").alias("visitors"))
+    return visitors.segments(visitors.profiles(_sx(spark, d))).groupBy("segment").agg(F.count("*").alias("visitors"))
 
 
 @query("at_risk_visitors", "visitor", f"""WITH {q.EV}, {q.DAYS}, lim AS (SELECT quantile_cont(gap, 0.75) AS x FROM (SELECT date_diff('day', lag(d) OVER (PARTITION BY visitorid ORDER BY d), d) AS gap FROM days)),
@@ -175,10 +181,9 @@ def at_risk_visitors(spark, d):
     return visitors.at_risk(days.groupBy("visitorid").agg(F.max("d").alias("last_d")), days)
 
 
-@query("abnormal_visitors", "visitor", f"WITH {q.EV}, c AS (SELECT visitorid, count(*) AS n_events FROM ev GROUP BY visitorid) SELECT visitorid, n_events FROM c WHERE n_events > (SELECT quantile_cont(n_events, 0.99) FROM c)")
+@query("abnormal_visitors", "visitor", f"WITH {q.EV}, c AS (SELECT visitorid, count(*) AS n_events FROM ev GROUP BY visitorid) SELECT visitorid, n_events FROM c WHERE n_events > (SELECT quantile_cont(n_events, 0.999) FROM c)")
 def abnormal_visitors(spark, d):
-    c = t.events(spark, d).groupBy("visitorid").agg(F.count("*").alias("n_events"))
-    return c.join(F.broadcast(c.agg(F.expr("percentile(n_events, 0.99)").alias("limit"))), F.col("n_events") > F.col("limit")).drop("limit")  # one row
+    return visitors.abnormal(t.events(spark, d).groupBy("visitorid").agg(F.count("*").alias("n_events")))
 
 
 @query("main_paths", "path", f"""WITH {q.EV}, {q.sess(720)}, k AS (SELECT visitorid, session_number, us, event_id, event, lag(event) OVER (PARTITION BY visitorid, session_number ORDER BY us, event_id) AS prev FROM sx WHERE event IN ('view', 'addtocart', 'transaction')),
@@ -200,7 +205,7 @@ def order_anomalies(spark, d):
 
 
 def _category_sql(level: str, least: int) -> str:
-    return f"""SELECT * FROM (WITH {q.EV}, {q.sess(30)}, {q.CATS}, g AS (SELECT {level} AS category, visitorid, session_number, max(CASE WHEN event = 'view' THEN 1 ELSE 0 END) AS v, max(CASE WHEN event = 'transaction' THEN 1 ELSE 0 END) AS x FROM sx JOIN cats USING (itemid) GROUP BY ALL),
+    return f"""SELECT * FROM (WITH {q.EV}, {q.sess(30)}, {q.in_category('sx')}, g AS (SELECT {level} AS category, visitorid, session_number, max(CASE WHEN event = 'view' THEN 1 ELSE 0 END) AS v, max(CASE WHEN event = 'transaction' THEN 1 ELSE 0 END) AS x FROM ec WHERE {level} IS NOT NULL GROUP BY ALL),
       c AS (SELECT category, sum(v) AS viewing, sum(x) AS transacting, sum(v * x) AS converted FROM g GROUP BY category), m AS (SELECT median(CAST(converted AS DOUBLE) / viewing) AS peer FROM c WHERE viewing >= {least})
       SELECT '{level}' AS level, category, CAST(viewing AS BIGINT) AS viewing, CAST(transacting AS BIGINT) AS transacting, CAST(converted AS BIGINT) AS converted, round(CAST(transacting AS DOUBLE) / nullif(viewing, 0), 9) AS literal_rate, viewing >= {least} AS enough,
         CASE WHEN viewing >= {least} THEN round(viewing * greatest(0, peer - CAST(converted AS DOUBLE) / viewing), 6) END AS opportunity,
@@ -208,9 +213,16 @@ def _category_sql(level: str, least: int) -> str:
       FROM (SELECT *, CAST(converted AS DOUBLE) / nullif(viewing, 0) AS p, CAST(nullif(viewing, 0) AS DOUBLE) AS n, 1.959963984540054 AS z FROM c), m)"""
 
 
+def _in_category(spark: SparkSession, d: t.Place, events: DataFrame) -> DataFrame:
+    """events with the category that holds at their time (categoryid) and its place in the tree: root, child (of the root)."""
+    held = history.as_of_union(events, t.category_changes(spark, d), "itemid", "categoryid")
+    place = taxonomy.with_paths(t.category_tree(spark, d)).select("categoryid", "root", F.coalesce(F.get("path", F.lit(1)), "root").alias("child"))
+    return held.join(place.dropDuplicates(["categoryid"]), "categoryid", "left")
+
+
 def _categories(spark: SparkSession, d: str, level: str, least: int) -> DataFrame:
     seen = lambda e: F.max((F.col("event") == e).cast("long"))
-    g = _sx(spark, d).join(t.categories(spark, d), "itemid").groupBy(F.col(level).alias("category"), "visitorid", "session_number").agg(seen("view").alias("v"), seen("transaction").alias("x"))
+    g = _in_category(spark, d, _sx(spark, d)).where(F.col(level).isNotNull()).groupBy(F.col(level).alias("category"), "visitorid", "session_number").agg(seen("view").alias("v"), seen("transaction").alias("x"))
     c = g.groupBy("category").agg(F.sum("v").alias("viewing"), F.sum("x").alias("transacting"), F.sum(F.col("v") * F.col("x")).alias("converted"))
     own = rate(F.col("converted"), F.col("viewing"))
     peer = c.where(F.col("viewing") >= least).select(own.alias("r")).agg(F.expr("percentile(r, 0.5)").alias("peer"))
@@ -232,15 +244,26 @@ def category_opportunity_rank(spark, d):
     return _categories(spark, d, "child", 20).where("enough").select("category", "opportunity", F.rank().over(Window.orderBy(F.desc("opportunity"))).cast("long").alias("place"))
 
 
-@query("category_linkage_rate", "period", f"WITH {q.EV}, {q.CATS} SELECT {q.rate('count(cats.itemid)', 'count(*)')} FROM ev LEFT JOIN cats USING (itemid) WHERE ev.itemid IS NOT NULL")
+@query("category_linkage_rate", "period", f"WITH {q.EV}, {q.in_category()} SELECT {q.rate('count(root)', 'count(categoryid)')} FROM ec")
 def category_linkage(spark, d):
-    items = t.events(spark, d).where("itemid is not null").join(t.categories(spark, d).withColumn("found", F.lit(1)), "itemid", "left")
-    return items.agg(F.count("found").alias("a"), F.count("*").alias("b")).select(*with_rate(F.col("a"), F.col("b")))
+    """Of the item events that have a category at their time, those whose category is in the tree."""
+    return _in_category(spark, d, t.events(spark, d)).agg(F.count("root").alias("a"), F.count("categoryid").alias("b")).select(*with_rate(F.col("a"), F.col("b")))
 
 
-@query("category_events_with_unknown", "category", f"WITH {q.EV}, {q.CATS} SELECT coalesce(root, 'unknown') AS category, count(*) AS n_events FROM ev LEFT JOIN cats USING (itemid) GROUP BY 1")
+@query("category_events_with_unknown", "category", f"WITH {q.EV}, {q.in_category()} SELECT coalesce(CAST(root AS VARCHAR), 'unknown') AS category, count(*) AS n_events FROM ec GROUP BY 1")
 def category_events_with_unknown(spark, d):
-    return t.events(spark, d).join(t.categories(spark, d), "itemid", "left").groupBy(F.coalesce("root", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n_events"))
+    return _in_category(spark, d, t.events(spark, d)).groupBy(F.coalesce(F.col("root").cast("string"), F.lit("unknown")).alias("category")).agg(F.count("*").alias("n_events"))
+
+
+@query("daily_visitors_by_segment", "day and segment", f"""WITH {q.EV}, {q.sess(30)}, {q.DAYS}, {q.FIRST},
+  p AS (SELECT visitorid, count(*) FILTER (event = 'view') AS n_view, count(*) FILTER (event = 'addtocart') AS n_cart, count(DISTINCT transactionid) AS n_tx, max(session_number) AS n_sessions FROM sx GROUP BY visitorid),
+  g AS (SELECT visitorid, CASE WHEN n_tx >= 2 THEN 'repeat_buyer' WHEN n_tx = 1 THEN 'first_time_buyer' WHEN n_cart > 0 THEN 'cart_no_purchase' WHEN n_sessions = 1 AND n_view > 0 THEN 'first_session_bounce' WHEN n_view >= 2 THEN 'active_browser' ELSE 'other' END AS segment FROM p)
+  SELECT d, CAST(date_trunc('week', first_d) AS DATE) AS cohort, segment, count(*) AS visitors FROM days JOIN firsts USING (visitorid) JOIN g USING (visitorid) GROUP BY ALL""")
+def daily_visitors_by_segment(spark, d, **wanted):
+    """Active visitors by day, cohort (week of the first day) and segment; wanted: filters of operators.activity.filtered."""
+    segment = visitors.segments(visitors.profiles(_sx(spark, d))).select("visitorid", F.date_trunc("week", "first_d").cast("date").alias("cohort"), "segment")
+    days = activity.visitor_days(t.events(spark, d)).join(segment, "visitorid")
+    return activity.filtered(days, **wanted).groupBy("d", "cohort", "segment").agg(F.count("*").alias("visitors"))
 
 
 @query("purchase_last_view", "event", f"""WITH {q.EV}, v AS (SELECT visitorid, us, max(itemid) AS viewed FROM ev WHERE event = 'view' GROUP BY visitorid, us), x AS (SELECT event_id, visitorid, us FROM ev WHERE event = 'transaction')

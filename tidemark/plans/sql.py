@@ -7,12 +7,22 @@ EV = """ev AS (SELECT event_id, epoch_us(ts) AS us, CAST(ts AS DATE) AS d, user_
   TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS itemid, CASE WHEN event_type = 'purchase' THEN event_id END AS transactionid FROM events)"""
 DAYS = "days AS (SELECT DISTINCT visitorid, d FROM ev)"
 FIRST = "firsts AS (SELECT visitorid, min(d) AS first_d FROM days GROUP BY visitorid)"
-ORD = "ord AS (SELECT o_orderkey AS transactionid, o_custkey AS visitorid, epoch_us(o_orderdate) AS us, CAST(o_orderdate AS DATE) AS d, o_totalprice AS amount FROM orders)"
-LINES = "lines AS (SELECT l_orderkey AS transactionid, l_partkey AS itemid, l_suppkey AS supplier, epoch_us(l_shipdate) AS us FROM lineitem)"
-CHANGES = "changes AS (SELECT itemid, us, max(supplier) AS supplier FROM lines GROUP BY itemid, us)"
-CATS = "cats AS (SELECT p_partkey AS itemid, p_type AS root, p_type || '/' || p_brand AS child FROM part)"
+ORD = "ord AS (SELECT o_orderkey AS transactionid, o_custkey AS visitorid, epoch_us(o_orderdate) AS us, CAST(o_orderdate AS DATE) AS d FROM orders)"
+LINES = "lines AS (SELECT l_orderkey AS transactionid, l_partkey AS itemid FROM lineitem)"
+CHANGES = "changes AS (SELECT l_partkey AS itemid, epoch_us(l_shipdate) AS us, max(l_suppkey + 1000) AS categoryid FROM lineitem GROUP BY 1, 2)"
 TREE = """tree AS (SELECT CAST(r_regionkey AS BIGINT) AS categoryid, CAST(NULL AS BIGINT) AS parentid FROM region UNION ALL
   SELECT CAST(n_nationkey + 100 AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation UNION ALL SELECT s_suppkey + 1000, CAST(s_nationkey + 100 AS BIGINT) FROM supplier)"""
+#: The root and the child of a root that each category of the tree is under (its own for those).
+PATHS = """paths AS (SELECT t0.categoryid, coalesce(t2.categoryid, t1.categoryid, t0.categoryid) AS root, CASE WHEN t2.categoryid IS NULL THEN t0.categoryid ELSE t1.categoryid END AS child
+  FROM tree t0 LEFT JOIN tree t1 ON t1.categoryid = t0.parentid LEFT JOIN tree t2 ON t2.categoryid = t1.parentid)"""
+
+
+def in_category(src: str = "ev") -> str:
+    """Events with the category that holds at their time, and its place in the tree."""
+    return f"""{CHANGES}, {TREE}, {PATHS}, held AS (SELECT x.*, changes.categoryid FROM {src} x ASOF LEFT JOIN changes ON x.itemid = changes.itemid AND x.us >= changes.us),
+  ec AS (SELECT held.*, paths.root, paths.child FROM held LEFT JOIN paths USING (categoryid))"""
+
+
 DAMAGED = """one AS (SELECT c_custkey AS categoryid, CASE WHEN c_custkey < 10 THEN NULL WHEN c_custkey % 50 = 20 THEN c_custkey WHEN c_custkey % 50 = 21 THEN c_custkey + 1
   WHEN c_custkey % 50 = 22 THEN c_custkey - 1 WHEN c_custkey % 50 = 23 THEN -1 ELSE c_custkey // 10 END AS parentid FROM customer),
   tree AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE categoryid % 97 = 5)"""

@@ -1,51 +1,114 @@
-"""The model's facts from the given tables. Times are microseconds since 1970 in UTC, whatever the session's time zone."""
+"""The model's facts: from the given tables (a folder), or from ingested source files (a Warehouse). Every query takes either.
+
+Times are microseconds since 1970 in UTC, whatever the session's time zone."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Event names of the model by those of the table; others are kept as they are and count as unknown.
 EVENT_NAMES = {"view": "view", "click": "addtocart", "purchase": "transaction"}
 KNOWN = ("view", "addtocart", "transaction")
+# Labels of events and properties.
+EVENT_LABELS = {"view": "浏览", "addtocart": "加入购物车", "transaction": "交易"}
+PROPERTY_LABELS, OTHER_PROPERTY = {"categoryid": "商品分类ID", "available": "是否可售：1可售，0不可售"}, "匿名属性，不作业务解释"
+
+
+@dataclass(frozen=True)
+class Warehouse:
+    """The folder that `build` writes the facts of the source files to."""
+
+    path: str
+    gap_minutes: int = 30
+
+
+Place = str | Warehouse
+
+
+def read(spark: SparkSession, d: Place, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d.path}/{name}" if isinstance(d, Warehouse) else f"{d}/{name}.parquet")
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def label(of: str, labels: dict[str, str], other: str | None = None) -> Column:
+    """The label of a value by a fixed map; the default, or null, for all others."""
+    return F.coalesce(*[F.when(F.col(of) == k, v) for k, v in labels.items()], F.lit(other))
 
 
 def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, d: Place) -> DataFrame:
     """event_id, us, d, visitorid, event, itemid, transactionid."""
+    if isinstance(d, Warehouse):
+        return read(spark, d, "core/fct_event").select("event_id", "us", "d", "visitorid", "event", "itemid", "transactionid")
     kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in EVENT_NAMES.items()], F.col("event_type"))
-    return read(spark, sf_dir, "events").select(
+    return read(spark, d, "events").select(
         "event_id", micros(F.col("ts")).alias("us"), F.to_date(F.col("ts").cast("timestamp_ntz")).alias("d"), F.col("user_id").alias("visitorid"), kind.alias("event"),
         F.get_json_object("props", "$.k").try_cast("long").alias("itemid"), F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("transactionid"),
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per transaction: transactionid, visitorid, us, d, amount."""
+def orders(spark: SparkSession, d: Place) -> DataFrame:
+    """One row per transaction and visitor: transactionid, visitorid, us, d."""
+    if isinstance(d, Warehouse):
+        bought = events(spark, d).where("event = 'transaction' and transactionid is not null")
+        return bought.groupBy("transactionid", "visitorid").agg(F.min("us").alias("us"), F.min("d").alias("d"))
     at = F.col("o_orderdate")
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("transactionid"), F.col("o_custkey").alias("visitorid"), micros(at).alias("us"), F.to_date(at.cast("timestamp_ntz")).alias("d"), F.col("o_totalprice").alias("amount"))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("transactionid"), F.col("o_custkey").alias("visitorid"), micros(at).alias("us"), F.to_date(at.cast("timestamp_ntz")).alias("d"))
+
+
+def lines(spark: SparkSession, d: Place) -> DataFrame:
+    """One row per item line of a transaction: transactionid, itemid."""
+    if isinstance(d, Warehouse):
+        return events(spark, d).where("event = 'transaction' and transactionid is not null").select("transactionid", "itemid")
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("transactionid"), F.col("l_partkey").alias("itemid"))
+
+
+def property_log(spark: SparkSession, d: Place) -> DataFrame:
+    """Every recorded value: itemid, us, property, value (text). In the given tables an item's category is the number of the
+    supplier that ships it, from the ship date on."""
+    if isinstance(d, Warehouse):
+        return read(spark, d, "raw/item_properties").select("itemid", (F.col("timestamp") * 1000).alias("us"), "property", "value")
+    value = (F.col("l_suppkey") + 1000).cast("string")
+    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("itemid"), micros(F.col("l_shipdate")).alias("us"), F.lit("categoryid").alias("property"), value.alias("value"))
+
+
+def category_changes(spark: SparkSession, d: Place) -> DataFrame:
+    """History of the category: itemid, us, categoryid. One row per item and time; of several values at one time the largest
+    number holds. A value that is no number counts as no category."""
+    log = property_log(spark, d).where("property = 'categoryid'").withColumn("categoryid", F.col("value").try_cast("long"))
+    return log.groupBy("itemid", "us").agg(F.max("categoryid").alias("categoryid"))
+
+
+def properties(spark: SparkSession, d: Place) -> DataFrame:
+    """Values of items, with their time: itemid, us, property, value."""
+    if isinstance(d, Warehouse):
+        return property_log(spark, d)
+    stack = "stack(4, 'categoryid', p_type, 'available', cast(p_size % 2 as string), 'p1', p_name, 'p2', p_brand) as (property, value)"
+    return read(spark, d, "part").selectExpr("p_partkey as itemid", "0L as us", stack)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per item line of a transaction."""
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("transactionid"), F.col("l_partkey").alias("itemid"), F.col("l_suppkey").alias("supplier"), micros(F.col("l_shipdate")).alias("us"))
+def catalogue(spark: SparkSession, d: Place) -> DataFrame:
+    """itemid of every item that has a property."""
+    if isinstance(d, Warehouse):
+        return property_log(spark, d).select("itemid").distinct()
+    return read(spark, d, "part").select(F.col("p_partkey").alias("itemid"))
 
 
-def supplier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History of the property `supplier`: one row per item and time; of several values at one time the largest holds."""
-    return lines(spark, sf_dir).groupBy("itemid", "us").agg(F.max("supplier").alias("supplier"))
+def n_visitors(spark: SparkSession, d: Place) -> int:
+    """How many visitors there are; no more than that goes into synthetic data."""
+    if isinstance(d, Warehouse):
+        return events(spark, d).select("visitorid").distinct().count()
+    return read(spark, d, "customer").count()
 
 
-def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item categories on two levels: itemid, root, child."""
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("itemid"), F.col("p_type").alias("root"), F.concat_ws("/", "p_type", "p_brand").alias("child"))
+def category_tree(spark: SparkSession, d: Place) -> DataFrame:
+    """(categoryid, parentid); of the given tables: region, nation, supplier."""
+    return read(spark, d, "raw/category_tree").select("categoryid", "parentid") if isinstance(d, Warehouse) else area_tree(spark, d)
 
 
 def area_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +119,11 @@ def area_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.union(nation).union(supplier)
 
 
-def damaged_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree over customers with every kind of defect planted by key: for the structure checks."""
+def damaged_tree(spark: SparkSession, d: Place) -> DataFrame:
+    """For the structure checks: a tree over customers with every kind of defect planted by key; of source files, their own."""
+    if isinstance(d, Warehouse):
+        return category_tree(spark, d)
     k = F.col("c_custkey")
     parent = F.when(k < 10, F.lit(None)).when(k % 50 == 20, k).when(k % 50 == 21, k + 1).when(k % 50 == 22, k - 1).when(k % 50 == 23, -1).otherwise(F.floor(k / 10))
-    one = read(spark, sf_dir, "customer").select(k.cast("long").alias("categoryid"), parent.cast("long").alias("parentid"))
+    one = read(spark, d, "customer").select(k.cast("long").alias("categoryid"), parent.cast("long").alias("parentid"))
     return one.union(one.where("categoryid % 97 = 5"))
