@@ -2,6 +2,8 @@
 
 import datetime as dt
 import hashlib
+import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,8 +38,31 @@ def test_properties_and_manifest(spark, raw):
     assert got == {1: (7, False, "item_properties_part1.csv"), 2: (None, True, "item_properties_part1.csv"), 3: (None, False, "item_properties_part2.csv"), 4: (None, False, "item_properties_part2.csv")}
     items = spark.createDataFrame([(8,)], "itemid long")
     assert contract.read_properties(spark, str(raw), items).count() == 1
-    m = {r.file: r for r in contract.manifest(spark, str(raw)).collect()}
-    assert len(m) == 4 and m["events.csv"].rows == 5 and m["events.csv"].sha256 == hashlib.sha256(EVENTS.encode()).hexdigest()
+    m = {r.file: r for r in contract.manifest(spark, str(raw), {"events.csv": 5, "category_tree.csv": 9}, "c0ffee").collect()}
+    assert len(m) == 4 and m["events.csv"].rows == 5 and {r.commit for r in m.values()} == {"c0ffee"}
+    assert (m["events.csv"].rows_as_expected, m["category_tree.csv"].rows_as_expected, m["item_properties_part1.csv"].rows_as_expected) == (True, False, None)
+
+
+@pytest.mark.parametrize("end", [b"", b"\n", b"\r\n", b"\n\n"])
+@pytest.mark.parametrize("mark", [b"", b"\xef\xbb\xbf"])
+def test_manifest_hashes_any_bytes(spark, raw, end, mark):
+    """Files of many blocks, with and without a last line end, byte order mark or valid UTF-8."""
+    data = mark + b"timestamp,visitorid,event,itemid,transactionid" + b"".join(b"\r\n%d,1,view,\xff\xfe,%d" % (k, k * k) for k in range(5000)) + end
+    (raw / "events.csv").write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        m = {r.file: r for r in contract.manifest(spark, str(raw)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(m[f].sha256 == hashlib.sha256((raw / f).read_bytes()).hexdigest() and m[f].bytes == (raw / f).stat().st_size for f in m) and len(m) == 4
+
+
+def test_filtered_properties_are_checked(spark, raw):
+    (raw / "item_properties_part2.csv").write_text("timestamp,itemid,property,value\n3,8,790,n3\nx,9,790,n3\n")
+    one = lambda k: contract.read_properties(spark, str(raw), spark.createDataFrame([(k,)], "itemid long"))
+    assert one(8).count() == 1
+    with pytest.raises(Exception, match="timestamp breaks the contract: x"):
+        one(9).collect()
 
 
 @pytest.mark.parametrize("text", ["visitorid,timestamp,event,itemid,transactionid\n1,0,view,7,\n", "timestamp,visitorid,event,itemid\n0,1,view,7\n", "timestamp,visitorid,event,itemid,transactionid\n0,x,view,7,\n"])
@@ -47,35 +72,122 @@ def test_a_broken_contract_stops(spark, raw, text):
         contract.read(spark, str(raw), "events")
 
 
+MARTS = ("daily_active_visitors", "retention_by_cohort", "ordered_funnel_rates", "transaction_count", "category_conversion", "lifecycle_segments", "repurchase_interval_days", "sample_journeys", "event_sessions")
+
+
 def test_run_all_twice_gives_the_same(spark, raw, tmp_path):
     cfg = config.build({"data_home": str(tmp_path / "home/data")})
-    first = cli.run("run-all", cfg, spark)
-    funnel = lambda: {r.metric_id: (r.numerator, r.denominator) for r in spark.read.parquet(f"{cfg.warehouse_dir}/mart/ordered_funnel_rates").collect()}
-    once = funnel()
-    assert cli.run("run-all", cfg, spark)["rows"] == first["rows"] == {"events": 5, "item_properties": 4, "category_tree": 2}
-    assert funnel() == once and once["ordered_cart_to_purchase_rate"] == (1, 1)
-    assert first["quality"] == {"exact_duplicates": 1, "unknown_events": 1, "transactions_without_id": 0}
-    assert spark.read.parquet(f"{cfg.output_dir}/retention.parquet").columns[-1] == "data_origin"
+    first = cli.run("run-all", cfg, spark, MARTS[:-2])
+    marts = lambda: {n: sorted(map(repr, spark.read.parquet(f"{cfg.warehouse_directory}/mart/{n}").collect())) for n in MARTS[:-2]}
+    once = marts()
+    assert cli.run("run-all", cfg, spark, MARTS[:-2])["rows"] == first["rows"] == {"events": 5, "item_properties": 4, "category_tree": 2}
+    assert marts() == once and "(numerator=1, denominator=1" in str(once["ordered_funnel_rates"]).replace("metric_id='ordered_cart_to_purchase_rate', ", "(").replace("Row(((", "(").replace("((", "(")
+    found = first["quality"]
+    assert (found["exact_duplicate_events"], found["unknown_event"], found["transaction_without_id"], found["category_not_a_number"], found["tree_cycle"], found["null_transactionid"]) == (1, 1, 0, 1, 0, 3)
+    assert spark.read.parquet(f"{cfg.export_directory}/retention_by_cohort.parquet").columns[-1] == "data_origin"
+    log = spark.read.parquet(f"{cfg.warehouse_directory}/meta/pipeline_run").collect()
+    assert [r.status for r in log] == ["ok", "ok"] and len({r.input_hash for r in log}) == 1 and len(log[0].input_hash) == 64
+    about = json.loads(spark.read.text(f"{cfg.export_directory}/run_manifest.json").first()[0])
+    assert about["command"] == "run-all" and "| rows |" in "".join(r[0] for r in spark.read.text(f"{cfg.export_directory}/summary.md").collect())
+    history = spark.read.parquet(f"{cfg.warehouse_directory}/core/item_property_history").collect()
+    assert len(history) == 4 and {r.segment for r in spark.read.parquet(f"{cfg.warehouse_directory}/core/visitor_profile").collect()} == {"first_time_buyer", "other"}
+    refused = cli.run("metrics", cfg, spark, MARTS[-2:])
+    assert refused["marts"] == ["event_sessions"] and "sample_journeys" in refused["refused"]
+    exported = cli.run("export", cfg, spark, ("event_sessions", "transaction_count"))
+    assert exported["public"] == ["transaction_count"]
+
+
+def test_every_query_reads_a_warehouse(spark, raw, tmp_path):
+    """All marts resolve on ingested files; their values are those of the same queries on the given tables."""
+    from tidemark.plans.registry import REGISTRY
+    from tidemark.sources.tables import Warehouse
+
+    cfg = config.build({"data_home": str(tmp_path / "home/data")})
+    for step in ("ingest", "build"):
+        cli.run(step, cfg, spark)
+    w = Warehouse(cfg.warehouse_directory)
+    for name in sorted(REGISTRY):
+        try:
+            assert REGISTRY[name].run(spark, w).columns
+        except ValueError as e:
+            assert "are needed" in str(e) and name.startswith("sample_")
+    of = lambda name: [tuple(r) for r in REGISTRY[name].run(spark, w).collect()]
+    # at their times (0 to 120 s) the item has the category 7, then none that is a number; 7 is below the root 1
+    assert of("category_linkage_rate") == [(0, 0, None, True)]
+    assert of("item_property_coverage_rate")[0][:2] == (0, 2) and of("as_of_leakage") == [(0, 2)]
+
+
+def test_categories_are_those_of_the_event(spark, tmp_path):
+    """Two items that change their category; one value that the tree lacks; one that is no number."""
+    folder = tmp_path / "home/data/raw/extracted"
+    folder.mkdir(parents=True)
+    (folder / "events.csv").write_text("timestamp,visitorid,event,itemid,transactionid\n" + "".join(f"{t},{v},{e},{i},{x}\n" for t, v, e, i, x in (
+        (10, 1, "view", 7, ""), (30, 1, "transaction", 7, 1), (50, 2, "view", 7, ""), (70, 3, "view", 8, ""), (5, 4, "view", 7, ""), (90, 5, "view", 9, ""), (95, 6, "view", 7, ""))))
+    (folder / "item_properties_part1.csv").write_text("timestamp,itemid,property,value\n10,7,categoryid,20\n40,7,categoryid,30\n95,7,categoryid,n5\n")
+    (folder / "item_properties_part2.csv").write_text("timestamp,itemid,property,value\n60,8,categoryid,99\n1,8,categoryid,20\n")
+    (folder / "category_tree.csv").write_text("categoryid,parentid\n1,\n2,1\n20,2\n30,1\n")
+    from tidemark.plans.registry import REGISTRY
+    from tidemark.sources.tables import Warehouse
+
+    cfg = config.build({"data_home": str(tmp_path / "home/data")})
+    for step in ("ingest", "build"):
+        cli.run(step, cfg, spark)
+    w = Warehouse(cfg.warehouse_directory)
+    # 10 and 30 in 20 (below 2), 50 in 30 itself, 70 in 99 (not in the tree), 5 and 90 in none, 95 in none that is a number
+    assert [tuple(r)[:2] for r in REGISTRY["category_linkage_rate"].run(spark, w).collect()] == [(3, 4)]
+    got = {(r.level, r.category): (r.viewing, r.transacting, r.converted) for r in REGISTRY["category_conversion"].run(spark, w).collect()}
+    assert got == {("root", 1): (2, 1, 1), ("child", 2): (1, 1, 1), ("child", 30): (1, 0, 0)}
+    assert {r.category: r.n_events for r in REGISTRY["category_events_with_unknown"].run(spark, w).collect()} == {"1": 3, "unknown": 4}
+
+
+def test_a_failed_run_is_logged(spark, raw, tmp_path):
+    (raw / "events.csv").write_text("nothing\n")
+    cfg = config.build({"data_home": str(tmp_path / "home/data")})
+    with pytest.raises(contract.ContractError):
+        cli.run("ingest", cfg, spark)
+    row = spark.read.parquet(f"{cfg.warehouse_directory}/meta/pipeline_run").first()
+    assert row.status == "failed" and row.error.startswith("ContractError") and row.command == "ingest"
 
 
-def test_private_columns_stay(spark, tmp_path):
-    with pytest.raises(ValueError):
-        sinks.write_public(spark.range(1).select(F.col("id").alias("visitorid")), str(tmp_path), "x")
+def test_only_allowed_columns_are_public(spark, tmp_path):
+    for name in ("visitorid", "v", "itemid"):
+        with pytest.raises(ValueError, match=name):
+            sinks.write_public(spark.range(1).select(F.col("id").alias(name)), str(tmp_path), "x")
+    sinks.write_public(spark.range(1).select(F.col("id").alias("visitors")), str(tmp_path), "x")
 
 
 def test_config(tmp_path):
-    home = {"TIDEMARK_DATA_HOME": "/srv/shop/data", "TIDEMARK_DEMO": "yes"}
+    home = {"TIDEMARK_DATA_HOME": "/srv/shop/data", "TIDEMARK_DEMO_MODE": "yes"}
     cfg = config.load(None, home)
-    assert cfg.demo and cfg.raw_data_dir == "/srv/shop/data/raw/extracted" and cfg.session_gap_minutes == 30
-    for name, text in (("c.toml", '[paths]\ndata_home = "/srv/a/b"\n[project]\nsession_gap_minutes = 45\n[warehouse]\nthreads = 4\n'), ("c.yaml", "data_home: /srv/a/b\nsession_gap_minutes: 45\n"), ("c.json", '{"data_home": "/srv/a/b", "session_gap_minutes": 45}')):
+    assert cfg.demo_mode and cfg.raw_data_dir == "/srv/shop/data/raw/extracted" and cfg.session_gap_minutes == 30
+    texts = {
+        "c.toml": '[paths]\ndata_home = "/srv/a/b"\n[project]\nname = "x"\nsession_gap_minutes = 45\n[warehouse]\nthreads = 4\n[dataset.files]\nevents = "e"\n',
+        "c.yaml": "# note\ndata_home: '/srv/a/b'\nsession_gap_minutes: 45\n", "c.json": '\ufeff{"data_home": "/srv/a/b", "session_gap_minutes": 45}',
+    }
+    for name, text in texts.items():
         (tmp_path / name).write_text(text)
         cfg = config.load(str(tmp_path / name), home)
-        assert (cfg.data_home, cfg.session_gap_minutes, cfg.demo) == ("/srv/a/b", 45, True)
-    for bad in ({"data_home": "/"}, {"data_home": "a/b/c"}, {"data_home": "/a/../b/c"}, {"data_home": "/srv/a/b", "raw_data_dir": "/srv/other"}, {"data_home": "/srv/a/b", "sample": 1}, {"data_home": "/srv/a/b", "session_gap_minutes": 0}, {}):
+        assert (cfg.data_home, cfg.session_gap_minutes, cfg.demo_mode) == ("/srv/a/b", 45, True)
+    (tmp_path / "hash.yaml").write_text("data_home: /srv/a/b#1\n")
+    assert config.load(str(tmp_path / "hash.yaml"), {}).data_home == "/srv/a/b#1"
+    moved = config.build({"data_home": "/srv/a/b", "warehouse_directory": "/srv/a/b/w"})
+    assert moved.database_path.startswith("/srv/a/b/w/") and moved.export_directory == "/srv/a/b/exports"
+    wrong = [{"data_home": "/"}, {"data_home": "a/b/c"}, {"data_home": "/a/../b/c"}, {"data_home": "/srv/a/b", "raw_data_dir": "/srv/other"}, {"data_home": "/srv/a/b", "sample": 1}, {}]
+    wrong += [{"data_home": "/srv/a/b", "session_gap_minutes": 0}, {"data_home": "/srv/a/b", "demo_mode": "maybe"}, {"data_home": str(Path.cwd())}, {"data_home": "D:\\x\\y", "temp_directory": "/tmp/x"}]
+    for bad in wrong:
         with pytest.raises(config.ConfigError):
             config.build(bad)
 
 
+def test_config_of_all_documented_keys(tmp_path):
+    base = "D:\\\\Data\\\\shop"
+    text = '[project]\nname = "shop"\ndemo_mode = false\nanalysis_timezone = "UTC"\nsession_gap_minutes = 30\nsynthetic_seed = 20260809\n[paths]\n'
+    paths = {"data_home": "", "raw_data_dir": "raw", "warehouse_directory": "warehouse", "database_path": "warehouse\\\\x.duckdb", "parquet_directory": "parquet", "temp_directory": "tmp", "export_directory": "exports"}
+    (tmp_path / "c.toml").write_text(text + "".join(f'{k} = "{base}{chr(92) * 2 * bool(v)}{v}"\n' for k, v in paths.items()) + '[warehouse]\nschemas = ["meta"]\nthreads = 4\n')
+    cfg = config.load(str(tmp_path / "c.toml"), {})
+    assert cfg.data_home == "D:\\Data\\shop" and cfg.database_path.endswith("x.duckdb") and set(cfg.to_dict()) >= set(paths)
+
+
 def test_cli_reports_a_bad_config(tmp_path, capsys, monkeypatch):
     monkeypatch.delenv("TIDEMARK_DATA_HOME", raising=False)
     (tmp_path / "c.json").write_text('{"data_home": "/"}')

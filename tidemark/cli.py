@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
+import os
 import sys
 import time
 import uuid
+from collections.abc import Iterable
+from functools import reduce
 
 from tidemark.config import Config, ConfigError, load
 
+# The commands.
 COMMANDS = ("ingest", "build", "metrics", "validate", "export", "run-all")
+#: Marts of single checks that `validate` adds to the quality report, as (numerator, denominator) columns.
+RATIOS = ("item_property_coverage_rate", "category_linkage_rate")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,52 +32,143 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def run(command: str, cfg: Config, spark=None) -> dict:
-    """Runs a command; later ones read what earlier ones wrote."""
-    from pyspark.sql import SparkSession
+def _ingest(spark, cfg: Config, done: dict) -> None:
+    from tidemark.sources import contract
+
+    store = cfg.warehouse_directory
+    write = lambda df, name: df.write.mode("overwrite").parquet(f"{store}/{name}")
+    write(contract.manifest(spark, cfg.raw_data_dir, commit=done["commit"]), "meta/source_file_manifest")
+    write(contract.read_events(spark, cfg.raw_data_dir), "raw/events")
+    write(contract.read_properties(spark, cfg.raw_data_dir), "raw/item_properties")
+    write(contract.read(spark, cfg.raw_data_dir, "category_tree"), "raw/category_tree")
+    done["rows"] = {n: spark.read.parquet(f"{store}/raw/{n}").count() for n in ("events", "item_properties", "category_tree")}
+
+
+def _build(spark, cfg: Config) -> None:
+    """Facts and dimensions: events with sessions, sessions, transactions, property history, categories, visitors."""
     from pyspark.sql import functions as F
 
-    from tidemark.functions.rates import with_rate
-    from tidemark.operators import activity, funnel, sessions
-    from tidemark.sources import contract, sinks
+    from tidemark.operators import history, sessions, taxonomy, visitors
+    from tidemark.plans.registry import REGISTRY
+    from tidemark.sources import tables
 
-    spark = spark or SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    run_id, began, store = uuid.uuid4().hex, time.time(), cfg.warehouse_dir
-    origin = "synthetic" if cfg.demo else "real"
-    done: dict = {"command": command, "run_id": run_id, "data_origin": origin}
+    store, w = cfg.warehouse_directory, tables.Warehouse(cfg.warehouse_directory)
     read = lambda name: spark.read.parquet(f"{store}/{name}")
     write = lambda df, name: df.write.mode("overwrite").parquet(f"{store}/{name}")
-    steps = COMMANDS[:-1] if command == "run-all" else (command,)
-    for step in steps:
-        if step == "ingest":
-            write(contract.manifest(spark, cfg.raw_data_dir), "meta/source_file_manifest")
-            write(contract.read_events(spark, cfg.raw_data_dir), "raw/events")
-            write(contract.read_properties(spark, cfg.raw_data_dir), "raw/item_properties")
-            write(contract.read(spark, cfg.raw_data_dir, "category_tree"), "raw/category_tree")
-            done["rows"] = {n: read(f"raw/{n}").count() for n in ("events", "item_properties", "category_tree")}
-        elif step == "build":
-            e = sessions.sessionize(read("raw/events"), cfg.session_gap_minutes * sessions.MINUTE)
-            write(e, "core/fct_event")
-            write(sessions.session_fact(read("core/fct_event")), "core/fct_session")
-        elif step == "metrics":
-            e = read("core/fct_event")
-            days = activity.visitor_days(e)
-            write(days.groupBy("d").agg(F.count("*").alias("visitors")), "mart/daily_active_visitors")
-            write(activity.retention(days), "mart/retention")
-            write(funnel.rates(funnel.steps(e.where("is_known_event"), ["visitorid", "session_number"])).select("metric_id", *with_rate(F.col("numerator"), F.col("denominator"))), "mart/ordered_funnel_rates")
-        elif step == "validate":
-            e = read("raw/events")
-            checks = e.agg(F.count_if("is_exact_duplicate").alias("exact_duplicates"), F.count_if(~F.col("is_known_event")).alias("unknown_events"), F.count_if((F.col("event") == "transaction") & ~F.col("has_transaction_id")).alias("transactions_without_id"))
-            sinks.write_quality_json(checks, cfg.output_dir)
-            done["quality"] = checks.first().asDict()
-        elif step == "export":
-            for name in ("daily_active_visitors", "retention", "ordered_funnel_rates"):
-                sinks.write_mart(read(f"mart/{name}"), cfg.output_dir, name, origin)
-                sinks.write_public(read(f"mart/{name}"), cfg.output_dir, name)
-    sinks.log_run(spark, store, run_id, command, began, "ok", "")
+    write(sessions.sessionize(read("raw/events"), cfg.session_gap_minutes * sessions.MINUTE), "core/fct_event")
+    write(sessions.session_fact(read("core/fct_event")), "core/fct_session")
+    write(REGISTRY["transaction_fact"].run(spark, w), "core/fct_transaction")
+    log = tables.property_log(spark, w).groupBy("itemid", "property", "us").agg(F.max("value").alias("value"))
+    write(history.valid_ranges(log, ["itemid", "property"]), "core/item_property_history")
+    write(taxonomy.with_paths(tables.category_tree(spark, w).distinct()), "core/dim_category")
+    write(visitors.segments(visitors.profiles(read("core/fct_event"))), "core/visitor_profile")
+
+
+def _metrics(spark, cfg: Config, done: dict, marts: Iterable[str] | None) -> None:
+    """Every registered mart over the facts. One that its definition refuses (a sample from too few visitors) is named."""
+    from tidemark.plans import behaviour, commerce  # noqa: F401  they register their queries
+    from tidemark.plans.registry import REGISTRY
+    from tidemark.sources import tables
+
+    w = tables.Warehouse(cfg.warehouse_directory)
+    done["marts"], done["refused"] = [], {}
+    for name in marts or sorted(REGISTRY):
+        try:
+            REGISTRY[name].run(spark, w).write.mode("overwrite").parquet(f"{cfg.warehouse_directory}/mart/{name}")
+            done["marts"].append(name)
+        except ValueError as e:
+            done["refused"][name] = str(e)
+
+
+def _validate(spark, cfg: Config, done: dict) -> None:
+    """All quality checks as rows of check_id, findings and checked."""
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import behaviour, commerce  # noqa: F401
+    from tidemark.plans.registry import REGISTRY
+    from tidemark.sources import sinks, tables
+
+    w = tables.Warehouse(cfg.warehouse_directory)
+    of = lambda name: REGISTRY[name].run(spark, w)
+    check = lambda df, name, a, b: df.select(F.lit(name).alias("check_id") if isinstance(name, str) else name.alias("check_id"), F.expr(a).cast("long").alias("findings"), F.expr(b).cast("long").alias("checked"))
+    raw = spark.read.parquet(f"{cfg.warehouse_directory}/raw/item_properties")
+    values = raw.agg(F.count_if("is_bad_category").alias("a"), F.count_if(F.col("property") == "categoryid").alias("b"))
+    tree = tables.category_tree(spark, w).agg(F.count("*").alias("b"))
+    manifest = spark.read.parquet(f"{cfg.warehouse_directory}/meta/source_file_manifest")
+    files = manifest.agg(F.count_if(~F.col("rows_as_expected")).alias("a"), F.count("*").alias("b"))
+    parts = [
+        of("quality_report").select("check_id", "findings", "checked"),
+        check(of("category_tree_defects").join(F.broadcast(tree)), F.concat(F.lit("tree_"), "kind"), "findings", "b"),  # one row
+        check(of("null_rates"), F.concat(F.lit("null_"), "column_name"), "numerator", "denominator"),
+        check(of("row_counts"), F.concat(F.lit("rows_"), "table_name"), "abs(n_rows - expected)", "n_rows"),
+        check(of("property_value_counts"), F.concat(F.lit("available_"), F.coalesce("value", F.lit("null"))), "if(value in ('0', '1'), 0, n)", "n"),
+        check(values, "category_not_a_number", "a", "b"),
+        check(files, "files_with_unexpected_rows", "a", "b"),
+        check(of("as_of_leakage"), "as_of_leakage", "leaks", "matched"),
+        check(of("abnormal_visitors").agg(F.count("*").alias("a")), "abnormal_visitors", "a", "a"),
+        *[check(of(name), f"without_{name.removesuffix('_rate')}", "denominator - numerator", "denominator") for name in RATIOS],
+    ]
+    checks = reduce(DataFrame.unionByName, parts)
+    sinks.write_quality_json(checks, cfg.export_directory)
+    done["quality"] = {r["check_id"]: r["findings"] for r in spark.read.json(f"{cfg.export_directory}/quality.json").collect()}
+
+
+def _export(spark, cfg: Config, done: dict, marts: Iterable[str] | None) -> None:
+    from tidemark.plans import behaviour, commerce  # noqa: F401
+    from tidemark.plans.registry import REGISTRY
+    from tidemark.sources import sinks
+
+    done["public"] = []
+    for name in marts or sorted(set(REGISTRY) - set(done.get("refused", ()))):
+        df = spark.read.parquet(f"{cfg.warehouse_directory}/mart/{name}")
+        origin = "synthetic" if cfg.demo_mode else REGISTRY[name].origin
+        sinks.write_mart(df, cfg.export_directory, name, origin)
+        if sinks.is_public(df):
+            sinks.write_public(df, cfg.export_directory, name)
+            done["public"].append(name)
+
+
+def run(command: str, cfg: Config, spark=None, marts: Iterable[str] | None = None) -> dict:
+    """Runs a command; later ones read what earlier ones wrote. marts: only these of metrics and export."""
+    from pyspark.sql import SparkSession
+
+    from tidemark.plans import behaviour, commerce  # noqa: F401
+    from tidemark.sources import sinks
+
+    spark = spark or SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    run_id, began, store = uuid.uuid4().hex, time.time(), cfg.warehouse_directory
+    done: dict = {"command": command, "run_id": run_id, "data_origin": "synthetic" if cfg.demo_mode else "real", "commit": os.environ.get("TIDEMARK_COMMIT")}
+    status, error = "failed", None
+    try:
+        for step in COMMANDS[:-1] if command == "run-all" else (command,):
+            if step == "ingest":
+                _ingest(spark, cfg, done)
+            elif step == "build":
+                _build(spark, cfg)
+            elif step == "metrics":
+                _metrics(spark, cfg, done, marts)
+            elif step == "validate":
+                _validate(spark, cfg, done)
+            elif step == "export":
+                _export(spark, cfg, done, marts)
+        done["input_hash"] = _input_hash(spark, store)
+        sinks.write_manifest(spark, cfg.export_directory, done)
+        status = "ok"
+    except Exception as e:
+        error = f"{type(e).__name__}: {e}"[:2000]
+        raise
+    finally:
+        sinks.log_run(spark, store, run_id, command, began, status, done.get("input_hash") or "", error, done["commit"])
     return done
 
 
+def _input_hash(spark, store: str) -> str:
+    """One hash of all source files' hashes."""
+    rows = spark.read.parquet(f"{store}/meta/source_file_manifest").select("file", "sha256").orderBy("file").collect()  # a row per file
+    return hashlib.sha256("".join(f"{r['file']}:{r['sha256']};" for r in rows).encode()).hexdigest()
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:

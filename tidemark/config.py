@@ -6,7 +6,7 @@ import json
 import os
 import tomllib
 from dataclasses import asdict, dataclass, fields
-from pathlib import PurePath, PurePosixPath, PureWindowsPath
+from pathlib import Path, PurePath, PurePosixPath, PureWindowsPath
 
 
 class ConfigError(ValueError):
@@ -17,80 +17,122 @@ class ConfigError(ValueError):
 class Config:
     data_home: str
     raw_data_dir: str = ""
-    warehouse_dir: str = ""
-    output_dir: str = ""
-    demo: bool = False
+    warehouse_directory: str = ""
+    database_path: str = ""
+    parquet_directory: str = ""
+    temp_directory: str = ""
+    export_directory: str = ""
     analysis_timezone: str = "UTC"
     session_gap_minutes: int = 30
-    seed: int = 20260809
+    synthetic_seed: int = 20260809
+    demo_mode: bool = False
 
     def to_dict(self) -> dict:
         return asdict(self)
 
 
 _NAMES = {f.name: f.type for f in fields(Config)}
-_CHILDREN = {"raw_data_dir": "raw/extracted", "warehouse_dir": "warehouse", "output_dir": "output"}
+#: Where each folder is if it is not set: below data_home, or below another folder.
+_CHILDREN = {
+    "raw_data_dir": ("data_home", "raw/extracted"), "warehouse_directory": ("data_home", "warehouse"), "database_path": ("warehouse_directory", "tidemark.duckdb"),
+    "parquet_directory": ("data_home", "parquet"), "temp_directory": ("data_home", "tmp"), "export_directory": ("data_home", "exports"),
+}
+#: Tables of a TOML file whose keys are settings, with the keys that only describe; and tables that are read past.
+_TABLES, _OTHER_TABLES = {"project": {"name"}, "paths": set()}, {"dataset", "warehouse"}
+_WORDS = {"true": True, "yes": True, "on": True, "1": True, "false": False, "no": False, "off": False, "0": False}
 
 
-def _path(text: str) -> PurePath:
-    return PureWindowsPath(text) if "\\" in text or text[1:2] == ":" else PurePosixPath(text)
+def _path(text: object, name: str) -> PurePath:
+    if not isinstance(text, (str, os.PathLike)) or not str(text).strip():
+        raise ConfigError(f"{name}: {text!r} is not a path")
+    text = str(text).strip()
+    windows = text.startswith("\\\\") or text[:1].isalpha() and text[1:3] in (":\\", ":/")
+    return PureWindowsPath(text) if windows else PurePosixPath(text)
 
 
 def _value(name: str, raw: object) -> object:
     kind = _NAMES[name]
     if kind == "bool":
-        if isinstance(raw, bool):
-            return raw
-        if str(raw).strip().casefold() in ("1", "true", "yes", "on"):
-            return True
-        if str(raw).strip().casefold() in ("0", "false", "no", "off"):
-            return False
-        raise ConfigError(f"{name}: {raw!r} is not true or false")
+        found = raw if isinstance(raw, bool) else _WORDS.get(raw.strip().casefold()) if isinstance(raw, str) else None
+        if found is None:
+            raise ConfigError(f"{name}: {raw!r} is not true or false")
+        return found
     if kind == "int":
         try:
-            return int(str(raw).strip())
-        except ValueError:
+            if isinstance(raw, bool):
+                raise ValueError
+            return int(raw)
+        except (TypeError, ValueError):
             raise ConfigError(f"{name}: {raw!r} is not a whole number") from None
-    return str(raw)
+    return str(raw).strip() if name == "analysis_timezone" else str(_path(raw, name))
+
+
+def _flat_toml(text: str) -> dict:
+    out: dict = {}
+    for key, value in tomllib.loads(text).items():
+        if key in _OTHER_TABLES and isinstance(value, dict):
+            continue
+        table = value if key in _TABLES else {key: value}
+        if not isinstance(table, dict) or any(isinstance(v, dict) for v in table.values()):
+            raise ConfigError(f"[{key}] is not a table of settings")
+        for name, x in table.items():
+            if name in _TABLES.get(key, ()):
+                continue
+            if name in out:
+                raise ConfigError(f"duplicate key: {name}")
+            out[name] = x
+    return out
+
+
+def _scalar(text: str) -> object:
+    if len(text) >= 2 and text[0] == text[-1] and text[0] in "'\"":
+        try:
+            return json.loads(text) if text[0] == '"' else text[1:-1]
+        except ValueError:
+            return text[1:-1]
+    return text
 
 
 def parse(text: str, kind: str = "") -> dict:
-    """A flat dictionary; kind is the file's suffix. TOML tables `paths` and `project` are flattened, others are left out."""
-    if kind == ".json" or text.lstrip().startswith("{"):
-        return json.loads(text)
+    """A flat dictionary; kind is the file's suffix."""
     if kind == ".toml":
-        whole = tomllib.loads(text)
-        return {k: v for k, v in whole.items() if not isinstance(v, dict)} | whole.get("paths", {}) | whole.get("project", {})
+        return _flat_toml(text)
+    if kind == ".json" or text.lstrip().startswith("{"):
+        found = json.loads(text)
+        if not isinstance(found, dict):
+            raise ConfigError("a JSON configuration is an object")
+        return found
     out: dict = {}
     for line in text.splitlines():
-        line = line.split("#")[0].rstrip()
-        if not line:
+        if not line.strip() or line.strip().startswith("#"):
             continue
-        key, colon, value = line.partition(":")
-        if not colon or line[0].isspace() or key.strip() in out:
-            raise ConfigError(f"not a flat, unique key: {line!r}")
-        out[key.strip()] = value.strip().strip("\"'")
+        key, colon, value = (x.strip() for x in line.partition(":"))
+        if not colon or not key or not value or line[0].isspace() or key in out:
+            raise ConfigError(f"not a flat, unique key with a value: {line!r}")
+        out[key] = _scalar(value)
     return out
 
 
 def build(values: dict) -> Config:
+    """A checked configuration: data_home is a folder of its own, and all other folders are inside it."""
     if unknown := set(values) - set(_NAMES):
         raise ConfigError(f"unknown keys: {sorted(unknown)}")
     if not values.get("data_home"):
         raise ConfigError("data_home is missing")
     known = {k: _value(k, v) for k, v in values.items()}
-    home = _path(known["data_home"])
-    for name, tail in _CHILDREN.items():
-        known.setdefault(name, str(home / tail))
+    home = _path(known["data_home"], "data_home")
+    for name, (under, tail) in _CHILDREN.items():
+        known.setdefault(name, str(_path(known[under], under) / tail))
     cfg = Config(**known)
-    if not home.is_absolute() or ".." in home.parts or len(home.parts) < 3:
-        raise ConfigError(f"data_home: {home} must be absolute, without '..', and not a root or near one")
+    broad = isinstance(home, PurePosixPath) and os.name != "nt" and str(home) in (str(Path.home()), str(Path.cwd()))
+    if not home.is_absolute() or ".." in home.parts or len(home.parts) < 3 or broad:
+        raise ConfigError(f"data_home: {home} must be absolute, without '..', and not a root, near one, the user's home or the working folder")
     for name in _CHILDREN:
-        child = _path(getattr(cfg, name))
+        child = _path(getattr(cfg, name), name)
         if type(child) is not type(home) or ".." in child.parts or child == home or not child.is_relative_to(home):
             raise ConfigError(f"{name}: {child} is not within {home}")
-    if not cfg.analysis_timezone.strip() or cfg.session_gap_minutes <= 0 or cfg.seed < 0:
-        raise ConfigError("analysis_timezone, session_gap_minutes or seed is out of range")
+    if not cfg.analysis_timezone or cfg.session_gap_minutes <= 0 or cfg.synthetic_seed < 0:
+        raise ConfigError("analysis_timezone, session_gap_minutes or synthetic_seed is out of range")
     return cfg
 
 
@@ -100,8 +142,8 @@ def load(path: str | None = None, env: dict | None = None) -> Config:
     values = {k: env[f"TIDEMARK_{k.upper()}"] for k in _NAMES if f"TIDEMARK_{k.upper()}" in env}
     if path:
         try:
-            with open(path, encoding="utf-8") as f:
-                values |= parse(f.read(), os.path.splitext(path)[1])
+            with open(path, encoding="utf-8-sig") as f:
+                values |= parse(f.read(), os.path.splitext(path)[1].lower())
         except (OSError, ValueError) as e:
             raise ConfigError(str(e)) from e
     return build(values)

@@ -220,28 +220,38 @@ def _in_category(spark: SparkSession, d: t.Place, events: DataFrame) -> DataFram
     return held.join(place.dropDuplicates(["categoryid"]), "categoryid", "left")
 
 
-def _categories(spark: SparkSession, d: str, level: str, least: int) -> DataFrame:
+#: Levels of the tree, with the view sessions from which a category counts.
+LEVELS = {"root": 200, "child": 20}
+
+
+def _categories(spark: SparkSession, d: t.Place, levels: dict[str, int] = LEVELS) -> DataFrame:
+    """Sessions by category on each level: viewing, transacting and both, against the level's median category."""
     seen = lambda e: F.max((F.col("event") == e).cast("long"))
-    g = _in_category(spark, d, _sx(spark, d)).where(F.col(level).isNotNull()).groupBy(F.col(level).alias("category"), "visitorid", "session_number").agg(seen("view").alias("v"), seen("transaction").alias("x"))
-    c = g.groupBy("category").agg(F.sum("v").alias("viewing"), F.sum("x").alias("transacting"), F.sum(F.col("v") * F.col("x")).alias("converted"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(k).alias("category")) for k in levels])).alias("x")
+    placed = _in_category(spark, d, _sx(spark, d)).where("root is not null").select(each, "visitorid", "session_number", "event")
+    g = placed.groupBy("x.level", "x.category", "visitorid", "session_number").agg(seen("view").alias("v"), seen("transaction").alias("x"))
+    c = g.groupBy("level", "category").agg(F.sum("v").alias("viewing"), F.sum("x").alias("transacting"), F.sum(F.col("v") * F.col("x")).alias("converted"))
+    least = F.coalesce(*[F.when(F.col("level") == k, n) for k, n in levels.items()])
+    c = c.withColumn("enough", F.col("viewing") >= least)
     own = rate(F.col("converted"), F.col("viewing"))
-    peer = c.where(F.col("viewing") >= least).select(own.alias("r")).agg(F.expr("percentile(r, 0.5)").alias("peer"))
+    peer = c.where("enough").select("level", own.alias("r")).groupBy("level").agg(F.expr("percentile(r, 0.5)").alias("peer"))
     low, high = wilson(F.col("converted"), F.col("viewing"))
-    return c.join(F.broadcast(peer)).select(  # one row
-        F.lit(level).alias("level"), "category", "viewing", "transacting", "converted", F.round(rate(F.col("transacting"), F.col("viewing")), 9).alias("literal_rate"), (F.col("viewing") >= least).alias("enough"),
-        F.when(F.col("viewing") >= least, F.round(F.col("viewing") * F.greatest(F.lit(0.0), F.col("peer") - own), 6)).alias("opportunity"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"),
+    opportunity = F.when(F.col("enough"), F.round(F.col("viewing") * F.greatest(F.lit(0.0), F.col("peer") - own), 6))
+    return c.join(F.broadcast(peer), "level", "left").select(  # a row per level
+        "level", "category", "viewing", "transacting", "converted", F.round(rate(F.col("transacting"), F.col("viewing")), 9).alias("literal_rate"),
+        "enough", opportunity.alias("opportunity"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"),
     )
 
 
 @query("category_conversion", "category", f"{_category_sql('root', 200)} UNION ALL {_category_sql('child', 20)}")
 def category_conversion(spark, d):
-    return _categories(spark, d, "root", 200).union(_categories(spark, d, "child", 20))
+    return _categories(spark, d)
 
 
 @query("category_opportunity_rank", "category", f"WITH c AS ({_category_sql('child', 20)}) SELECT category, opportunity, rank() OVER (ORDER BY opportunity DESC) AS place FROM c WHERE enough")
 def category_opportunity_rank(spark, d):
     # one row per category of the list
-    return _categories(spark, d, "child", 20).where("enough").select("category", "opportunity", F.rank().over(Window.orderBy(F.desc("opportunity"))).cast("long").alias("place"))
+    return _categories(spark, d, {"child": 20}).where("enough").select("category", "opportunity", F.rank().over(Window.orderBy(F.desc("opportunity"))).cast("long").alias("place"))
 
 
 @query("category_linkage_rate", "period", f"WITH {q.EV}, {q.in_category()} SELECT {q.rate('count(root)', 'count(categoryid)')} FROM ec")
@@ -304,7 +314,7 @@ def hypothesis_lost_step(spark, d):
 @query("hypothesis_weak_category", "period", f"""WITH c AS ({_category_sql('child', 20)}), e AS (SELECT CAST(converted AS DOUBLE) / viewing AS r FROM c WHERE enough)
   SELECT count(*) AS categories, count(*) FILTER (r <= (SELECT median(r) FROM e) - 0.02) AS weak, count(*) FILTER (r <= (SELECT median(r) FROM e) - 0.02) >= 1 AS supported FROM e""")
 def hypothesis_weak_category(spark, d):
-    e = _categories(spark, d, "child", 20).where("enough").select((F.col("converted") / F.col("viewing")).alias("r"))
+    e = _categories(spark, d, {"child": 20}).where("enough").select((F.col("converted") / F.col("viewing")).alias("r"))
     peer = e.agg(F.expr("percentile(r, 0.5)").alias("peer"))
     weak = F.count_if(F.col("r") <= F.col("peer") - 0.02)
     return e.join(F.broadcast(peer)).agg(F.count("*").alias("categories"), weak.alias("weak"), (weak >= 1).alias("supported"))  # one row

@@ -4,7 +4,11 @@ A file that breaks the contract stops the build with what differs; nothing is re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,21 +29,40 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return row[0][0].split(",") if row else []
 
 
-def read(spark: SparkSession, folder: str, source: str) -> DataFrame:
-    """The raw rows of a source with source_file. Raises ContractError on a wrong header or a cell of the wrong type."""
+def scan(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """The raw rows of a source as text, with source_file. Raises ContractError on a wrong header."""
     schema, files = CONTRACT[source]
     paths = [f"{folder}/{f}" for f in files]
     found = {p: _header(spark, p) for p in paths}
     if wrong := {p: h for p, h in found.items() if h != schema.names}:
         raise ContractError("; ".join(f"{p}: columns {h}, expected {schema.names}" for p, h in wrong.items()))
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(paths).withColumn("source_file", F.col("_metadata.file_name"))
-    typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
-    bad = [F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull() | (F.lit(not f.nullable) & F.col(f.name).isNull())).alias(f.name) for f in schema.fields]
-    counts = raw.agg(*bad).first()
+    raw = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(paths)
+    return raw.withColumn("source_file", F.col("_metadata.file_name"))
+
+
+def _broken(f: T.StructField) -> Column:
+    value = F.col(f.name)
+    return value.isNotNull() & value.try_cast(f.dataType).isNull() | (F.lit(not f.nullable) & value.isNull())
+
+
+def typed(raw: DataFrame, source: str) -> DataFrame:
+    """Raw rows with the contract's types. A cell that breaks the contract stops the job that reads it."""
+    cells = []
+    for f in CONTRACT[source][0].fields:
+        wrong = F.concat(F.lit(f"{source}: {f.name} breaks the contract: "), F.coalesce(F.col(f.name), F.lit("empty")))
+        cells.append(F.when(_broken(f), F.raise_error(wrong).cast(f.dataType)).otherwise(F.col(f.name).try_cast(f.dataType)).alias(f.name))
+    return raw.select(*cells, "source_file")
+
+
+def read(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """The typed rows of a source with source_file, after a pass that raises ContractError with the number of cells that break
+    the contract, by column."""
+    raw = scan(spark, folder, source)
+    counts = raw.agg(*[F.count_if(_broken(f)).alias(f.name) for f in CONTRACT[source][0].fields]).first()
     if any(counts):
         raise ContractError(f"{source}: cells that break the contract: " + ", ".join(f"{k} {n}" for k, n in counts.asDict().items() if n))
-    return raw.select(*typed, "source_file")
+    return typed(raw, source)
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +72,8 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     numbers all rows. Exact duplicates after the first are flagged, never dropped."""
     read(spark, folder, "events")  # the contract holds, or this raises
     schema, files = CONTRACT["events"]
-    rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/{files[0]}").select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    place = [F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")]
+    rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/{files[0]}").select("*", *place)
     place = F.row_number().over(Window.partitionBy("_block").orderBy("_row"))
     blocks = rows.groupBy("_block").agg(F.count("*").alias("_n"))
     before = blocks.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per block
@@ -63,18 +87,60 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_properties(spark: SparkSession, folder: str, items: DataFrame | None = None) -> DataFrame:
     """Both parts as one, with provenance and the category value as a number; a value that is none is flagged. With items,
-    only their rows: the join is part of the scan's stage where items are few."""
-    rows = read(spark, folder, "item_properties")
-    if items is not None:
-        rows = rows.join(items.select("itemid").distinct(), "itemid", "left_semi")
+    only their rows are typed and checked, in one scan: the join is part of the scan's stage where items are few."""
+    if items is None:
+        rows = read(spark, folder, "item_properties")
+    else:
+        wanted = items.select(F.col("itemid").cast("string").alias("itemid")).distinct()
+        rows = typed(scan(spark, folder, "item_properties").join(wanted, "itemid", "left_semi"), "item_properties")
     number = F.when(F.col("property") == "categoryid", F.col("value").try_cast("long"))
     return rows.withColumns({"categoryid": number, "is_bad_category": (F.col("property") == "categoryid") & F.col("value").isNotNull() & number.isNull(), "is_interpretable": F.col("property").isin(*INTERPRETABLE)})
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per source file: path, bytes, SHA-256, modification time, data rows. Files are hashed where they are read."""
-    files = [(s, f) for s, (_, names) in CONTRACT.items() for f in names]
-    named = spark.createDataFrame(files, "source_id string, file string")
-    found = spark.read.format("binaryFile").load([f"{folder}/{f}" for _, f in files]).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
-    lines = spark.read.text([f"{folder}/{f}" for _, f in files]).groupBy(F.col("_metadata.file_name").alias("file")).agg((F.count("*") - 1).alias("rows"))
-    return named.join(found, "file").join(lines, "file")
+#: Bytes that the line reader leaves out at the start of a file.
+_MARK = b"\xef\xbb\xbf"
+
+
+def _digests(lines: DataFrame) -> DataFrame:
+    """SHA-256 of each file from its lines (file, size, block, row, line), which stream through one task a file in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, []
+
+        def close() -> None:
+            file, size, n, total, plain, marked = now
+            missing = size - total
+            own = marked if missing >= len(_MARK) else plain
+            if missing in (1, 1 + len(_MARK)):  # the last line ends with a line feed
+                own.update(b"\n")
+            found.append((file, own.hexdigest(), n - 1))
+
+        for b in batches:
+            for file, size, line in zip(*(b.column(k).to_pylist() for k in (0, 1, 4))):
+                if now is None or now[0] != file:
+                    if now:
+                        close()
+                    now = [file, size, 0, -1, hashlib.sha256(), hashlib.sha256(_MARK)]
+                piece = (b"\n" if now[2] else b"") + line
+                now[2] += 1
+                now[3] += len(line) + 1
+                now[4].update(piece)
+                now[5].update(piece)
+        if now:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 3, (pa.string(), pa.string(), pa.int64()))], names=["file", "sha256", "rows"])
+
+    return lines.repartition("file").sortWithinPartitions("file", "block", "row").mapInArrow(run, "file string, sha256 string, rows long")
+
+
+def manifest(spark: SparkSession, folder: str, expected: dict[str, int] | None = None, commit: str | None = None) -> DataFrame:
+    """One row per source file: path, bytes, SHA-256, modification time, data rows, expected rows (by file name, where given)
+    and whether they agree, ingest time and code version. Any size of file: it is read as lines and hashed as a stream."""
+    files = [(s, f, (expected or {}).get(f)) for s, (_, names) in CONTRACT.items() for f in names]
+    named = spark.createDataFrame(files, "source_id string, file string, expected_rows long")
+    m = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text([f"{folder}/{f}" for _, f, _ in files])
+    about = lines.select(m["file_name"].alias("file"), m["file_path"].alias("path"), m["file_size"].alias("bytes"), m["file_modification_time"].alias("modified")).distinct()
+    hashed = lines.select(m["file_name"].alias("file"), m["file_size"].alias("size"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("line"))
+    out = named.join(about, "file").join(_digests(hashed), "file")
+    return out.withColumns({"rows_as_expected": F.col("rows") == F.col("expected_rows"), "ingested": F.current_timestamp(), "commit": F.lit(commit)})

@@ -8,8 +8,15 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns that never leave in a public aggregate.
-PRIVATE = {"visitorid", "event_id", "transactionid", "unit"}
+#: The only columns of a public aggregate: days and groups, counts and rates. No id of a visitor, event, item or transaction.
+PUBLIC = frozenset(
+    """d n week cohort first_d gap_minutes unit event metric_id step segment kind level category root depth path ratio scenario channel value check_id column_name table_name
+    visitors sessions events transactions is_full_window numerator denominator rate small_sample cohort_size retained n_events n_items mean median p75 gaps supported
+    purchase_without_view purchase_without_cart cart_before_view purchase_before_cart viewing transacting converted literal_rate enough opportunity place low high categories weak
+    findings checked n_rows expected as_expected leaks matched impressions clicks conversions cost gmv click_through_rate conversion_per_click conversion_per_impression
+    acquisition_cost return_on_spend average_order_value n_control n_treatment rate_control rate_treatment absolute_uplift relative_uplift ci_low ci_high z p_value
+    guardrail_control guardrail_treatment data_origin""".split()
+)
 
 
 def write_mart(df: DataFrame, folder: str, name: str, origin: str = "real", formats: tuple[str, ...] = ("parquet", "csv")) -> None:
@@ -19,9 +26,13 @@ def write_mart(df: DataFrame, folder: str, name: str, origin: str = "real", form
         marked.write.mode("overwrite").options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(f"{folder}/{name}.{kind}")
 
 
+def is_public(df: DataFrame) -> bool:
+    return set(df.columns) <= PUBLIC
+
+
 def write_public(df: DataFrame, folder: str, name: str) -> None:
-    """An aggregate without any column that names a visitor, event or transaction."""
-    if held := PRIVATE & set(df.columns):
+    """An aggregate all of whose columns are allowed in public."""
+    if held := set(df.columns) - PUBLIC:
         raise ValueError(f"not for the public: {sorted(held)}")
     df.write.mode("overwrite").option("header", True).csv(f"{folder}/public/{name}.csv")
 
@@ -30,10 +41,19 @@ def write_quality_json(df: DataFrame, folder: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(f"{folder}/quality.json")  # a row per check
 
 
-def log_run(spark: SparkSession, folder: str, run_id: str, command: str, started: float, status: str, input_hash: str, error: str | None = None) -> None:
-    """Appends one row to the run log; a row of the same run and command is replaced when it is read (the last one counts)."""
-    row = [(run_id, command, started, time.time(), status, input_hash, error)]
-    spark.createDataFrame(row, "run_id string, command string, started double, ended double, status string, input_hash string, error string").write.mode("append").parquet(f"{folder}/meta/pipeline_run")
+LOG = "run_id string, command string, started double, ended double, status string, input_hash string, commit string, error string"
+
+
+def log_run(spark: SparkSession, folder: str, run_id: str, command: str, started: float, status: str, input_hash: str, error: str | None = None, commit: str | None = None) -> None:
+    """Appends one row to the run log, also for a run that failed."""
+    row = [(run_id, command, started, time.time(), status, input_hash, commit, error)]
+    spark.createDataFrame(row, LOG).write.mode("append").parquet(f"{folder}/meta/pipeline_run")
+
+
+def write_manifest(spark: SparkSession, folder: str, about: dict) -> None:
+    """The run manifest (JSON) and a summary of its figures (Markdown), each a one-row text."""
+    for name, text in (("run_manifest.json", json.dumps(about, ensure_ascii=False, default=str)), ("summary.md", summary(about))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
 
 
 def summary(rows: dict) -> str:
