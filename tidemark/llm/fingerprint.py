@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: Words of a shingle, part of the hash range that is kept, bits of a hash.
 WORDS, FRACTION, BITS = 5, 1 / 4, 48
 #: Bytes of text in a range of doc_ids (there are as many ranges as shuffle partitions at least), ranges that one doc_id may fill.
-RANGE_BYTES, MAX_SPLIT = 64 << 20, 1 << 20
+RANGE_BYTES, MAX_SPLIT = 32 << 20, 1 << 20
 #: Stands for a missing doc_id: below every long that occurs as one.
 NO_DOC = -(2**63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -201,7 +201,7 @@ def by_range(docs: DataFrame) -> DataFrame:
         before = spark.createDataFrame([(r["doc_id"], r["h"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)], "doc_id long, h long, part long")
         again = keyed.join(F.broadcast(before), ["doc_id", "h"]).groupBy("doc_id", "h", "part").agg(F.min("text").alias("text"))
         dealt = dealt.unionByName(again.select("part", F.lit(1).alias("role"), "doc_id", "h", "text"))
-    return dealt.repartition("part").sortWithinPartitions("part", "role", "doc_id", "h", "text")
+    return dealt.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "role", "doc_id", "h", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
