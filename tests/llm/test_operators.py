@@ -36,11 +36,11 @@ def brute_lines(docs, min_chars=20, min_docs=3):
     for d, t in docs:
         for x in (t or "").split("\n"):
             if len(key(x)) >= min_chars:
-                held[key(x)].add((-(2**63) if d is None else d, t))
+                held[key(x)].add(-(2**63) if d is None else d)
     out = []
     for d, t in docs:
         lines = (t or "").split("\n")
-        gone = [len(held[key(x)]) >= min_docs and (-(2**63) if d is None else d) < max(held[key(x)], key=lambda y: y[0])[0] for x in lines]
+        gone = [len(held[key(x)]) >= min_docs and (-(2**63) if d is None else d) < max(held[key(x)]) for x in lines]
         out.append((d, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
     return sorted(out, key=repr)
 
@@ -67,14 +67,27 @@ def test_lines_of_no_rows(no_docs):
 
 
 def test_runs_compact_and_anti_join(spark):
+    """Batches that arrive one by one: unseen lines are inserted, seen ones update the count, and runs are compacted by level."""
     runs = line_runs.LineRuns(spark)
-    batch = lambda *ks: spark.createDataFrame([(k, k, 10 * k) for k in ks], "h1 long, h2 long, doc_id long")
-    for ks in ((1, 2), (2, 3), (4,)):
-        seen = {r.h1 for r in runs.unseen(batch(*ks)).collect()}
-        assert seen == set(ks) - {1, 2, 3, 4}.intersection(range(1, 1 + (0 if ks == (1, 2) else 2 if ks == (2, 3) else 3)))
-        runs.add(batch(*ks))
-    assert [bool(x) for x in runs.levels] == [True, True]
-    assert {r.h1: r.n_docs for r in runs.compacted().collect()} == {1: 1, 2: 2, 3: 1, 4: 1}
+    batch = lambda *ks: spark.createDataFrame([(k, -k, d) for k, d in ks], "h1 long, h2 long, doc_id long")
+    steps = [(((1, 90), (2, 90), (2, 80)), set(), [1]), (((2, 70), (3, 70)), {2}, [0, 1]), (((4, 60), (1, 50)), {1}, [1, 1]), (((4, 40), (2, 40), (5, 30)), {4, 2}, [0, 0, 1])]
+    for rows, seen, levels in steps:
+        assert {r.h1 for r in runs.meet(batch(*rows)).where("seen").collect()} == seen
+        runs.add(batch(*rows))
+        assert [int(bool(x)) for x in runs.levels] == levels
+    assert {r.h1: (r.n_docs, r.last_doc) for r in runs.compacted().collect()} == {1: (2, 90), 2: (4, 90), 3: (1, 70), 4: (2, 60), 5: (1, 30)}
+    before = {t.name for t in spark.catalog.listTables() if t.name.startswith("line_runs_")}
+    runs.drop()
+    assert len(before) == 1 and not [t for t in spark.catalog.listTables() if t.name in before]
+
+
+@pytest.mark.parametrize("batches", [1, 3, 9])
+def test_lines_in_any_number_of_batches(spark, batches):
+    rng = random.Random(batches)
+    lines = [f"a line of the text with number {k}" for k in range(40)] + ["short", ""]
+    docs = [(rng.choice([None, *range(60)]), "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for _ in range(150)]
+    got = line_runs.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), batches=batches)
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in rows_of(got)), key=repr) == brute_lines(docs)
 
 
 # ---- n-gram join

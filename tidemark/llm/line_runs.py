@@ -1,12 +1,11 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 A run is a table of line hashes, bucketed and sorted by hash, with the number of documents that hold the line and the
-largest doc_id among them. A new batch becomes a run of level 0; two runs of a level are compacted into one of the next by
-a merge join of their buckets, which needs no shuffle. A batch meets the runs by a merge (anti) join on the same buckets:
-only the batch moves, never the history.
-
-Two uses: `unseen` gives the lines of a batch that no run holds (first come, first kept); `drop_repeated_lines` adds all
-batches first, because its rule needs the number of documents of every line, and then joins the compacted run.
+largest doc_id among them. Batches come by doc_id from the largest down. Each meets the runs by a merge join of their buckets:
+a line that no run holds (the anti-join) is new, and its largest doc_id in the batch is the one that keeps it for good; of a
+line that a run holds only the number of documents goes on. What the batch adds becomes a run of level 0; two runs of a level
+are compacted into one of the next by a merge join of their buckets, which needs no shuffle. Only the batch moves, never the
+history. When all batches are in, lines of enough documents go everywhere but in the document that brought them.
 
 Rows that repeat a doc_id are one document, whatever their texts; rows without one are one too, smaller than any other. A null or empty text is one empty
 line. Lines of repeated rows with the largest doc_id stay in each of them. Input columns pass through, those named as a
@@ -57,9 +56,20 @@ class LineRuns:
         run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch_path(self.spark, table)).saveAsTable(table)
         return table
 
+    def meet(self, keys: DataFrame) -> DataFrame:
+        """keys (h1, h2, ...) with seen: whether a run holds the line. Where it is false, this is the merge anti-join."""
+        seen = F.lit(False)
+        for k, run in enumerate(filter(None, self.levels)):
+            held = self.spark.table(run).select("h1", "h2", F.lit(True).alias(f"_held{k}"))
+            keys = keys.join(held, ["h1", "h2"], "left")
+            seen = seen | F.coalesce(f"_held{k}", F.lit(False))
+        return keys.withColumn("seen", seen).drop(*[f"_held{k}" for k in range(len(self.levels))])
+
     def add(self, lines: DataFrame) -> None:
-        """Adds a batch of (h1, h2, doc_id), one row for each document and line, and compacts full levels."""
-        run = self._write(lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        """Adds a batch of (h1, h2, doc_id), one row for each document and line, and compacts full levels. No doc_id of a batch
+        is larger than those of the batches before."""
+        keys = self.meet(lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        run = self._write(keys.select("h1", "h2", "n_docs", F.when(~F.col("seen"), F.col("last_doc")).alias("last_doc")))
         level = 0
         while True:
             if len(self.levels) == level:
@@ -73,7 +83,7 @@ class LineRuns:
     def _compact(self, a: str, b: str) -> str:
         old, new = self.spark.table(a).alias("a"), self.spark.table(b).alias("b")
         merged = old.join(new, ["h1", "h2"], "full_outer").select(
-            "h1", "h2", (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"), F.greatest(F.coalesce("a.last_doc", "b.last_doc"), F.coalesce("b.last_doc", "a.last_doc")).alias("last_doc")
+            "h1", "h2", (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"), F.coalesce("a.last_doc", "b.last_doc").alias("last_doc")
         )
         table = self._write(merged)
         for name in (a, b):
@@ -88,11 +98,11 @@ class LineRuns:
         self.levels = runs
         return self.spark.table(runs[0]) if runs else None
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows of a batch whose line is in none of the runs."""
+    def drop(self) -> None:
+        """Takes the runs out of the catalog."""
         for run in filter(None, self.levels):
-            lines = lines.join(self.spark.table(run).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return lines
+            self.spark.sql(f"DROP TABLE {run}")
+        self.levels = []
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -107,11 +117,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     keys = F.transform("lines", line_key)
     h1, h2 = _two_hashes(F.col("key"))
     at = src.select("r1", "r2", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.posexplode(keys).alias("pos", "key")).where(F.length("key") >= min_chars)
-    hashed = settle(at.select("r1", "r2", "doc_id", "pos", h1.alias("h1"), h2.alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")), "lines")
+    parts = F.array(*[F.lit(k / batches) for k in range(1, batches)]) if batches > 1 else F.array(F.lit(1.0))
+    cuts = docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), parts)).first()[0] or []
+    batch = sum((F.when(F.col("doc_id") <= c, 1).otherwise(0) for c in cuts), F.lit(0))  # 0 for the largest doc_ids
+    hashed = settle(at.select("r1", "r2", "doc_id", "pos", h1.alias("h1"), h2.alias("h2"), batch.alias("batch")), "lines")
     runs = LineRuns(docs.sparkSession)
-    for k in range(batches):
+    for k in range(len(cuts) + 1):
         runs.add(hashed.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct())  # a document counts once for a line
-    run = runs.compacted().where(F.col("n_docs") >= min_docs)
+    run = settle(runs.compacted().where(F.col("n_docs") >= min_docs), "repeated")
+    runs.drop()
     total = hashed.count()
     hot_from = max(min_docs, -(-total // HOT_KEYS))
     hot = F.broadcast(run.where(F.col("n_docs") >= hot_from))  # sum(n_docs) <= total, so these are HOT_KEYS keys at most
