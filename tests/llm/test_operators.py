@@ -368,6 +368,35 @@ def test_a_missing_segment_is_not_intact(spark, odd_pages):
     assert [r.intact for r in warc.reassemble(records.where("segment <> 2")).collect()] == [False]
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_a_mixed_foreign_archive_loses_nothing(spark, tmp_path, packed):
+    """Versions 1.0 and 1.1, plain files that Spark splits and gzip files of several members, broken records, revisits."""
+    import gzip
+
+    from test_small_parts import warc_record
+
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    records = [warc_record(head + b"page %d WARC/1.0\r\n" % k + b"z" * 300, f"1.{k % 2}", name=f"p{k}") for k in range(200)]
+    records.insert(50, warc_record(b"gone", length=99, name="broken"))
+    records.insert(0, warc_record(b"software: x", kind="warcinfo", name="info"))
+    digest = hashlib.sha256(b"page 3 WARC/1.0\r\n" + b"z" * 300).hexdigest()
+    for name, to, said in (("r1", "p3", digest), ("r2", "p4", digest), ("r3", "nowhere", digest)):
+        records.append(warc_record(head, kind="revisit", name=name).replace(b"Content-Length", f"WARC-Refers-To: <{to}>\r\nWARC-Payload-Digest: sha256:{said}\r\nContent-Length".encode()))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / ("a.warc.gz" if packed else "a.warc")).write_bytes(b"".join(map(gzip.compress, records)) if packed else b"".join(records))
+    (folder / ("b.warc.gz" if packed else "b.warc")).write_bytes(gzip.compress(warc_record(head + b"b", name="b")) if packed else warc_record(head + b"b", name="b"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = {r["name"]: r for r in rows_of(warc.reassemble(warc.read_records(spark, str(folder))))}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert set(got) == {f"p{k}" for k in range(200)} | {"broken", "b", "r1", "r2", "r3"}
+    assert all(bytes(got[f"p{k}"]["payload"]) == b"page %d WARC/1.0\r\n" % k + b"z" * 300 and got[f"p{k}"]["intact"] for k in range(200)) and not got["broken"]["intact"]
+    assert (got["r1"]["payload_bytes"], got["r1"]["payload_digest"], got["r1"]["intact"]) == (317, digest, True)
+    assert not got["r2"]["intact"] and not got["r3"]["intact"] and got["r3"]["payload_digest"] is None
+
+
 def test_extraction_of_odd_pages(odd_pages):
     got = rows_of(html_density.extract(odd_pages.withColumn("n_chars", F.lit("old"))))
     assert len(got) == 12 and all(r["n_chars"] == len(r["text"]) for r in got)
