@@ -1,10 +1,11 @@
 """Quality rules by distribution divergence.
 
-Each document's histogram of character classes and of common words is compared with those of its language candidates by
-Jensen-Shannon distance (base 2, 0 to 1). The references are the mean histograms by language of
-all documents that pass the base rules, so they follow the data. A document passes if one language is near enough in both. Documents with fewer than MIN_WORDS words fail
-the base rules; short ones skip the comparisons that are too noisy for their length. Everything is DataFrame functions,
-and no text is shuffled: common words are counted within each row.
+Each document's histogram of character classes and of common words is compared with those of the corpus's languages by
+Jensen-Shannon distance (base 2, 0 to 1). A language's common words are the WORDS that most of its documents hold, of those
+that a SHARE of them hold; its references are the mean histograms of its documents that pass the base rules. So both follow
+the data, whatever the languages. A document passes if one language is near enough in both histograms. Documents with fewer
+than MIN_WORDS words fail the base rules; short ones skip the comparisons that are too noisy for their length. Everything is
+DataFrame functions, and no text is shuffled: common words are counted within each row.
 
 A null text has no words and fails. Repeated rows are judged alike. A null lang adds to no reference; with no reference at
 all (an empty table, no known language) the distances are null and only the base rules decide. Columns of the input other
@@ -15,25 +16,20 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE, SPACES, settle
 
-# Common words by language.
-COMMON_WORDS = {
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an er".split(),
-    "en": "the of and to in a is that for it with as was be by on are this have or from at an not".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o".split(),
-    "fr": "de la le les et des en un du une que est pour qui dans a par plus pas au sur ne se elle".split(),
-}
+#: Common words of a language, part of its documents that hold each, and buckets of words in which that part is looked for.
+WORDS, SHARE, BUCKETS = 24, 0.05, 65_536
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
 #: Base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
-#: Guards and limits of the divergence rules, fitted to labelled documents: from LONG_WORDS words both histograms count,
-#: from SHORT_WORDS words the character classes alone with a wider limit, below neither.
-LONG_WORDS, MAX_CLASS_LONG, MAX_WORD_LONG = 120, 0.2, 0.255
+#: Guards and limits of the divergence rules, fitted to one half of the labelled documents and measured on the other: from
+#: LONG_WORDS words both histograms count, from SHORT_WORDS words the character classes alone with a wider limit, below neither.
+LONG_WORDS, MAX_CLASS_LONG, MAX_WORD_LONG = 120, 0.2, 0.26
 SHORT_WORDS, MAX_CLASS_SHORT = 30, 0.32
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
 _MARKS = "aA0 .#"
@@ -53,17 +49,51 @@ def failed_base() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE), "")
+
+
+def common_words(docs: DataFrame) -> dict[str, list[str]]:
+    """By language: the words that most of its documents hold, the commonest first, equal ones in their order.
+
+    A word that a SHARE of the documents holds is in a bucket of words that counts as many or more; only words of such buckets
+    are counted one by one, so the vocabulary is never shuffled."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("docs")))  # a row for each language
+    pairs = known.select("lang", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
+    often = F.col("n") >= SHARE * F.col("docs")
+    full = pairs.groupBy("lang", "b").agg(F.count("*").alias("n")).join(sizes, "lang").where(often).select("lang", "b")
+    counts = pairs.join(F.broadcast(full), ["lang", "b"]).groupBy("lang", "w").agg(F.count("*").alias("n"))  # BUCKETS a language at most
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
+    top = counts.join(sizes, "lang").where(often).withColumn("place", F.row_number().over(best)).where(F.col("place") <= WORDS)
+    out: dict[str, list[str]] = {}
+    for r in top.orderBy("lang", "place").collect():  # WORDS a language at most
+        out.setdefault(r["lang"], []).append(r["w"])
+    return out
+
+
+def features(docs: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
     """One row per document: base counts, character classes and the counts of the common words of all languages."""
-    listed = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+    listed = sorted({w for ws in lists.values() for w in ws})
     cut = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     cut = cut.select(
-        "doc_id", "lang", F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"),
+        "doc_id", "lang", _words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias("lines"), F.translate("text", _FROM, _TO).alias("shape"),
     )
-    cut = cut.select("*", F.size("words").alias("n"), F.filter("words", lambda w: w.isin(listed)).alias("common"))
+    none = F.array().cast("array<string>")
+    common = F.array_sort(F.filter("words", lambda w: w.isin(listed))) if listed else none
+    cut = cut.select("*", F.size("words").alias("n"), common.alias("common"))
+    # the sorted common words: where each begins, and so how many there are
+    marked = F.transform("common", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    first = F.filter(marked, lambda x: (x["i"] == 0) | (F.get("common", x["i"] - 1) != x["w"]))
+    cut = cut.select("*", first.alias("first"))
     # windows found twice: hashes of all windows, sorted with their places only where any is repeated
-    windows = F.transform(F.sequence(F.lit(0), F.col("n") - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))
+    after = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
+    both = lambda x, y: F.zip_with(x, y, lambda a, b: F.xxhash64(a, b))
+    cut = cut.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("w1"))
+    cut = cut.select("*", both(F.col("w1"), after(F.col("w1"), 1)).alias("w2"))
+    cut = cut.select("*", both(F.col("w2"), after(F.col("w2"), 2)).alias("w4"))
+    windows = F.slice(both(F.col("w4"), after(F.col("w1"), 4)), 1, F.col("n") - (WINDOW - 1))  # the last ones lack words
     cut = cut.select("*", F.when(F.col("n") >= WINDOW, windows).alias("windows"))
     cut = cut.select("*", F.when(F.size("windows") != F.size(F.array_distinct("windows")), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("run"))
     cut = cut.select("*", F.sort_array(F.transform(F.filter("run", lambda x, i: _equal_neighbour("run", x, i)), lambda x: x["i"])).alias("at"))
@@ -74,23 +104,22 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", F.col("n").cast("long").alias("n_words"), (F.col("chars") - F.col("space")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(*CLASSES[:-1], F.col("chars") - sum((F.col(c) for c in CLASSES[1:-1]), F.col(CLASSES[0]))).alias("classes"),
-        F.transform(F.array_distinct("common"), lambda w: F.struct(w.alias("w"), F.size(F.filter("common", lambda x: x == w)).alias("c"))).alias("common"),
+        F.transform("first", lambda x, k: F.struct(x["w"].alias("w"), (F.coalesce(F.get("first", k + 1)["i"], F.size("common")) - x["i"]).alias("c"))).alias("common"),
     )
 
 
-def references(feats: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+def references(feats: DataFrame, lists: dict[str, list[str]]) -> dict[str, tuple[list[float], list[float]]]:
     """By language: the mean shares of the character classes, and of its common words and all other words, over all
-    documents that pass the base rules; each document weighs the same. Their size is that of COMMON_WORDS, whatever the
-    corpus is."""
+    documents that pass the base rules; each document weighs the same."""
     n = F.col("n_words")
-    known = feats.where(F.col("lang").isin(list(COMMON_WORDS)) & ~failed_base())
+    known = feats.where(F.col("lang").isin(list(lists)) & ~failed_base())
     share = lambda k: F.get("classes", F.lit(k)) / F.aggregate("classes", F.lit(0), lambda a, x: a + x)
     sums = known.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(share(k)).alias(f"c{k}") for k in range(len(CLASSES))])
     words = known.select("lang", "n_words", F.explode("common").alias("x")).groupBy("lang", "x.w").agg(F.sum(F.col("x.c") / n).alias("c"))
     sums, words = sums.orderBy("lang").collect(), {(r["lang"], r["w"]): r["c"] for r in words.collect()}
     out = {}
     for r in sums:
-        own = [words.get((r["lang"], w), 0.0) / r["n"] for w in COMMON_WORDS[r["lang"]]]
+        own = [words.get((r["lang"], w), 0.0) / r["n"] for w in lists[r["lang"]]]
         out[r["lang"]] = [round(r[f"c{k}"] / r["n"], 9) for k in range(len(CLASSES))], [round(x, 9) for x in [*own, max(0.0, 1 - sum(own))]]
     return out
 
@@ -108,20 +137,24 @@ def distance(p: Column, q: list[float]) -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance and word_distance to the nearest language, and kept."""
-    feats = settle(features(docs), "features")
-    refs = references(feats)
+    lists = common_words(docs)
+    feats = settle(features(docs, lists), "features")
+    refs = references(feats, lists)
     n = F.col("n_words")
     near = feats.select("*", F.map_from_entries("common").alias("m"))
     chars = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
     shares = F.transform("classes", lambda x: x / chars)
     found = []
     for lang, (classes, words) in refs.items():
-        own = F.transform(F.array(*[F.lit(w) for w in COMMON_WORDS[lang]]), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0)))
+        own = F.transform(F.array(*[F.lit(w) for w in lists[lang]]), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0)))
         rest = F.array(n - F.aggregate(own, F.lit(0), lambda a, x: a + x))
         word_shares = F.transform(F.concat(F.transform(own, lambda x: x.cast("long")), rest), lambda x: x / n)
         found.append(F.struct(distance(word_shares, words).alias("word"), distance(shares, classes).alias("class"), F.lit(lang).alias("lang")))
-    nothing = F.struct(F.lit(None).cast("double").alias("word"), F.lit(None).cast("double").alias("class"), F.lit(None).cast("string").alias("lang"))
-    nearest = F.when(n > 0, F.array_min(F.array(*found)) if found else nothing).otherwise(nothing)
-    near = near.select("*", nearest.alias("d"), failed_base().alias("base_failed"))
-    odd = F.when(n >= LONG_WORDS, (F.col("d.class") > MAX_CLASS_LONG) | (F.col("d.word") > MAX_WORD_LONG)).when(n >= SHORT_WORDS, F.col("d.class") > MAX_CLASS_SHORT)
-    return near.select("doc_id", *BASE, "base_failed", F.col("d.class").alias("class_distance"), F.col("d.word").alias("word_distance"), F.col("d.lang").alias("nearest"), (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
+    nothing = F.array().cast("array<struct<word:double,class:double,lang:string>>")
+    near = near.select("*", F.when(n > 0, F.array(*found) if found else nothing).otherwise(nothing).alias("d"), failed_base().alias("base_failed"))
+    passes = lambda f: F.exists("d", f) | (F.size("d") == 0)
+    both = passes(lambda x: (x["class"] <= MAX_CLASS_LONG) & (x["word"] <= MAX_WORD_LONG))
+    fine = F.when(n >= LONG_WORDS, both).when(n >= SHORT_WORDS, passes(lambda x: x["class"] <= MAX_CLASS_SHORT)).otherwise(True)
+    best = F.array_min("d")
+    told = [best["class"].alias("class_distance"), best["word"].alias("word_distance"), best["lang"].alias("nearest")]
+    return near.select("doc_id", *BASE, "base_failed", *told, (~F.col("base_failed") & fine).alias("kept"))

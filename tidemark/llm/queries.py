@@ -25,7 +25,6 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op2_sql() -> str:
     """The rules in DuckDB SQL, made from the constants of the operator."""
     d = divergence
-    listed = ", ".join(f"('{lang}', '{w}', {k})" for lang, ws in d.COMMON_WORDS.items() for k, w in enumerate(ws))
     marks = dict(zip(d.CLASSES, d._MARKS))
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     visible = "".join(c for c in d._FROM if c not in "\t\n\x0b\x0c\r")
@@ -46,7 +45,10 @@ cls AS (SELECT doc_id, unnest([{", ".join(of(c) for c in d.CLASSES[:-1])}, lengt
 base AS (SELECT w.doc_id, w.lang, len(ws) AS n_words, length(s) - ({of("space")}) AS word_chars, {of("symbol")} AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
          FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN line USING (doc_id)),
 judged AS (SELECT *, n_words < {d.MIN_WORDS} OR 100 * n_repeat_words > {d.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM base),
-list(lang, word, k) AS (VALUES {listed}),
+held AS (SELECT lang, unnest(list_distinct(ws)) AS word FROM w WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL)),
+docs AS (SELECT lang, count(*) AS docs FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang),
+list AS (SELECT lang, word, CAST(place - 1 AS INTEGER) AS k FROM (SELECT held.lang, word, row_number() OVER (PARTITION BY held.lang ORDER BY count(*) DESC, encode(word)) AS place
+         FROM held JOIN docs USING (lang) GROUP BY held.lang, word, docs HAVING count(*) >= {d.SHARE} * docs) WHERE place <= {d.WORDS}),
 size AS (SELECT lang, count(*) AS size FROM list GROUP BY lang),
 good AS (SELECT * FROM judged WHERE NOT base_failed AND lang IN (SELECT lang FROM size)),
 n AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
@@ -58,9 +60,9 @@ pw0 AS (SELECT j.doc_id, list.lang, list.k, coalesce(cnt.c, 0) / j.n_words AS p,
 pw AS (SELECT doc_id, lang, k, p FROM pw0 UNION ALL SELECT doc_id, pw0.lang, any_value(size), (any_value(n_words) - sum(c)) / any_value(n_words) FROM pw0 JOIN size USING (lang) GROUP BY doc_id, pw0.lang),
 dw AS (SELECT doc_id, lang, {jsd("p", "q")} AS d FROM pw JOIN qw USING (lang, k) GROUP BY doc_id, lang),
 dc AS (SELECT cls.doc_id, qc.lang, {jsd("(c / chars)", "q")} AS d FROM cls JOIN qc USING (k) WHERE chars > 0 GROUP BY cls.doc_id, qc.lang),
-near AS (SELECT doc_id, arg_min(dc.d, dw.d) AS class_distance, min(dw.d) AS word_distance FROM dw JOIN dc USING (doc_id, lang) GROUP BY doc_id)
+near AS (SELECT doc_id, bool_or(dc.d <= {d.MAX_CLASS_LONG} AND dw.d <= {d.MAX_WORD_LONG}) AS near_both, bool_or(dc.d <= {d.MAX_CLASS_SHORT}) AS near_class FROM dw JOIN dc USING (doc_id, lang) GROUP BY doc_id)
 SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(CASE WHEN n_words >= {d.LONG_WORDS} THEN class_distance > {d.MAX_CLASS_LONG} OR word_distance > {d.MAX_WORD_LONG} WHEN n_words >= {d.SHORT_WORDS} THEN class_distance > {d.MAX_CLASS_SHORT} END, false) AS kept
+       NOT base_failed AND coalesce(CASE WHEN n_words >= {d.LONG_WORDS} THEN near_both WHEN n_words >= {d.SHORT_WORDS} THEN near_class END, true) AS kept
 FROM judged j LEFT JOIN near USING (doc_id)
 """
 
