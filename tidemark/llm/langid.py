@@ -7,9 +7,9 @@ the cosines of such texts in the language's own sample, so that single mislabell
 grows with the number of different n-grams: a text of few (short, or one word over and over) is far from every centroid
 whatever its language, and one of many comes nearer to all. Texts with fewer letters say too little to be refused.
 
-Document frequencies cover all training rows. The centroids are fitted on a bounded sample: about SAMPLE rows a language,
-those with the smallest hashes of their key (a parameter; all rows where a language has fewer). The driver sees one number
-for each n-gram slot and the centroids.
+Document frequencies cover all training rows. The centroids are fitted on a bounded sample: about SAMPLE different texts a
+language (a parameter; all where a language has fewer), those with the smallest hashes, so nothing but text and lang is used
+and a text of many rows counts once. The driver sees one number for each n-gram slot, and the centroids.
 
 A null text or one without a letter is `und`, with score 0, and rejected. Empty training data make every text `und`.
 Repeated rows get equal results; equal cosines go to the language that sorts first. Other columns pass through, those named
@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 #: Slots that n-grams are hashed to, n-gram lengths, centroids a language, sampled rows a language, k-means rounds.
 SLOTS, GRAMS, CENTROIDS, SAMPLE, ROUNDS = 4096, (1, 2, 3), 3, 1500, 8
-MAX_LANGUAGES, MIN_LETTERS = 500, 40
-#: Quantile of the sample's cosines that is the floor; part of it that texts of so many different n-grams must reach, as a line between the two.
-LOW, FEW, MANY = 0.01, (60, 0.36), (400, 0.65)
+MIN_LETTERS = 40
+#: Quantile of the sample's cosines that is the floor; part of it that a text of so many different n-grams must reach, as lines between the points.
+LOW, ASKED = 0.01, ((40, 0.25), (90, 0.38), (400, 0.65))
 UNKNOWN = "und"
 
 
@@ -99,7 +99,7 @@ def vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def asked(x: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Part of the floor that each text must reach; 0 for those too short to be refused."""
-    return np.where(letters >= MIN_LETTERS, np.interp((x > 0).sum(1), *zip(FEW, MANY)), 0.0)
+    return np.where(letters >= MIN_LETTERS, np.interp((x > 0).sum(1), *zip(*ASKED)), 0.0)
 
 
 def _k_means(x: np.ndarray, k: int) -> np.ndarray:
@@ -119,9 +119,9 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """Learns from the rows' text and lang alone; rows with a null lang are left out. key only orders the sample."""
-    train = rows.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h"))
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
+    """Learns from the rows' text and lang alone; rows with a null lang are left out."""
+    train = rows.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit("langid")).alias("h"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SLOTS, np.int64), 0
@@ -136,10 +136,6 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     df = {r["slot"]: r["n"] for r in train.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(k, 0))) + 1 for k in range(SLOTS)], np.float32)
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["h", "text"], kind="stable")
         x, letters = vectors(group["text"].tolist(), idf)
@@ -151,13 +147,14 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         floor = float(np.quantile(near, LOW)) if len(near) else 0.0
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [v.astype(float).tolist() for v in c], "floor": floor})
 
-    if not sizes:
-        return Model([], np.zeros(0, int), np.zeros((0, SLOTS), np.float32), idf, np.zeros(0))
     span = 2**24
-    part = F.pmod("h", F.lit(span))  # the sample: rows whose hash falls into the language's part of the range
-    most = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(span, -(-sample * span // n)))) for name, n in sizes.items()])
-    found = train.where(part < most).groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>, floor double").collect()
-    found = sorted(found, key=lambda r: (r["lang"], r["centroid"]))
+    # the sample: texts whose hash falls into the language's part of the range
+    part = train.groupBy("lang").agg(F.greatest(F.approx_count_distinct("h"), F.lit(1)).alias("n")).select("lang", F.least(F.lit(span), F.ceil(sample * span / F.col("n"))).alias("most"))
+    drawn = train.join(F.broadcast(part), "lang").where(F.pmod("h", F.lit(span)) < F.col("most"))  # a row for each language
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    found = sorted(drawn.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>, floor double").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    if not found:
+        return Model([], np.zeros(0, int), np.zeros((0, SLOTS), np.float32), idf, np.zeros(0))
     names = sorted({r["lang"] for r in found})
     floors = {r["lang"]: r["floor"] for r in found}
     return Model(names, np.array([names.index(r["lang"]) for r in found], int), np.array([r["centroid"] for r in found], np.float32).reshape(-1, SLOTS), idf, np.array([floors[n] for n in names]))
