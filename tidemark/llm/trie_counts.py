@@ -3,9 +3,9 @@
 A pre-token is a word with the piece mark in front. Its best segmentation maximises the sum of the pieces' scores; the
 forward score of a prefix (best score, and the fewest pieces that give it) depends on the prefix alone, so it is computed
 once for each trie node: pre-tokens with a common prefix share the work, and a terminal node stores its token count. Each
-Python task builds one trie over the distinct pre-tokens that it meets and looks every further occurrence up; a full trie
-takes no new nodes and only the missing end of a word is computed, which bounds memory and changes no result. No shuffle: a text's count is the sum over its own
-words.
+Python worker builds one trie over the distinct pre-tokens that it meets and looks every further occurrence up; a trie of
+MAX_NODES nodes gives way to a new one, so memory is bounded, sharing goes on, and no result changes. No shuffle: a text's
+count is the sum over its own words.
 
 The vocabulary is a given public one, never trained: piece scores follow Zipf's law over the piece ranks. A character that
 no piece covers costs its UTF-8 bytes as single byte tokens.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Trie nodes, and words whose counts are stored, per task; a bound of memory only.
+#: Nodes from which a worker's trie is begun anew (about 150 MB); a bound of memory only.
 MAX_NODES = 300_000
 #: Score of one byte token.
 BYTE_SCORE = -25.0
@@ -55,6 +55,9 @@ class ForwardTrie:
             for c in piece[:-1]:
                 at = at[0].setdefault(c, ({}, None))
             at[0][piece[-1]] = (at[0].get(piece[-1], ({}, None))[0], score)
+        self._begin()
+
+    def _begin(self) -> None:
         self.root: tuple = (0.0, 0, (), {})  # score, count, open pieces, children
         self.nodes = 1
         self.terminal: dict[bytes, int] = {}
@@ -76,20 +79,23 @@ class ForwardTrie:
         return best, fewest, tuple(still), {}
 
     def tokens(self, raw: bytes) -> int:
-        """Token count of a word (UTF-8). Its pre-token is inserted if the trie has room; else only its new end is computed."""
+        """Token count of a word (UTF-8). Its pre-token is inserted, and only the nodes that are new are computed."""
         found = self.terminal.get(raw)
         if found is not None:
             return found
-        at = self.root
+        if self.nodes >= self.max_nodes:
+            self._begin()
+        at, room = self.root, self.max_nodes
         for c in MARK + raw.decode("utf-8", "surrogatepass"):
             below = at[3].get(c)
             if below is None:
                 below = self._below(at, c)
-                if self.nodes < self.max_nodes:
+                if room:  # a word of more characters than that is computed without being kept
                     at[3][c] = below
                     self.nodes += 1
+                    room -= 1
             at = below
-        if len(self.terminal) < self.max_nodes:
+        if room:
             self.terminal[raw] = at[1]
         return at[1]
 
