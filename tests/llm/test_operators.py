@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 from pathlib import Path
 
 import pytest
@@ -234,6 +235,57 @@ def test_language_rejects_what_it_has_not_seen(spark, size):
         assert langid.predict(docs, model).where(F.col("rejected") & F.col("text").rlike(r"\p{L}")).count() == 0
 
 
+@needs_data
+def test_language_equals_brute_force(spark):
+    """The whole query against plain nearest centroids: n-grams counted one by one, cosines with every centroid."""
+    import math
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    known = [r.text for r in docs.where(~langid.held_out() & F.col("lang").isNotNull()).collect()]
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else "\0" for c in (text or "").lower())
+        t = "\0" + t + "\0"
+        out = collections.Counter()
+        for n in langid.GRAMS:
+            for i in range(len(t) - n + 1):
+                if t[i + n // 2] != "\0" if n > 1 else t[i] != "\0":
+                    h = 0
+                    for k in range(n):
+                        h = (h * 0x01000193 + ord(t[i + k]) + k + 1) % 2**32
+                    h = h * 0x9E3779B1 % 2**32
+                    out[(h ^ h >> 15) % langid.SLOTS] += 1
+        return out if any(c.isalpha() for c in t) else None
+
+    seen = [g for t in known if (g := grams(t)) is not None]
+    df = collections.Counter(k for g in seen for k in g)
+    assert model.idf == pytest.approx([math.log((1 + len(seen)) / (1 + df[k])) + 1 for k in range(langid.SLOTS)], rel=1e-5)
+    got = {r.doc_id: r for r in queries.op3_language(spark, DATA).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g, mine = grams(r.text), got[r.doc_id]
+        assert mine.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if g is None:
+            assert (mine.lang_pred, mine.score, mine.rejected) == ("und", 0, True)
+            continue
+        x = {k: math.log1p(n) * float(model.idf[k]) for k, n in g.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        cosines = [sum(v * float(c[k]) for k, v in x.items()) / norm for c in model.centroids]
+        best = max(cosines)
+        assert mine.score == pytest.approx(best, abs=1e-4)
+        assert mine.lang_pred in {model.languages[o] for o, c in zip(model.owner, cosines) if c > best - 1e-4}
+
+
+def test_language_learns_from_text_and_lang_alone(spark):
+    rows = [(k, f"the text of row number {'abcdefghij'[k % 10]} and more of it" if k % 2 else f"der text der zeile {'abcdefghij'[k % 10]} und mehr davon", "en" if k % 2 else "de") for k in range(200)]
+    one, two = (langid.fit(spark.createDataFrame([(k * m, t, lang) for k, t, lang in rows], "doc_id long, text string, lang string").repartition(n)) for m, n in ((1, 2), (-7, 5)))
+    assert (one.centroids == two.centroids).all() and (one.floors == two.floors).all() and one.languages == ["de", "en"]
+    many = spark.createDataFrame([(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} text", f"l{k}") for k in range(600)], "doc_id long, text string, lang string")
+    assert len(langid.fit(many).languages) == 600
+
+
 # ---- quality rules
 
 
@@ -254,12 +306,27 @@ def test_quality_counts_of_odd_rows(odd_docs, no_docs):
 
 @needs_data
 def test_quality_keeps_good_and_drops_bad(spark):
+    """On the half of the labels that the limits were not fitted to."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = divergence.judge(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed")
+    got = divergence.judge(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed and doc_id % 2 = 1")
     share = {r["quality"]: r["x"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("x")).collect()}
     assert share[1] > 0.97 and share[0] < 0.35
 
 
+def test_quality_takes_any_language_and_clashing_names(spark):
+    """A language that no list was made for: its common words come from the corpus, and junk in it is told from it."""
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}ka" for a in "mntsl" for b in "aeiou"]
+    text = lambda n: " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(25)], k=n) + [f"zu{rng.randrange(10**6)}" for _ in range(n // 3)])
+    docs = [(k, text(200), "xx") for k in range(60)] + [(99, " ".join("".join(rng.choice("0123456789#$%") for _ in range(6)) for _ in range(200)), "xx"), (100, text(200), None), (101, None, "yy"), (102, "", "yy")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"words": F.lit(1), "common": F.lit(2), "n": F.lit(3), "d": F.lit(4), "kept": F.lit(5), "n_words": F.lit("x")})
+    lists = divergence.common_words(df)
+    held = collections.Counter(w for _, t, lang in docs if lang and t for w in set(t.split()))
+    assert lists == {"xx": [w for w, n in sorted(held.items(), key=lambda x: (-x[1], x[0])) if n >= 0.05 * 61][:24]} and len(lists["xx"]) > 10
+    got = {r["doc_id"]: r["kept"] for r in rows_of(divergence.judge(df))}
+    assert all(got[k] for k in range(60)) and got[100] and not (got[99] or got[101] or got[102])
+
+
 # ---- fingerprints
 
 
@@ -331,6 +398,28 @@ def test_tokens_of_odd_rows(odd_docs, no_docs):
     assert trie_counts.count_tokens(no_docs, MODEL).count() == 0
 
 
+@needs_data
+def test_token_counts_equal_brute_force(spark):
+    """The whole query against a plain Viterbi over each word of each text."""
+    scores = trie_counts.zipf_scores(MODEL)
+
+    def brute(word):
+        best = [(0.0, 0)]
+        for e in range(1, len(word) + 1):
+            raw = len(word[e - 1].encode())
+            options = [(best[e - 1][0] + trie_counts.BYTE_SCORE * raw, -best[e - 1][1] - raw)]
+            options += [(best[s][0] + scores[word[s:e]], -best[s][1] - 1) for s in range(max(0, e - 20), e) if word[s:e] in scores]
+            x = max(options)
+            best.append((x[0], -x[1]))
+        return best[-1][1]
+
+    assert max(map(len, scores)) <= 20
+    docs = {r.doc_id: (r.text or "").encode().split() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    counts = {w: brute(trie_counts.MARK + w.decode()) for w in {w for ws in docs.values() for w in ws}}
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in queries.op4_token_counts(spark, DATA).collect()}
+    assert got == {d: (len(ws), sum(counts[w] for w in ws)) for d, ws in docs.items()}
+
+
 # ---- pages and archives
 
 

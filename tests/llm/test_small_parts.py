@@ -61,8 +61,21 @@ def test_trie_counts_equal_a_plain_viterbi():
     rng = random.Random(2)
     words = {"".join(rng.choice("abthein.éß世🙂") for _ in range(rng.randint(1, 12))) for _ in range(800)}
     roomy, tight = trie_counts.ForwardTrie(scores), trie_counts.ForwardTrie(scores, max_nodes=50)
-    for w in words:
+    words |= {"the" * 40, "a" * 200}
+    for w in sorted(words) + sorted(words):
         assert roomy.tokens(w.encode()) == tight.tokens(w.encode()) == brute(trie_counts.MARK + w)
+        assert len(tight.terminal) <= tight.nodes <= 100
+
+
+def test_trie_computes_each_shared_prefix_once(monkeypatch):
+    calls = []
+    below = trie_counts.ForwardTrie._below
+    monkeypatch.setattr(trie_counts.ForwardTrie, "_below", lambda self, node, c: calls.append(c) or below(self, node, c))
+    trie = trie_counts.ForwardTrie(trie_counts.zipf_scores(MODEL))
+    words = ["there", "the", "then", "there", "thereby", "a"]
+    for w in words:
+        trie.tokens(w.encode())
+    assert len(calls) == len({(trie_counts.MARK + w)[: k + 1] for w in words for k in range(len(w) + 1)}) == trie.nodes - 1 and len(trie.terminal) == 5
 
 
 def test_signatures_lose_no_similar_pair():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,11 +40,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir). Where none is set, a temporary folder of a
+    local session; on a cluster this raises, as executors would write to disks of their own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-shared-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found.rstrip("/")
