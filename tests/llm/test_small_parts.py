@@ -94,7 +94,8 @@ def test_signatures_lose_no_similar_pair():
         assert shared > 0
         if not (odd_x or odd_y):
             assert shared > ngram_join.droppable(len(a)) + ngram_join.droppable(len(b))
-        p, q = (ngram_join.Bitmaps(pa.array([ngram_join.bitmap(s)])) for s in (a, b))
+        p, q = (ngram_join.Bitmaps(pa.array([ngram_join.bitmap(s)[8 * ngram_join.FOLD :]])) for s in (a, b))
+        assert p.fold(np.array([0]), ngram_join.FOLD).tobytes() == ngram_join.bitmap(a)[: 8 * ngram_join.FOLD]
         one, limit = np.array([0]), np.array([ngram_join.most_different(len(a) + len(b))])
         ok, d = ngram_join.near(p, one, q, one, limit)
         assert len(ok) == 1 and d[0] <= len(a) + len(b) - 2 * both

@@ -45,13 +45,13 @@ from tidemark.llm.fingerprint import mixed, shingle_sets
 #: Percent of similarity, units of distance beyond the need, subset size from which deletions are indexed.
 PERCENT, SLACK, DELETE_FROM = 75, 24, 5
 #: Sets in one block of comparisons, sets verified in one group, signatures sorted at once, pairs compared at once.
-BLOCK, STAR, CHUNK, PAIRS = 2048, 2000, 700_000, 400_000
+BLOCK, STAR, CHUNK, PAIRS = 2048, 500, 700_000, 400_000
 #: Bytes of text for a bucket of signatures.
 BUCKET_BYTES = 8 << 20
 #: Bits of the smallest bitmap (short sets just below the similarity would pass a smaller one too often), and bits a token.
 LEAST_BITS, TOKEN_BITS = 2048, 4
 #: 64-bit words of the fold that is compared first.
-FOLD = 8
+FOLD = 16
 #: A component is hot if it holds at least that part of all sets: bounds what is broadcast.
 HOT_COMPONENTS = 2000
 #: Segments of a band [l, 2l): l times this, from l on; below the first, single tokens.
@@ -127,10 +127,12 @@ def signatures(h: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> tup
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Parity of the hashes by their low bits: TOKEN_BITS a token or more, a power of two, and LEAST_BITS at least."""
+    """Parity of the hashes by their low bits: TOKEN_BITS a token or more, a power of two, and LEAST_BITS at least. Its fold
+    comes first."""
     bits = max(LEAST_BITS, 1 << (TOKEN_BITS * len(h) - 1).bit_length())
     parity = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(parity.astype(np.uint8)).tobytes()
+    whole = np.packbits(parity.astype(np.uint8))
+    return np.bitwise_xor.reduce(whole.view(np.uint64).reshape(-1, FOLD), axis=0).tobytes() + whole.tobytes()
 
 
 class Bitmaps:
@@ -335,9 +337,8 @@ def _limits(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _near(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose bitmaps allow the similarity, with their Hamming distance d."""
-    side = lambda c: info.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    """Pairs (a, b) whose bitmaps allow the similarity, with their Hamming distance d. First by the folds: what they allow, a
+    small part, goes on to the whole bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -346,7 +347,11 @@ def _near(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             ok, d = near(Bitmaps(t.column(4)), every, Bitmaps(t.column(5)), every, _limits(na, nb, percent))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(d)], names=["a", "b", "d"])
 
-    return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, d long")
+    for bits in ("fold", "bits"):
+        a, b = (info.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col(bits).alias(f"bits{c}")) for c in ("a", "b"))
+        both = pairs.select("a", "b").join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        pairs = settle(both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, d long"), "near")
+    return pairs
 
 
 #: Stands for a missing doc_id in joins.
@@ -508,7 +513,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     full = sets.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     info = full.groupBy("node").agg(first.alias("x"), F.first("n_shingles").alias("n_shingles"), F.max("bits").alias("bits"))
-    info = settle(info.select("node", "n_shingles", "bits", F.col("x.doc_id").alias("doc_id"), F.col("x.text_hash").alias("text_hash")), "sets")
+    fold, whole = F.substring("bits", 1, 8 * FOLD).alias("fold"), F.expr(f"substring(bits, {8 * FOLD + 1})").alias("bits")
+    info = settle(info.select("node", "n_shingles", fold, whole, F.col("x.doc_id").alias("doc_id"), F.col("x.text_hash").alias("text_hash")), "sets")
     reps = info.select("node", *_place())
 
     distinct = settle(distinct.distinct(), "members")
@@ -519,7 +525,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     central = members.groupBy("node").agg(F.sum("g").alias("weight"))
     stars = settle(members.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig", F.col("x.node").alias("a")), "stars")
     pairs = members.join(stars, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    close = settle(_near(pairs, info, percent), "near")
+    close = _near(pairs, info, percent)
     best = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = settle(_verified(best, docs, reps, percent), "links")
     comp = components(links)
@@ -531,9 +537,13 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     costly = Window.partitionBy("node").orderBy(F.desc("g"), "sig")
     live = members.where("g > 2").join(info.select("node", "n_shingles"), "node")  # of two, one is the star
     live = live.withColumn("stays", F.row_number().over(costly) > F.floor(least / 2))
-    lacking = members.join(odd, "node").select("sig").distinct().withColumn("lacks", F.lit(True))
-    kept = live.join(lacking, "sig", "left").where(F.col("stays") | F.coalesce("lacks", F.col("sig") < 0)).select("sig", "node", "g")
-    kept = kept.join(comp, "node", "left").select("sig", "node", "g", F.coalesce("comp", "node").alias("comp"))
+    live = live.join(comp, "node", "left").select("sig", "node", "g", "stays", F.coalesce("comp", "node").alias("comp"))
+    lacking = settle(members.join(odd, "node").select("sig").distinct(), "lacking")
+    stays = F.col("stays") | (F.col("sig") < 0)
+    if not lacking.isEmpty():
+        live = live.join(lacking.withColumn("lacks", F.lit(True)), "sig", "left")
+        stays = stays | F.coalesce("lacks", F.lit(False))
+    kept = settle(live.where(stays).select("sig", "node", "g", "comp"), "kept")
     groups = settle(kept.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"), "groups")
     across = _across(kept.join(groups, "sig").join(info.select("node", "n_shingles", "bits"), "node"), percent)
     rest = settle(apart.unionByName(across).distinct().join(best.withColumn("was", F.lit(True)), ["a", "b"], "left_anti"), "rest")
