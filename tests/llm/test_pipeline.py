@@ -6,6 +6,7 @@ from pathlib import Path
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_operators import MODEL, brute_join, brute_lines, words
 from test_small_parts import brute_targets
 
@@ -52,3 +53,31 @@ def test_stages_keep_their_columns(spark, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, no_docs, "").count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd_docs):
+    """Each stage's decisions on rows with nulls, ties, repeated and very long texts, and with columns of clashing names."""
+    docs = odd_docs.withColumns({"comp": F.lit(1), "n_lines": F.lit(2), "rejected": F.lit("x"), "taken": F.lit(3), "lines": F.lit(4)}).cache()
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    of = lambda name: stages[name](spark, docs, "")
+    got = collections.Counter((r.doc_id, r.text) for r in of("language_id").collect())
+    assert got <= collections.Counter((d, t) for d, t, _ in rows if any(c.isalpha() for c in t or "")) and len(got) > 5
+    lines = collections.Counter((r.doc_id, r.text, r.n_chars) for r in of("line_dedup").collect())
+    length = {(r.doc_id, r.text): r.n_chars for r in docs.collect()}
+    want = collections.Counter()
+    for d, _, dropped, text in brute_lines([(d, t) for d, t, _ in rows]):
+        want[d, text] += 1
+    assert collections.Counter((d, t) for d, t, _ in lines.elements()) == want
+    assert all(n == length.get((d, t), len(t)) for d, t, n in lines if (d, t) in length or t)
+    kept = collections.Counter((r.doc_id, r.text) for r in of("ngram_join").collect())
+    component = collections.defaultdict(set)
+    for d, n, c in brute_join([(d, t) for d, t, _ in rows]):
+        component[d].add((n, c))
+    for d, t, _ in rows:
+        alone = not words(t) or d is None or d in {c for _, c in component[d]}
+        assert ((d, t) in kept) == alone or d is None, (d, t)
+    assert sum(kept.values()) >= 9
+    taken = of("mixing").collect()
+    assert all(words(r.text) for r in taken) and max(collections.Counter((r.doc_id, r.text) for r in taken).values()) <= 4  # a repeated row, twice
+    assert of("sentencepiece").where("n_tokens = 2").count() == sum(not (t or "") for _, t, _ in rows)
