@@ -93,8 +93,12 @@ def test_run_all_twice_gives_the_same(spark, raw, tmp_path):
     assert len(history) == 4 and {r.segment for r in spark.read.parquet(f"{cfg.warehouse_directory}/core/visitor_profile").collect()} == {"first_time_buyer", "other"}
     refused = cli.run("metrics", cfg, spark, MARTS[-2:])
     assert refused["marts"] == ["event_sessions"] and "sample_journeys" in refused["refused"]
-    exported = cli.run("export", cfg, spark, ("event_sessions", "transaction_count"))
+    cli.run("metrics", cfg, spark, ("sample_events", "category_ancestors"))
+    exported = cli.run("export", cfg, spark, ("event_sessions", "transaction_count", "sample_events", "category_ancestors"))
     assert exported["public"] == ["transaction_count"]
+    sheets, about = sinks.read_sheets(spark, cfg.export_directory)
+    assert [(r.event_id, r.event_label, r.has_transaction_id) for r in sheets["sample_events"].collect()] == [(1, "浏览", False), (2, "加入购物车", False), (3, "交易", True), (4, "交易", True), (5, None, False)]
+    assert [tuple(r) for r in sheets["category_ancestors"].collect()] == [(1, None), (7, 1)] and about["counts"] == {"sample_events": 5, "category_ancestors": 2}
 
 
 def test_every_query_reads_a_warehouse(spark, raw, tmp_path):

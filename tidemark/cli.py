@@ -16,6 +16,10 @@ from tidemark.config import Config, ConfigError, load
 
 # The commands.
 COMMANDS = ("ingest", "build", "metrics", "validate", "export", "run-all")
+#: Samples that `export` writes as sheets, with the order of their rows.
+SHEETS = {
+    "sample_events": ("event_id",), "sample_journeys": ("visitorid", "us", "event_id"), "sample_properties": ("priority", "itemid", "property", "us", "value"), "category_ancestors": ("categoryid",),
+}
 #: Marts of single checks that `validate` adds to the quality report, as (numerator, denominator) columns.
 RATIOS = ("item_property_coverage_rate", "category_linkage_rate")
 
@@ -115,12 +119,20 @@ def _validate(spark, cfg: Config, done: dict) -> None:
 
 
 def _export(spark, cfg: Config, done: dict, marts: Iterable[str] | None) -> None:
+    from tidemark.operators import sampling
     from tidemark.plans import behaviour, commerce  # noqa: F401
     from tidemark.plans.registry import REGISTRY
     from tidemark.sources import sinks
 
     done["public"] = []
-    for name in marts or sorted(set(REGISTRY) - set(done.get("refused", ()))):
+    names = list(marts or sorted(set(REGISTRY) - set(done.get("refused", ()))))
+    samples = {name: spark.read.parquet(f"{cfg.warehouse_directory}/mart/{name}") for name in names if name in SHEETS}
+    if samples:
+        order = {name: [c for c in columns if c in samples[name].columns] for name, columns in SHEETS.items() if name in samples}
+        counts = {name: df.count() for name, df in samples.items()}
+        about = {"seed": sampling.SEED, "session_gap_minutes": cfg.session_gap_minutes, "counts": counts}
+        sinks.write_sheets({name: df.orderBy(*order[name]) for name, df in samples.items()}, cfg.export_directory, about)
+    for name in names:
         df = spark.read.parquet(f"{cfg.warehouse_directory}/mart/{name}")
         origin = "synthetic" if cfg.demo_mode else REGISTRY[name].origin
         sinks.write_mart(df, cfg.export_directory, name, origin)

@@ -56,6 +56,23 @@ def write_manifest(spark: SparkSession, folder: str, about: dict) -> None:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
 
 
+def write_sheets(sheets: dict[str, DataFrame], folder: str, metadata: dict) -> None:
+    """A sample for reading by people: each sheet, in the order of its rows, and the metadata as JSON with all characters kept.
+    The sheets are samples of bounded size."""
+    for name, df in sheets.items():
+        df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/sheets/{name}.json")
+    spark = next(iter(sheets.values())).sparkSession
+    about = metadata | {"headers": {name: df.columns for name, df in sheets.items()}}
+    text = json.dumps(about, ensure_ascii=False, default=str, indent=1)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/sheets/metadata.json")
+
+
+def read_sheets(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict]:
+    """The sheets and metadata that write_sheets wrote, with the columns in their order."""
+    about = json.loads(spark.read.option("wholetext", True).text(f"{folder}/sheets/metadata.json").first()[0])
+    return {name: spark.read.option("multiLine", False).json(f"{folder}/sheets/{name}.json").select(*columns) for name, columns in about["headers"].items()}, about
+
+
 def summary(rows: dict) -> str:
     """Markdown of a few figures."""
     return "\n".join(["| figure | value |", "|-|-|", *(f"| {k} | {json.dumps(v, ensure_ascii=False, default=str)} |" for k, v in rows.items())])
