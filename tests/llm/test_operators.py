@@ -373,12 +373,16 @@ def test_fingerprints_of_given_documents(spark):
 def test_fingerprints_of_a_doc_id_with_many_rows(spark, monkeypatch):
     """A missing doc_id of half of all rows is dealt over several ranges, and its rows still follow each other."""
     monkeypatch.setattr(fingerprint, "RANGE_BYTES", 400)
+    monkeypatch.setattr(fingerprint, "PIECES", 16)
     docs = spark.range(300).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some text of row "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("h"), F.lit(2).alias("part"))
     rows = sorted((-1 if r.doc_id is None else r.doc_id, r.x, r.text) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("x")).collect())
     want = sorted((d, hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(k + 1) % 300][2][: len(t) // 2]).encode()).hexdigest()) for k, (d, _, t) in enumerate(rows))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.edited_sha256) for r in fingerprint.with_next(docs).collect()) == want
     dealt = fingerprint.by_range(docs).where("role = 0").groupBy("part").count().collect()
     assert len(dealt) > 10 and max(r["count"] for r in dealt) < 60
+    long = spark.range(64).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.when(F.col("id") < 8, 100).otherwise(1)).alias("text"))
+    dealt = fingerprint.by_range(long).where("role = 0").groupBy("part").agg(F.sum(F.length("text")).alias("n")).collect()
+    assert max(r["n"] for r in dealt) <= 500 + 5 and len(dealt) >= 9
 
 
 # ---- tokens

@@ -7,7 +7,7 @@ same rule again. A fingerprint is the base64 text of the sorted 48-bit hashes, e
 
 `with_next` pairs each document with the start of the next one by doc_id without a global sort in one task: documents are
 dealt by doc_id ranges, each range is sorted, and the first document of each range is also sent to the range before it. The
-number of ranges follows from the bytes of the texts. A doc_id of many rows (a missing one, say) is dealt over several ranges
+ranges follow from the bytes of the texts: many pieces of equal rows are measured and put together. A doc_id of many rows (a missing one, say) is dealt over several ranges
 by the hash of its texts; only rows with equal doc_id and text stay together.
 Nulls are empty texts; a null doc_id comes first; repeated doc_ids follow each other by the hash of their text, then by
 text. With a single document the next one is the document itself. An empty table gives an empty table; other columns are
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, part of the hash range that is kept, bits of a hash.
 WORDS, FRACTION, BITS = 5, 1 / 4, 48
-#: Bytes of text in a range of doc_ids (there are as many ranges as shuffle partitions at least), ranges that one doc_id may fill.
-RANGE_BYTES, MAX_SPLIT = 32 << 20, 1 << 20
+#: Bytes of text in a range of doc_ids (there are as many ranges as shuffle partitions at least), pieces that the bytes are
+#: counted by for each range, pieces that one doc_id may fill.
+RANGE_BYTES, PIECES, MAX_SPLIT = 128 << 20, 4, 1 << 20
 #: Stands for a missing doc_id: below every long that occurs as one.
 NO_DOC = -(2**63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -174,32 +175,44 @@ def by_range(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text, doc = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))
     src = docs.select(doc.alias("doc_id"), text.alias("text"))
-    rows, size = src.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
-    at = F.array(*[F.lit(k / n) for k in range(1, n)]) if n > 1 else F.array(F.lit(1.0))
-    cuts = src.agg(F.percentile_approx("doc_id", at, max(10_000, 10 * n))).first()[0] or []
-    often = {c: k + 1 for c, k in Counter(cuts).items() if k > 1}  # these fill several ranges
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = PIECES * max(least, -(-size // RANGE_BYTES))
+    at = F.array(*[F.lit(k / n) for k in range(1, n)])
+    cuts = src.agg(F.percentile_approx("doc_id", at, max(10_000, 2 * n))).first()[0] or []
+    often = {c: k + 1 for c, k in Counter(cuts).items() if k > 1}  # these fill several pieces
     cuts = np.array(sorted(set(cuts)), np.int64)
     hot = np.array(sorted(often), np.int64)
     split = np.array([min(MAX_SPLIT, often[c]) for c in hot.tolist()], np.uint64)
 
-    @F.pandas_udf("long")
-    def part(ids: pd.Series, h: pd.Series) -> pd.Series:
+    def piece(ids: pd.Series, h: pd.Series) -> np.ndarray:
         own = ids.to_numpy(np.int64)
         out = np.searchsorted(cuts, own, "left").astype(np.int64) * (2 * MAX_SPLIT)
-        if len(hot):  # below its range's own rows, as the cut itself is the last doc_id of its range
+        if len(hot):  # behind its piece's other rows, as the cut itself is the last doc_id of its piece
             k = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
             top = (h.to_numpy(np.int64).astype(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
             out += np.where(hot[k] == own, 1 + ((top * split[k]) >> np.uint64(32)).astype(np.int64), 0)
-        return pd.Series(out, index=ids.index)
+        return out
 
     keyed = src.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    measured = keyed.select(F.pandas_udf(lambda i, h: pd.Series(piece(i, h), index=i.index), "long")("doc_id", "h").alias("piece"), "doc_id", "h", F.octet_length("text").alias("bytes"))
+    found = measured.groupBy("piece").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.sum("bytes").alias("bytes")).orderBy("piece").select("piece", "x.*", "bytes").collect()  # PIECES a range
+    firsts, upto, limit = [], 0, min(RANGE_BYTES, size // least + 1)
+    for r in found:
+        if not firsts or upto + r["bytes"] > limit:
+            firsts.append(r)
+            upto = 0
+        upto += r["bytes"]
+    starts = np.array([r["piece"] for r in firsts], np.int64)
+
+    @F.pandas_udf("long")
+    def part(ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, piece(ids, h), "right") - 1, index=ids.index)
+
     dealt = keyed.select(part("doc_id", "h").alias("part"), F.lit(0).alias("role"), "doc_id", "h", "text")
-    firsts = keyed.select(part("doc_id", "h").alias("part"), "doc_id", "h").groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("x"))
-    firsts = firsts.orderBy("part").select("part", "x.*").collect()  # one row per range
     if firsts:
-        before = spark.createDataFrame([(r["doc_id"], r["h"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)], "doc_id long, h long, part long")
-        again = keyed.join(F.broadcast(before), ["doc_id", "h"]).groupBy("doc_id", "h", "part").agg(F.min("text").alias("text"))
+        before = spark.createDataFrame([(r["doc_id"], r["h"], (k - 1) % len(firsts)) for k, r in enumerate(firsts)], "doc_id long, h long, part long")
+        again = keyed.join(F.broadcast(before), ["doc_id", "h"]).groupBy("doc_id", "h", "part").agg(F.min("text").alias("text"))  # a row for each range
         dealt = dealt.unionByName(again.select("part", F.lit(1).alias("role"), "doc_id", "h", "text"))
     return dealt.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "role", "doc_id", "h", "text")
 
