@@ -50,7 +50,8 @@ def test_lines_on_odd_rows(spark, odd_docs):
     docs = odd_docs.withColumns({"lines": F.lit("mine"), "r1": F.lit(1), "n_lines": F.lit("old"), "gone": F.lit(2)})
     got = line_runs.drop_repeated_lines(docs)
     assert {"lines", "r1", "gone"} <= set(got.columns)
-    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in rows_of(got)), key=repr) == brute_lines([(r.doc_id, r.text) for r in odd_docs.collect()])
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in rows_of(got)),
+        key=repr) == brute_lines([(r.doc_id, r.text) for r in odd_docs.collect()])
 
 
 def test_lines_count_a_repeated_doc_id_once(spark):
@@ -71,7 +72,8 @@ def test_runs_compact_and_anti_join(spark):
     """Batches that arrive one by one: unseen lines are inserted, seen ones update the count, and runs are compacted by level."""
     runs = line_runs.LineRuns(spark)
     batch = lambda *ks: spark.createDataFrame([(k, -k, d) for k, d in ks], "h1 long, h2 long, doc_id long")
-    steps = [(((1, 90), (2, 90), (2, 80)), set(), [1]), (((2, 70), (3, 70)), {2}, [0, 1]), (((4, 60), (1, 50)), {1}, [1, 1]), (((4, 40), (2, 40), (5, 30)), {4, 2}, [0, 0, 1])]
+    steps = [(((1, 90), (2, 90), (2, 80)), set(), [1]), (((2, 70), (3, 70)), {2}, [0, 1]), (((4, 60), (1, 50)), {1}, [1, 1]),
+        (((4, 40), (2, 40), (5, 30)), {4, 2}, [0, 0, 1])]
     for rows, seen, levels in steps:
         assert {r.h1 for r in runs.meet(batch(*rows)).where("seen").collect()} == seen
         runs.add(batch(*rows))
@@ -169,10 +171,12 @@ def test_join_of_sets_whose_hashes_clash(spark, monkeypatch, kept):
 def test_join_links_rows_without_a_doc_id(spark):
     base = [f"w{k}" for k in range(60)]
     near = " ".join([*base[:-1], "end"])
-    docs = [(1, " ".join(base)), (None, near), (None, near + " more"), (None, "a text that is unlike all of the others"), (None, "another text that is unlike the rest here"), (2, None), (2, "")]
+    docs = [(1, " ".join(base)), (None, near), (None, near + " more"), (None, "a text that is unlike all of the others"),
+        (None, "another text that is unlike the rest here"), (2, None), (2, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert joined(df) == brute_join(docs)
-    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in ngram_join.one_of_each(df).collect()) == [(0, "a text th"), (0, "another t"), (1, "w0 w1 w2 "), (2, ""), (2, "")]
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in ngram_join.one_of_each(df).collect()) == [(0, "a text th"), (0, "another t"),
+        (1, "w0 w1 w2 "), (2, ""), (2, "")]
     alone = spark.createDataFrame(docs[1:3], "doc_id long, text string")
     assert [(r.n_shingles, r.component_id) for r in ngram_join.join(alone).orderBy("n_shingles").collect()] == [(56, None), (57, None)]
     assert ngram_join.one_of_each(alone).count() == 1
@@ -219,7 +223,8 @@ def test_language_rejects_what_it_has_not_seen(spark, size):
     if not Path(f"/root/testdata/{size}").exists():
         pytest.skip("the given tables are not here")
     rng = random.Random(3)
-    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n)) for n in (12, 15, 30, 60, 100, 300, 1000, 2000, 5000, 20000)]
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n))
+        for n in (12, 15, 30, 60, 100, 300, 1000, 2000, 5000, 20000)]
     unseen = [
         "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
         "W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie, że chrząszcz brzmi w trzcinie.",
@@ -227,7 +232,8 @@ def test_language_rejects_what_it_has_not_seen(spark, size):
         "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
     ]
     docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text", "lang")
-    wrong = docs.where("lang = 'en' and length(text) between 200 and 400").orderBy("doc_id").limit(1).select(F.lit(-1).alias("doc_id"), "text", F.lit("de").alias("lang"))
+    wrong = docs.where("lang = 'en' and length(text) between 200 and 400").orderBy("doc_id").limit(1).select(F.lit(-1).alias("doc_id"), "text",
+        F.lit("de").alias("lang"))
     for train in (docs, docs.unionByName(wrong)):
         model = langid.fit(train)
         new = spark.createDataFrame([(t,) for t in junk + unseen], "text string")
@@ -279,10 +285,13 @@ def test_language_equals_brute_force(spark):
 
 
 def test_language_learns_from_text_and_lang_alone(spark):
-    rows = [(k, f"the text of row number {'abcdefghij'[k % 10]} and more of it" if k % 2 else f"der text der zeile {'abcdefghij'[k % 10]} und mehr davon", "en" if k % 2 else "de") for k in range(200)]
-    one, two = (langid.fit(spark.createDataFrame([(k * m, t, lang) for k, t, lang in rows], "doc_id long, text string, lang string").repartition(n)) for m, n in ((1, 2), (-7, 5)))
+    rows = [(k, f"the text of row number {'abcdefghij'[k % 10]} and more of it" if k % 2
+        else f"der text der zeile {'abcdefghij'[k % 10]} und mehr davon", "en" if k % 2 else "de") for k in range(200)]
+    one, two = (langid.fit(spark.createDataFrame([(k * m, t, lang) for k, t, lang in rows],
+        "doc_id long, text string, lang string").repartition(n)) for m, n in ((1, 2), (-7, 5)))
     assert (one.centroids == two.centroids).all() and (one.floors == two.floors).all() and one.languages == ["de", "en"]
-    many = spark.createDataFrame([(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} text", f"l{k}") for k in range(600)], "doc_id long, text string, lang string")
+    many = spark.createDataFrame([(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} text", f"l{k}") for k in range(600)],
+        "doc_id long, text string, lang string")
     assert len(langid.fit(many).languages) == 600
 
 
@@ -308,7 +317,8 @@ def test_quality_counts_of_odd_rows(odd_docs, no_docs):
 def test_quality_keeps_good_and_drops_bad(spark):
     """On the half of the labels that the limits were not fitted to."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = divergence.judge(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed and doc_id % 2 = 1")
+    got = divergence.judge(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"),
+        "doc_id").where("not base_failed and doc_id % 2 = 1")
     share = {r["quality"]: r["x"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("x")).collect()}
     assert share[1] > 0.97 and share[0] < 0.35
 
@@ -317,9 +327,12 @@ def test_quality_takes_any_language_and_clashing_names(spark):
     """A language that no list was made for: its common words come from the corpus, and junk in it is told from it."""
     rng = random.Random(6)
     vocabulary = [f"{a}{b}ka" for a in "mntsl" for b in "aeiou"]
-    text = lambda n: " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(25)], k=n) + [f"zu{rng.randrange(10**6)}" for _ in range(n // 3)])
-    docs = [(k, text(200), "xx") for k in range(60)] + [(99, " ".join("".join(rng.choice("0123456789#$%") for _ in range(6)) for _ in range(200)), "xx"), (100, text(200), None), (101, None, "yy"), (102, "", "yy")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"words": F.lit(1), "common": F.lit(2), "n": F.lit(3), "d": F.lit(4), "kept": F.lit(5), "n_words": F.lit("x")})
+    text = lambda n: " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(25)],
+        k=n) + [f"zu{rng.randrange(10**6)}" for _ in range(n // 3)])
+    docs = [(k, text(200), "xx") for k in range(60)] + [(99, " ".join("".join(rng.choice("0123456789#$%") for _ in range(6))
+        for _ in range(200)), "xx"), (100, text(200), None), (101, None, "yy"), (102, "", "yy")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"words": F.lit(1), "common": F.lit(2), "n": F.lit(3),
+        "d": F.lit(4), "kept": F.lit(5), "n_words": F.lit("x")})
     lists = divergence.common_words(df)
     held = collections.Counter(w for _, t, lang in docs if lang and t for w in set(t.split()))
     assert lists == {"xx": [w for w, n in sorted(held.items(), key=lambda x: (-x[1], x[0])) if n >= 0.05 * 61][:24]} and len(lists["xx"]) > 10
@@ -365,8 +378,10 @@ def test_fingerprints_of_given_documents(spark):
     for k, (d, t) in enumerate(docs):
         edited = t[: len(t) - len(t) // 2] + docs[(k + 1) % len(docs)][1][: len(t) // 2]
         new = sketch(edited)
-        want[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), coded(own[k]), coded(new), likeness(own[k], new), likeness(own[k], own[(k + 1) % len(docs)]))
-    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in queries.op5_fingerprint(spark, DATA).collect()}
+        want[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), coded(own[k]), coded(new), likeness(own[k], new),
+            likeness(own[k], own[(k + 1) % len(docs)]))
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next)
+        for r in queries.op5_fingerprint(spark, DATA).collect()}
     assert got == want
 
 
@@ -374,9 +389,11 @@ def test_fingerprints_of_a_doc_id_with_many_rows(spark, monkeypatch):
     """A missing doc_id of half of all rows is dealt over several ranges, and its rows still follow each other."""
     monkeypatch.setattr(fingerprint, "RANGE_BYTES", 400)
     monkeypatch.setattr(fingerprint, "PIECES", 16)
-    docs = spark.range(300).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some text of row "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("h"), F.lit(2).alias("part"))
+    docs = spark.range(300).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"),
+        F.concat(F.lit("some text of row "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("h"), F.lit(2).alias("part"))
     rows = sorted((-1 if r.doc_id is None else r.doc_id, r.x, r.text) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("x")).collect())
-    want = sorted((d, hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(k + 1) % 300][2][: len(t) // 2]).encode()).hexdigest()) for k, (d, _, t) in enumerate(rows))
+    want = sorted((d, hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(k + 1) % 300][2][: len(t) // 2]).encode()).hexdigest()) for k,
+        (d, _, t) in enumerate(rows))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.edited_sha256) for r in fingerprint.with_next(docs).collect()) == want
     dealt = fingerprint.by_range(docs).where("role = 0").groupBy("part").count().collect()
     assert len(dealt) > 10 and max(r["count"] for r in dealt) < 60
@@ -429,21 +446,25 @@ def test_token_counts_equal_brute_force(spark):
 
 @pytest.fixture(scope="module")
 def odd_pages(spark):
-    rows = [(1, "http://a", "<article><p>" + "x" * 200_000 + "</p></article>"), (2, None, "<article><p>" + "x" * 200_000 + "</p></article>"), (3, "u", None), (4, "u", ""), (5, "u", "<p>short"), (6, "v", "<p>short"), (7, "w", "y" * 120), (7, "w", "y" * 120), (8, "w", "y" * 120), (None, "n", "z" * 300), (9, "é ß", "<p>世界" * 9000), (9, "é ß", "<p>世界" * 9000)]
+    rows = [(1, "http://a", "<article><p>" + "x" * 200_000 + "</p></article>"), (2, None, "<article><p>" + "x" * 200_000 + "</p></article>"),
+        (3, "u", None), (4, "u", ""), (5, "u", "<p>short"), (6, "v", "<p>short"), (7, "w", "y" * 120), (7, "w", "y" * 120), (8, "w", "y" * 120),
+            (None, "n", "z" * 300), (9, "é ß", "<p>世界" * 9000), (9, "é ß", "<p>世界" * 9000)]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
 def test_archives_give_back_odd_pages(spark, odd_pages):
     path = scratch_path(spark, "warc-test")
     warc.write_archives(odd_pages.withColumn("d", F.lit(1)), path)
-    got = collections.Counter((r["name"].split(":")[2], r["payload_bytes"], r["payload_digest"], r["kind"], (r["refers_to"] or "::").split(":")[2] or None, r["intact"]) for r in rows_of(warc.reassemble(warc.read_records(spark, path))))
+    got = collections.Counter((r["name"].split(":")[2], r["payload_bytes"], r["payload_digest"], r["kind"],
+        (r["refers_to"] or "::").split(":")[2] or None, r["intact"]) for r in rows_of(warc.reassemble(warc.read_records(spark, path))))
     want = collections.Counter()
     rows = odd_pages.collect()
     for r in rows:
         raw = (r.html or "").encode()
         first = min((x.page_id for x in rows if x.page_id is not None and (x.html or "") == (r.html or "")), default=None)
         again = len(raw) >= 100 and r.page_id is not None and first < r.page_id
-        want[("" if r.page_id is None else str(r.page_id), len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", str(first) if again else None, True)] += 1
+        want[("" if r.page_id is None else str(r.page_id), len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response",
+            str(first) if again else None, True)] += 1
     assert got == want
 
 
@@ -474,18 +495,21 @@ def test_a_mixed_foreign_archive_loses_nothing(spark, tmp_path, packed):
     records.insert(0, warc_record(b"software: x", kind="warcinfo", name="info"))
     digest = hashlib.sha256(b"page 3 WARC/1.0\r\n" + b"z" * 300).hexdigest()
     for name, to, said in (("r1", "p3", digest), ("r2", "p4", digest), ("r3", "nowhere", digest)):
-        records.append(warc_record(head, kind="revisit", name=name).replace(b"Content-Length", f"WARC-Refers-To: <{to}>\r\nWARC-Payload-Digest: sha256:{said}\r\nContent-Length".encode()))
+        records.append(warc_record(head, kind="revisit", name=name).replace(b"Content-Length",
+            f"WARC-Refers-To: <{to}>\r\nWARC-Payload-Digest: sha256:{said}\r\nContent-Length".encode()))
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / ("a.warc.gz" if packed else "a.warc")).write_bytes(b"".join(map(gzip.compress, records)) if packed else b"".join(records))
-    (folder / ("b.warc.gz" if packed else "b.warc")).write_bytes(gzip.compress(warc_record(head + b"b", name="b")) if packed else warc_record(head + b"b", name="b"))
+    (folder / ("b.warc.gz" if packed else "b.warc")).write_bytes(gzip.compress(warc_record(head + b"b", name="b")) if packed
+        else warc_record(head + b"b", name="b"))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
     try:
         got = {r["name"]: r for r in rows_of(warc.reassemble(warc.read_records(spark, str(folder))))}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert set(got) == {f"p{k}" for k in range(200)} | {"broken", "b", "r1", "r2", "r3"}
-    assert all(bytes(got[f"p{k}"]["payload"]) == b"page %d WARC/1.0\r\n" % k + b"z" * 300 and got[f"p{k}"]["intact"] for k in range(200)) and not got["broken"]["intact"]
+    assert all(bytes(got[f"p{k}"]["payload"]) == b"page %d WARC/1.0\r\n" % k + b"z" * 300 and got[f"p{k}"]["intact"]
+        for k in range(200)) and not got["broken"]["intact"]
     assert (got["r1"]["payload_bytes"], got["r1"]["payload_digest"], got["r1"]["intact"]) == (317, digest, True)
     assert not got["r2"]["intact"] and not got["r3"]["intact"] and got["r3"]["payload_digest"] is None
 
@@ -524,13 +548,15 @@ def test_extraction_keeps_columns_with_clashing_names(spark):
 def test_mix_of_odd_rows(odd_docs, no_docs):
     docs = odd_docs.withColumns({"lane": F.lit(1), "taken": F.lit("old"), "end": F.lit(3), "row": F.lit(4)})
     got = rows_of(mixing.mix(docs))
-    assert len(got) == 14 and all(r["size"] == len(words(r["text"])) and r["taken"] % max(1, r["size"]) == 0 and 0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert len(got) == 14 and all(r["size"] == len(words(r["text"])) and r["taken"] % max(1, r["size"]) == 0
+        and 0 <= r["taken"] <= 2 * r["size"] for r in got)
     assert {r["source"] for r in got} == {"a", "b", "c", None}
     assert mixing.mix(no_docs).count() == 0
 
 
 def test_mix_comes_near_targets_and_repeats(spark):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
     got = [sorted((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(n)).collect()) for n in (2, 9)]
     assert got[0] == got[1]
     by = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
@@ -559,4 +585,5 @@ def test_equals_sql(spark, name):
     assert cols == sorted(sql.columns)
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     at = [sql.columns.index(c) for c in cols]
-    assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr) == sorted((tuple(plain(r[k]) for k in at) for r in sql.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()),
+        key=repr) == sorted((tuple(plain(r[k]) for k in at) for r in sql.fetchall()), key=repr)

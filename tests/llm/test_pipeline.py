@@ -43,8 +43,10 @@ def test_pipeline_equals_brute_force(spark):
     for d, _, lang, source in docs:
         if copies.get(d):
             ids = library.encode(kept[d], add_bos=True, add_eos=True)
-            want[d, lang, source, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += copies[d]
-    got = collections.Counter((r.doc_id, r.lang, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, DATA).collect())
+            want[d, lang, source, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(),
+                hashlib.sha256(library.decode(ids).encode()).hexdigest()] += copies[d]
+    got = collections.Counter((r.doc_id, r.lang, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256)
+        for r in corpus_pipeline.run(spark, DATA).collect())
     assert got == want and len(got) > 100
 
 

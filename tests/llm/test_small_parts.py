@@ -75,7 +75,8 @@ def test_trie_computes_each_shared_prefix_once(monkeypatch):
     words = ["there", "the", "then", "there", "thereby", "a"]
     for w in words:
         trie.tokens(w.encode())
-    assert len(calls) == len({(trie_counts.MARK + w)[: k + 1] for w in words for k in range(len(w) + 1)}) == trie.nodes - 1 and len(trie.terminal) == 5
+    assert len(calls) == len({(trie_counts.MARK + w)[: k + 1] for w in words
+        for k in range(len(w) + 1)}) == trie.nodes - 1 and len(trie.terminal) == 5
 
 
 def test_signatures_lose_no_similar_pair():
@@ -106,7 +107,8 @@ def test_signatures_lose_no_similar_pair():
 def test_shingle_sets_equal_plain_ones():
     rng = random.Random(8)
     words = ["a", "é" * 300, "z" * 64, "z" * 65, "Z" * 70, "B", "b", "世界", "x\x1cy", *(f"w{k}" for k in range(30))]
-    texts = [None, "", " \t\n\x0b\x0c\r ", *("".join(rng.choice(words) + rng.choice([" ", "\n", "\t \r"]) for _ in range(rng.randint(0, 60))) for _ in range(300))]
+    texts = [None, "", " \t\n\x0b\x0c\r ", *("".join(rng.choice(words) + rng.choice([" ", "\n", "\t \r"]) for _ in range(rng.randint(0, 60)))
+        for _ in range(300))]
     column = pa.array(["left out", *texts], pa.string()).slice(1)
     split = [(t or "").encode().lower().split() for t in texts]
     h, n = fingerprint.word_hashes(column)
@@ -134,7 +136,8 @@ def test_sketches_merge_and_estimate_containment():
 
 
 def test_warc_record_survives_odd_payloads():
-    for payload in ("", "x" * 200_000, "é世🙂" * 40_000, warc.VERSION * 9000, warc.MARK * 9000, "a\r\n\r\n" + warc.VERSION + "WARC-Type: response\r\n\r\n"):
+    for payload in ("", "x" * 200_000, "é世🙂" * 40_000, warc.VERSION * 9000, warc.MARK * 9000,
+        "a\r\n\r\n" + warc.VERSION + "WARC-Type: response\r\n\r\n"):
         records = warc.records_of(7, "http://a/b c\r\nd", payload, "0" * 64, None)
         stream = "".join(r + "\r\n" for r in records)
         pieces = stream.encode().split(warc.MARK.encode())
@@ -181,7 +184,8 @@ def test_broken_framing_is_an_error():
     [
         (None, ""), ("", ""), ("<html><head><title>T</title></head><body></body></html>", ""), ("just text &amp; more", "just text & more"),
         ("<article><h1>A</h1><p>x <!-- no --> y<script>var a='<p>';</script></p></article><!-- open", "A\nx y"),
-        ("<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p><b>One<br><p>Two  words&nbsp;here</p></article><footer>foot</footer>", "Head\nOne\nTwo words here"),
+        ("<body><nav><a href=/>Home</a></nav><article><h1>Head</h1><p><b>One<br><p>Two  words&nbsp;here</p></article><footer>foot</footer>",
+            "Head\nOne\nTwo words here"),
         ("<body><ul><li><a href=a>Home page</a><li><a href=b>About us</a></ul><div><p>Text one is rather long for a menu, is it not?<p>Text two &lt;b&gt; is here.</div></body>", "Text one is rather long for a menu, is it not?\nText two <b> is here."),
         ("<body><main><h1>T</h1><p>A long enough paragraph of the article itself.</p><section id=comments><p>I disagree with all of this, and at length too, dear author.</p></section></main><div class='cookie-notice'>We use cookies</div><aside>More</aside></body>", "T\nA long enough paragraph of the article itself."),
         ("<body class='no-sidebar'><form><div class='page-with-sidebar'><article><h1>T</h1><p>Article text that is long enough to count as one.</p></article><div class=sidebar><p>Side</p></div></div></form><ol class=commentlist><li><article class=comment><p>A comment that is longer than the article itself, by some way, as they are at times.</p></article></ol></body>", "T\nArticle text that is long enough to count as one."),
@@ -192,7 +196,8 @@ def test_main_text(page, text):
     assert html_density.main_text(page) == text
 
 
-@pytest.mark.parametrize("says", ['style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="A hidden valley"', 'data-hidden="no"', 'class="no-comments"', 'class="post comments-open"', 'class="post tag-comments"'])
+@pytest.mark.parametrize("says", ['style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="A hidden valley"',
+    'data-hidden="no"', 'class="no-comments"', 'class="post comments-open"', 'class="post tag-comments"'])
 def test_names_that_do_not_hide(says):
     text = "A paragraph that is long enough to be the article of this page."
     assert html_density.main_text(f"<body><h1>T</h1><div {says}><p>{text}</p></div></body>") == f"T\n{text}"
@@ -200,7 +205,8 @@ def test_names_that_do_not_hide(says):
     assert html_density.main_text(f"<article><h1>T</h1><p>Go to <a href='/hidden-lake' {says}>the lake</a> by bus, and stay there.</p></article>") == "T\nGo to the lake by bus, and stay there."
 
 
-@pytest.mark.parametrize("says", ["hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display: none"', 'class="a hidden"', "id=comments", 'class="comments-area"'])
+@pytest.mark.parametrize("says", ["hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; display: none"', 'class="a hidden"',
+    "id=comments", 'class="comments-area"'])
 def test_names_that_hide(says):
     assert html_density.main_text(f"<article><h1>T</h1><p>A paragraph that is long enough.</p><div {says}><p>Not to be read.</p></div></article>") == "T\nA paragraph that is long enough."
 
@@ -212,7 +218,8 @@ def test_names_that_hide(says):
         ("<table><tr><td><a href=a>Ada Lovelace</a></td><td><a href=b>Alan Turing</a></td></tr></table>", "Ada Lovelace\nAlan Turing"),
         ("<div><table><tr><td><a href=a>Ada Lovelace</a> <a href=b>Alan Turing</a></td></tr></table></div>", "Ada Lovelace Alan Turing"),
         ("<ul><li>On <a href=a>one side</a>, <a href=b>the other</a></li></ul>", "On one side, the other"),
-        ("<ol><li><a href=a>A work of many pages</a>, 1843.</li><li><a href=b>A work of few pages</a>, 1950.</li></ol>", "A work of many pages, 1843.\nA work of few pages, 1950."),
+        ("<ol><li><a href=a>A work of many pages</a>, 1843.</li><li><a href=b>A work of few pages</a>, 1950.</li></ol>",
+            "A work of many pages, 1843.\nA work of few pages, 1950."),
         ("<h2><a href=a>One</a> or <a href=b>Two</a></h2>", "One or Two"),
         ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "So x=2 holds."),
         ("<ul><li><a href=a>Home page</a></li><li><a href=b>About us</a></li></ul>", ""),
@@ -260,9 +267,12 @@ def test_attributes_are_parsed(says):
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        ("<p>hello</p><a " + '"x"' * 100_000, "hello"), ("<p>hello</p><a data-x='" + '{"k":"v",' * 50_000, "hello"), ("<p>hello</p>" + "<a " * 100_000, "hello"), ("<p>hello</p><" + "a='" * 100_000, "hello"),
-        ("<p>hello</p>" + "<a x='" * 60_001, None), ("<div>" * 50_000 + "hello" + "</x>" * 50_000, "hello"), ("<p>hello" + "</div>" * 100_000, "hello"), ("hello" + "<" * 200_000, None), ("<p>hello</p>" + "<!--" * 100_000, "hello"),
-        ("<p>hello</p>" + "&" * 200_000, None), ("<p>hello</p><script>" + "</scrip" * 100_000, "hello"), ("<table>" * 20_000 + "hello", "hello"), ("<ul><li>" * 20_000 + "hello", "hello"), ("<a " + " " * 300_000 + "=" * 300_000 + ">hello", "hello"),
+        ("<p>hello</p><a " + '"x"' * 100_000, "hello"), ("<p>hello</p><a data-x='" + '{"k":"v",' * 50_000, "hello"),
+            ("<p>hello</p>" + "<a " * 100_000, "hello"), ("<p>hello</p><" + "a='" * 100_000, "hello"),
+        ("<p>hello</p>" + "<a x='" * 60_001, None), ("<div>" * 50_000 + "hello" + "</x>" * 50_000, "hello"),
+            ("<p>hello" + "</div>" * 100_000, "hello"), ("hello" + "<" * 200_000, None), ("<p>hello</p>" + "<!--" * 100_000, "hello"),
+        ("<p>hello</p>" + "&" * 200_000, None), ("<p>hello</p><script>" + "</scrip" * 100_000, "hello"), ("<table>" * 20_000 + "hello", "hello"),
+            ("<ul><li>" * 20_000 + "hello", "hello"), ("<a " + " " * 300_000 + "=" * 300_000 + ">hello", "hello"),
     ],
 )
 def test_broken_markup_takes_linear_time(page, text):
@@ -331,7 +341,8 @@ def brute_density(page):
     return out
 
 
-@pytest.mark.parametrize("page", [f"<div><a href=a>Home</a> <a href=b>News</a></div><div><h1>T</h1>{PARTS}<div>By <a href=c>Ada</a></div></div>", "<div><p>one two</p><div><div><p>three <b>four</b></p></div></div></div>"])
+@pytest.mark.parametrize("page", [f"<div><a href=a>Home</a> <a href=b>News</a></div><div><h1>T</h1>{PARTS}<div>By <a href=c>Ada</a></div></div>",
+    "<div><p>one two</p><div><div><p>three <b>four</b></p></div></div></div>"])
 def test_density_equals_brute_force(page):
     dom = html_density.Dom(page)
     density, total, *_ = html_density.densities(dom, [True] * len(dom.tag))

@@ -35,7 +35,8 @@ def _jump(hooks: DataFrame) -> DataFrame:
     """Points every node to its root. hooks: (node, up), up <= node; roots point to themselves."""
     while True:
         up = hooks.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        moved = settle(hooks.join(up, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")), "hooks")
+        moved = settle(hooks.join(up, "up", "left").select("node", F.coalesce("upper", "up").alias("up"),
+            F.col("upper").isNotNull().alias("moved")), "hooks")
         hooks = moved.select("node", "up")
         if moved.where("moved").isEmpty():
             return hooks

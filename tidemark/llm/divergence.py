@@ -60,7 +60,8 @@ def common_words(docs: DataFrame) -> dict[str, list[str]]:
     are counted one by one, so the vocabulary is never shuffled."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("docs")))  # a row for each language
-    pairs = known.select("lang", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
+    pairs = known.select("lang", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).withColumn("b",
+        F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
     often = F.col("n") >= SHARE * F.col("docs")
     full = pairs.groupBy("lang", "b").agg(F.count("*").alias("n")).join(sizes, "lang").where(often).select("lang", "b")
     counts = pairs.join(F.broadcast(full), ["lang", "b"]).groupBy("lang", "w").agg(F.count("*").alias("n"))  # BUCKETS a language at most
@@ -95,16 +96,21 @@ def features(docs: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
     cut = cut.select("*", both(F.col("w2"), after(F.col("w2"), 2)).alias("w4"))
     windows = F.slice(both(F.col("w4"), after(F.col("w1"), 4)), 1, F.col("n") - (WINDOW - 1))  # the last ones lack words
     cut = cut.select("*", F.when(F.col("n") >= WINDOW, windows).alias("windows"))
-    cut = cut.select("*", F.when(F.size("windows") != F.size(F.array_distinct("windows")), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("run"))
+    cut = cut.select("*", F.when(F.size("windows") != F.size(F.array_distinct("windows")),
+        F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("run"))
     cut = cut.select("*", F.sort_array(F.transform(F.filter("run", lambda x, i: _equal_neighbour("run", x, i)), lambda x: x["i"])).alias("at"))
-    covered = F.aggregate(F.transform("at", lambda x, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), x - F.get("at", i - 1)))), F.lit(0), lambda a, x: a + x)
+    covered = F.aggregate(F.transform("at", lambda x, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), x - F.get("at", i - 1)))),
+        F.lit(0), lambda a, x: a + x)
     of = lambda c: F.length("shape") - F.length(F.replace("shape", F.lit(c), F.lit("")))
     classes = cut.select("*", F.length("shape").alias("chars"), *[of(m).alias(c) for m, c in zip(_MARKS, CLASSES)])
     return classes.select(
-        "doc_id", "lang", F.col("n").cast("long").alias("n_words"), (F.col("chars") - F.col("space")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        "doc_id", "lang", F.col("n").cast("long").alias("n_words"), (F.col("chars") - F.col("space")).cast("long").alias("word_chars"),
+            F.col("symbol").cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(*CLASSES[:-1], F.col("chars") - sum((F.col(c) for c in CLASSES[1:-1]), F.col(CLASSES[0]))).alias("classes"),
-        F.transform("first", lambda x, k: F.struct(x["w"].alias("w"), (F.coalesce(F.get("first", k + 1)["i"], F.size("common")) - x["i"]).alias("c"))).alias("common"),
+        F.transform("first", lambda x, k: F.struct(x["w"].alias("w"),
+            (F.coalesce(F.get("first", k + 1)["i"], F.size("common")) - x["i"]).alias("c"))).alias("common"),
     )
 
 

@@ -164,7 +164,8 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(to_text, sketches(b.column(1), fraction)), pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(to_text, sketches(b.column(1), fraction)), pa.string())],
+                names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -195,8 +196,10 @@ def by_range(docs: DataFrame) -> DataFrame:
         return out
 
     keyed = src.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    measured = keyed.select(F.pandas_udf(lambda i, h: pd.Series(piece(i, h), index=i.index), "long")("doc_id", "h").alias("piece"), "doc_id", "h", F.octet_length("text").alias("bytes"))
-    found = measured.groupBy("piece").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.sum("bytes").alias("bytes")).orderBy("piece").select("piece", "x.*", "bytes").collect()  # PIECES a range
+    measured = keyed.select(F.pandas_udf(lambda i, h: pd.Series(piece(i, h), index=i.index), "long")("doc_id", "h").alias("piece"), "doc_id",
+        "h", F.octet_length("text").alias("bytes"))
+    found = measured.groupBy("piece").agg(F.min(F.struct("doc_id", "h")).alias("x"),
+        F.sum("bytes").alias("bytes")).orderBy("piece").select("piece", "x.*", "bytes").collect()  # PIECES a range
     firsts, upto, limit = [], 0, min(RANGE_BYTES, size // least + 1)
     for r in found:
         if not firsts or upto + r["bytes"] > limit:
@@ -212,7 +215,8 @@ def by_range(docs: DataFrame) -> DataFrame:
     dealt = keyed.select(part("doc_id", "h").alias("part"), F.lit(0).alias("role"), "doc_id", "h", "text")
     if firsts:
         before = spark.createDataFrame([(r["doc_id"], r["h"], (k - 1) % len(firsts)) for k, r in enumerate(firsts)], "doc_id long, h long, part long")
-        again = keyed.join(F.broadcast(before), ["doc_id", "h"]).groupBy("doc_id", "h", "part").agg(F.min("text").alias("text"))  # a row for each range
+        again = keyed.join(F.broadcast(before), ["doc_id", "h"]).groupBy("doc_id", "h",
+            "part").agg(F.min("text").alias("text"))  # a row for each range
         dealt = dealt.unionByName(again.select("part", F.lit(1).alias("role"), "doc_id", "h", "text"))
     return dealt.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "role", "doc_id", "h", "text")
 
@@ -232,7 +236,8 @@ def with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
             out.append({
                 "doc_id": None if doc_id == NO_DOC else doc_id, "n_chars": len(t), "edited_sha256": hashlib.sha256(e.encode()).hexdigest(),
                 "fingerprint": to_text(own), "edited_fingerprint": to_text(new),
-                "near_edited": containment(own, new), "near_next": containment(own, other), "jaccard_edited": jaccard(own, new), "jaccard_next": jaccard(own, other),
+                "near_edited": containment(own, new), "near_next": containment(own, other), "jaccard_edited": jaccard(own, new),
+                    "jaccard_next": jaccard(own, other),
             })
         return pa.RecordBatch.from_pylist(out, schema=_RESULT)
 
@@ -252,4 +257,5 @@ def with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     return by_range(docs).mapInArrow(run, RESULT)
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), *[(c, pa.float64()) for c in ("near_edited", "near_next", "jaccard_edited", "jaccard_next")]])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+    ("edited_fingerprint", pa.string()), *[(c, pa.float64()) for c in ("near_edited", "near_next", "jaccard_edited", "jaccard_next")]])

@@ -39,8 +39,11 @@ CLOSES_P = BLOCK - set("body caption dd dt html legend li tbody td tfoot th thea
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag also ends these open elements, up to the elements named second.
 IMPLIED_END = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td", "th"}, {"table"}),
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+        "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+        "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
+            "thead": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
 #: Elements that never hold article text, and words of class, id or role that say the same.
 NEVER = set("head script style noscript template iframe object embed svg annotation annotation-xml canvas audio video nav aside footer form button select textarea input label dialog menu noembed noframes search".split())
@@ -217,7 +220,8 @@ class Dom:
             up, name, says = self.parent[k], self.tag[k], self.names[k]
             inside.append(inside[up] or name in ("article", "main"))
             site = name == "header" or "header" in says and name not in HEADINGS | KEEPS  # of the page, or a title's own
-            if site and (inside[k] or has_main[k] and name != "header" or has_title[k] and not has_link[k] and self.tag[up] not in ("body", "html", "#root")):
+            if site and (inside[k] or has_main[k] and name != "header" or has_title[k] and not has_link[k]
+                and self.tag[up] not in ("body", "html", "#root")):
                 site = False
             wraps = has_main[k] and name not in ("header", "nav", "aside", "footer")  # names of the page's layout, as in "with-sidebar"
             hint = says & SAYS
@@ -374,6 +378,7 @@ def extract(pages: DataFrame, page: str = "html", text: str = "text", n_chars: s
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 found = [main_text(p) for p in b.column(names.index(page)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[f.name for f in out.fields])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
+                    names=[f.name for f in out.fields])
 
     return pages.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, out)

@@ -121,7 +121,8 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learns from the rows' text and lang alone; rows with a null lang are left out."""
-    train = rows.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit("langid")).alias("h"))
+    train = rows.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
+        F.xxhash64(F.col(text), F.lit("langid")).alias("h"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SLOTS, np.int64), 0
@@ -132,9 +133,11 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
                     total += c > 0
                     n += 1
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, SLOTS), pa.int32()), pa.array(np.concatenate([[n], total]), pa.int64())], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, SLOTS), pa.int32()), pa.array(np.concatenate([[n], total]), pa.int64())],
+                names=["slot", "n"])
 
-    df = {r["slot"]: r["n"] for r in train.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    df = {r["slot"]: r["n"] for r in train.select("text").mapInArrow(frequencies,
+        "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(k, 0))) + 1 for k in range(SLOTS)], np.float32)
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["h", "text"], kind="stable")
@@ -149,22 +152,26 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
 
     span = 2**24
     # the sample: texts whose hash falls into the language's part of the range
-    part = train.groupBy("lang").agg(F.greatest(F.approx_count_distinct("h"), F.lit(1)).alias("n")).select("lang", F.least(F.lit(span), F.ceil(sample * span / F.col("n"))).alias("most"))
+    part = train.groupBy("lang").agg(F.greatest(F.approx_count_distinct("h"), F.lit(1)).alias("n")).select("lang",
+        F.least(F.lit(span), F.ceil(sample * span / F.col("n"))).alias("most"))
     drawn = train.join(F.broadcast(part), "lang").where(F.pmod("h", F.lit(span)) < F.col("most"))  # a row for each language
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
-    found = sorted(drawn.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>, floor double").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    found = sorted(drawn.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<double>, floor double").collect(),
+        key=lambda r: (r["lang"], r["centroid"]))
     if not found:
         return Model([], np.zeros(0, int), np.zeros((0, SLOTS), np.float32), idf, np.zeros(0))
     names = sorted({r["lang"] for r in found})
     floors = {r["lang"]: r["floor"] for r in found}
-    return Model(names, np.array([names.index(r["lang"]) for r in found], int), np.array([r["centroid"] for r in found], np.float32).reshape(-1, SLOTS), idf, np.array([floors[n] for n in names]))
+    return Model(names, np.array([names.index(r["lang"]) for r in found], int),
+        np.array([r["centroid"] for r in found], np.float32).reshape(-1, SLOTS), idf, np.array([floors[n] for n in names]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (the cosine, 0 to 1) and rejected. No shuffle."""
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
     names = [f.name for f in keep]
-    out = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    out = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("rejected", T.BooleanType())])
     languages = np.array([*model.languages, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +189,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     score, own, low = np.zeros(len(x)), np.zeros(len(x), int), np.ones(len(x), bool)
                     has[:] = False
                 own = np.where(has, own, len(model.languages))
-                cols = [pa.array(languages[own], pa.string()), pa.array(np.where(has, np.clip(score, 0, 1), 0.0), pa.float64()), pa.array(low | ~has, pa.bool_())]
+                cols = [pa.array(languages[own], pa.string()), pa.array(np.where(has, np.clip(score, 0, 1), 0.0), pa.float64()),
+                    pa.array(low | ~has, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[f.name for f in out.fields])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, out)

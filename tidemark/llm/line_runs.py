@@ -83,7 +83,8 @@ class LineRuns:
     def _compact(self, a: str, b: str) -> str:
         old, new = self.spark.table(a).alias("a"), self.spark.table(b).alias("b")
         merged = old.join(new, ["h1", "h2"], "full_outer").select(
-            "h1", "h2", (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"), F.coalesce("a.last_doc", "b.last_doc").alias("last_doc")
+            "h1", "h2", (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"),
+                F.coalesce("a.last_doc", "b.last_doc").alias("last_doc")
         )
         table = self._write(merged)
         for name in (a, b):
@@ -113,10 +114,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     r1, r2 = _two_hashes(F.col("doc_id"), F.col("text"))
-    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), r1.alias("r1"), r2.alias("r2"))
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep if c != "text"]).alias("row"), "doc_id",
+        F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), r1.alias("r1"), r2.alias("r2"))
     keys = F.transform("lines", line_key)
     h1, h2 = _two_hashes(F.col("key"))
-    at = src.select("r1", "r2", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.posexplode(keys).alias("pos", "key")).where(F.length("key") >= min_chars)
+    at = src.select("r1", "r2", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc_id"),
+        F.posexplode(keys).alias("pos", "key")).where(F.length("key") >= min_chars)
     parts = F.array(*[F.lit(k / batches) for k in range(1, batches)]) if batches > 1 else F.array(F.lit(1.0))
     cuts = docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), parts)).first()[0] or []
     batch = sum((F.when(F.col("doc_id") <= c, 1).otherwise(0) for c in cuts), F.lit(0))  # 0 for the largest doc_ids
@@ -137,4 +140,5 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     none = F.array().cast(T.ArrayType(T.IntegerType()))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", none))
     text = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
-    return left.select(*[F.col(f"row.`{c}`") if c != "text" else text.alias("text") for c in keep], F.size("lines").cast("long").alias("n_lines"), F.size(F.coalesce("gone", none)).cast("long").alias("n_dropped"))
+    return left.select(*[F.col(f"row.`{c}`") if c != "text" else text.alias("text") for c in keep],
+        F.size("lines").cast("long").alias("n_lines"), F.size(F.coalesce("gone", none)).cast("long").alias("n_dropped"))

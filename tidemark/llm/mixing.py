@@ -101,7 +101,8 @@ def _cut(rows: DataFrame, key: list[str], at: str) -> DataFrame:
     """By key: the histogram slot in which the running size passes at, and the size before it. rows: key, slot, size, at."""
     w = Window.partitionBy(*key).orderBy("slot")
     run = rows.select("*", F.sum("size").over(w).alias("upto"))
-    return run.where((F.col("upto") >= F.col(at)) & (F.col("upto") - F.col("size") < F.col(at))).select(*key, F.col("slot").alias("cut"), (F.col(at) - F.col("upto") + F.col("size")).alias("still"))
+    return run.where((F.col("upto") >= F.col(at)) & (F.col("upto") - F.col("size") < F.col(at))).select(*key, F.col("slot").alias("cut"),
+        (F.col(at) - F.col("upto") + F.col("size")).alias("still"))
 
 
 def _ends(sized: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -126,7 +127,8 @@ def _narrow(docs: DataFrame, source: str, seed: str) -> list[Column]:
     doc = F.col("doc_id").cast("long")
     return [
         doc.alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.to_json(F.sort_array(F.array_distinct(names)), {"ignoreNullFields": "false"}).alias("lane"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc.cast("string"), F.lit("")))).alias("h"),
+        F.to_json(F.sort_array(F.array_distinct(names)), {"ignoreNullFields": "false"}).alias("lane"),
+            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc.cast("string"), F.lit("")))).alias("h"),
     ]
 
 
@@ -158,4 +160,5 @@ def mix(docs: DataFrame, source: str = "source", seed: str = "mix") -> DataFrame
     doc, size, lane, h = _narrow(docs, source, seed)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), doc, size, lane, h).join(F.broadcast(ends), "lane", "left")
     once = F.coalesce((F.substring("h", 1, 2 * DIGITS) < F.col("prefix")) | (F.struct("h", "doc_id", "size") <= F.col("end")), F.lit(False))
-    return rows.select(*[F.col(f"row.`{c}`") for c in keep], "size", "source_size", "target", (F.col("size") * (F.col("passes") + once.cast("long"))).alias("taken"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in keep], "size", "source_size", "target",
+        (F.col("size") * (F.col("passes") + once.cast("long"))).alias("taken"))

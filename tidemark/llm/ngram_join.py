@@ -263,7 +263,8 @@ def _index(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
                 for k in fresh:
                     maps[k] = bitmap(h[bounds[k] : bounds[k + 1]])
                 s1, s2 = ([i[k] for i in ids] for k in (0, 1))
-                rows = {"bucket": b.column(3), "kind": [ROW] * len(ids), "payload": maps, "doc_id": b.column(0), "text_hash": b.column(2), "n_shingles": size.tolist(), "s1": s1, "s2": s2}
+                rows = {"bucket": b.column(3), "kind": [ROW] * len(ids), "payload": maps, "doc_id": b.column(0), "text_hash": b.column(2),
+                    "n_shingles": size.tolist(), "s1": s1, "s2": s2}
                 yield _batch(rows, len(ids))
                 if not fresh:
                     continue
@@ -369,7 +370,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     to = lambda key, salt, role: F.struct(F.col(key).alias("key"), salt.alias("salt"), F.lit(role).alias("role")).alias("at")
     b_at = pairs.join(size, "a").select(F.col("b").alias("node"), to("a", F.pmod(F.xxhash64("b"), "salts").cast("int"), 1))
-    a_at = size.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("node", to("node", F.col("salt"), 0))
+    a_at = size.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("node",
+        to("node", F.col("salt"), 0))
     goes = a_at.unionByName(b_at)
     many = goes.groupBy("node").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     goes = goes.join(many, "node").groupBy("node", F.pmod(F.xxhash64("at"), "parts").alias("part")).agg(F.collect_list("at").alias("at"))
@@ -425,7 +427,8 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = members.select("sig", "node", "comp", "n_shingles", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "comp", "node", "n_shingles", "bits")
+    dealt = dealt.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "comp", "node", "n_shingles",
+        "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(t: pa.RecordBatch, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -506,7 +509,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if clash.isEmpty():
         sets = sets.withColumn("node", F.col("s1"))
     else:
-        sets = sets.join(clash.withColumn("clashes", F.lit(True)), "s1", "left").withColumn("node", F.when(F.col("clashes"), F.col("s2")).otherwise(F.col("s1")))
+        sets = sets.join(clash.withColumn("clashes", F.lit(True)), "s1", "left").withColumn("node",
+            F.when(F.col("clashes"), F.col("s2")).otherwise(F.col("s1")))
         names = sets.where("clashes").select(F.col("s1").alias("node"), F.col("s2").alias("other")).distinct()
         distinct, odd = (df.join(names, "node", "left").withColumn("node", F.coalesce("other", "node")).drop("other") for df in (distinct, odd))
         distinct = distinct.unionByName(names.select((-1 - F.pmod("node", F.lit(1 << 62))).alias("sig"), F.col("other").alias("node")))
@@ -523,7 +527,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = settle(distinct.join(sizes, "sig").where("g > 1"), "members")
     # the most central member of a group is its star: the one whose signatures most sets hold, in all
     central = members.groupBy("node").agg(F.sum("g").alias("weight"))
-    stars = settle(members.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig", F.col("x.node").alias("a")), "stars")
+    stars = settle(members.join(central, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("x")).select("sig",
+        F.col("x.node").alias("a")), "stars")
     pairs = members.join(stars, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     close = _near(pairs, info, percent)
     best = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
@@ -551,7 +556,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = settle(_verified(rest, docs, reps, percent), "links")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
-    named = sets.join(comp, "node", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
+    named = sets.join(comp, "node", "left").select("doc_id", "text_hash", "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp"))
     smallest = named.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
     smallest = settle(smallest, "smallest")
     hot = smallest.where(F.col("n") >= max(2, -(-(smallest.agg(F.sum("n")).first()[0] or 0) // HOT_COMPONENTS))).drop("n")

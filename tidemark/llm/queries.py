@@ -107,7 +107,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sp_codec.encode(docs, public_tokenizers.path(MODEL), decoded="decoded")
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), sha256_utf8(F.col("decoded")).alias("decoded_sha256"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        sha256_utf8(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     back = warc.reassemble(warc.read_records(spark, path), keep_payload=False)
     page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d*)", 1).try_cast("long")
-    return back.select(page("name").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"), "intact")
+    return back.select(page("name").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        page("refers_to").alias("refers_to"), "intact")
 
 
 OP9_SQL = """
@@ -151,7 +153,9 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_density": op1_html_density, "op2_divergence": op2_divergence, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup, "op7_ngram_join": op7_ngram_join, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op1_html_density": op1_html_density, "op2_divergence": op2_divergence, "op3_language": op3_language,
+        "op4_token_counts": op4_token_counts, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup,
+            "op7_ngram_join": op7_ngram_join, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

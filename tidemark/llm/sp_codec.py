@@ -49,7 +49,8 @@ class PieceCodec:
         self.score = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
-        self.surface = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else train.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
+        self.surface = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else train.unk_surface.encode()
+            if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.opens = [p.type == NORMAL and p.piece.startswith(MARK) for p in proto.pieces]
         self.known = {c for p in self.score for c in p}
         self.odd = {c for c in self.known if c not in self.score}
@@ -195,7 +196,8 @@ def codec(model_path: str) -> PieceCodec:
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds the packed ids of a text column (binary, little-endian unsigned 32-bit; begin and end ids included) and, if
     named, the text that they decode to. No shuffle: each row is encoded where it is read."""
-    out = T.StructType([*[f for f in docs.schema.fields if f.name not in (ids, decoded)], T.StructField(ids, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])])
+    out = T.StructType([*[f for f in docs.schema.fields if f.name not in (ids, decoded)], T.StructField(ids, T.BinaryType()),
+        *([T.StructField(decoded, T.StringType())] if decoded else [])])
     keep = [f.name for f in docs.schema.fields if f.name not in (ids, decoded)]
     src = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(f"`{text}`")]))
 

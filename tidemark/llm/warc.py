@@ -70,7 +70,8 @@ def unchunk(body: bytes) -> bytes:
 
 
 def _record(kind: str, name: str, uri: str, block: bytes, **more: str) -> str:
-    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}", *([f"WARC-Target-URI: {uri}"] if uri else []), *(f"{k.replace('_', '-')}: {v}" for k, v in more.items() if v), f"Content-Length: {len(block)}"]
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}", *([f"WARC-Target-URI: {uri}"] if uri else []),
+        *(f"{k.replace('_', '-')}: {v}" for k, v in more.items() if v), f"Content-Length: {len(block)}"]
     return VERSION + "\r\n".join(head) + "\r\n\r\n" + block.decode("utf-8", "surrogatepass") + "\r\n"
 
 
@@ -84,7 +85,9 @@ def records_of(page_id: int | None, url: str | None, payload: str, digest: str,
     size = len(payload.encode("utf-8", "surrogatepass"))
     if refers_to is not None:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-        return [_record("revisit", name, uri, head, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Payload_Digest=f"sha256:{digest}", WARC_Refers_To=f"<urn:page:{refers_to}:{digest[:16]}>", Content_Type="application/http;msgtype=response")]
+        return [_record("revisit", name, uri, head, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            WARC_Payload_Digest=f"sha256:{digest}", WARC_Refers_To=f"<urn:page:{refers_to}:{digest[:16]}>",
+                Content_Type="application/http;msgtype=response")]
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = head + _chunked(payload).decode("utf-8", "surrogatepass")
     parts = []
@@ -101,7 +104,8 @@ def records_of(page_id: int | None, url: str | None, payload: str, digest: str,
         first["WARC_Segment_Number"] = "1"
     out = [_record("response", name, uri, parts[0], **first)]
     for k, part in enumerate(parts[1:], 2):
-        out.append(_record("continuation", f"{name}:{k}", uri, part, WARC_Segment_Origin_ID=f"<{name}>", WARC_Segment_Number=str(k), WARC_Segment_Total_Length=str(total) if k == len(parts) else ""))
+        out.append(_record("continuation", f"{name}:{k}", uri, part, WARC_Segment_Origin_ID=f"<{name}>", WARC_Segment_Number=str(k),
+            WARC_Segment_Total_Length=str(total) if k == len(parts) else ""))
     return out
 
 
@@ -111,7 +115,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     Equal payloads are found by SHA-256 with partial aggregation; only (key, response's key) pairs of repeats are joined
     back, by the page's own key, so a payload that a third of all pages share lands on no single task.
     """
-    src = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").cast("string").alias("u"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("p"))
+    src = pages.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{url}`").cast("string").alias("u"),
+        F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("p"))
     ids = src.select("k", F.sha2(F.col("p").cast("binary"), 256).alias("d"), F.octet_length("p").alias("n")).where(F.col("n") >= REVISIT_MIN_BYTES)
     groups = ids.groupBy("d").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last")
     repeats = ids.join(groups, "d").where(F.col("k") > F.col("first")).select("k", "d", F.col("first").alias("refers_to")).dropDuplicates(["k", "d"])
@@ -123,7 +128,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             for at in range(0, whole.num_rows, 500):
                 if not began:
                     began = True
-                    yield pa.RecordBatch.from_arrays([pa.array([_record("warcinfo", f"urn:info:{uuid.uuid4()}", "", INFO, Content_Type="application/warc-fields")])], names=["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_record("warcinfo", f"urn:info:{uuid.uuid4()}", "", INFO,
+                        Content_Type="application/warc-fields")])], names=["value"])
                 rows = whole.slice(at, 500).to_pydict()
                 out = [r for row in zip(rows["k"], rows["u"], rows["p"], rows["d"], rows["refers_to"]) for r in records_of(*row)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
@@ -152,8 +158,10 @@ def _header(raw: bytes | bytearray) -> tuple[dict, int, int] | None:
     number = lambda name, default=0: int(fields[name]) if fields.get(name, "").isdecimal() else default
     bare = lambda name: fields.get(name, "").strip("<>")
     return {
-        "kind": fields.get("warc-type"), "name": bare("warc-record-id"), "uri": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest", "").removeprefix("sha256:"),
-        "refers_to": bare("warc-refers-to") or None, "origin": bare("warc-segment-origin-id") or None, "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"),
+        "kind": fields.get("warc-type"), "name": bare("warc-record-id"), "uri": fields.get("warc-target-uri"),
+            "digest": fields.get("warc-payload-digest", "").removeprefix("sha256:"),
+        "refers_to": bare("warc-refers-to") or None, "origin": bare("warc-segment-origin-id") or None, "segment": number("warc-segment-number"),
+            "total": number("warc-segment-total-length"),
     }, number("content-length", -1), start
 
 
@@ -205,7 +213,8 @@ def frame(pieces: Iterable[bytes]) -> Iterator[dict]:
 
 
 _RECORD = pa.schema([
-    *[(c, pa.string()) for c in ("kind", "name", "uri", "digest", "refers_to", "origin")], ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("whole", pa.bool_()),
+    *[(c, pa.string()) for c in ("kind", "name", "uri", "digest", "refers_to", "origin")], ("segment", pa.int32()), ("total", pa.int64()),
+        ("block", pa.binary()), ("whole", pa.bool_()),
 ])
 RECORD = "kind string, name string, uri string, digest string, refers_to string, origin string, segment int, total long, block binary, whole boolean"
 #: Kinds of records that carry a page; others (warcinfo, request, metadata) are only read past.
@@ -214,7 +223,8 @@ PAGES = ("response", "revisit", "continuation", "resource")
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per WARC record under path; whole is false where it breaks the format."""
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")]
     lines = spark.read.option("lineSep", MARK).text(path)
     split = not all(f.endswith((".gz", ".deflate", ".zst")) for f in lines.inputFiles())
     if split:  # pieces of a file, in order
@@ -223,7 +233,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         lines = lines.select(F.col("value").cast("binary").alias("value"), place[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((file, value) for b in batches for at in range(0, b.num_rows, 500) for file, value in zip(*(b.slice(at, 500).column(k).to_pylist() for k in (1, 0))))
+        rows = ((file, value) for b in batches for at in range(0, b.num_rows, 500) for file,
+            value in zip(*(b.slice(at, 500).column(k).to_pylist() for k in (1, 0))))
         out, held = [], 0
         for _, own in itertools.groupby(rows, key=lambda r: r[0]):
             for x in frame(value for _, value in own):
@@ -239,7 +250,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 _PAYLOAD = pa.schema([
-    *[(c, pa.string()) for c in ("name", "uri", "kind", "refers_to", "digest")], ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("intact", pa.bool_()),
+    *[(c, pa.string()) for c in ("name", "uri", "kind", "refers_to", "digest")], ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+        ("payload", pa.binary()), ("intact", pa.bool_()),
     ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("origin", pa.string()),
 ])
 _PARTS = "name string, uri string, kind string, refers_to string, digest string, payload_bytes long, payload_digest string, payload binary, intact boolean, segment int, total long, block binary, origin string"
@@ -263,7 +275,8 @@ def _payload(r: dict, block: bytes, intact: bool, keep_payload: bool) -> dict:
     digest = hashlib.sha256(body).hexdigest()
     said = r["digest"] or ""
     known = len(said) == 64 and all(c in "0123456789abcdef" for c in said)  # other digests (SHA-1) are not checked
-    return out | {"payload_bytes": len(body), "payload_digest": digest, "payload": body if keep_payload else None, "intact": intact and (not known or digest == said)}
+    return out | {"payload_bytes": len(body), "payload_digest": digest, "payload": body if keep_payload else None,
+        "intact": intact and (not known or digest == said)}
 
 
 def reassemble(records: DataFrame, keep_payload: bool = True) -> DataFrame:
@@ -298,7 +311,8 @@ def reassemble(records: DataFrame, keep_payload: bool = True) -> DataFrame:
     names = [x.split()[0] for x in PAYLOAD.split(", ")]
     of_origin = lambda c: F.max(F.when(F.col("origin").isNull(), F.col(c))).alias(c)
     cut = read.where("block is not null").withColumn("name", F.coalesce("origin", "name"))
-    parts = cut.groupBy("name").agg(*map(of_origin, ("uri", "digest", "refers_to", "kind")), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
+    parts = cut.groupBy("name").agg(*map(of_origin, ("uri", "digest", "refers_to", "kind")), F.max("total").alias("total"),
+        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
     joined = settle(parts.mapInArrow(several, _PARTS).select(*names), "reassembled")
     found = read.where("block is null").select(*names).unionByName(joined)
     # a revisit's payload is that of the response it names
