@@ -60,7 +60,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and end ids alone."""
     ship(spark)
     coded = sp_codec.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(MODEL), decoded="decoded")
-    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), sha256_utf8(F.col("decoded")).alias("decoded_sha256"))
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"), sha256_utf8(F.col("decoded")).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("ngram_join", copies), ("mixing", weights), ("sentencepiece", tokens)]
