@@ -15,7 +15,8 @@ MIN = 60_000_000
 def events(spark, rows):
     """rows: (event_id, minute, visitorid, event, itemid)."""
     day = lambda m: dt.date(2024, 1, 1) + dt.timedelta(days=int(m // 1440))
-    return spark.createDataFrame([(i, int(m * MIN), day(m), v, e, item, i if e == "transaction" else None) for i, m, v, e, item in rows], "event_id long, us long, d date, visitorid long, event string, itemid long, transactionid long")
+    return spark.createDataFrame([(i, int(m * MIN), day(m), v, e, item, i if e == "transaction" else None) for i, m, v, e, item in rows],
+        "event_id long, us long, d date, visitorid long, event string, itemid long, transactionid long")
 
 
 def test_session_boundary_is_strict(spark):
@@ -51,7 +52,8 @@ def test_funnel_order_and_abandonment(spark):
         (9, 1, 4, "view", 1), (10, 1, 4, "addtocart", 1),  # same time is no order
     ])
     got = {r.metric_id: (r.numerator, r.denominator) for r in funnel.rates(funnel.steps(e, ["visitorid"])).collect()}
-    assert got == {"ordered_view_to_cart_rate": (1, 4), "ordered_cart_to_purchase_rate": (1, 1), "ordered_view_to_purchase_rate": (2, 4), "cart_abandonment_rate": (2, 3)}
+    assert got == {"ordered_view_to_cart_rate": (1, 4), "ordered_cart_to_purchase_rate": (1, 1), "ordered_view_to_purchase_rate": (2, 4),
+        "cart_abandonment_rate": (2, 3)}
 
 
 def test_funnel_of_the_same_item(spark):
@@ -79,14 +81,17 @@ def test_as_of_bounds(spark):
 
 def test_tree(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 4), (5, 6), (6, 5), (7, 99), (2, 1)], "categoryid long, parentid long")
-    assert {r.categoryid: (r.depth, r.root, r.path) for r in taxonomy.with_paths(tree.distinct()).collect()} == {1: (0, 1, [1]), 2: (1, 1, [1, 2]), 3: (2, 1, [1, 2, 3])}
-    assert {r.kind: r.findings for r in taxonomy.defects(tree).collect()} == {"duplicate_key": 1, "self_reference": 1, "missing_parent": 1, "cycle": 2, "unreachable": 4}
+    assert {r.categoryid: (r.depth, r.root, r.path) for r in taxonomy.with_paths(tree.distinct()).collect()} == {1: (0, 1, [1]),
+        2: (1, 1, [1, 2]), 3: (2, 1, [1, 2, 3])}
+    assert {r.kind: r.findings for r in taxonomy.defects(tree).collect()} == {"duplicate_key": 1, "self_reference": 1, "missing_parent": 1,
+        "cycle": 2, "unreachable": 4}
     ids = spark.createDataFrame([(3,), (5,), (42,)], "categoryid long")
     assert {r.categoryid for r in taxonomy.ancestors(tree.distinct(), ids).collect()} == {1, 2, 3, 5, 6}
 
 
 def test_segments_cover_all_visitors(spark):
-    rows = [(1, 1, 1, "view", 1), (2, 1, 2, "view", 1), (3, 100, 2, "view", 1), (4, 1, 3, "addtocart", 1), (5, 1, 4, "transaction", 1), (6, 1, 5, "transaction", 1), (7, 9, 5, "transaction", 1), (8, 1, 6, "error", 1)]
+    rows = [(1, 1, 1, "view", 1), (2, 1, 2, "view", 1), (3, 100, 2, "view", 1), (4, 1, 3, "addtocart", 1), (5, 1, 4, "transaction", 1),
+        (6, 1, 5, "transaction", 1), (7, 9, 5, "transaction", 1), (8, 1, 6, "error", 1)]
     got = {r.visitorid: r.segment for r in visitors.segments(visitors.profiles(sessions.sessionize(events(spark, rows)))).collect()}
     assert got == {1: "first_session_bounce", 2: "active_browser", 3: "cart_no_purchase", 4: "first_time_buyer", 5: "repeat_buyer", 6: "other"}
 
@@ -114,9 +119,11 @@ def test_empty_inputs_keep_their_schema(spark):
 
 
 def test_cycles_and_what_leads_into_them(spark):
-    tree = spark.createDataFrame([(1, None), (2, 3), (3, 4), (4, 2), (5, 2), (6, 6), (7, 6), (8, 1), (9, 10), (10, 9), (11, 99)], "categoryid long, parentid long")
+    tree = spark.createDataFrame([(1, None), (2, 3), (3, 4), (4, 2), (5, 2), (6, 6), (7, 6), (8, 1), (9, 10), (10, 9), (11, 99)],
+        "categoryid long, parentid long")
     assert {r.categoryid for r in taxonomy.cycles(tree).collect()} == {2, 3, 4, 9, 10}
-    assert {r.kind: r.findings for r in taxonomy.defects(tree).collect()} == {"duplicate_key": 0, "self_reference": 1, "missing_parent": 1, "cycle": 5, "unreachable": 9}
+    assert {r.kind: r.findings for r in taxonomy.defects(tree).collect()} == {"duplicate_key": 0, "self_reference": 1, "missing_parent": 1,
+        "cycle": 5, "unreachable": 9}
 
 
 def test_as_of_with_a_key_of_half_of_all_rows(spark):
@@ -144,7 +151,8 @@ def test_percentiles_equal_the_built_in_ones(spark):
     df = spark.createDataFrame(rows, "g long, x double")
     which = {"a": 0.5, "b": 0.75, "c": 0.0, "d": 1.0, "e": 0.999}
     got = {r.g: tuple(r)[1:] for r in percentiles(df, "x", which, ("g",)).collect()}
-    want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(F.count("x"), *[F.expr(f"percentile(x, {p})").alias(k) for k, p in which.items()]).collect()}
+    want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(F.count("x"),
+        *[F.expr(f"percentile(x, {p})").alias(k) for k, p in which.items()]).collect()}
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
     one = tuple(percentiles(df, "x", which).first())
     assert one == pytest.approx(tuple(df.agg(F.count("x"), *[F.expr(f"percentile(x, {p})") for p in which.values()]).first()))
@@ -152,7 +160,8 @@ def test_percentiles_equal_the_built_in_ones(spark):
 
 
 def test_repurchase_gaps_go_over_days(spark):
-    tx = spark.createDataFrame([(i, v, m * MIN, dt.date(2024, 1, 1) + dt.timedelta(days=m // 1440)) for i, v, m in ((1, 1, 0), (2, 1, 720), (3, 1, 7200), (4, 2, 5), (5, 1, 7200))], "transactionid long, visitorid long, us long, d date")
+    tx = spark.createDataFrame([(i, v, m * MIN, dt.date(2024, 1, 1) + dt.timedelta(days=m // 1440)) for i, v,
+        m in ((1, 1, 0), (2, 1, 720), (3, 1, 7200), (4, 2, 5), (5, 1, 7200))], "transactionid long, visitorid long, us long, d date")
     assert sorted(r.gap_days for r in visitors.repurchase_gaps(tx).collect()) == [0.0, 0.5, 4.5]
 
 
@@ -178,4 +187,5 @@ def test_synthetic_units_hold_no_key(spark):
 def test_mart_filters(spark):
     mart = spark.createDataFrame([(dt.date(2024, 1, k), "a" if k < 3 else "b", k) for k in range(1, 6)], "d date, segment string, n int")
     n = lambda **f: [r.n for r in activity.filtered(mart, **f).orderBy("n").collect()]
-    assert n() == [1, 2, 3, 4, 5] and n(since="2024-01-02", until="2024-01-04") == [2, 3, 4] and n(segment="a") == [1, 2] and n(segment=["a", "b"], since="2024-01-02") == [2, 3, 4, 5]
+    assert n() == [1, 2, 3, 4, 5] and n(since="2024-01-02", until="2024-01-04") == [2, 3, 4] and n(segment="a") == [1,
+        2] and n(segment=["a", "b"], since="2024-01-02") == [2, 3, 4, 5]

@@ -35,12 +35,14 @@ def test_events_have_lineage_and_flags(spark, raw):
 
 def test_properties_and_manifest(spark, raw):
     got = {r.timestamp: (r.categoryid, r.is_bad_category, r.source_file) for r in contract.read_properties(spark, str(raw)).collect()}
-    assert got == {1: (7, False, "item_properties_part1.csv"), 2: (None, True, "item_properties_part1.csv"), 3: (None, False, "item_properties_part2.csv"), 4: (None, False, "item_properties_part2.csv")}
+    assert got == {1: (7, False, "item_properties_part1.csv"), 2: (None, True, "item_properties_part1.csv"),
+        3: (None, False, "item_properties_part2.csv"), 4: (None, False, "item_properties_part2.csv")}
     items = spark.createDataFrame([(8,)], "itemid long")
     assert contract.read_properties(spark, str(raw), items).count() == 1
     m = {r.file: r for r in contract.manifest(spark, str(raw), {"events.csv": 5, "category_tree.csv": 9}, "c0ffee").collect()}
     assert len(m) == 4 and m["events.csv"].rows == 5 and {r.commit for r in m.values()} == {"c0ffee"}
-    assert (m["events.csv"].rows_as_expected, m["category_tree.csv"].rows_as_expected, m["item_properties_part1.csv"].rows_as_expected) == (True, False, None)
+    assert (m["events.csv"].rows_as_expected, m["category_tree.csv"].rows_as_expected, m["item_properties_part1.csv"].rows_as_expected) == (True,
+        False, None)
 
 
 @pytest.mark.parametrize("end", [b"", b"\n", b"\r\n", b"\n\n"])
@@ -54,7 +56,8 @@ def test_manifest_hashes_any_bytes(spark, raw, end, mark):
         m = {r.file: r for r in contract.manifest(spark, str(raw)).collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert all(m[f].sha256 == hashlib.sha256((raw / f).read_bytes()).hexdigest() and m[f].bytes == (raw / f).stat().st_size for f in m) and len(m) == 4
+    assert all(m[f].sha256 == hashlib.sha256((raw / f).read_bytes()).hexdigest() and m[f].bytes == (raw / f).stat().st_size
+        for f in m) and len(m) == 4
 
 
 def test_filtered_properties_are_checked(spark, raw):
@@ -65,14 +68,16 @@ def test_filtered_properties_are_checked(spark, raw):
         one(9).collect()
 
 
-@pytest.mark.parametrize("text", ["visitorid,timestamp,event,itemid,transactionid\n1,0,view,7,\n", "timestamp,visitorid,event,itemid\n0,1,view,7\n", "timestamp,visitorid,event,itemid,transactionid\n0,x,view,7,\n"])
+@pytest.mark.parametrize("text", ["visitorid,timestamp,event,itemid,transactionid\n1,0,view,7,\n",
+    "timestamp,visitorid,event,itemid\n0,1,view,7\n", "timestamp,visitorid,event,itemid,transactionid\n0,x,view,7,\n"])
 def test_a_broken_contract_stops(spark, raw, text):
     (raw / "events.csv").write_text(text)
     with pytest.raises(contract.ContractError):
         contract.read(spark, str(raw), "events")
 
 
-MARTS = ("daily_active_visitors", "retention_by_cohort", "ordered_funnel_rates", "transaction_count", "category_conversion", "lifecycle_segments", "repurchase_interval_days", "sample_journeys", "event_sessions")
+MARTS = ("daily_active_visitors", "retention_by_cohort", "ordered_funnel_rates", "transaction_count", "category_conversion",
+    "lifecycle_segments", "repurchase_interval_days", "sample_journeys", "event_sessions")
 
 
 def test_run_all_twice_gives_the_same(spark, raw, tmp_path):
@@ -83,22 +88,26 @@ def test_run_all_twice_gives_the_same(spark, raw, tmp_path):
     assert cli.run("run-all", cfg, spark, MARTS[:-2])["rows"] == first["rows"] == {"events": 5, "item_properties": 4, "category_tree": 2}
     assert marts() == once and "(numerator=1, denominator=1" in str(once["ordered_funnel_rates"]).replace("metric_id='ordered_cart_to_purchase_rate', ", "(").replace("Row(((", "(").replace("((", "(")
     found = first["quality"]
-    assert (found["exact_duplicate_events"], found["unknown_event"], found["transaction_without_id"], found["category_not_a_number"], found["tree_cycle"], found["null_transactionid"]) == (1, 1, 0, 1, 0, 3)
+    assert (found["exact_duplicate_events"], found["unknown_event"], found["transaction_without_id"], found["category_not_a_number"],
+        found["tree_cycle"], found["null_transactionid"]) == (1, 1, 0, 1, 0, 3)
     assert spark.read.parquet(f"{cfg.export_directory}/retention_by_cohort.parquet").columns[-1] == "data_origin"
     log = spark.read.parquet(f"{cfg.warehouse_directory}/meta/pipeline_run").collect()
     assert [r.status for r in log] == ["ok", "ok"] and len({r.input_hash for r in log}) == 1 and len(log[0].input_hash) == 64
     about = json.loads(spark.read.text(f"{cfg.export_directory}/run_manifest.json").first()[0])
     assert about["command"] == "run-all" and "| rows |" in "".join(r[0] for r in spark.read.text(f"{cfg.export_directory}/summary.md").collect())
     history = spark.read.parquet(f"{cfg.warehouse_directory}/core/item_property_history").collect()
-    assert len(history) == 4 and {r.segment for r in spark.read.parquet(f"{cfg.warehouse_directory}/core/visitor_profile").collect()} == {"first_time_buyer", "other"}
+    assert len(history) == 4 and {r.segment
+        for r in spark.read.parquet(f"{cfg.warehouse_directory}/core/visitor_profile").collect()} == {"first_time_buyer", "other"}
     refused = cli.run("metrics", cfg, spark, MARTS[-2:])
     assert refused["marts"] == ["event_sessions"] and "sample_journeys" in refused["refused"]
     cli.run("metrics", cfg, spark, ("sample_events", "category_ancestors"))
     exported = cli.run("export", cfg, spark, ("event_sessions", "transaction_count", "sample_events", "category_ancestors"))
     assert exported["public"] == ["transaction_count"]
     sheets, about = sinks.read_sheets(spark, cfg.export_directory)
-    assert [(r.event_id, r.event_label, r.has_transaction_id) for r in sheets["sample_events"].collect()] == [(1, "浏览", False), (2, "加入购物车", False), (3, "交易", True), (4, "交易", True), (5, None, False)]
-    assert [tuple(r) for r in sheets["category_ancestors"].collect()] == [(1, None), (7, 1)] and about["counts"] == {"sample_events": 5, "category_ancestors": 2}
+    assert [(r.event_id, r.event_label, r.has_transaction_id) for r in sheets["sample_events"].collect()] == [(1, "浏览", False),
+        (2, "加入购物车", False), (3, "交易", True), (4, "交易", True), (5, None, False)]
+    assert [tuple(r) for r in sheets["category_ancestors"].collect()] == [(1, None), (7, 1)] and about["counts"] == {"sample_events": 5,
+        "category_ancestors": 2}
 
 
 def test_every_query_reads_a_warehouse(spark, raw, tmp_path):
@@ -126,7 +135,8 @@ def test_categories_are_those_of_the_event(spark, tmp_path):
     folder = tmp_path / "home/data/raw/extracted"
     folder.mkdir(parents=True)
     (folder / "events.csv").write_text("timestamp,visitorid,event,itemid,transactionid\n" + "".join(f"{t},{v},{e},{i},{x}\n" for t, v, e, i, x in (
-        (10, 1, "view", 7, ""), (30, 1, "transaction", 7, 1), (50, 2, "view", 7, ""), (70, 3, "view", 8, ""), (5, 4, "view", 7, ""), (90, 5, "view", 9, ""), (95, 6, "view", 7, ""))))
+        (10, 1, "view", 7, ""), (30, 1, "transaction", 7, 1), (50, 2, "view", 7, ""), (70, 3, "view", 8, ""), (5, 4, "view", 7, ""),
+            (90, 5, "view", 9, ""), (95, 6, "view", 7, ""))))
     (folder / "item_properties_part1.csv").write_text("timestamp,itemid,property,value\n10,7,categoryid,20\n40,7,categoryid,30\n95,7,categoryid,n5\n")
     (folder / "item_properties_part2.csv").write_text("timestamp,itemid,property,value\n60,8,categoryid,99\n1,8,categoryid,20\n")
     (folder / "category_tree.csv").write_text("categoryid,parentid\n1,\n2,1\n20,2\n30,1\n")
@@ -176,8 +186,10 @@ def test_config(tmp_path):
     assert config.load(str(tmp_path / "hash.yaml"), {}).data_home == "/srv/a/b#1"
     moved = config.build({"data_home": "/srv/a/b", "warehouse_directory": "/srv/a/b/w"})
     assert moved.database_path.startswith("/srv/a/b/w/") and moved.export_directory == "/srv/a/b/exports"
-    wrong = [{"data_home": "/"}, {"data_home": "a/b/c"}, {"data_home": "/a/../b/c"}, {"data_home": "/srv/a/b", "raw_data_dir": "/srv/other"}, {"data_home": "/srv/a/b", "sample": 1}, {}]
-    wrong += [{"data_home": "/srv/a/b", "session_gap_minutes": 0}, {"data_home": "/srv/a/b", "demo_mode": "maybe"}, {"data_home": str(Path.cwd())}, {"data_home": "D:\\x\\y", "temp_directory": "/tmp/x"}]
+    wrong = [{"data_home": "/"}, {"data_home": "a/b/c"}, {"data_home": "/a/../b/c"}, {"data_home": "/srv/a/b", "raw_data_dir": "/srv/other"},
+        {"data_home": "/srv/a/b", "sample": 1}, {}]
+    wrong += [{"data_home": "/srv/a/b", "session_gap_minutes": 0}, {"data_home": "/srv/a/b", "demo_mode": "maybe"},
+        {"data_home": str(Path.cwd())}, {"data_home": "D:\\x\\y", "temp_directory": "/tmp/x"}]
     for bad in wrong:
         with pytest.raises(config.ConfigError):
             config.build(bad)
@@ -186,8 +198,10 @@ def test_config(tmp_path):
 def test_config_of_all_documented_keys(tmp_path):
     base = "D:\\\\Data\\\\shop"
     text = '[project]\nname = "shop"\ndemo_mode = false\nanalysis_timezone = "UTC"\nsession_gap_minutes = 30\nsynthetic_seed = 20260809\n[paths]\n'
-    paths = {"data_home": "", "raw_data_dir": "raw", "warehouse_directory": "warehouse", "database_path": "warehouse\\\\x.duckdb", "parquet_directory": "parquet", "temp_directory": "tmp", "export_directory": "exports"}
-    (tmp_path / "c.toml").write_text(text + "".join(f'{k} = "{base}{chr(92) * 2 * bool(v)}{v}"\n' for k, v in paths.items()) + '[warehouse]\nschemas = ["meta"]\nthreads = 4\n')
+    paths = {"data_home": "", "raw_data_dir": "raw", "warehouse_directory": "warehouse", "database_path": "warehouse\\\\x.duckdb",
+        "parquet_directory": "parquet", "temp_directory": "tmp", "export_directory": "exports"}
+    (tmp_path / "c.toml").write_text(text + "".join(f'{k} = "{base}{chr(92) * 2 * bool(v)}{v}"\n' for k,
+        v in paths.items()) + '[warehouse]\nschemas = ["meta"]\nthreads = 4\n')
     cfg = config.load(str(tmp_path / "c.toml"), {})
     assert cfg.data_home == "D:\\Data\\shop" and cfg.database_path.endswith("x.duckdb") and set(cfg.to_dict()) >= set(paths)
 
@@ -209,7 +223,8 @@ def test_stream_sessions(spark, tmp_path):
     rows = [(1, t0 + dt.timedelta(minutes=m), "view") for m in (0, 29, 59, 90)] + [(2, t0 + dt.timedelta(days=3), "view")]
     spark.createDataFrame(rows, "visitorid long, event_time timestamp, event string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = session_stream(spark.readStream.schema("visitorid long, event_time timestamp, event string").parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("closed_sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = stream.writeStream.format("memory").queryName("closed_sessions").outputMode("append").option("checkpointLocation",
+        str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     got = sorted((r.visitorid, r.n_events) for r in spark.table("closed_sessions").collect())

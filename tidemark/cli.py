@@ -18,7 +18,8 @@ from tidemark.config import Config, ConfigError, load
 COMMANDS = ("ingest", "build", "metrics", "validate", "export", "run-all")
 #: Samples that `export` writes as sheets, with the order of their rows.
 SHEETS = {
-    "sample_events": ("event_id",), "sample_journeys": ("visitorid", "us", "event_id"), "sample_properties": ("priority", "itemid", "property", "us", "value"), "category_ancestors": ("categoryid",),
+    "sample_events": ("event_id",), "sample_journeys": ("visitorid", "us", "event_id"),
+        "sample_properties": ("priority", "itemid", "property", "us", "value"), "category_ancestors": ("categoryid",),
 }
 #: Marts of single checks that `validate` adds to the quality report, as (numerator, denominator) columns.
 RATIOS = ("item_property_coverage_rate", "category_linkage_rate")
@@ -95,7 +96,8 @@ def _validate(spark, cfg: Config, done: dict) -> None:
 
     w = tables.Warehouse(cfg.warehouse_directory)
     of = lambda name: REGISTRY[name].run(spark, w)
-    check = lambda df, name, a, b: df.select(F.lit(name).alias("check_id") if isinstance(name, str) else name.alias("check_id"), F.expr(a).cast("long").alias("findings"), F.expr(b).cast("long").alias("checked"))
+    check = lambda df, name, a, b: df.select(F.lit(name).alias("check_id") if isinstance(name, str) else name.alias("check_id"),
+        F.expr(a).cast("long").alias("findings"), F.expr(b).cast("long").alias("checked"))
     raw = spark.read.parquet(f"{cfg.warehouse_directory}/raw/item_properties")
     values = raw.agg(F.count_if("is_bad_category").alias("a"), F.count_if(F.col("property") == "categoryid").alias("b"))
     tree = tables.category_tree(spark, w).agg(F.count("*").alias("b"))
@@ -150,7 +152,8 @@ def run(command: str, cfg: Config, spark=None, marts: Iterable[str] | None = Non
 
     spark = spark or SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     run_id, began, store = uuid.uuid4().hex, time.time(), cfg.warehouse_directory
-    done: dict = {"command": command, "run_id": run_id, "data_origin": "synthetic" if cfg.demo_mode else "real", "commit": os.environ.get("TIDEMARK_COMMIT")}
+    done: dict = {"command": command, "run_id": run_id, "data_origin": "synthetic" if cfg.demo_mode else "real",
+        "commit": os.environ.get("TIDEMARK_COMMIT")}
     status, error = "failed", None
     try:
         for step in COMMANDS[:-1] if command == "run-all" else (command,):

@@ -34,7 +34,8 @@ class Config:
 _NAMES = {f.name: f.type for f in fields(Config)}
 #: Where each folder is if it is not set: below data_home, or below another folder.
 _CHILDREN = {
-    "raw_data_dir": ("data_home", "raw/extracted"), "warehouse_directory": ("data_home", "warehouse"), "database_path": ("warehouse_directory", "tidemark.duckdb"),
+    "raw_data_dir": ("data_home", "raw/extracted"), "warehouse_directory": ("data_home", "warehouse"),
+        "database_path": ("warehouse_directory", "tidemark.duckdb"),
     "parquet_directory": ("data_home", "parquet"), "temp_directory": ("data_home", "tmp"), "export_directory": ("data_home", "exports"),
 }
 #: Tables of a TOML file whose keys are settings, with the keys that only describe; and tables that are read past.

@@ -16,7 +16,8 @@ def rate(numerator: Column, denominator: Column) -> Column:
 
 def with_rate(numerator: Column, denominator: Column, small: int = SMALL_SAMPLE) -> list[Column]:
     """The four columns that every rate is reported with."""
-    return [numerator.cast("long").alias("numerator"), denominator.cast("long").alias("denominator"), F.round(rate(numerator, denominator), 9).alias("rate"), (denominator < small).alias("small_sample")]
+    return [numerator.cast("long").alias("numerator"), denominator.cast("long").alias("denominator"),
+        F.round(rate(numerator, denominator), 9).alias("rate"), (denominator < small).alias("small_sample")]
 
 
 def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:

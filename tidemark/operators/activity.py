@@ -18,14 +18,17 @@ def rolling_active(days: DataFrame, width: int) -> DataFrame:
     counted. So a row is made per interval, not per visitor, day and window, and the last window is over days alone."""
     visitor = Window.partitionBy("visitorid").orderBy("d")
     fresh = days.withColumn("starts", F.coalesce(F.datediff("d", F.lag("d").over(visitor)) > width, F.lit(True)).cast("int"))
-    runs = fresh.withColumn("run", F.sum("starts").over(visitor)).groupBy("visitorid", "run").agg(F.min("d").alias("a"), F.date_add(F.max("d"), width).alias("b"))
-    deltas = runs.select(F.explode(F.array(F.struct(F.col("a").alias("d"), F.lit(1).alias("x")), F.struct(F.col("b").alias("d"), F.lit(-1).alias("x")))).alias("e")).groupBy("e.d").agg(F.sum("e.x").alias("x"))
+    runs = fresh.withColumn("run", F.sum("starts").over(visitor)).groupBy("visitorid", "run").agg(F.min("d").alias("a"),
+        F.date_add(F.max("d"), width).alias("b"))
+    deltas = runs.select(F.explode(F.array(F.struct(F.col("a").alias("d"), F.lit(1).alias("x")),
+        F.struct(F.col("b").alias("d"), F.lit(-1).alias("x")))).alias("e")).groupBy("e.d").agg(F.sum("e.x").alias("x"))
     ends = days.agg(F.min("d").alias("low"), F.max("d").alias("high"))
     calendar = ends.select(F.explode(F.sequence("low", "high")).alias("d"), "low")
     # one row per calendar day from here on
     open_ = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     out = calendar.join(deltas, "d", "left").select("d", "low", F.sum(F.coalesce("x", F.lit(0))).over(open_).alias("visitors"))
-    return out.where("visitors > 0").select("d", F.col("visitors").cast("long").alias("visitors"), (F.datediff("d", "low") >= width - 1).alias("is_full_window"))
+    return out.where("visitors > 0").select("d", F.col("visitors").cast("long").alias("visitors"),
+        (F.datediff("d", "low") >= width - 1).alias("is_full_window"))
 
 
 def first_days(days: DataFrame) -> DataFrame:
@@ -42,7 +45,8 @@ def retention(days: DataFrame, offsets: tuple[int, ...] = (1, 3, 7, 14, 30)) ->
     sizes = firsts.groupBy("first_d").agg(F.count("*").alias("cohort_size"))
     grid = sizes.select("first_d", "cohort_size", F.explode(F.array(*[F.lit(n) for n in offsets])).alias("n"))
     out = grid.join(back, ["first_d", "n"], "left").join(F.broadcast(last))  # one row
-    return out.select("first_d", "n", "cohort_size", F.when(F.date_add("first_d", F.col("n")) <= F.col("last_d"), F.coalesce("retained", F.lit(0))).cast("long").alias("retained"))
+    return out.select("first_d", "n", "cohort_size", F.when(F.date_add("first_d", F.col("n")) <= F.col("last_d"),
+        F.coalesce("retained", F.lit(0))).cast("long").alias("retained"))
 
 
 def filtered(mart: DataFrame, since=None, until=None, category=None, cohort=None, segment=None) -> DataFrame:

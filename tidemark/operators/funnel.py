@@ -19,7 +19,8 @@ def steps(events: DataFrame, keys: list[str]) -> DataFrame:
     e = events.select(*keys, "us", "event").withColumn("tv", F.min(_at("view")).over(group))
     e = e.withColumn("fc", F.min(F.when(F.col("us") > F.col("tv"), _at("addtocart"))).over(group))
     return e.groupBy(*keys).agg(
-        F.min("tv").alias("tv"), F.min(_at("addtocart")).alias("tc"), F.max(_at("addtocart")).alias("last_tc"), F.max(_at("transaction")).alias("last_tx"),
+        F.min("tv").alias("tv"), F.min(_at("addtocart")).alias("tc"), F.max(_at("addtocart")).alias("last_tc"),
+            F.max(_at("transaction")).alias("last_tx"),
         F.min("fc").alias("fc"), F.min(F.when(F.col("us") > F.col("fc"), _at("transaction"))).alias("fx"),
     )
 
@@ -37,4 +38,5 @@ def rates(steps_df: DataFrame, which: dict[str, tuple[str, str]] = RATES) -> Dat
     """One row per rate: metric_id, numerator, denominator. One pass over the groups."""
     counts = [F.count_if(F.expr(x)).alias(f"{m}_{k}") for m, pair in which.items() for k, x in enumerate(pair)]
     row = steps_df.agg(*counts)
-    return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric_id"), F.col(f"{m}_0").alias("numerator"), F.col(f"{m}_1").alias("denominator")) for m in which])).alias("x")).select("x.*")
+    return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric_id"), F.col(f"{m}_0").alias("numerator"),
+        F.col(f"{m}_1").alias("denominator")) for m in which])).alias("x")).select("x.*")

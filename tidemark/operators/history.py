@@ -59,7 +59,8 @@ def as_of_interval(facts: DataFrame, changes: DataFrame, key: str, value: str, a
     names = facts.columns
     before = _at_day_start(facts.where(F.col(key).isNotNull()), changes, key, value, at)
     day = Window.partitionBy(key, "_day").orderBy(at)
-    h = changes.withColumn("_day", _day(at)).select(key, "_day", F.struct(value).alias("_v"), F.col(at).alias("_from"), F.lead(at).over(day).alias("_to"))
+    h = changes.withColumn("_day", _day(at)).select(key, "_day", F.struct(value).alias("_v"), F.col(at).alias("_from"),
+        F.lead(at).over(day).alias("_to"))
     h = h.withColumnsRenamed({key: "_k", "_day": "_d"})
     on = (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")) & (F.col(at) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(at) < F.col("_to")))
     found = facts.withColumn("_day", _day(at)).join(before, [key, "_day"], "left").join(h, on, "left")

@@ -20,20 +20,25 @@ def sessionize(events: DataFrame, gap_us: int = GAP) -> DataFrame:
     step = F.col("us") - F.lag("us").over(day)
     marked = events.withColumn("_new", F.coalesce((step > gap_us).cast("int"), F.lit(0)))
     marked = marked.withColumns({"_run": F.sum("_new").over(day), "_seq": F.row_number().over(day)})
-    days = marked.groupBy("visitorid", "d").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.sum("_new").alias("more"), F.count("*").alias("n"))
+    days = marked.groupBy("visitorid", "d").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.sum("_new").alias("more"),
+        F.count("*").alias("n"))
     visitor = Window.partitionBy("visitorid").orderBy("d")
     before = visitor.rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce(F.col("first") - F.lag("last").over(visitor) > gap_us, F.lit(True)).cast("int")
     days = days.withColumn("opens", opens)
-    days = days.select("visitorid", "d", (F.coalesce(F.sum(F.col("more") + F.col("opens")).over(before), F.lit(0)) + F.col("opens")).alias("_base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    days = days.select("visitorid", "d",
+        (F.coalesce(F.sum(F.col("more") + F.col("opens")).over(before), F.lit(0)) + F.col("opens")).alias("_base"),
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     out = marked.join(days, ["visitorid", "d"])
-    return out.withColumns({"session_number": (F.col("_base") + F.col("_run")).cast("long"), "event_sequence": (F.col("_before") + F.col("_seq")).cast("long")}).drop("_new", "_run", "_seq", "_base", "_before")
+    return out.withColumns({"session_number": (F.col("_base") + F.col("_run")).cast("long"),
+        "event_sequence": (F.col("_before") + F.col("_seq")).cast("long")}).drop("_new", "_run", "_seq", "_base", "_before")
 
 
 def session_fact(events: DataFrame) -> DataFrame:
     """One row per visitor and session of sessionized events; its day is that of its start."""
     of = lambda e: F.count_if(F.col("event") == e)
     return events.groupBy("visitorid", "session_number").agg(
-        F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.min("d").alias("d"), F.count("*").alias("n_events"), F.count_distinct("itemid").alias("n_items"),
+        F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.min("d").alias("d"), F.count("*").alias("n_events"),
+            F.count_distinct("itemid").alias("n_items"),
         of("view").alias("n_view"), of("addtocart").alias("n_cart"), of("transaction").alias("n_tx"),
     )

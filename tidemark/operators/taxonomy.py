@@ -62,4 +62,5 @@ def defects(tree: DataFrame) -> DataFrame:
         "cycle": cycles(tree.distinct().join(lost, "categoryid", "left_semi")),
         "unreachable": lost,
     }
-    return reduce(DataFrame.union, [df.agg(F.count("*").alias("findings")).select(F.lit(kind).alias("kind"), "findings") for kind, df in checks.items()])
+    return reduce(DataFrame.union, [df.agg(F.count("*").alias("findings")).select(F.lit(kind).alias("kind"), "findings") for kind,
+        df in checks.items()])

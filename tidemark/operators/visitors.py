@@ -33,7 +33,8 @@ def at_risk(profile: DataFrame, days: DataFrame) -> DataFrame:
     w = Window.partitionBy("visitorid").orderBy("d")
     gap = days.select(F.datediff("d", F.lag("d").over(w)).alias("gap")).agg(F.expr("percentile(gap, 0.75)").alias("limit"))
     last = days.agg(F.max("d").alias("end_d"))
-    return profile.join(F.broadcast(gap.join(F.broadcast(last)))).withColumn("at_risk", F.coalesce(F.datediff("end_d", "last_d") > F.col("limit"), F.lit(False))).drop("limit", "end_d")  # one row
+    return profile.join(F.broadcast(gap.join(F.broadcast(last)))).withColumn("at_risk",
+        F.coalesce(F.datediff("end_d", "last_d") > F.col("limit"), F.lit(False))).drop("limit", "end_d")  # one row
 
 
 def repurchase_gaps(tx: DataFrame) -> DataFrame:
@@ -43,7 +44,8 @@ def repurchase_gaps(tx: DataFrame) -> DataFrame:
     days = tx.groupBy("visitorid", "d").agg(F.max("us").alias("_last"))
     days = days.select("visitorid", "d", F.lag("_last").over(Window.partitionBy("visitorid").orderBy("d")).alias("_before"))
     marked = tx.select("visitorid", "d", "us", F.lag("us").over(day).alias("_within")).join(days, ["visitorid", "d"])
-    return marked.select("visitorid", ((F.col("us") - F.coalesce("_within", "_before")) / 86_400_000_000).alias("gap_days")).where("gap_days is not null")
+    return marked.select("visitorid",
+        ((F.col("us") - F.coalesce("_within", "_before")) / 86_400_000_000).alias("gap_days")).where("gap_days is not null")
 
 
 def abnormal(counts: DataFrame, share: float = 0.999) -> DataFrame:

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The contract.
-EVENTS = T.StructType([T.StructField("timestamp", T.LongType(), False), T.StructField("visitorid", T.LongType(), False), T.StructField("event", T.StringType(), False), T.StructField("itemid", T.LongType(), False), T.StructField("transactionid", T.LongType())])
-PROPERTIES = T.StructType([T.StructField("timestamp", T.LongType(), False), T.StructField("itemid", T.LongType(), False), T.StructField("property", T.StringType(), False), T.StructField("value", T.StringType())])
+EVENTS = T.StructType([T.StructField("timestamp", T.LongType(), False), T.StructField("visitorid", T.LongType(), False),
+    T.StructField("event", T.StringType(), False), T.StructField("itemid", T.LongType(), False), T.StructField("transactionid", T.LongType())])
+PROPERTIES = T.StructType([T.StructField("timestamp", T.LongType(), False), T.StructField("itemid", T.LongType(), False),
+    T.StructField("property", T.StringType(), False), T.StructField("value", T.StringType())])
 CATEGORIES = T.StructType([T.StructField("categoryid", T.LongType(), False), T.StructField("parentid", T.LongType())])
-CONTRACT = {"events": (EVENTS, ["events.csv"]), "item_properties": (PROPERTIES, ["item_properties_part1.csv", "item_properties_part2.csv"]), "category_tree": (CATEGORIES, ["category_tree.csv"])}
+CONTRACT = {"events": (EVENTS, ["events.csv"]), "item_properties": (PROPERTIES, ["item_properties_part1.csv", "item_properties_part2.csv"]),
+    "category_tree": (CATEGORIES, ["category_tree.csv"])}
 INTERPRETABLE = ("categoryid", "available")
 
 
@@ -72,15 +75,18 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     numbers all rows. Exact duplicates after the first are flagged, never dropped."""
     read(spark, folder, "events")  # the contract holds, or this raises
     schema, files = CONTRACT["events"]
-    place = [F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")]
+    place = [F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row")]
     rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/{files[0]}").select("*", *place)
     place = F.row_number().over(Window.partitionBy("_block").orderBy("_row"))
     blocks = rows.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = blocks.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per block
+    before = blocks.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_before"))  # a row per block
     numbered = rows.withColumn("_place", place).join(F.broadcast(before), "_block").withColumn("event_id", F.col("_before") + F.col("_place"))
     same = Window.partitionBy(*schema.names).orderBy("event_id")
     return numbered.withColumns({
-        "is_exact_duplicate": F.row_number().over(same) > 1, "event_time_utc": F.timestamp_millis("timestamp"), "us": F.col("timestamp") * 1000, "d": F.to_date(F.timestamp_millis("timestamp")),
+        "is_exact_duplicate": F.row_number().over(same) > 1, "event_time_utc": F.timestamp_millis("timestamp"), "us": F.col("timestamp") * 1000,
+            "d": F.to_date(F.timestamp_millis("timestamp")),
         "is_known_event": F.col("event").isin("view", "addtocart", "transaction"), "has_transaction_id": F.col("transactionid").isNotNull(),
     }).drop("_block", "_row", "_place", "_before")
 
@@ -94,7 +100,9 @@ def read_properties(spark: SparkSession, folder: str, items: DataFrame | None =
         wanted = items.select(F.col("itemid").cast("string").alias("itemid")).distinct()
         rows = typed(scan(spark, folder, "item_properties").join(wanted, "itemid", "left_semi"), "item_properties")
     number = F.when(F.col("property") == "categoryid", F.col("value").try_cast("long"))
-    return rows.withColumns({"categoryid": number, "is_bad_category": (F.col("property") == "categoryid") & F.col("value").isNotNull() & number.isNull(), "is_interpretable": F.col("property").isin(*INTERPRETABLE)})
+    return rows.withColumns({"categoryid": number,
+        "is_bad_category": (F.col("property") == "categoryid") & F.col("value").isNotNull() & number.isNull(),
+            "is_interpretable": F.col("property").isin(*INTERPRETABLE)})
 
 
 #: Bytes that the line reader leaves out at the start of a file.
@@ -128,7 +136,8 @@ def _digests(lines: DataFrame) -> DataFrame:
                 now[5].update(piece)
         if now:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 3, (pa.string(), pa.string(), pa.int64()))], names=["file", "sha256", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 3, (pa.string(), pa.string(), pa.int64()))],
+            names=["file", "sha256", "rows"])
 
     return lines.repartition("file").sortWithinPartitions("file", "block", "row").mapInArrow(run, "file string, sha256 string, rows long")
 
@@ -140,7 +149,9 @@ def manifest(spark: SparkSession, folder: str, expected: dict[str, int] | None =
     named = spark.createDataFrame(files, "source_id string, file string, expected_rows long")
     m = F.col("_metadata")
     lines = spark.read.option("lineSep", "\n").text([f"{folder}/{f}" for _, f, _ in files])
-    about = lines.select(m["file_name"].alias("file"), m["file_path"].alias("path"), m["file_size"].alias("bytes"), m["file_modification_time"].alias("modified")).distinct()
-    hashed = lines.select(m["file_name"].alias("file"), m["file_size"].alias("size"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("line"))
+    about = lines.select(m["file_name"].alias("file"), m["file_path"].alias("path"), m["file_size"].alias("bytes"),
+        m["file_modification_time"].alias("modified")).distinct()
+    hashed = lines.select(m["file_name"].alias("file"), m["file_size"].alias("size"), m["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("line"))
     out = named.join(about, "file").join(_digests(hashed), "file")
     return out.withColumns({"rows_as_expected": F.col("rows") == F.col("expected_rows"), "ingested": F.current_timestamp(), "commit": F.lit(commit)})

@@ -44,7 +44,8 @@ def write_quality_json(df: DataFrame, folder: str) -> None:
 LOG = "run_id string, command string, started double, ended double, status string, input_hash string, commit string, error string"
 
 
-def log_run(spark: SparkSession, folder: str, run_id: str, command: str, started: float, status: str, input_hash: str, error: str | None = None, commit: str | None = None) -> None:
+def log_run(spark: SparkSession, folder: str, run_id: str, command: str, started: float, status: str, input_hash: str, error: str | None = None,
+    commit: str | None = None) -> None:
     """Appends one row to the run log, also for a run that failed."""
     row = [(run_id, command, started, time.time(), status, input_hash, commit, error)]
     spark.createDataFrame(row, LOG).write.mode("append").parquet(f"{folder}/meta/pipeline_run")
@@ -70,7 +71,8 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str, metadata: dict) -> N
 def read_sheets(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict]:
     """The sheets and metadata that write_sheets wrote, with the columns in their order."""
     about = json.loads(spark.read.option("wholetext", True).text(f"{folder}/sheets/metadata.json").first()[0])
-    return {name: spark.read.option("multiLine", False).json(f"{folder}/sheets/{name}.json").select(*columns) for name, columns in about["headers"].items()}, about
+    return {name: spark.read.option("multiLine", False).json(f"{folder}/sheets/{name}.json").select(*columns) for name,
+        columns in about["headers"].items()}, about
 
 
 def summary(rows: dict) -> str:

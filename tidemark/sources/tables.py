@@ -47,8 +47,10 @@ def events(spark: SparkSession, d: Place) -> DataFrame:
         return read(spark, d, "core/fct_event").select("event_id", "us", "d", "visitorid", "event", "itemid", "transactionid")
     kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in EVENT_NAMES.items()], F.col("event_type"))
     return read(spark, d, "events").select(
-        "event_id", micros(F.col("ts")).alias("us"), F.to_date(F.col("ts").cast("timestamp_ntz")).alias("d"), F.col("user_id").alias("visitorid"), kind.alias("event"),
-        F.get_json_object("props", "$.k").try_cast("long").alias("itemid"), F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("transactionid"),
+        "event_id", micros(F.col("ts")).alias("us"), F.to_date(F.col("ts").cast("timestamp_ntz")).alias("d"),
+            F.col("user_id").alias("visitorid"), kind.alias("event"),
+        F.get_json_object("props", "$.k").try_cast("long").alias("itemid"),
+            F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("transactionid"),
     )
 
 
@@ -58,7 +60,8 @@ def orders(spark: SparkSession, d: Place) -> DataFrame:
         bought = events(spark, d).where("event = 'transaction' and transactionid is not null")
         return bought.groupBy("transactionid", "visitorid").agg(F.min("us").alias("us"), F.min("d").alias("d"))
     at = F.col("o_orderdate")
-    return read(spark, d, "orders").select(F.col("o_orderkey").alias("transactionid"), F.col("o_custkey").alias("visitorid"), micros(at).alias("us"), F.to_date(at.cast("timestamp_ntz")).alias("d"))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("transactionid"), F.col("o_custkey").alias("visitorid"),
+        micros(at).alias("us"), F.to_date(at.cast("timestamp_ntz")).alias("d"))
 
 
 def lines(spark: SparkSession, d: Place) -> DataFrame:
@@ -74,7 +77,8 @@ def property_log(spark: SparkSession, d: Place) -> DataFrame:
     if isinstance(d, Warehouse):
         return read(spark, d, "raw/item_properties").select("itemid", (F.col("timestamp") * 1000).alias("us"), "property", "value")
     value = (F.col("l_suppkey") + 1000).cast("string")
-    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("itemid"), micros(F.col("l_shipdate")).alias("us"), F.lit("categoryid").alias("property"), value.alias("value"))
+    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("itemid"), micros(F.col("l_shipdate")).alias("us"),
+        F.lit("categoryid").alias("property"), value.alias("value"))
 
 
 def category_changes(spark: SparkSession, d: Place) -> DataFrame:
@@ -124,6 +128,7 @@ def damaged_tree(spark: SparkSession, d: Place) -> DataFrame:
     if isinstance(d, Warehouse):
         return category_tree(spark, d)
     k = F.col("c_custkey")
-    parent = F.when(k < 10, F.lit(None)).when(k % 50 == 20, k).when(k % 50 == 21, k + 1).when(k % 50 == 22, k - 1).when(k % 50 == 23, -1).otherwise(F.floor(k / 10))
+    parent = F.when(k < 10, F.lit(None)).when(k % 50 == 20, k).when(k % 50 == 21, k + 1).when(k % 50 == 22, k - 1).when(k % 50 == 23,
+        -1).otherwise(F.floor(k / 10))
     one = read(spark, d, "customer").select(k.cast("long").alias("categoryid"), parent.cast("long").alias("parentid"))
     return one.union(one.where("categoryid % 97 = 5"))

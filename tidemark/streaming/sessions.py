@@ -12,6 +12,7 @@ def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     of = lambda e: F.count_if(F.col("event") == e)
     return (
         events.withWatermark("event_time", late).groupBy("visitorid", F.session_window("event_time", gap).alias("w"))
-        .agg(F.count("*").alias("n_events"), of("view").alias("n_view"), of("addtocart").alias("n_cart"), of("transaction").alias("n_tx"), F.max("event_time").alias("last"))
+        .agg(F.count("*").alias("n_events"), of("view").alias("n_view"), of("addtocart").alias("n_cart"), of("transaction").alias("n_tx"),
+            F.max("event_time").alias("last"))
         .select("visitorid", F.col("w.start").alias("start"), "last", "n_events", "n_view", "n_cart", "n_tx")
     )
