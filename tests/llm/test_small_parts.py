@@ -248,6 +248,11 @@ def test_what_stands_beside_an_article_goes_whatever_its_name(title):
     assert html_density.main_text(page.replace("<body>", "").replace("</body>", "")) == ("T\n" if title else "") + ARTICLE
 
 
+def test_the_heading_of_the_site_is_not_that_of_the_article():
+    assert html_density.main_text(f"<body><h1>The daily page of everything</h1><div class=q2><h1>T</h1>{PARTS}</div></body>") == f"T\n{ARTICLE}"
+    assert html_density.main_text(f"<body><h1>T</h1><div class=q1><div class=q2>{PARTS}</div></div></body>") == f"T\n{ARTICLE}"
+
+
 def test_an_article_in_two_parts_stays_whole():
     assert html_density.main_text(f"<body><h1>T</h1><div class=q1>{PARTS}</div><div class=q2>{PARTS}</div><div class=q3><a href=a>Home</a></div></body>") == f"T\n{ARTICLE}\n{ARTICLE}"
 

@@ -297,10 +297,16 @@ def content_nodes(dom: Dom, kept: list[bool], density: list[float], total: list[
         blocks = all(not isinstance(x, str) and dom.tag[x] in BLOCK for x in parts)
         return [x for x in parts if not weak(x)] if blocks else [k], limit
     found = [k]
+    below = {k}
+    titled = False  # an article with a heading of its own needs no other
+    for x in range(k + 1, n):
+        if dom.parent[x] in below:
+            below.add(x)
+            titled |= dom.tag[x] == "h1" and kept[x]
     while k not in (body, 0):  # what stands beside the content and the nodes that hold it
-        k, below = dom.parent[k], k
+        k, own = dom.parent[k], k
         for x in dom.children[k]:
-            if isinstance(x, str) or x == below or empty(x):
+            if isinstance(x, str) or x == own or empty(x) or titled and dom.tag[x] == "h1":
                 continue
             bare = dom.tag[x] in RUNNING or dom.tag[x] not in BLOCK
             if density[x] >= limit and (bare or total[best[x]] >= SHARE * total[top]) or dom.tag[x] == "h1" or dom.tag[x] == "header" and x < top:
