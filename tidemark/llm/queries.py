@@ -104,6 +104,22 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both_n >= 75 * (p.n + q.n - both_n)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(low.y, t.doc_id)) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN low ON low.x = t.doc_id
+"""
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sp_codec.encode(docs, public_tokenizers.path(MODEL), decoded="decoded")
@@ -159,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_divergence": _op2_sql(), "op6_line_dedup": OP6_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_divergence": _op2_sql(), "op6_line_dedup": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
