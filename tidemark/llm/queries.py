@@ -40,29 +40,41 @@ w AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-
 win AS (SELECT doc_id, i, ws[i:i + 4] AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
-line AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM t) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
-cls AS (SELECT doc_id, unnest([{", ".join(of(c) for c in d.CLASSES[:-1])}, length(s) - ({" + ".join(of(c) for c in d.CLASSES[:-1])})]) AS c, generate_subscripts([{", ".join("0" for _ in d.CLASSES)}], 1) - 1 AS k, length(s) AS chars FROM w),
-base AS (SELECT w.doc_id, w.lang, len(ws) AS n_words, length(s) - ({of("space")}) AS word_chars, {of("symbol")} AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+line AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM t) WHERE
+    regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+cls AS (SELECT doc_id, unnest([{", ".join(of(c) for c in d.CLASSES[:-1])}, length(s) - ({" + ".join(of(c) for c in d.CLASSES[:-1])})]) AS c,
+    generate_subscripts([{", ".join("0" for _ in d.CLASSES)}], 1) - 1 AS k, length(s) AS chars FROM w),
+base AS (SELECT w.doc_id, w.lang, len(ws) AS n_words, length(s) - ({of("space")}) AS word_chars, {of("symbol")} AS n_symbols,
+    coalesce(line.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
          FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN line USING (doc_id)),
 judged AS (SELECT *, n_words < {d.MIN_WORDS} OR 100 * n_repeat_words > {d.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM base),
-held AS (SELECT lang, unnest(list_distinct(ws)) AS word FROM w WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL)),
+held AS (SELECT lang, unnest(list_distinct(ws)) AS word FROM w WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents WHERE text
+    IS NOT NULL)),
 docs AS (SELECT lang, count(*) AS docs FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang),
-list AS (SELECT lang, word, CAST(place - 1 AS INTEGER) AS k FROM (SELECT held.lang, word, row_number() OVER (PARTITION BY held.lang ORDER BY count(*) DESC, encode(word)) AS place
+list AS (SELECT lang, word, CAST(place - 1 AS INTEGER) AS k FROM (SELECT held.lang, word, row_number() OVER (PARTITION BY held.lang ORDER BY
+    count(*) DESC, encode(word)) AS place
          FROM held JOIN docs USING (lang) GROUP BY held.lang, word, docs HAVING count(*) >= {d.SHARE} * docs) WHERE place <= {d.WORDS}),
 size AS (SELECT lang, count(*) AS size FROM list GROUP BY lang),
 good AS (SELECT * FROM judged WHERE NOT base_failed AND lang IN (SELECT lang FROM size)),
 n AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
 qc AS (SELECT lang, k, round(sum(c / chars) / any_value(n.n), 9) AS q FROM cls JOIN good USING (doc_id) JOIN n USING (lang) GROUP BY lang, k),
 cnt AS (SELECT doc_id, x AS word, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS x FROM w) WHERE x IN (SELECT word FROM list) GROUP BY doc_id, x),
-qw0 AS (SELECT list.lang, list.k, coalesce(sum(cnt.c / good.n_words) / any_value(n.n), 0) AS q FROM list JOIN n USING (lang) JOIN good USING (lang) LEFT JOIN cnt ON cnt.doc_id = good.doc_id AND cnt.word = list.word GROUP BY list.lang, list.k),
-qw AS (SELECT lang, k, round(q, 9) AS q FROM qw0 UNION ALL SELECT qw0.lang, any_value(size), round(greatest(0, 1 - sum(q)), 9) FROM qw0 JOIN size USING (lang) GROUP BY qw0.lang),
-pw0 AS (SELECT j.doc_id, list.lang, list.k, coalesce(cnt.c, 0) / j.n_words AS p, coalesce(cnt.c, 0) AS c, j.n_words FROM judged j JOIN list ON j.n_words > 0 JOIN n ON n.lang = list.lang LEFT JOIN cnt ON cnt.doc_id = j.doc_id AND cnt.word = list.word),
-pw AS (SELECT doc_id, lang, k, p FROM pw0 UNION ALL SELECT doc_id, pw0.lang, any_value(size), (any_value(n_words) - sum(c)) / any_value(n_words) FROM pw0 JOIN size USING (lang) GROUP BY doc_id, pw0.lang),
+qw0 AS (SELECT list.lang, list.k, coalesce(sum(cnt.c / good.n_words) / any_value(n.n), 0) AS q FROM list JOIN n USING (lang) JOIN good USING
+    (lang) LEFT JOIN cnt ON cnt.doc_id = good.doc_id AND cnt.word = list.word GROUP BY list.lang, list.k),
+qw AS (SELECT lang, k, round(q, 9) AS q FROM qw0 UNION ALL SELECT qw0.lang, any_value(size), round(greatest(0, 1 - sum(q)), 9) FROM qw0 JOIN
+    size USING (lang) GROUP BY qw0.lang),
+pw0 AS (SELECT j.doc_id, list.lang, list.k, coalesce(cnt.c, 0) / j.n_words AS p, coalesce(cnt.c, 0) AS c, j.n_words FROM judged j JOIN list
+    ON j.n_words > 0 JOIN n ON n.lang = list.lang LEFT JOIN cnt ON cnt.doc_id = j.doc_id AND cnt.word = list.word),
+pw AS (SELECT doc_id, lang, k, p FROM pw0 UNION ALL SELECT doc_id, pw0.lang, any_value(size), (any_value(n_words) - sum(c)) /
+    any_value(n_words) FROM pw0 JOIN size USING (lang) GROUP BY doc_id, pw0.lang),
 dw AS (SELECT doc_id, lang, {jsd("p", "q")} AS d FROM pw JOIN qw USING (lang, k) GROUP BY doc_id, lang),
 dc AS (SELECT cls.doc_id, qc.lang, {jsd("(c / chars)", "q")} AS d FROM cls JOIN qc USING (k) WHERE chars > 0 GROUP BY cls.doc_id, qc.lang),
-near AS (SELECT doc_id, bool_or(dc.d <= {d.MAX_CLASS_LONG} AND dw.d <= {d.MAX_WORD_LONG}) AS near_both, bool_or(dc.d <= {d.MAX_CLASS_SHORT}) AS near_class FROM dw JOIN dc USING (doc_id, lang) GROUP BY doc_id)
-SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(CASE WHEN n_words >= {d.LONG_WORDS} THEN near_both WHEN n_words >= {d.SHORT_WORDS} THEN near_class END, true) AS kept
+near AS (SELECT doc_id, bool_or(dc.d <= {d.MAX_CLASS_LONG} AND dw.d <= {d.MAX_WORD_LONG}) AS near_both, bool_or(dc.d <= {d.MAX_CLASS_SHORT})
+    AS near_class FROM dw JOIN dc USING (doc_id, lang) GROUP BY doc_id)
+SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(CASE WHEN n_words >= {d.LONG_WORDS} THEN near_both WHEN n_words >= {d.SHORT_WORDS} THEN near_class END,
+    true) AS kept
 FROM judged j LEFT JOIN near USING (doc_id)
 """
 
@@ -90,8 +102,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH l AS (
-  SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+  SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''),
+    chr(10)), 1) AS pos FROM documents)),
 k AS (SELECT key, max(doc_id) AS last_doc FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 d AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id < k.last_doc AS gone FROM l LEFT JOIN k ON l.key = k.key)
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
@@ -108,7 +122,8 @@ OP7_SQL = """
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS
+    i FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both_n >= 75 * (p.n + q.n - both_n)),
@@ -152,18 +167,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS src, source IS NULL AS none, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, md5('mix:' || doc_id) AS h FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS src, source IS NULL AS none, coalesce(len(regexp_extract_all(text,
+    '[^\\x20\\x09-\\x0D]+')), 0) AS size, md5('mix:' || doc_id) AS h FROM documents),
 s AS (SELECT src, none, sum(size) AS size FROM d GROUP BY src, none),
 w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY none, encode(src)) - 1) % 3 AS INTEGER) + 1] AS w FROM s),
-o AS (SELECT *, 2.0 * size / w AS stop, coalesce(sum(2 * size) OVER r, 0) AS full_before, sum(w) OVER (ORDER BY 2.0 * size / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, 1.5 * sum(size) OVER () AS total
+o AS (SELECT *, 2.0 * size / w AS stop, coalesce(sum(2 * size) OVER r, 0) AS full_before, sum(w) OVER (ORDER BY 2.0 * size / w, src ROWS
+    BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, 1.5 * sum(size) OVER () AS total
       FROM w WINDOW r AS (ORDER BY 2.0 * size / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT arg_min((total - full_before) / w_left, stop) FILTER ((total - full_before) / w_left <= stop) AS x FROM o),
 t AS (SELECT src, none, size AS source_size, CASE WHEN stop <= x THEN 2.0 * size ELSE w * x END AS target FROM o, level),
-p AS (SELECT *, CAST(least(CASE WHEN abs(target - floor(target) - 0.5) < 1e-9 AND floor(target) % 2 = 0 THEN floor(target) ELSE round(target) END, 2 * source_size) AS BIGINT) AS quota FROM t),
-q AS (SELECT d.doc_id, d.size, p.source_size, p.target, CASE WHEN p.source_size = 0 THEN 0 ELSE quota // p.source_size END AS passes, CASE WHEN p.source_size = 0 THEN 0 ELSE quota % p.source_size END AS rest,
+p AS (SELECT *, CAST(least(CASE WHEN abs(target - floor(target) - 0.5) < 1e-9 AND floor(target) % 2 = 0 THEN floor(target) ELSE
+    round(target) END, 2 * source_size) AS BIGINT) AS quota FROM t),
+q AS (SELECT d.doc_id, d.size, p.source_size, p.target, CASE WHEN p.source_size = 0 THEN 0 ELSE quota // p.source_size END AS passes, CASE
+    WHEN p.source_size = 0 THEN 0 ELSE quota % p.source_size END AS rest,
         sum(d.size) OVER (PARTITION BY d.src, d.none ORDER BY h, d.doc_id) AS upto FROM d JOIN p ON d.src = p.src AND d.none = p.none)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
-       CAST(size * (passes + CASE WHEN upto - size < rest AND (upto <= rest OR upto - rest <= rest - upto + size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (passes + CASE WHEN upto - size < rest AND (upto <= rest OR upto - rest <= rest - upto + size) THEN 1 ELSE 0 END) AS
+    BIGINT) AS taken
 FROM q
 """
 
