@@ -181,6 +181,8 @@ def test_join_links_rows_without_a_doc_id(spark):
     assert [(r.n_shingles, r.component_id) for r in ngram_join.join(alone).orderBy("n_shingles").collect()] == [(56, None), (57, None)]
     assert ngram_join.one_of_each(alone).count() == 1
     assert ngram_join.one_of_each(df.limit(0)).count() == 0
+    named = df.withColumns({"stay_id": F.lit(1), "stay_text": F.lit(2), "text_hash": F.lit(3), "comp": F.lit(4)})
+    assert ngram_join.one_of_each(named).columns == named.columns
 
 
 @needs_data

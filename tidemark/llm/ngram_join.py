@@ -580,5 +580,6 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     best = found.where("comp is not null").groupBy("comp").agg(first).select("x.doc_id", "x.text_hash")
     stay = best.unionByName(found.where("comp is null").select("doc_id", "text_hash"))
     stay = stay.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("stay_id"), F.col("text_hash").alias("stay_text"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)) == F.col("stay_id")) & (F.xxhash64("text") == F.col("stay_text"))
+    # columns of the two tables themselves: docs may have columns of any name
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)) == stay["stay_id"]) & (F.xxhash64(docs["text"]) == stay["stay_text"])
     return docs.join(stay, same, "left_semi")
