@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The only columns of a public aggregate: days and groups, counts and rates. No id of a visitor, event, item or transaction.
 PUBLIC = frozenset(
@@ -63,16 +64,16 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str, metadata: dict) -> N
     for name, df in sheets.items():
         df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/sheets/{name}.json")
     spark = next(iter(sheets.values())).sparkSession
-    about = metadata | {"headers": {name: df.columns for name, df in sheets.items()}}
-    text = json.dumps(about, ensure_ascii=False, default=str, indent=1)
+    about = metadata | {"headers": {name: df.schema.jsonValue() for name, df in sheets.items()}}
+    text = json.dumps(about, ensure_ascii=False, default=str)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/sheets/metadata.json")
 
 
 def read_sheets(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict]:
     """The sheets and metadata that write_sheets wrote, with the columns in their order."""
-    about = json.loads(spark.read.option("wholetext", True).text(f"{folder}/sheets/metadata.json").first()[0])
-    return {name: spark.read.option("multiLine", False).json(f"{folder}/sheets/{name}.json").select(*columns) for name,
-        columns in about["headers"].items()}, about
+    about = json.loads(spark.read.text(f"{folder}/sheets/metadata.json").first()[0])
+    read = lambda name, schema: spark.read.schema(T.StructType.fromJson(schema)).json(f"{folder}/sheets/{name}.json")
+    return {name: read(name, schema) for name, schema in about["headers"].items()}, about
 
 
 def summary(rows: dict) -> str:
