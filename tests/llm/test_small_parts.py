@@ -115,6 +115,11 @@ def test_shingle_sets_equal_plain_ones():
     assert n.tolist() == [len(w) for w in split]
     named = {}
     assert all(named.setdefault(w, x) == x for w, x in zip((w for ws in split for w in ws), h.tolist())) and len(set(named.values())) == len(named)
+    for rows, size in ((200, 1 << 20), (7, 300), (1, 1), (400, 1)):
+        cut = list(fingerprint.slices(column, rows, size))
+        assert [a for a, _ in cut] == [sum(n for _, n in cut[:k]) for k in range(len(cut))] and sum(n for _, n in cut) == len(texts)
+        assert all(n == 1 or n <= rows and sum(len((t or "").encode()) for t in texts[a : a + n]) <= size for a, n in cut)
+    assert list(fingerprint.slices(pa.array([], pa.string()))) == []
     h, bounds = fingerprint.shingle_sets(column)
     of = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
     assert np.diff(bounds).tolist() == [len(of(w)) for w in split]

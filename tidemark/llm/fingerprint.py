@@ -84,6 +84,17 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.searchsorted(first, at))
 
 
+def slices(column: pa.Array, rows: int = 200, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(begin, length) of runs of a column of texts with so many rows and bytes at most, but for a single text."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    begin = 0
+    while begin < len(column):
+        end = min(begin + rows, int(np.searchsorted(at, int(at[begin]) + size, "right")) - 1)
+        end = max(begin + 1, min(end, len(column)))
+        yield begin, end - begin
+        begin = end
+
+
 def shingle_sets(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of a column of texts: sorted distinct 64-bit hashes, one text after the other, and where each text's
     begin (and the last ones end). A text of fewer words is one shingle."""
@@ -244,8 +255,8 @@ def with_next(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # part, doc_id, text, sketch
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
+            for at, n in slices(whole.column(4)):
+                b = whole.slice(at, n)
                 pairs = []
                 for part, role, doc_id, text, own in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), sketches(b.column(4), fraction)):
                     if last and last[0] == part:

@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import settle
 from tidemark.llm.components import components
-from tidemark.llm.fingerprint import mixed, shingle_sets
+from tidemark.llm.fingerprint import mixed, shingle_sets, slices
 
 #: Percent of similarity, units of distance beyond the need, subset size from which deletions are indexed.
 PERCENT, SLACK, DELETE_FROM = 75, 24, 5
 #: Sets in one block of comparisons, sets verified in one group, signatures sorted at once, pairs compared at once.
-BLOCK, STAR, CHUNK, PAIRS = 2048, 500, 700_000, 400_000
+BLOCK, STAR, CHUNK, PAIRS = 2048, 500, 400_000, 400_000
 #: Bytes of text for a bucket of signatures.
 BUCKET_BYTES = 8 << 20
 #: Bits of the smallest bitmap (short sets just below the similarity would pass a smaller one too often), and bits a token.
@@ -249,8 +249,8 @@ def _index(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
             return _packed(rows)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
+            for at, n in slices(whole.column(1)):
+                b = whole.slice(at, n)
                 h, bounds = shingle_sets(b.column(1))
                 size = np.diff(bounds)
                 ids = [_set_ids(h[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
@@ -384,8 +384,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for whole in batches:
-            for k in range(0, whole.num_rows, 200):
-                part = whole.slice(k, 200)
+            for k, n in slices(whole.column(2)):
+                part = whole.slice(k, n)
                 h, bounds = shingle_sets(part.column(2))
                 rows, held = [], 0
                 for j, (node, at) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
