@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, fingerprint, html_density, langid, line_runs, mixing, ngram_join, sp_codec, trie_counts, warc
+from tidemark.llm import (
+    divergence,
+    filter_audit,
+    fingerprint,
+    html_density,
+    langid,
+    line_runs,
+    mixing,
+    ngram_join,
+    simhash,
+    sp_codec,
+    token_align,
+    trie_counts,
+    warc,
+)
 from tidemark.llm.common import scratch_path, sha256_utf8, table
 
 MODEL = "piece_bpe_32k.model"
@@ -188,11 +202,50 @@ FROM q
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "ABCDE")
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+    doc_id > min(doc_id) OVER (PARTITION BY t) AS again FROM d),
+m AS (SELECT part, concat(CASE WHEN len(ws) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 'C' END,
+        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN again THEN 'E' END) AS f,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM w),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY part, f),
+l AS (SELECT unnest(string_split('ABCDE', '')) AS l),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT o, k, substr(o, k, 1) AS l, substr(o, 1, k - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS k)),
+r AS (SELECT part, o, k, l, sum(n) FILTER (NOT was AND NOT fails) AS kept, sum(n) FILTER (NOT was AND fails) AS removed,
+        sum(n) FILTER (was AND fails) AS redundant, sum(n) FILTER (f = l) AS unique_fails, sum(g) FILTER (NOT was AND fails) AS good_lost,
+        sum(x) FILTER (NOT was AND fails) AS toxic_lost
+      FROM (SELECT *, contains(f, l) AS fails, translate(f, before, '') <> f AS was FROM c, s) GROUP BY part, o, k, l)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS
+    removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+    CAST(coalesce(sum(removed) OVER (PARTITION BY part, l), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(table(spark, sf_dir, "documents"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return token_align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(MODEL))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_html_density": op1_html_density, "op2_divergence": op2_divergence, "op3_language": op3_language,
         "op4_token_counts": op4_token_counts, "op5_fingerprint": op5_fingerprint, "op6_line_dedup": op6_line_dedup,
-            "op7_ngram_join": op7_ngram_join, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+            "op7_ngram_join": op7_ngram_join, "op8_sentencepiece": op8_sentencepiece, "op9_warc": op9_warc, "op10_mixing": op10_mixing,
+        "op11_filter_audit": op11_filter_audit, "op12_simhash": op12_simhash, "op13_token_align": op13_token_align}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_divergence": _op2_sql(), "op6_line_dedup": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_divergence": _op2_sql(), "op6_line_dedup": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_warc": OP9_SQL, "op10_mixing": OP10_SQL,
+        "op11_filter_audit": OP11_SQL}
