@@ -25,6 +25,21 @@ def valid_ranges(changes: DataFrame, keys: list[str], at: str = "us") -> DataFra
     return out.select(*changes.columns, "valid_to").withColumnRenamed(at, "valid_from")
 
 
+def merged(ranges: DataFrame, changes: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """What a file of further changes (keys, us, value) does to stored ranges (keys, value, valid_from, valid_to): the ranges that
+    go and those that come instead. All others stay as they are, so only keys that change are read beyond their key, and of these
+    only ranges that reach into the time from the first change on.
+
+    Changes may be late, repeat stored ones, or share their time with one: of several values at one time the largest holds, as in
+    a load of all at once."""
+    first = changes.groupBy(*keys).agg(F.min("us").alias("_first"))
+    open_ = F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_first"))
+    gone = ranges.join(first, keys).where(open_).select(*ranges.columns)
+    log = gone.select(*keys, F.col("valid_from").alias("us"), value).unionByName(changes.select(*keys, "us", value))
+    came = valid_ranges(log.groupBy(*keys, "us").agg(F.max(value).alias(value)), keys)
+    return gone, came.select(*ranges.columns)
+
+
 def _at_day_start(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str) -> DataFrame:
     """(key, _day, _before): what holds at the start of each day that a key has facts or changes on, as a struct."""
     last = changes.groupBy(key, _day(at)).agg(F.max_by(F.struct(value), at).alias("_v"))
