@@ -10,7 +10,7 @@ from tidemark.plans.registry import REGISTRY
 
 DATA = Path("/root/testdata/sf0.001")
 #: Too few visitors for the journey sample are in the smallest tables, so these run on the next.
-LARGER, OF_JOURNEYS = Path("/root/testdata/sf0.01"), {"sample_journeys", "sample_properties", "sample_coverage"}
+LARGER, OF_JOURNEYS = Path("/root/testdata/sf0.01"), {"sample_journeys", "sample_properties", "sample_coverage", "category_ancestors"}
 
 
 def plain(v):

@@ -146,3 +146,8 @@ def test_two_loads_equal_one(spark):
     stored = history.valid_ranges(table(all_), ["k"])
     gone, came = history.merged(stored, table([(3, 9 * history.DAY, "z")]), ["k"], "v")
     assert gone.count() == 1 and came.count() == 2
+    # a late one touches the range that it falls into, however many follow; one before all others touches none
+    gone, came = history.merged(stored, table([(0, 5500, "z"), (3, -1, "z"), (77, 1, "z")]), ["k"], "v")
+    assert plain(gone) == [(0, 5000, "hot", 6000)]
+    first = stored.where("k = 3").agg(F.min("valid_from")).first()[0]
+    assert plain(came) == [(0, 5000, "hot", 5500), (0, 5500, "z", 6000), (3, -1, "z", first), (77, 1, "z", None)]

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterable
 from functools import reduce
 
+from tidemark import __version__
 from tidemark.config import Config, ConfigError, load
 
 # The commands.
@@ -27,6 +28,7 @@ RATIOS = ("item_property_coverage_rate", "category_linkage_rate")
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("tidemark")
+    top.add_argument("--version", action="version", version=f"tidemark {__version__}")
     top.add_argument("--config", dest="top_config")
     top.add_argument("--json", action="store_true", dest="top_json")
     sub = top.add_subparsers(dest="command", required=True)
@@ -37,52 +39,79 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def warehouse(cfg: Config):
+    """The place that queries read, with the settings that act on them."""
+    from tidemark.sources.tables import Warehouse
+
+    return Warehouse(cfg.warehouse_directory, cfg.session_gap_minutes, cfg.synthetic_seed)
+
+
 def _ingest(spark, cfg: Config, done: dict) -> None:
+    """raw: the files' cells as text, with lineage; then, if they keep the contract, stg: typed and flagged."""
     from tidemark.sources import contract
 
     store = cfg.warehouse_directory
     write = lambda df, name: df.write.mode("overwrite").parquet(f"{store}/{name}")
-    write(contract.manifest(spark, cfg.raw_data_dir, commit=done["commit"]), "meta/source_file_manifest")
-    write(contract.read_events(spark, cfg.raw_data_dir), "raw/events")
-    write(contract.read_properties(spark, cfg.raw_data_dir), "raw/item_properties")
-    write(contract.read(spark, cfg.raw_data_dir, "category_tree"), "raw/category_tree")
-    done["rows"] = {n: spark.read.parquet(f"{store}/raw/{n}").count() for n in ("events", "item_properties", "category_tree")}
+    write(contract.manifest(spark, cfg.raw_data_dir, cfg.expected_rows, done["commit"]), "meta/source_file_manifest")
+    for source in contract.CONTRACT:
+        write(contract.scan(spark, cfg.raw_data_dir, source), f"raw/{source}")
+    raw = {source: spark.read.parquet(f"{store}/raw/{source}") for source in contract.CONTRACT}
+    for source in raw:
+        contract.check(raw[source], source, f"{store}/meta/contract_diff/run={done['run_id']}")
+    write(contract.events(raw["events"], cfg.analysis_timezone), "stg/events")
+    write(contract.properties(raw["item_properties"]), "stg/item_properties")
+    write(contract.typed(raw["category_tree"], "category_tree").drop("block", "place"), "stg/category_tree")
+    done["rows"] = {n: spark.read.parquet(f"{store}/stg/{n}").count() for n in contract.CONTRACT}
 
 
 def _build(spark, cfg: Config) -> None:
-    """Facts and dimensions: events with sessions, sessions, transactions, property history, categories, visitors."""
+    """Facts and dimensions: events with sessions, sessions with their funnel steps, transactions, property history, categories,
+    visitors. Sessions are made once, here; marts at this gap read them without a shuffle by visitor."""
     from pyspark.sql import functions as F
 
-    from tidemark.operators import history, sessions, taxonomy, visitors
+    from tidemark.operators import funnel, history, sessions, taxonomy, visitors
+    from tidemark.plans import behaviour, commerce  # noqa: F401  they register their queries
     from tidemark.plans.registry import REGISTRY
     from tidemark.sources import tables
 
-    store, w = cfg.warehouse_directory, tables.Warehouse(cfg.warehouse_directory)
+    store, w = cfg.warehouse_directory, warehouse(cfg)
     read = lambda name: spark.read.parquet(f"{store}/{name}")
     write = lambda df, name: df.write.mode("overwrite").parquet(f"{store}/{name}")
-    write(sessions.sessionize(read("raw/events"), cfg.session_gap_minutes * sessions.MINUTE), "core/fct_event")
-    write(sessions.session_fact(read("core/fct_event")), "core/fct_session")
+    write(sessions.sessionize(read("stg/events"), cfg.session_gap_minutes * sessions.MINUTE), "core/fct_event")
+    keys = ["visitorid", "session_number"]
+    write(sessions.session_fact(read("core/fct_event")).join(funnel.steps(read("core/fct_event"), keys), keys), "core/fct_session")
     write(REGISTRY["transaction_fact"].run(spark, w), "core/fct_transaction")
     log = tables.property_log(spark, w).groupBy("itemid", "property", "us").agg(F.max("value").alias("value"))
-    write(history.valid_ranges(log, ["itemid", "property"]), "core/item_property_history")
-    write(taxonomy.with_paths(tables.category_tree(spark, w).distinct()), "core/dim_category")
+    tables.write_history(history.valid_ranges(log, ["itemid", "property"]), store)
+    write(taxonomy.with_paths(tables.category_tree(spark, w)), "core/dim_category")
     write(visitors.segments(visitors.profiles(read("core/fct_event"))), "core/visitor_profile")
 
 
 def _metrics(spark, cfg: Config, done: dict, marts: Iterable[str] | None) -> None:
-    """Every registered mart over the facts. One that its definition refuses (a sample from too few visitors) is named."""
+    """Every registered mart over the facts, published when all are there. One that its definition refuses (a sample from too few
+    visitors) is named, and is not published. Marts that the same inputs, settings and code have published are left as they are."""
+    from tidemark.operators.sampling import Refused
     from tidemark.plans import behaviour, commerce  # noqa: F401  they register their queries
     from tidemark.plans.registry import REGISTRY
-    from tidemark.sources import tables
-
-    w = tables.Warehouse(cfg.warehouse_directory)
-    done["marts"], done["refused"] = [], {}
-    for name in marts or sorted(REGISTRY):
+    from tidemark.sources import publish
+
+    w, store = warehouse(cfg), cfg.warehouse_directory
+    key = publish.key_of(_input_hash(spark, store), cfg.to_dict(), done["commit"])
+    state = publish.published(spark, store)
+    if state.key != key:
+        state = publish.Published(key)
+    names = list(marts or sorted(REGISTRY))
+    done["marts"], done["refused"], done["unchanged"] = [], {}, [n for n in names if n in state.marts]
+    for name in names:
+        if name in state.marts:
+            continue
         try:
-            REGISTRY[name].run(spark, w).write.mode("overwrite").parquet(f"{cfg.warehouse_directory}/mart/{name}")
+            publish.write(REGISTRY[name].run(spark, w), f"{store}/mart/{key}/{name}", name)
+            state.marts[name] = f"mart/{key}/{name}"
             done["marts"].append(name)
-        except ValueError as e:
-            done["refused"][name] = str(e)
+        except Refused as e:
+            state.refused[name] = done["refused"][name] = str(e)
+    publish.publish(spark, store, state)
 
 
 def _validate(spark, cfg: Config, done: dict) -> None:
@@ -94,25 +123,26 @@ def _validate(spark, cfg: Config, done: dict) -> None:
     from tidemark.plans.registry import REGISTRY
     from tidemark.sources import sinks, tables
 
-    w = tables.Warehouse(cfg.warehouse_directory)
+    w = warehouse(cfg)
     of = lambda name: REGISTRY[name].run(spark, w)
     check = lambda df, name, a, b: df.select(F.lit(name).alias("check_id") if isinstance(name, str) else name.alias("check_id"),
         F.expr(a).cast("long").alias("findings"), F.expr(b).cast("long").alias("checked"))
-    raw = spark.read.parquet(f"{cfg.warehouse_directory}/raw/item_properties")
+    raw = spark.read.parquet(f"{cfg.warehouse_directory}/stg/item_properties")
     values = raw.agg(F.count_if("is_bad_category").alias("a"), F.count_if(F.col("property") == "categoryid").alias("b"))
     tree = tables.category_tree(spark, w).agg(F.count("*").alias("b"))
+    visitors = spark.read.parquet(f"{cfg.warehouse_directory}/core/visitor_profile").agg(F.count("*").alias("b"))
     manifest = spark.read.parquet(f"{cfg.warehouse_directory}/meta/source_file_manifest")
     files = manifest.agg(F.count_if(~F.col("rows_as_expected")).alias("a"), F.count("*").alias("b"))
     parts = [
         of("quality_report").select("check_id", "findings", "checked"),
         check(of("category_tree_defects").join(F.broadcast(tree)), F.concat(F.lit("tree_"), "kind"), "findings", "b"),  # one row
         check(of("null_rates"), F.concat(F.lit("null_"), "column_name"), "numerator", "denominator"),
-        check(of("row_counts"), F.concat(F.lit("rows_"), "table_name"), "abs(n_rows - expected)", "n_rows"),
+        check(of("row_counts"), F.concat(F.lit("rows_"), "table_name"), "coalesce(abs(n_rows - expected), 0)", "n_rows"),
         check(of("property_value_counts"), F.concat(F.lit("available_"), F.coalesce("value", F.lit("null"))), "if(value in ('0', '1'), 0, n)", "n"),
         check(values, "category_not_a_number", "a", "b"),
         check(files, "files_with_unexpected_rows", "a", "b"),
         check(of("as_of_leakage"), "as_of_leakage", "leaks", "matched"),
-        check(of("abnormal_visitors").agg(F.count("*").alias("a")), "abnormal_visitors", "a", "a"),
+        check(of("abnormal_visitors").agg(F.count("*").alias("a")).join(F.broadcast(visitors)), "abnormal_visitors", "a", "b"),  # one row
         *[check(of(name), f"without_{name.removesuffix('_rate')}", "denominator - numerator", "denominator") for name in RATIOS],
     ]
     checks = reduce(DataFrame.unionByName, parts)
@@ -121,24 +151,26 @@ def _validate(spark, cfg: Config, done: dict) -> None:
 
 
 def _export(spark, cfg: Config, done: dict, marts: Iterable[str] | None) -> None:
+    """The published marts, or those of them that are named: Parquet, CSV, public aggregates, and samples as sheets."""
     from tidemark.operators import sampling
     from tidemark.plans import behaviour, commerce  # noqa: F401
     from tidemark.plans.registry import REGISTRY
-    from tidemark.sources import sinks
+    from tidemark.sources import publish, sinks
 
-    done["public"] = []
-    names = list(marts or sorted(set(REGISTRY) - set(done.get("refused", ()))))
-    samples = {name: spark.read.parquet(f"{cfg.warehouse_directory}/mart/{name}") for name in names if name in SHEETS}
+    state = publish.published(spark, cfg.warehouse_directory)
+    names = [n for n in (marts or sorted(state.marts)) if n in state.marts]
+    done["public"], done["exported"], done["not_published"] = [], names, sorted(set(marts or ()) - set(names))
+    found = {n: spark.read.parquet(f"{cfg.warehouse_directory}/{state.marts[n]}") for n in names}
+    samples = {name: df for name, df in found.items() if name in SHEETS}
     if samples:
         order = {name: [c for c in columns if c in samples[name].columns] for name, columns in SHEETS.items() if name in samples}
         counts = {name: df.count() for name, df in samples.items()}
         about = {"seed": sampling.SEED, "session_gap_minutes": cfg.session_gap_minutes, "counts": counts}
         sinks.write_sheets({name: df.orderBy(*order[name]) for name, df in samples.items()}, cfg.export_directory, about)
-    for name in names:
-        df = spark.read.parquet(f"{cfg.warehouse_directory}/mart/{name}")
+    for name, df in found.items():
         origin = "synthetic" if cfg.demo_mode else REGISTRY[name].origin
-        sinks.write_mart(df, cfg.export_directory, name, origin)
-        if sinks.is_public(df):
+        sinks.write_mart(df, {"parquet": cfg.parquet_directory, "csv": cfg.export_directory}, name, origin)
+        if sinks.is_public(df, name):
             sinks.write_public(df, cfg.export_directory, name)
             done["public"].append(name)
 
@@ -151,6 +183,8 @@ def run(command: str, cfg: Config, spark=None, marts: Iterable[str] | None = Non
     from tidemark.sources import sinks
 
     spark = spark or SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(cfg.temp_directory)  # tables between jobs
     run_id, began, store = uuid.uuid4().hex, time.time(), cfg.warehouse_directory
     done: dict = {"command": command, "run_id": run_id, "data_origin": "synthetic" if cfg.demo_mode else "real",
         "commit": os.environ.get("TIDEMARK_COMMIT")}

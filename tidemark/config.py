@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tomllib
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path, PurePath, PurePosixPath, PureWindowsPath
 
 
@@ -13,6 +13,7 @@ class ConfigError(ValueError):
     pass
 
 
+# The names of the settings, and below the tails of their folders.
 @dataclass(frozen=True)
 class Config:
     data_home: str
@@ -26,6 +27,7 @@ class Config:
     session_gap_minutes: int = 30
     synthetic_seed: int = 20260809
     demo_mode: bool = False
+    expected_rows: dict = field(default_factory=dict)  # by file name
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -40,6 +42,8 @@ _CHILDREN = {
 }
 #: Tables of a TOML file whose keys are settings, with the keys that only describe; and tables that are read past.
 _TABLES, _OTHER_TABLES = {"project": {"name"}, "paths": set()}, {"dataset", "warehouse"}
+#: Tables of [dataset]: the name of each source file, and its number of data rows.
+_FILES, _ROWS = "files", "rows"
 _WORDS = {"true": True, "yes": True, "on": True, "1": True, "false": False, "no": False, "off": False, "0": False}
 
 
@@ -58,6 +62,14 @@ def _value(name: str, raw: object) -> object:
         if found is None:
             raise ConfigError(f"{name}: {raw!r} is not true or false")
         return found
+    if kind == "dict":
+        try:
+            found = json.loads(raw) if isinstance(raw, str) else raw
+            if not isinstance(found, dict) or any(isinstance(n, bool) or not isinstance(n, int) or n < 0 for n in found.values()):
+                raise ValueError
+            return found
+        except ValueError:
+            raise ConfigError(f"{name}: {raw!r} does not name files with their numbers of rows") from None
     if kind == "int":
         try:
             if isinstance(raw, bool):
@@ -72,6 +84,9 @@ def _flat_toml(text: str) -> dict:
     out: dict = {}
     for key, value in tomllib.loads(text).items():
         if key in _OTHER_TABLES and isinstance(value, dict):
+            if isinstance(rows := value.get(_ROWS), dict):
+                named = value.get(_FILES) or {}
+                out["expected_rows"] = {named.get(k, k if k.endswith(".csv") else f"{k}.csv"): n for k, n in rows.items()}
             continue
         table = value if key in _TABLES else {key: value}
         if not isinstance(table, dict) or any(isinstance(v, dict) for v in table.values()):

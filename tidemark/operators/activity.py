@@ -49,13 +49,16 @@ def retention(days: DataFrame, offsets: tuple[int, ...] = (1, 3, 7, 14, 30)) ->
         F.coalesce("retained", F.lit(0))).cast("long").alias("retained"))
 
 
-def filtered(mart: DataFrame, since=None, until=None, category=None, cohort=None, segment=None) -> DataFrame:
-    """The rows of a mart with d from since to until and the category, cohort and segment named (one value or several); a
-    filter that is not given takes all."""
+def filtered(mart: DataFrame, since=None, until=None, category=None, cohort=None, segment=None, days: DataFrame | None = None) -> DataFrame:
+    """The rows of a mart with d from since to until and the category, cohort and segment named (one value or several), and, with
+    days (d), on one of these days; a filter that is not given takes all. Of a mart laid out by day, bounds are partition filters
+    and days prune partitions when the query runs."""
     bounds = [F.col("d") >= F.lit(since).cast("date")] * (since is not None) + [F.col("d") <= F.lit(until).cast("date")] * (until is not None)
     for name, value in (("category", category), ("cohort", cohort), ("segment", segment)):
         if value is not None:
-            bounds.append(F.col(name).isin(list(value) if isinstance(value, (list, tuple, set)) else [value]))
+            values = list(value) if isinstance(value, (list, tuple, set)) else [value]
+            kind = mart.schema[name].dataType
+            bounds.append(F.col(name).isin([F.lit(v).cast(kind) for v in values]))
     for condition in bounds:
         mart = mart.where(condition)
-    return mart
+    return mart if days is None else mart.join(days.select("d").distinct(), "d", "left_semi")

@@ -13,11 +13,11 @@ CHANNELS = ("search", "social", "email", "display")
 CLICK, CONVERT, LIFT = 0.30, 0.20, {"no_effect": 0.0, "positive_effect": 0.05}
 
 
-def impressions(spark: SparkSession, n: int) -> DataFrame:
+def impressions(spark: SparkSession, n: int, seed: str = SEED) -> DataFrame:
     """One synthetic impression for each of n units and scenario: unit (a hash), channel, arm, clicked, converted, cost, amount."""
     keys, key = spark.range(n), "id"
-    u = lambda what: hash_unit(F.col(key), f"{SEED}-{what}")
-    base = keys.select(F.md5(F.concat(F.lit(f"{SEED}:unit:"), F.col(key).cast("string"))).alias("unit"), u("channel").alias("c"),
+    u = lambda what: hash_unit(F.col(key), f"{seed}-{what}")
+    base = keys.select(F.md5(F.concat(F.lit(f"{seed}:unit:"), F.col(key).cast("string"))).alias("unit"), u("channel").alias("c"),
         u("arm").alias("a"), u("click").alias("k"), u("convert").alias("v"), u("amount").alias("m"))
     base = base.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(x).alias("lift")) for s, x in LIFT.items()])).alias("s"))
     arm = F.when(F.col("a") < 0.5, "control").otherwise("treatment")

@@ -27,17 +27,27 @@ def valid_ranges(changes: DataFrame, keys: list[str], at: str = "us") -> DataFra
 
 def merged(ranges: DataFrame, changes: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
     """What a file of further changes (keys, us, value) does to stored ranges (keys, value, valid_from, valid_to): the ranges that
-    go and those that come instead. All others stay as they are, so only keys that change are read beyond their key, and of these
-    only ranges that reach into the time from the first change on.
+    go and those that come instead. Only ranges that a change falls into go; all others stay, those of the same key too.
 
     Changes may be late, repeat stored ones, or share their time with one: of several values at one time the largest holds, as in
     a load of all at once."""
-    first = changes.groupBy(*keys).agg(F.min("us").alias("_first"))
-    open_ = F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_first"))
-    gone = ranges.join(first, keys).where(open_).select(*ranges.columns)
-    log = gone.select(*keys, F.col("valid_from").alias("us"), value).unionByName(changes.select(*keys, "us", value))
-    came = valid_ranges(log.groupBy(*keys, "us").agg(F.max(value).alias(value)), keys)
-    return gone, came.select(*ranges.columns)
+    key = F.struct(*keys).alias("_k")
+    new = changes.groupBy(key, "us").agg(F.max(value).alias(value))
+    own = ranges.select(key, F.col("valid_from").alias("us"), F.struct("valid_from", "valid_to", value).alias("_r"))
+    own = own.join(new.select("_k").distinct(), "_k", "left_semi")
+    held = as_of_union(new, own, "_k", "_r")  # the range that each change falls into; none before a key's first
+    first = own.groupBy("_k").agg(F.min("us").alias("_first"))
+    hit = held.where("_r is not null").select("_k", "_r").distinct()
+    log = held.select("_k", F.col("_r.valid_from").alias("_in"), "us", value).unionByName(hit.select("_k", F.col("_r.valid_from").alias("_in"),
+        F.col("_r.valid_from").alias("us"), F.col(f"_r.`{value}`").alias(value)))
+    log = log.groupBy("_k", "_in", "us").agg(F.max(value).alias(value)).withColumn("_group", F.struct("_k", "_in")).drop("_k", "_in")
+    cut = valid_ranges(log, ["_group"]).select(F.col("_group._k").alias("_k"), F.col("_group._in").alias("_in"), value, "valid_from", "valid_to")
+    ends = hit.select("_k", F.col("_r.valid_from").alias("_in"), F.col("_r.valid_to").alias("_end"))
+    within = cut.where("_in is not null").join(ends, ["_k", "_in"])
+    before = cut.where("_in is null").join(first.withColumnRenamed("_first", "_end"), "_k", "left")
+    came = within.unionByName(before).withColumn("valid_to", F.coalesce("valid_to", "_end"))
+    gone = hit.select("_k.*", "_r.*")
+    return tuple(df.select(*ranges.columns) for df in (gone, came.select("_k.*", value, "valid_from", "valid_to")))
 
 
 def _at_day_start(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str) -> DataFrame:

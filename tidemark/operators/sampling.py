@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 SEED = "42"
 
 
+class Refused(ValueError):
+    """A sample whose definition the data does not meet."""
+
+
 def order_of(key: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
@@ -18,12 +22,12 @@ def sample(df: DataFrame, key: str, n: int, seed: str = SEED) -> DataFrame:
 
 
 def pool(candidates: DataFrame, wanted: Column, n: int) -> DataFrame:
-    """The candidates that are wanted if they are n or more, else all candidates; raises where these are fewer than n."""
+    """The candidates that are wanted if they are n or more, else all candidates; raises Refused where these are fewer than n."""
     preferred = candidates.where(wanted)
     if preferred.limit(n).count() >= n:
         return preferred
     if (found := candidates.limit(n).count()) < n:
-        raise ValueError(f"{found} candidates, {n} are needed")
+        raise Refused(f"{found} candidates, {n} are needed")
     return candidates
 
 

@@ -15,10 +15,25 @@ from tidemark.plans.registry import query
 from tidemark.sources import tables as t
 
 DAY = 86_400_000_000
+#: Minutes of the session gap that ordered_funnel_rates compares the official one with.
+WIDE_GAP = 720
 
 
-def _sx(spark: SparkSession, d: str, minutes: int = 30) -> DataFrame:
-    return sessions.sessionize(t.events(spark, d), minutes * sessions.MINUTE)
+def _sx(spark: SparkSession, d: t.Place, minutes: int | None = None) -> DataFrame:
+    """Events with their session; by default with the place's own gap, for which a warehouse has them stored."""
+    found = t.stored(spark, d, "fct_event", minutes)
+    return sessions.sessionize(t.events(spark, d), (minutes or t.gap_minutes(d)) * sessions.MINUTE) if found is None else found
+
+
+def _sessions(spark: SparkSession, d: t.Place, minutes: int | None = None) -> DataFrame:
+    found = t.stored(spark, d, "fct_session", minutes)
+    return sessions.session_fact(_sx(spark, d, minutes)) if found is None else found
+
+
+def _steps(spark: SparkSession, d: t.Place, minutes: int | None = None) -> DataFrame:
+    """Funnel steps of sessions."""
+    found = t.stored(spark, d, "fct_session", minutes)
+    return funnel.steps(_sx(spark, d, minutes), ["visitorid", "session_number"]) if found is None else found
 
 
 def _quartiles(c: str) -> list:
@@ -42,7 +57,7 @@ def event_sessions(spark, d):
 @query("session_fact", "session", f"""WITH {q.EV}, {q.sess(30)}, {q.FACT} SELECT visitorid, session_number, d, start_us, n_events, n_items,
     round((end_us - start_us) / 1e6, 6) AS seconds FROM s""")
 def session_fact(spark, d):
-    return sessions.session_fact(_sx(spark, d)).select("visitorid", "session_number", "d", "start_us", "n_events", "n_items",
+    return _sessions(spark, d).select("visitorid", "session_number", "d", "start_us", "n_events", "n_items",
         F.round((F.col("end_us") - F.col("start_us")) / 1e6, 6).alias("seconds"))
 
 
@@ -89,25 +104,27 @@ def returning(spark, d):
 
 @query("session_count", "day", f"WITH {q.EV}, {q.sess(30)}, {q.FACT} SELECT d, count(*) AS sessions FROM s GROUP BY d")
 def session_count(spark, d):
-    return sessions.session_fact(_sx(spark, d)).groupBy("d").agg(F.count("*").alias("sessions"))
+    return _sessions(spark, d).groupBy("d").agg(F.count("*").alias("sessions"))
 
 
-@query("events_per_session", "day", f"""WITH {q.EV}, {q.sess(30)}, {q.FACT} SELECT d, CAST(sum(n_events) AS BIGINT) AS events, count(*) AS
-    sessions, round(sum(n_events) / count(*), 9) AS mean, {_Q.format(c='n_events')} FROM s GROUP BY d""")
+@query("events_per_session", "day and period", f"""WITH {q.EV}, {q.sess(30)}, {q.FACT} SELECT CASE WHEN grouping(d) = 1 THEN 'period' ELSE
+    'day' END AS grain, d, CAST(sum(n_events) AS BIGINT) AS events, count(*) AS sessions, round(sum(n_events) / count(*), 9) AS mean,
+    {_Q.format(c='n_events')} FROM s GROUP BY GROUPING SETS ((d), ())""")
 def events_per_session(spark, d):
-    return sessions.session_fact(_sx(spark, d)).groupBy("d").agg(F.sum("n_events").alias("events"), F.count("*").alias("sessions"),
+    """Both grains in one pass; the period has no day."""
+    return t.by_day_and_period(_sessions(spark, d).select("d", "n_events"), F.sum("n_events").alias("events"), F.count("*").alias("sessions"),
         F.round(F.sum("n_events") / F.count("*"), 9).alias("mean"), *_quartiles("n_events"))
 
 
 @query("items_per_session", "period", f"WITH {q.EV}, {q.sess(30)}, {q.FACT} SELECT count(*) AS sessions, {_Q.format(c='n_items')} FROM s")
 def items_per_session(spark, d):
-    return sessions.session_fact(_sx(spark, d)).agg(F.count("*").alias("sessions"), *_quartiles("n_items"))
+    return _sessions(spark, d).agg(F.count("*").alias("sessions"), *_quartiles("n_items"))
 
 
-@query("session_duration_seconds", "period", f"""WITH {q.EV}, {q.sess(720)}, {q.FACT} SELECT count(*) AS sessions,
+@query("session_duration_seconds", "period", f"""WITH {q.EV}, {q.sess(30)}, {q.FACT} SELECT count(*) AS sessions,
     {_Q.format(c='((end_us - start_us) / 1e6)')} FROM s""")
-def session_duration(spark, d):
-    return _exact(sessions.session_fact(_sx(spark, d, 720)).select(((F.col("end_us") - F.col("start_us")) / 1e6).alias("x")), "sessions")
+def session_duration(spark, d, minutes=None):
+    return _exact(_sessions(spark, d, minutes).select(((F.col("end_us") - F.col("start_us")) / 1e6).alias("x")), "sessions")
 
 
 @query("behavior_coverage_rate", "behaviour", f"""WITH {q.EV}, {q.sess(30)}, v AS (SELECT event, count(DISTINCT visitorid) AS n FROM sx
@@ -132,23 +149,24 @@ def _funnel_sql(minutes: int) -> str:
 
 @query("ordered_funnel_rates", "rate", f"SELECT gap_minutes, metric_id, {q.rate()} FROM ({_funnel_sql(30)} UNION ALL {_funnel_sql(720)})")
 def ordered_funnel_rates(spark, d):
-    out = [funnel.rates(funnel.steps(_sx(spark, d, m), ["visitorid", "session_number"])).select(F.lit(m).alias("gap_minutes"), "metric_id",
-        *with_rate(F.col("numerator"), F.col("denominator"))) for m in (30, 720)]
+    """At the official gap (a warehouse: its own), and at a wide one to compare with."""
+    out = [funnel.rates(_steps(spark, d, m)).select(F.lit(m).alias("gap_minutes"), "metric_id",
+        *with_rate(F.col("numerator"), F.col("denominator"))) for m in dict.fromkeys((t.gap_minutes(d), WIDE_GAP))]
     return reduce(DataFrame.union, out)
 
 
-@query("same_item_funnel_rate", "rate", f"""SELECT metric_id, {q.rate()} FROM (WITH {q.EV}, {q.sess(1440)},
+@query("same_item_funnel_rate", "rate", f"""SELECT metric_id, {q.rate()} FROM (WITH {q.EV}, {q.sess(30)},
     {q.steps('visitorid, session_number, itemid')} {q.rate_rows('st')})""")
-def same_item_funnel(spark, d):
-    return funnel.rates(funnel.steps(_sx(spark, d, 1440), ["visitorid", "session_number", "itemid"])).select("metric_id",
+def same_item_funnel(spark, d, minutes=None):
+    return funnel.rates(funnel.steps(_sx(spark, d, minutes), ["visitorid", "session_number", "itemid"])).select("metric_id",
         *with_rate(F.col("numerator"), F.col("denominator")))
 
 
-@query("median_step_latency", "step", f"""WITH {q.EV}, {q.sess(720)}, {q.steps('visitorid, session_number')}
+@query("median_step_latency", "step", f"""WITH {q.EV}, {q.sess(30)}, {q.steps('visitorid, session_number')}
   SELECT 'view_to_cart' AS step, count(fc) AS n, {_Q.format(c='((fc - tv) / 1e6)')} FROM st UNION ALL SELECT 'cart_to_purchase', count(fx),
     {_Q.format(c='((fx - fc) / 1e6)')} FROM st""")
-def median_step_latency(spark, d):
-    st = funnel.steps(_sx(spark, d, 720), ["visitorid", "session_number"])
+def median_step_latency(spark, d, minutes=None):
+    st = _steps(spark, d, minutes)
     gaps = st.select(F.explode(F.array(F.struct(F.lit("view_to_cart").alias("step"), ((F.col("fc") - F.col("tv")) / 1e6).alias("x")),
         F.struct(F.lit("cart_to_purchase").alias("step"), ((F.col("fx") - F.col("fc")) / 1e6).alias("x")))).alias("e")).select("e.*")
     return _exact(gaps, "n", ("step",))
@@ -216,31 +234,27 @@ def abnormal_visitors(spark, d):
     return visitors.abnormal(t.events(spark, d).groupBy("visitorid").agg(F.count("*").alias("n_events")))
 
 
-@query("main_paths", "path", f"""WITH {q.EV}, {q.sess(720)}, k AS (SELECT visitorid, session_number, us, event_id, event, lag(event) OVER
+@query("main_paths", "path", f"""WITH {q.EV}, {q.sess(30)}, k AS (SELECT visitorid, session_number, us, event_id, event, lag(event) OVER
     (PARTITION BY visitorid, session_number ORDER BY us, event_id) AS prev FROM sx WHERE event IN ('view', 'addtocart', 'transaction')),
-  p AS (SELECT visitorid, session_number, string_agg(event, '>' ORDER BY us, event_id) AS path FROM k WHERE prev IS DISTINCT FROM event
-    GROUP BY visitorid, session_number)
-  SELECT path, count(*) AS sessions FROM p GROUP BY path ORDER BY sessions DESC, path LIMIT 20""")
-def main_paths(spark, d):
-    known = _sx(spark, d, 720).where(F.col("event").isin(*t.KNOWN))
-    w = Window.partitionBy("visitorid", "session_number").orderBy("us", "event_id")
-    turns = known.withColumn("prev", F.lag("event").over(w)).where(~F.col("prev").eqNullSafe(F.col("event")))
-    path = turns.groupBy("visitorid",
-        "session_number").agg(F.sort_array(F.collect_list(F.struct("us", "event_id", "event"))).alias("x")).select(F.array_join("x.event",
-            ">").alias("path"))
-    return path.groupBy("path").agg(F.count("*").alias("sessions")).orderBy(F.desc("sessions"), "path").limit(20)
-
-
-@query("order_anomalies", "period", f"""WITH {q.EV}, {q.sess(720)}, {q.steps('visitorid, session_number')}
+  p AS (SELECT visitorid, session_number, string_agg(event, '>' ORDER BY us, event_id) AS path, count(*) AS turns FROM k WHERE prev IS DISTINCT
+    FROM event GROUP BY visitorid, session_number)
+  SELECT path, count(*) AS sessions FROM p GROUP BY path, turns ORDER BY sessions DESC, turns, path LIMIT 20""")
+def main_paths(spark, d, minutes=None):
+    known, keys = _sx(spark, d, minutes).where(F.col("event").isin(*t.KNOWN)), ["visitorid", "session_number"]
+    return funnel.main_paths(funnel.turns(known, keys), keys, 20)
+
+
+@query("order_anomalies", "period", f"""WITH {q.EV}, {q.sess(30)}, {q.steps('visitorid, session_number')}
   SELECT count(*) AS sessions, count(*) FILTER (last_tx IS NOT NULL AND tv IS NULL) AS purchase_without_view, count(*) FILTER (last_tx IS
     NOT NULL AND tc IS NULL) AS purchase_without_cart, count(*) FILTER (tc < tv) AS cart_before_view, count(*) FILTER (last_tx <= tc) AS
     purchase_before_cart FROM st""")
-def order_anomalies(spark, d):
+def order_anomalies(spark, d, minutes=None):
     n = lambda x: F.count_if(F.expr(x))
-    return funnel.steps(_sx(spark, d, 720), ["visitorid", "session_number"]).agg(F.count("*").alias("sessions"),
-        n("last_tx is not null and tv is null").alias("purchase_without_view"),
-            n("last_tx is not null and tc is null").alias("purchase_without_cart"), n("tc < tv").alias("cart_before_view"),
-                n("last_tx <= tc").alias("purchase_before_cart"))
+    return _steps(spark, d, minutes).agg(
+        F.count("*").alias("sessions"), n("last_tx is not null and tv is null").alias("purchase_without_view"),
+        n("last_tx is not null and tc is null").alias("purchase_without_cart"), n("tc < tv").alias("cart_before_view"),
+        n("last_tx <= tc").alias("purchase_before_cart"),
+    )
 
 
 def _category_sql(level: str, least: int) -> str:
@@ -258,18 +272,21 @@ def _category_sql(level: str, least: int) -> str:
     FROM c), m)"""
 
 
+def _levels_sql(least: int) -> str:
+    return f"{_category_sql('root', least)} UNION ALL {_category_sql('child', least)}"
+
+
 def _in_category(spark: SparkSession, d: t.Place, events: DataFrame) -> DataFrame:
     """events with the category that holds at their time (categoryid) and its place in the tree: root, child (of the root)."""
     held = history.as_of_union(events, t.category_changes(spark, d), "itemid", "categoryid")
-    place = taxonomy.with_paths(t.category_tree(spark, d)).select("categoryid", "root", F.coalesce(F.get("path", F.lit(1)), "root").alias("child"))
-    return held.join(place.dropDuplicates(["categoryid"]), "categoryid", "left")
+    return held.join(taxonomy.with_roots(t.category_tree(spark, d)).select("categoryid", "root", "child"), "categoryid", "left")
 
 
-#: Levels of the tree, with the view sessions from which a category counts.
-LEVELS = {"root": 200, "child": 20}
+#: Levels of the tree, and the view sessions from which a category counts.
+LEVELS, LEAST = ("root", "child"), 200
 
 
-def _categories(spark: SparkSession, d: t.Place, levels: dict[str, int] = LEVELS) -> DataFrame:
+def _categories(spark: SparkSession, d: t.Place, least: int = LEAST, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """Sessions by category on each level: viewing, transacting and both, against the level's median category."""
     seen = lambda e: F.max((F.col("event") == e).cast("long"))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(k).alias("category")) for k in levels])).alias("x")
@@ -277,7 +294,6 @@ def _categories(spark: SparkSession, d: t.Place, levels: dict[str, int] = LEVELS
     g = placed.groupBy("x.level", "x.category", "visitorid", "session_number").agg(seen("view").alias("v"), seen("transaction").alias("x"))
     c = g.groupBy("level", "category").agg(F.sum("v").alias("viewing"), F.sum("x").alias("transacting"),
         F.sum(F.col("v") * F.col("x")).alias("converted"))
-    least = F.coalesce(*[F.when(F.col("level") == k, n) for k, n in levels.items()])
     c = c.withColumn("enough", F.col("viewing") >= least)
     own = rate(F.col("converted"), F.col("viewing"))
     peer = c.where("enough").select("level", own.alias("r")).groupBy("level").agg(F.expr("percentile(r, 0.5)").alias("peer"))
@@ -289,17 +305,20 @@ def _categories(spark: SparkSession, d: t.Place, levels: dict[str, int] = LEVELS
     )
 
 
-@query("category_conversion", "category", f"{_category_sql('root', 200)} UNION ALL {_category_sql('child', 20)}")
-def category_conversion(spark, d):
-    return _categories(spark, d)
+@query("category_conversion", "category", f"{_levels_sql(200)}")
+def category_conversion(spark, d, least=LEAST):
+    return _categories(spark, d, least)
+
+
+def _rank_sql(least: int) -> str:
+    return f"""WITH c AS ({_levels_sql(least)}) SELECT level, category, opportunity, rank() OVER (PARTITION BY level ORDER BY opportunity
+    DESC) AS place FROM c WHERE enough"""
 
 
-@query("category_opportunity_rank", "category", f"""WITH c AS ({_category_sql('child', 20)}) SELECT category, opportunity, rank() OVER
-    (ORDER BY opportunity DESC) AS place FROM c WHERE enough""")
-def category_opportunity_rank(spark, d):
-    # one row per category of the list
-    return _categories(spark, d, {"child": 20}).where("enough").select("category", "opportunity",
-        F.rank().over(Window.orderBy(F.desc("opportunity"))).cast("long").alias("place"))
+@query("category_opportunity_rank", "category", _rank_sql(200))
+def category_opportunity_rank(spark, d, least=LEAST):
+    level = Window.partitionBy("level").orderBy(F.desc("opportunity"))  # one row per category of the list
+    return _categories(spark, d, least).where("enough").select("level", "category", "opportunity", F.rank().over(level).cast("long").alias("place"))
 
 
 @query("category_linkage_rate", "period", f"WITH {q.EV}, {q.in_category()} SELECT {q.rate('count(root)', 'count(categoryid)')} FROM ec")
@@ -332,6 +351,31 @@ def daily_visitors_by_segment(spark, d, **wanted):
     return activity.filtered(days, **wanted).groupBy("d", "cohort", "segment").agg(F.count("*").alias("visitors"))
 
 
+@query("daily_category_sessions", "day, category, cohort and segment", f"""WITH {q.EV}, {q.sess(30)}, {q.DAYS}, {q.FIRST}, {q.in_category('sx')},
+  p AS (SELECT visitorid, count(*) FILTER (event = 'view') AS n_view, count(*) FILTER (event = 'addtocart') AS n_cart, count(DISTINCT
+    transactionid) AS n_tx, max(session_number) AS n_sessions FROM sx GROUP BY visitorid),
+  g AS (SELECT visitorid, CASE WHEN n_tx >= 2 THEN 'repeat_buyer' WHEN n_tx = 1 THEN 'first_time_buyer' WHEN n_cart > 0 THEN
+    'cart_no_purchase' WHEN n_sessions = 1 AND n_view > 0 THEN 'first_session_bounce' WHEN n_view >= 2 THEN 'active_browser' ELSE 'other'
+    END AS segment FROM p),
+  c AS (SELECT d, level, category, visitorid, session_number, max(CASE WHEN event = 'view' THEN 1 ELSE 0 END) AS v, max(CASE WHEN event =
+    'transaction' THEN 1 ELSE 0 END) AS x FROM (SELECT d, visitorid, session_number, event, unnest(['root', 'child']) AS level,
+    unnest([root, child]) AS category FROM ec WHERE root IS NOT NULL) GROUP BY ALL)
+  SELECT d, level, category, CAST(date_trunc('week', first_d) AS DATE) AS cohort, segment, CAST(sum(v) AS BIGINT) AS viewing, CAST(sum(x) AS
+    BIGINT) AS transacting, CAST(sum(v * x) AS BIGINT) AS converted FROM c JOIN firsts USING (visitorid) JOIN g USING (visitorid) GROUP BY ALL""")
+def daily_category_sessions(spark, d, **wanted):
+    """Sessions by the day of their events, category on each level, cohort and segment of their visitor: what a dashboard filters by
+    time, category, cohort and segment (wanted: filters of operators.activity.filtered)."""
+    segment = visitors.segments(visitors.profiles(_sx(spark, d))).select("visitorid",
+        F.date_trunc("week", "first_d").cast("date").alias("cohort"), "segment")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(k).alias("category")) for k in LEVELS])).alias("x")
+    placed = _in_category(spark, d, _sx(spark, d)).where("root is not null").select("d", each, "visitorid", "session_number", "event")
+    seen = lambda e: F.max((F.col("event") == e).cast("long"))
+    g = placed.groupBy("d", "x.level", "x.category", "visitorid", "session_number").agg(seen("view").alias("v"), seen("transaction").alias("t"))
+    out = activity.filtered(g.join(segment, "visitorid"), **wanted)
+    return out.groupBy("d", "level", "category", "cohort", "segment").agg(F.sum("v").alias("viewing"), F.sum("t").alias("transacting"),
+        F.sum(F.col("v") * F.col("t")).alias("converted"))
+
+
 @query("purchase_last_view", "event", f"""WITH {q.EV}, v AS (SELECT visitorid, us, max(itemid) AS viewed FROM ev WHERE event = 'view' GROUP
     BY visitorid, us), x AS (SELECT event_id, visitorid, us FROM ev WHERE event = 'transaction')
   SELECT x.event_id, v.viewed FROM x ASOF LEFT JOIN v ON x.visitorid = v.visitorid AND x.us >= v.us""")
@@ -342,7 +386,7 @@ def purchase_last_view(spark, d):
         "viewed").select("event_id", "viewed")
 
 
-@query("hypothesis_cart_retention", "group", f"""WITH {q.EV}, {q.sess(720)}, {q.DAYS}, {q.FIRST}, g AS (SELECT visitorid, max(CASE WHEN
+@query("hypothesis_cart_retention", "group", f"""WITH {q.EV}, {q.sess(30)}, {q.DAYS}, {q.FIRST}, g AS (SELECT visitorid, max(CASE WHEN
     event = 'addtocart' THEN 1 ELSE 0 END) AS c, max(CASE WHEN event = 'transaction' THEN 1 ELSE 0 END) AS x, max(CASE WHEN event = 'view'
     THEN 1 ELSE 0 END) AS v FROM sx WHERE session_number = 1 GROUP BY visitorid),
   k AS (SELECT g.visitorid, CASE WHEN c = 1 AND x = 0 THEN 'cart_no_purchase' WHEN c = 0 AND x = 0 AND v = 1 THEN 'view_only' END AS kind,
@@ -351,8 +395,8 @@ def purchase_last_view(spark, d):
     + 7 WHERE kind IS NOT NULL AND first_d + 7 <= (SELECT max(d) FROM days) GROUP BY kind)
   SELECT kind, {q.rate('a', 'b')}, (SELECT coalesce(max(CAST(a AS DOUBLE) / b) FILTER (kind = 'cart_no_purchase') - max(CAST(a AS DOUBLE) /
     b) FILTER (kind = 'view_only') >= 0.05, false) FROM r) AS supported FROM r""")
-def hypothesis_cart_retention(spark, d):
-    sx = _sx(spark, d, 720)
+def hypothesis_cart_retention(spark, d, minutes=None):
+    sx = _sx(spark, d, minutes)
     days = activity.visitor_days(sx)
     seen = lambda e: F.max((F.col("event") == e).cast("int"))
     g = sx.where("session_number = 1").groupBy("visitorid").agg(seen("addtocart").alias("c"), seen("transaction").alias("x"), seen("view").alias("v"))
@@ -366,22 +410,27 @@ def hypothesis_cart_retention(spark, d):
     return r.join(F.broadcast(verdict)).select("kind", *with_rate(F.col("a"), F.col("b")), "supported")  # one row
 
 
-@query("hypothesis_lost_step", "step", f"""WITH {q.EV}, {q.sess(720)}, {q.steps('visitorid, session_number')}, l AS (SELECT CASE WHEN fc IS
+@query("hypothesis_lost_step", "step", f"""WITH {q.EV}, {q.sess(30)}, {q.steps('visitorid, session_number')}, l AS (SELECT CASE WHEN fc IS
     NULL THEN 'view_to_cart' ELSE 'cart_to_purchase' END AS step, count(*) AS a FROM st WHERE tv IS NOT NULL AND fx IS NULL GROUP BY 1)
   SELECT step, {q.rate('a', '(SELECT sum(a) FROM l)')}, (SELECT max(a) > 0.6 * sum(a) FROM l) AS supported FROM l""")
-def hypothesis_lost_step(spark, d):
-    st = funnel.steps(_sx(spark, d, 720), ["visitorid", "session_number"]).where("tv is not null and fx is null")
+def hypothesis_lost_step(spark, d, minutes=None):
+    st = _steps(spark, d, minutes).where("tv is not null and fx is null")
     lost = st.groupBy(F.when(F.col("fc").isNull(), "view_to_cart").otherwise("cart_to_purchase").alias("step")).agg(F.count("*").alias("a"))
     total = lost.agg(F.sum("a").alias("b"), (F.max("a") > 0.6 * F.sum("a")).alias("supported"))
     return lost.join(F.broadcast(total)).select("step", *with_rate(F.col("a"), F.col("b")), "supported")  # one row
 
 
-@query("hypothesis_weak_category", "period", f"""WITH c AS ({_category_sql('child', 20)}), e AS (SELECT CAST(converted AS DOUBLE) / viewing
-    AS r FROM c WHERE enough)
-  SELECT count(*) AS categories, count(*) FILTER (r <= (SELECT median(r) FROM e) - 0.02) AS weak, count(*) FILTER (r <= (SELECT median(r)
-    FROM e) - 0.02) >= 1 AS supported FROM e""")
-def hypothesis_weak_category(spark, d):
-    e = _categories(spark, d, {"child": 20}).where("enough").select((F.col("converted") / F.col("viewing")).alias("r"))
-    peer = e.agg(F.expr("percentile(r, 0.5)").alias("peer"))
+def _weak_sql(least: int) -> str:
+    return f"""WITH c AS ({_levels_sql(least)}), e AS (SELECT level, CAST(converted AS DOUBLE) / viewing AS r FROM c WHERE enough),
+    m AS (SELECT level, median(r) AS peer FROM e GROUP BY level)
+  SELECT level, count(*) AS categories, count(*) FILTER (r <= peer - 0.02) AS weak, count(*) FILTER (r <= peer - 0.02) >= 1 AS supported
+    FROM e JOIN m USING (level) GROUP BY level"""
+
+
+@query("hypothesis_weak_category", "level", _weak_sql(200))
+def hypothesis_weak_category(spark, d, least=LEAST):
+    e = _categories(spark, d, least).where("enough").select("level", (F.col("converted") / F.col("viewing")).alias("r"))
+    peer = e.groupBy("level").agg(F.expr("percentile(r, 0.5)").alias("peer"))
     weak = F.count_if(F.col("r") <= F.col("peer") - 0.02)
-    return e.join(F.broadcast(peer)).agg(F.count("*").alias("categories"), weak.alias("weak"), (weak >= 1).alias("supported"))  # one row
+    return e.join(F.broadcast(peer), "level").groupBy("level").agg(F.count("*").alias("categories"), weak.alias("weak"),
+        (weak >= 1).alias("supported"))  # a row per level

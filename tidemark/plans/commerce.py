@@ -28,10 +28,12 @@ def purchasing_visitor_rate(spark, d):
     return v.agg(F.count_if("x").alias("a"), F.count("*").alias("b")).select(*with_rate(F.col("a"), F.col("b")))
 
 
-@query("transaction_count", "day", f"""WITH {q.EV} SELECT d, count(DISTINCT transactionid) AS transactions FROM ev WHERE transactionid IS
-    NOT NULL GROUP BY d""")
+@query("transaction_count", "day and period", f"""WITH {q.EV} SELECT CASE WHEN grouping(d) = 1 THEN 'period' ELSE 'day' END AS grain, d,
+    count(DISTINCT transactionid) AS transactions FROM ev WHERE transactionid IS NOT NULL GROUP BY GROUPING SETS ((d), ())""")
 def transaction_count(spark, d):
-    return t.events(spark, d).where("transactionid is not null").groupBy("d").agg(F.count_distinct("transactionid").alias("transactions"))
+    """Both grains in one pass: a transaction on two days is one of the period. Without transactions there is the period's 0."""
+    bought = t.events(spark, d).where("transactionid is not null").select("d", "transactionid")
+    return t.by_day_and_period(bought, F.count_distinct("transactionid").alias("transactions"))
 
 
 @query("distinct_items_per_transaction", "period", f"""WITH {q.LINES}, n AS (SELECT transactionid, count(DISTINCT itemid) AS n FROM lines
@@ -116,19 +118,6 @@ def category_tree(spark, d):
         F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("category_ancestors", "category", f"""WITH RECURSIVE {q.TREE}, up AS (SELECT DISTINCT l_suppkey + 1000 AS categoryid FROM lineitem
-    JOIN part ON l_partkey = p_partkey WHERE p_size < 5 UNION SELECT tree.parentid FROM up JOIN tree USING (categoryid) WHERE parentid IS
-    NOT NULL)
-  SELECT categoryid, parentid FROM tree WHERE categoryid IN (SELECT categoryid FROM up)""")
-def category_ancestors(spark, d):
-    """The part of the tree that the categories of some items need, in order; of source files, those of all items."""
-    log = t.property_log(spark, d).where("property = 'categoryid'")
-    if not isinstance(d, t.Warehouse):
-        log = log.join(t.read(spark, d, "part").where("p_size < 5").select(F.col("p_partkey").alias("itemid")), "itemid", "left_semi")
-    ids = log.select(F.col("value").try_cast("long").alias("categoryid")).where("categoryid is not null").distinct()
-    return taxonomy.ancestors(t.category_tree(spark, d), ids).orderBy("categoryid")
-
-
 @query("category_tree_defects", "defect", f"""WITH RECURSIVE {q.DAMAGED}, dt AS (SELECT DISTINCT * FROM tree), walk AS (SELECT categoryid
     FROM dt WHERE parentid IS NULL UNION SELECT dt.categoryid FROM walk JOIN dt ON dt.parentid = walk.categoryid),
   reach AS (SELECT categoryid, parentid AS up FROM dt WHERE parentid <> categoryid UNION SELECT reach.categoryid, dt.parentid FROM reach
@@ -153,11 +142,13 @@ def duplicate_lines(spark, d):
   UNION ALL SELECT 'orders', count(*), count(DISTINCT (o_orderkey, o_custkey)) FROM orders UNION ALL SELECT 'catalogue', count(*),
     count(DISTINCT p_partkey) FROM part)""")
 def row_counts(spark, d):
-    """Rows of the facts against what their keys let expect."""
+    """Rows of the facts against what their keys let expect; in a warehouse also those of the source files against the configuration."""
     keys = {"events": (t.events(spark, d), ["event_id"]), "orders": (t.orders(spark, d), ["transactionid", "visitorid"]),
         "catalogue": (t.catalogue(spark, d), ["itemid"])}
     parts = [df.agg(F.count("*").alias("n_rows"), F.count_distinct(*k).alias("expected")).select(F.lit(name).alias("table_name"), "n_rows",
         "expected") for name, (df, k) in keys.items()]
+    if isinstance(d, t.Warehouse):
+        parts.append(t.read(spark, d, "meta/source_file_manifest").select("file", "rows", "expected_rows"))
     return reduce(DataFrame.union, parts).withColumn("as_expected", F.col("n_rows") == F.col("expected"))
 
 
@@ -227,11 +218,18 @@ def as_of_leakage(spark, d):
 VISITORS, FEWEST, MOST, BUDGET = 20, 3, 200, 250
 
 
-def _journeys(spark: SparkSession, d: t.Place) -> DataFrame:
+#: Minutes of the session gap of the journeys of the given tables, whose events are hours apart; a warehouse has its own.
+JOURNEY_GAP = 720
+
+
+def _journeys(spark: SparkSession, d: t.Place, minutes: int | None = None) -> DataFrame:
     """All events of the sampled visitors: of those who, in a session, first viewed, then first carted, then first bought.
 
-    The pool are those with FEWEST to MOST events; where it is too small, all of them. Raises where they are too few."""
-    sx = sessions.sessionize(t.events(spark, d), 720 * sessions.MINUTE)
+    The pool are those with FEWEST to MOST events; where it is too small, all of them. Raises Refused where they are too few."""
+    minutes = minutes or (None if isinstance(d, t.Warehouse) else JOURNEY_GAP)
+    sx = t.stored(spark, d, "fct_event", minutes)
+    if sx is None:
+        sx = sessions.sessionize(t.events(spark, d), minutes * sessions.MINUTE)
     first = sx.groupBy("visitorid", "session_number").pivot("event", list(t.KNOWN)).agg(F.min("us")).dropna(subset=list(t.KNOWN))
     found = first.where("view < addtocart and addtocart < transaction").select("visitorid").distinct()
     sizes = sx.groupBy("visitorid").agg(F.count("*").alias("n"))
@@ -259,14 +257,15 @@ def _labelled(events: DataFrame) -> DataFrame:
 
 
 @query("sample_journeys", "event", f"WITH {_JOURNEY} SELECT {_EVENT_SQL} FROM j")
-def sample_journeys(spark, d):
-    return _labelled(_journeys(spark, d)).orderBy("visitorid", "us", "event_id")
+def sample_journeys(spark, d, minutes=None):
+    return _labelled(_journeys(spark, d, minutes)).orderBy("visitorid", "us", "event_id")
 
 
 @query("sample_events", "event", f"WITH {q.EV}, {q.sess(30)} SELECT {_EVENT_SQL} FROM sx ORDER BY md5('42:' || event_id), event_id LIMIT 2000")
 def sample_events(spark, d):
     """In source order."""
-    return _labelled(sampling.sample(sessions.sessionize(t.events(spark, d)), "event_id", 2000)).orderBy("event_id")
+    sx = t.stored(spark, d, "fct_event", None)
+    return _labelled(sampling.sample(sessions.sessionize(t.events(spark, d)) if sx is None else sx, "event_id", 2000)).orderBy("event_id")
 
 
 _MEANING_SQL = "CASE property " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t.PROPERTY_LABELS.items()) + f" ELSE '{t.OTHER_PROPERTY}' END"
@@ -280,9 +279,9 @@ _MEANING_SQL = "CASE property " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
     count(*)) FROM m))
   SELECT itemid, CAST(0 AS BIGINT) AS us, property, value, {_MEANING_SQL} AS meaning, CASE property WHEN 'categoryid' THEN 0 WHEN
     'available' THEN 1 ELSE 2 END AS priority FROM (SELECT * FROM m UNION ALL SELECT * FROM o)""")
-def sample_properties(spark, d):
+def sample_properties(spark, d, minutes=None):
     """By priority, item, property and time."""
-    items = _journeys(spark, d).select("itemid").distinct()
+    items = _journeys(spark, d, minutes).select("itemid").distinct()
     p = t.properties(spark, d).join(items, "itemid", "left_semi")
     p = p.withColumn("key", F.concat(F.col("itemid").cast("string"), "property", F.lit(":"), F.col("us").cast("string")))
     priority = F.when(F.col("property") == "categoryid", 0).when(F.col("property") == "available", 1).otherwise(2)
@@ -292,14 +291,24 @@ def sample_properties(spark, d):
         "itemid", "property", "us", "value")
 
 
+@query("category_ancestors", "category", f"""WITH RECURSIVE {_JOURNEY}, {q.CHANGES}, {q.TREE}, up AS (SELECT DISTINCT categoryid FROM changes
+    WHERE itemid IN (SELECT itemid FROM j) UNION SELECT tree.parentid FROM up JOIN tree USING (categoryid) WHERE parentid IS NOT NULL)
+  SELECT categoryid, parentid FROM tree WHERE categoryid IN (SELECT categoryid FROM up)""")
+def category_ancestors(spark, d, minutes=None):
+    """The part of the tree that the categories of the journeys' items need, in order."""
+    items = _journeys(spark, d, minutes).select("itemid").distinct()
+    ids = t.category_changes(spark, d).join(items, "itemid", "left_semi").select("categoryid").distinct()
+    return taxonomy.ancestors(t.category_tree(spark, d), ids).orderBy("categoryid")
+
+
 @query("sample_coverage", "ratio", f"""WITH {_JOURNEY}, {q.CHANGES}, {q.TREE}, i AS (SELECT DISTINCT itemid FROM j WHERE itemid IS NOT
     NULL), c AS (SELECT DISTINCT categoryid FROM changes WHERE itemid IN (SELECT itemid FROM i))
   SELECT 'item_property' AS ratio, {q.rate('(SELECT count(*) FROM (SELECT itemid FROM i INTERSECT SELECT p_partkey FROM part))', 'count(*)')} FROM i
   UNION ALL SELECT 'category_tree',
     {q.rate('(SELECT count(*) FROM (SELECT categoryid FROM c INTERSECT SELECT categoryid FROM tree))', 'count(*)')} FROM c""")
-def sample_coverage(spark, d):
+def sample_coverage(spark, d, minutes=None):
     """Of the journeys' items, those with a property; of these items' categories, those in the tree."""
-    items = _journeys(spark, d).where("itemid is not null").select("itemid").distinct()
+    items = _journeys(spark, d, minutes).where("itemid is not null").select("itemid").distinct()
     cats = t.category_changes(spark, d).join(items, "itemid", "left_semi").where("categoryid is not null").select("categoryid").distinct()
     out = []
     for name, own, known in (("item_property", items, t.catalogue(spark, d)),
@@ -335,7 +344,7 @@ _SYN = f"""u AS (SELECT {_u('channel')} AS c, {_u('arm')} AS a, {_u('click')} AS
     6) AS acquisition_cost, round(gmv / nullif(cost, 0), 6) AS return_on_spend, round(gmv / nullif(conversions, 0), 6) AS
     average_order_value FROM s""", origin="synthetic")
 def campaign_metrics(spark, d):
-    return experiment.campaign(experiment.impressions(spark, t.n_visitors(spark, d)))
+    return experiment.campaign(experiment.impressions(spark, t.n_visitors(spark, d), t.seed(d)))
 
 
 @query("experiment_test", "scenario", f"""WITH {_SYN}, s AS (SELECT scenario, count(*) FILTER (arm = 'control') AS n0, count(*) FILTER (arm
@@ -349,4 +358,4 @@ def campaign_metrics(spark, d):
     round({two_sided_p_sql('z')}, 6) AS p_value, round(g0 / n0, 9) AS guardrail_control, round(g1 / n1, 9) AS guardrail_treatment FROM z""",
     origin="synthetic")
 def experiment_test(spark, d):
-    return experiment.two_proportions(experiment.impressions(spark, t.n_visitors(spark, d)))
+    return experiment.two_proportions(experiment.impressions(spark, t.n_visitors(spark, d), t.seed(d)))

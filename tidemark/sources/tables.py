@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import written
+from tidemark.operators import history
+
 #: Event names of the model by those of the table; others are kept as they are and count as unknown.
 EVENT_NAMES = {"view": "view", "click": "addtocart", "purchase": "transaction"}
 KNOWN = ("view", "addtocart", "transaction")
@@ -17,17 +20,30 @@ EVENT_LABELS = {"view": "浏览", "addtocart": "加入购物车", "transaction":
 PROPERTY_LABELS, OTHER_PROPERTY = {"categoryid": "商品分类ID", "available": "是否可售：1可售，0不可售"}, "匿名属性，不作业务解释"
 
 
+#: The official session gap, and the number that synthetic data follows from.
+GAP_MINUTES, SEED = 30, 20260809
+
+
 @dataclass(frozen=True)
 class Warehouse:
-    """The folder that `build` writes the facts of the source files to."""
+    """The folder that `build` writes the facts of the source files to, and the settings that they are made with."""
 
     path: str
-    gap_minutes: int = 30
+    gap_minutes: int = GAP_MINUTES
+    seed: int = SEED
 
 
 Place = str | Warehouse
 
 
+def gap_minutes(d: Place) -> int:
+    return d.gap_minutes if isinstance(d, Warehouse) else GAP_MINUTES
+
+
+def seed(d: Place) -> str:
+    return str(d.seed if isinstance(d, Warehouse) else SEED)
+
+
 def read(spark: SparkSession, d: Place, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.path}/{name}" if isinstance(d, Warehouse) else f"{d}/{name}.parquet")
 
@@ -41,6 +57,32 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
+def stored(spark: SparkSession, d: Place, name: str, minutes: int | None) -> DataFrame | None:
+    """A fact that `build` made with this session gap (None: the warehouse's own); None where there is no such fact."""
+    return read(spark, d, f"core/{name}") if isinstance(d, Warehouse) and minutes in (None, d.gap_minutes) else None
+
+
+HISTORY, HISTORY_KEYS = "core/item_property_history", ["itemid", "property"]
+
+
+def write_history(ranges: DataFrame, store: str, months: str = "static") -> None:
+    """Ranges of values, laid out by the month that they begin in. months: `dynamic` replaces only the months that ranges has."""
+    out = ranges.withColumn("month", F.date_format(F.timestamp_micros("valid_from"), "yyyy-MM"))
+    out.repartition("month", "itemid").write.mode("overwrite").option("partitionOverwriteMode", months).partitionBy("month").parquet(f"{store}/{HISTORY}")
+
+
+def add_changes(spark: SparkSession, w: Warehouse, changes: DataFrame) -> None:
+    """Merges further changes (itemid, property, us, value) into the stored history, late ones too. Only months with ranges that
+    go or come are written again; the result is that of one load of all changes."""
+    stored_ranges = read(spark, w, HISTORY)
+    columns = [c for c in stored_ranges.columns if c != "month"]
+    gone, came = (written(df, "ranges") for df in history.merged(stored_ranges.select(*columns), changes, HISTORY_KEYS, "value"))
+    month = F.date_format(F.timestamp_micros("valid_from"), "yyyy-MM").alias("month")
+    months = gone.select(month).unionByName(came.select(month)).distinct()
+    left = stored_ranges.join(months, "month", "left_semi").select(*columns).join(gone, [*HISTORY_KEYS, "valid_from"], "left_anti")
+    write_history(written(left.select(*columns).unionByName(came.select(*columns)), "ranges"), w.path, "dynamic")
+
+
 def events(spark: SparkSession, d: Place) -> DataFrame:
     """event_id, us, d, visitorid, event, itemid, transactionid."""
     if isinstance(d, Warehouse):
@@ -75,7 +117,7 @@ def property_log(spark: SparkSession, d: Place) -> DataFrame:
     """Every recorded value: itemid, us, property, value (text). In the given tables an item's category is the number of the
     supplier that ships it, from the ship date on."""
     if isinstance(d, Warehouse):
-        return read(spark, d, "raw/item_properties").select("itemid", (F.col("timestamp") * 1000).alias("us"), "property", "value")
+        return read(spark, d, "stg/item_properties").select("itemid", (F.col("timestamp") * 1000).alias("us"), "property", "value")
     value = (F.col("l_suppkey") + 1000).cast("string")
     return read(spark, d, "lineitem").select(F.col("l_partkey").alias("itemid"), micros(F.col("l_shipdate")).alias("us"),
         F.lit("categoryid").alias("property"), value.alias("value"))
@@ -112,7 +154,7 @@ def n_visitors(spark: SparkSession, d: Place) -> int:
 
 def category_tree(spark: SparkSession, d: Place) -> DataFrame:
     """(categoryid, parentid); of the given tables: region, nation, supplier."""
-    return read(spark, d, "raw/category_tree").select("categoryid", "parentid") if isinstance(d, Warehouse) else area_tree(spark, d)
+    return read(spark, d, "stg/category_tree").select("categoryid", "parentid") if isinstance(d, Warehouse) else area_tree(spark, d)
 
 
 def area_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,3 +174,9 @@ def damaged_tree(spark: SparkSession, d: Place) -> DataFrame:
         -1).otherwise(F.floor(k / 10))
     one = read(spark, d, "customer").select(k.cast("long").alias("categoryid"), parent.cast("long").alias("parentid"))
     return one.union(one.where("categoryid % 97 = 5"))
+
+
+def by_day_and_period(df: DataFrame, *what: Column) -> DataFrame:
+    """grain (day or period), d (null for the period) and the aggregates what, by grouping sets in one pass."""
+    grain = F.when(F.grouping("d") == 1, "period").otherwise("day").alias("grain")
+    return df.groupingSets([["d"], []], "d").agg(grain, *what)
