@@ -23,6 +23,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,8 @@ class Aligner:
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace(MARK, " ").encode()
             for i in range(self.b.get_piece_size())]
+        most = max(size, len(self.b_bytes))
+        self.signed = np.array([[f"{i}{sign}" for i in range(most)] for sign in ("", ";", "|", ",")], object)
         self.a_len, self.b_len = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
         within = re.compile("(?!" + _OPEN.pattern[:-1] + "). ", re.S)
         if any(within.search(x.decode("utf-8", "ignore")) for x in (*self.a_bytes, *self.b_bytes)):
@@ -120,35 +123,45 @@ class Aligner:
         return [np.fromiter(map(self.place.__getitem__, us), np.int64, len(us)) for us in cut]
 
     def _align(self, new: list[str]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch([" " + u for u in new], add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False)]
         ids_b = self.b.encode(new, num_threads=1)
         raw = [b" " + u.encode() for u in new]
-        same = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(ids_a, ids_b, raw)]
-        na, nb = (np.array([len(x) if ok else 0 for x, ok in zip(ids, same)], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for x, ok in zip(ids, same) if ok for i in x], np.int64) for ids in (ids_a, ids_b))
+        join = lambda of, ids: b"".join(map(of.__getitem__, ids))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        same, tokens = np.ones(len(new), bool), []
+        for ids, of, length in ((ids_a, self.a_bytes, self.a_len), (ids_b, self.b_bytes, self.b_len)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            if join(of, flat.tolist()) != b"".join(raw) or (np.add.reduceat(length[flat], np.cumsum(n) - n) != size).any():
+                same &= [join(of, x) == r for x, r in zip(ids, raw)]  # some unit differs
+            tokens.append((flat, n))
+        (a, na), (b, nb) = ((flat[np.repeat(same, n)], np.where(same, n, 0)) for flat, n in tokens)
         spans = []  # all units one after the other
         for ids, length in ((a, self.a_len), (b, self.b_len)):
             end = np.cumsum(length[ids])
             spans.append(np.stack([end - length[ids], end], 1))
         ga, gb, i, j = coalesce(*spans)
-        unit = np.repeat(np.arange(len(new)), na)  # of each A token
+        unit_a, unit_b = np.repeat(np.arange(len(new)), na), np.repeat(np.arange(len(new)), nb)
         per = lambda x: np.bincount(x, minlength=len(new))
         first = np.ones(len(ga), bool)
         first[1:] = ga[1:] != ga[:-1]
-        sizes = np.stack([na, nb, per(unit[first]), per(unit[i])], 1)
-        sizes[~np.array(same, bool)] = -1
-        # a group is written where its first token is, A before B
-        text_a, text_b = [*map(str, a.tolist())], [*map(str, b.tolist())]
-        cuts_a = [*np.flatnonzero(first).tolist(), len(a)]
-        first_b = np.ones(len(gb), bool)
-        first_b[1:] = gb[1:] != gb[:-1]
-        cuts_b = [*np.flatnonzero(first_b).tolist(), len(b)]
-        written = [",".join(text_a[p:q]) + "|" + ",".join(text_b[r:s]) for p, q, r, s in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
-        upto = np.cumsum(np.maximum(sizes[:, 2], 0)).tolist()
-        for k, u in enumerate(new):
+        sizes = np.stack([na, nb, per(unit_a[first]), per(unit_a[i])], 1)
+        sizes[~same] = -1
+        # the tokens by group, A before B, each with the sign behind it
+        side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
+        group = np.concatenate([ga, gb])
+        order = np.lexsort((side, group))
+        side, group, unit, ids = (x[order] for x in (side, group, np.concatenate([unit_a, unit_b]), np.concatenate([a, b])))
+        sign = np.zeros(len(ids), np.int64)  # none at the end of a unit
+        sign[:-1] = np.where(unit[1:] != unit[:-1], 0, np.where(group[1:] != group[:-1], 1, np.where(side[1:] != side[:-1], 2, 3)))
+        written = self.signed[sign, ids].tolist()
+        upto = np.cumsum(na + nb).tolist()
+        begin = 0
+        for u, end in zip(new, upto):
             self.place[u] = len(self.groups)
-            self.groups.append(";".join(written[upto[k - 1] if k else 0 : upto[k]]))
-            self.held += len(raw[k]) + len(self.groups[-1])
+            self.groups.append("".join(written[begin:end]))
+            begin = end
+        self.held += int(size.sum()) + sum(map(len, self.groups[-len(new) :]))
         self.sizes = np.concatenate([self.sizes, sizes])
         self.pairs = np.concatenate([self.pairs, a[i] << 32 | b[j]])
 
