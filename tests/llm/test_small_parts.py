@@ -17,7 +17,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 @pytest.fixture(scope="module")
 def codec():
-    return sp_codec.codec(MODEL)
+    return sp_codec.PieceCodec(MODEL)
 
 
 @pytest.fixture(scope="module")
@@ -60,23 +60,29 @@ def test_trie_counts_equal_a_plain_viterbi():
 
     rng = random.Random(2)
     words = {"".join(rng.choice("abthein.éß世🙂") for _ in range(rng.randint(1, 12))) for _ in range(800)}
-    roomy, tight = trie_counts.ForwardTrie(scores), trie_counts.ForwardTrie(scores, max_nodes=50)
     words |= {"the" * 40, "a" * 200}
-    for w in sorted(words) + sorted(words):
-        assert roomy.tokens(w.encode()) == tight.tokens(w.encode()) == brute(trie_counts.MARK + w)
-        assert len(tight.terminal) <= tight.nodes <= 100
+    want = {w.encode(): brute(trie_counts.MARK + w) for w in words}
+    trie = trie_counts.ForwardTrie(scores)
+    assert dict(trie.walk(want)) == want
+    texts = [list(want), [], list(want)[:5] * 3]
+    assert trie.count(texts) == [sum(map(want.get, t)) for t in texts]
 
 
-def test_trie_computes_each_shared_prefix_once(monkeypatch):
-    calls = []
-    below = trie_counts.ForwardTrie._below
-    monkeypatch.setattr(trie_counts.ForwardTrie, "_below", lambda self, node, c: calls.append(c) or below(self, node, c))
+def test_trie_computes_each_shared_prefix_once():
     trie = trie_counts.ForwardTrie(trie_counts.zipf_scores(MODEL))
     words = ["there", "the", "then", "there", "thereby", "a"]
-    for w in words:
-        trie.tokens(w.encode())
-    assert len(calls) == len({(trie_counts.MARK + w)[: k + 1] for w in words
-        for k in range(len(w) + 1)}) == trie.nodes - 1 and len(trie.terminal) == 5
+    trie.count([[w.encode() for w in words]])
+    assert trie.steps == len({(trie_counts.MARK + w)[: k + 1] for w in words for k in range(len(w) + 1)}) and len(trie.counts) == 5
+
+
+def test_one_long_word_and_a_full_memory_stop_no_sharing(monkeypatch):
+    """After a word of 400,000 characters and more words than are remembered, 50 words still share their prefix."""
+    monkeypatch.setattr(trie_counts, "KEPT", 100)
+    trie = trie_counts.ForwardTrie(trie_counts.zipf_scores(MODEL))
+    trie.count([[b"x" * 400_000], [b"w%d" % k for k in range(500)]])
+    before = trie.steps
+    trie.count([[b"river%d" % k for k in range(50)]])
+    assert trie.steps - before <= 6 + 5 + 50 and len(trie.counts) == 50
 
 
 def test_signatures_lose_no_similar_pair():
