@@ -24,20 +24,20 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Parts remembered per worker, and piece pairs whose compatibility is remembered. Bounds of memory only: results never depend on them.
-CACHE_PARTS, CACHE_PAIRS = 600_000, 1_000_000
+CACHE_PARTS, CACHE_PAIRS = 300_000, 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
 class PieceCodec:
     """Encoder and decoder for one merge-type model with byte fallback and an identity normaliser."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model: str | bytes):
+        """model: the file, or what is in it."""
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
-        with open(model_path, "rb") as f:
-            proto.ParseFromString(f.read())
+        proto.ParseFromString(model if isinstance(model, bytes) else _content(model))
         norm, train = proto.normalizer_spec, proto.trainer_spec
         kinds = {p.type for p in proto.pieces}
         if train.model_type != 2 or not train.byte_fallback or kinds & {USER, UNUSED}:
@@ -183,26 +183,35 @@ class PieceCodec:
         return raw.decode("utf-8", "replace")
 
 
-_codecs: dict[str, PieceCodec] = {}
+def _content(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
-def codec(model_path: str) -> PieceCodec:
+_codecs: dict[int, PieceCodec] = {}
+
+
+def codec(model: bytes) -> PieceCodec:
     """One codec per Python worker and model."""
-    if model_path not in _codecs:
-        _codecs[model_path] = PieceCodec(model_path)
-    return _codecs[model_path]
+    key = hash(model)
+    if key not in _codecs:
+        _codecs[key] = PieceCodec(model)
+    return _codecs[key]
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds the packed ids of a text column (binary, little-endian unsigned 32-bit; begin and end ids included) and, if
-    named, the text that they decode to. No shuffle: each row is encoded where it is read."""
+    named, the text that they decode to. No shuffle: each row is encoded where it is read. The model file is read where this
+    is called."""
     out = T.StructType([*[f for f in docs.schema.fields if f.name not in (ids, decoded)], T.StructField(ids, T.BinaryType()),
         *([T.StructField(decoded, T.StringType())] if decoded else [])])
     keep = [f.name for f in docs.schema.fields if f.name not in (ids, decoded)]
     src = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(f"`{text}`")]))
 
+    model = docs.sparkSession.sparkContext.broadcast(_content(model_path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_path)
+        own = codec(model.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
