@@ -25,6 +25,9 @@ from tidemark.llm.common import SPACES, scratch_path, settle
 
 #: Code points of a key from which lines count, documents that must hold it, batches that the input is dealt into.
 MIN_CHARS, MIN_DOCS, BATCHES = 20, 3, 4
+#: Line rows of a bucket of the runs (there are as many buckets as shuffle partitions at least), and the most buckets that Spark
+#: takes: from 4 x 10^11 line rows on they grow.
+BUCKET_ROWS, MAX_BUCKETS = 4_000_000, 100_000
 #: At most so many keys are hot: a key is, if it holds at least that part of all line rows. Bounds what is broadcast.
 HOT_KEYS = 2_000
 #: Stands for a missing doc_id: below every long that occurs as one.
@@ -44,15 +47,19 @@ def _two_hashes(*cols: Column) -> tuple[Column, Column]:
 class LineRuns:
     """Levelled sorted runs of (h1, h2, n_docs, last_doc), kept as bucketed tables in the shared folder."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, rows: int = 0):
+        """rows: of lines that are to come."""
         self.spark, self.levels = spark, []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = min(MAX_BUCKETS, max(self.tasks, -(-rows // BUCKET_ROWS)))
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.made = 0
 
     def _write(self, run: DataFrame) -> str:
         self.made += 1
         table = f"{self.name}_{self.made}"
+        if self.buckets > self.tasks:  # else the join or aggregation before has dealt the rows by bucket
+            run = run.repartition(self.buckets, "h1", "h2")
         run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch_path(self.spark, table)).saveAsTable(table)
         return table
 
@@ -124,12 +131,14 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     cuts = docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), parts)).first()[0] or []
     batch = sum((F.when(F.col("doc_id") <= c, 1).otherwise(0) for c in cuts), F.lit(0))  # 0 for the largest doc_ids
     hashed = settle(at.select("r1", "r2", "doc_id", "pos", h1.alias("h1"), h2.alias("h2"), batch.alias("batch")), "lines")
-    runs = LineRuns(docs.sparkSession)
-    for k in range(len(cuts) + 1):
-        runs.add(hashed.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct())  # a document counts once for a line
-    run = settle(runs.compacted().where(F.col("n_docs") >= min_docs), "repeated")
-    runs.drop()
     total = hashed.count()
+    runs = LineRuns(docs.sparkSession, total)
+    try:
+        for k in range(len(cuts) + 1):
+            runs.add(hashed.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct())  # a document counts once for a line
+        run = settle(runs.compacted().where(F.col("n_docs") >= min_docs), "repeated")
+    finally:
+        runs.drop()
     hot_from = max(min_docs, -(-total // HOT_KEYS))
     hot = F.broadcast(run.where(F.col("n_docs") >= hot_from))  # sum(n_docs) <= total, so these are HOT_KEYS keys at most
     rest = hashed.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(run.where(F.col("n_docs") < hot_from), ["h1", "h2"])
