@@ -3,12 +3,17 @@
 Every DOM node has its characters, tags, link characters and link tags; its density is characters per tag, adjusted by how
 much of the text is in links, here and in the whole body. The node with the largest sum of child densities is found, and the
 smallest density on its path to the body is the threshold. That node is content, widened to its heading or to the article
-element around it; so are, beside it and the nodes that hold it, bare blocks and headings that reach the threshold, and
-containers that reach it and whose largest sum is a SHARE of the largest at least. All else is dropped: a letter box, a
-reader's comment or a footer next to the article goes by its density, whatever it is called. Within the content, containers
-below the threshold go if a third of their text or more is links, and so do lists or containers of nothing but links (menus),
-outside running text. Scripts, styles, forms, and elements that name themselves navigation, header, footer, sidebar,
-advert or comments never count; weaker names (WEAK) only hint: within an article they count where the text is mostly links.
+element around it; a paragraph takes the bare blocks beside it along. So are, beside it and the nodes that hold it, bare blocks
+and headings that reach the threshold, and containers that reach it and of which one node's own blocks sum up to a SHARE of the
+largest sum at least: eight short remarks in one wrapper are no second article. All else is dropped: a letter box, a reader's
+comment or a footer next to the article goes by its density, whatever it is called. Within the content, containers below the
+threshold go if a third of their text or more is links, and so do lists or containers of nothing but links (menus), outside
+running text.
+
+Scripts, styles and form fields never count. A form goes with its text, unless half of the page's text is in it. Elements go that
+name themselves navigation, header, footer, sidebar, advert or comments in words of the page's layout alone; in a name with
+other words ("comment-on-policy"), and within an article for weaker names (WEAK), such a word is a prior: it cuts only what is
+short or by a third or more links.
 
 Blocks are joined by line ends; white space within a block, line breaks too, is one space. A null or empty page, or one
 without text in its body, gives an empty text. Unclosed and misnested tags are closed as a browser would; unclosed comments,
@@ -46,12 +51,17 @@ IMPLIED_END = {
             "thead": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
 #: Elements that never hold article text, and words of class, id or role that say the same.
-NEVER = set("head script style noscript template iframe object embed svg annotation annotation-xml canvas audio video nav aside footer form button select textarea input label dialog menu noembed noframes search".split())
+NEVER = set("head script style noscript template iframe object embed svg annotation annotation-xml canvas audio video nav aside footer button select textarea input label dialog menu noembed noframes search".split())
 SAYS = set(
     "ad ads adbox adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations widget toolbar pagination pager skip hidden complementary contentinfo search".split()
 )
 #: Names that an article's own parts may have: there they cut what is links by a third or more.
 WEAK = set("alert notice notices related recommended recommendations widget banner overlay search skip menu share social sharing".split())
+#: Words that may stand beside those of SAYS in the name of a part of the page's layout ("comment-list"). A name with any other word
+#: ("comment-on-policy") may be one of the article's own: it is a prior only, and cuts no running text with few links.
+LAYOUT = SAYS | set("area background bar body bottom box btn button block card cell center close col column container content control cta desktop el element entry excerpt fixed float form frame global grid group head header heading holder icon image img in info inline inner item label layer left line link links list main meta middle mobile module nav node outer page panel part pane post posts primary right root row secondary section site slot small sticky text the tile title tools top unit upper view wrap wrapper zone js".split())
+#: Characters of text outside links that are running text, and part of the body's text that a form with the page in it holds.
+RUN_CHARS, PAGE_SHARE = 80, 1 / 2
 KEEPS = {"html", "body", "main"}
 #: Names that hold, as a whole class or id, even for an element with an article or a main heading in it.
 STRICT = set("comment comments commentlist disqus reply replies respond".split())
@@ -114,27 +124,32 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, str, Attributes, bool]]:
         at = past or at
 
 
-def _says(attributes: Attributes) -> tuple[frozenset[str], bool]:
-    """The words of class, id and role, "hidden" for what is not shown, and whether a whole name is in STRICT."""
-    found, strict = set(), False
+def _says(attributes: Attributes) -> tuple[frozenset[str], bool, bool]:
+    """The words of class, id and role, "hidden" for what is not shown, whether a whole name is in STRICT, and whether words of SAYS stand
+    only in names with words that are not of LAYOUT."""
+    found, strict, plain, loose = set(), False, False, False
     for name, value in attributes:
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDES.search(value):
             found.add("hidden")
+            plain = True
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in _WORDS.findall(token)]
                 strict |= token.lower() in STRICT
                 if len(words) > 1 and (words[0] in STATES or words[-1] in STATUS and STRICT.intersection(words)):
                     continue
-                found |= set(words) if token.lower() == "hidden" else set(words) - {"hidden"}
-    return frozenset(found), strict
+                words = set(words) if token.lower() == "hidden" else set(words) - {"hidden"}
+                if words & SAYS:
+                    plain, loose = plain or words <= LAYOUT, loose or not words <= LAYOUT
+                found |= words
+    return frozenset(found), strict, loose and not plain
 
 
 class Dom:
     """Nodes in document order, as parallel lists. A node's children are text or node numbers."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.children, self.names, self.strict = ["#root"], [-1], [[]], [frozenset()], [False]
+        self.tag, self.parent, self.children, self.names, self.strict, self.loose = ["#root"], [-1], [[]], [frozenset()], [False], [False]
         self.inside = [False]  # of an article or main element
         self._build(page)
 
@@ -144,8 +159,9 @@ class Dom:
         self.parent.append(parent)
         self.children.append([])
         self.children[parent].append(k)
-        found, strict = _says(attributes) if attributes else (frozenset(), False)
+        found, strict, loose = _says(attributes) if attributes else (frozenset(), False, False)
         self.strict.append(strict)
+        self.loose.append(loose)
         self.names.append(found)
         return k
 
@@ -210,6 +226,7 @@ class Dom:
             link_chars[k] = chars[k] if self.tag[k] == "a" else link_chars[k]
             chars[self.parent[k]] += chars[k]
             link_chars[self.parent[k]] += link_chars[k]
+        body = max((chars[k] for k in range(len(self.tag)) if self.tag[k] == "body"), default=chars[0])
         has_title, has_link, has_main = [False] * len(self.tag), [False] * len(self.tag), [False] * len(self.tag)
         for k in range(len(self.tag) - 1, 0, -1):
             if not self.names[k] & STRICT:
@@ -227,8 +244,12 @@ class Dom:
             hint = says & SAYS
             if inside[up] and hint <= WEAK and 3 * link_chars[k] < chars[k]:
                 hint = frozenset()
+            if self.loose[k] and chars[k] - link_chars[k] >= RUN_CHARS and 3 * link_chars[k] < chars[k]:
+                hint = frozenset()
             named = self.strict[k] or hint and not wraps
-            out.append(out[up] and not site and (name not in NEVER or name == "form" and wraps) and (name in KEEPS or name in HEADINGS or not named))
+            # a form goes with its text, but for one around the page
+            form = name == "form" and not wraps and chars[k] - link_chars[k] < PAGE_SHARE * body
+            out.append(out[up] and not site and name not in NEVER and not form and (name in KEEPS or name in HEADINGS or not named))
         return out
 
 
@@ -263,7 +284,8 @@ def densities(dom: Dom, kept: list[bool]) -> tuple[list[float], list[float], lis
     return density, total, chars, link_chars, link_tags
 
 
-def content_nodes(dom: Dom, kept: list[bool], density: list[float], total: list[float], chars: list[int]) -> tuple[list[int], float]:
+def content_nodes(dom: Dom, kept: list[bool], density: list[float], total: list[float], chars: list[int],
+    link_chars: list[int]) -> tuple[list[int], float]:
     """The subtrees that are content, in page order, and the threshold."""
     n = len(dom.tag)
     body = next((k for k in range(n) if dom.tag[k] == "body" and kept[k]), 0)
@@ -278,6 +300,13 @@ def content_nodes(dom: Dom, kept: list[bool], density: list[float], total: list[
             if total[best[k]] > total[best[up]] or total[best[k]] == total[best[up]] and best[up] != up and best[k] < best[up]:
                 best[up] = best[k]
     top = best[body]
+    # beside the article a container counts by the largest sum of one node's own bare blocks, however many such nodes it repeats
+    solid = [0.0] * n
+    for x in range(n - 1, 0, -1):
+        if kept[x] and chars[x]:
+            own = sum(density[c] for c in dom.children[x] if not isinstance(c, str) and (dom.tag[c] in RUNNING or dom.tag[c] not in BLOCK))
+            solid[x] = max(solid[x], own)
+            solid[dom.parent[x]] = max(solid[dom.parent[x]], solid[x])
     limit, k = density[top], top
     while k not in (body, 0):
         k = dom.parent[k]
@@ -293,7 +322,7 @@ def content_nodes(dom: Dom, kept: list[bool], density: list[float], total: list[
             break
     if k == body:  # no container holds the article alone: weak ones go from beside its blocks
         parts = [x for x in dom.children[k] if not empty(x)]
-        weak = lambda x: dom.tag[x] in BOXES and density[x] < limit and total[best[x]] < SHARE * total[top]
+        weak = lambda x: dom.tag[x] in BOXES and density[x] < limit and solid[x] < SHARE * total[top]
         blocks = all(not isinstance(x, str) and dom.tag[x] in BLOCK for x in parts)
         return [x for x in parts if not weak(x)] if blocks else [k], limit
     found = [k]
@@ -309,7 +338,9 @@ def content_nodes(dom: Dom, kept: list[bool], density: list[float], total: list[
             if isinstance(x, str) or x == own or empty(x) or titled and dom.tag[x] == "h1":
                 continue
             bare = dom.tag[x] in RUNNING or dom.tag[x] not in BLOCK
-            if density[x] >= limit and (bare or total[best[x]] >= SHARE * total[top]) or dom.tag[x] == "h1" or dom.tag[x] == "header" and x < top:
+            # a paragraph is no article: those beside it are of the same one, if they are not mostly links
+            same = bare and own == top and dom.tag[top] in RUNNING and 3 * link_chars[x] < chars[x]
+            if same or density[x] >= limit and (bare or solid[x] >= SHARE * total[top]) or dom.tag[x] == "h1" or dom.tag[x] == "header" and x < top:
                 found.append(x)
     return sorted(found), limit
 
@@ -339,7 +370,7 @@ def main_text(page: str | None) -> str:
     dom = Dom(page)
     kept = dom.kept()
     density, total, chars, link_chars, link_tags = densities(dom, kept)
-    tops, limit = content_nodes(dom, kept, density, total, chars)
+    tops, limit = content_nodes(dom, kept, density, total, chars, link_chars)
     low = [3 * link_chars[k] >= chars[k] > 0 and density[k] < limit for k in range(len(kept))]
     menu = menus(dom, kept, link_tags, low) if any(link_tags[k] for k in tops) else [False] * len(kept)
     blocks: list[str] = []
