@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import filter_audit, queries, simhash, token_align
+from tidemark.llm import filter_audit, fingerprint, queries, simhash, token_align
 
 SF = "/root/testdata/sf0.001"
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -97,6 +97,28 @@ def test_shapley_sums_to_all_removals(spark):
         filter_audit.edges(cells, 8)
 
 
+# ---- ranges of fingerprints
+
+
+@pytest.mark.parametrize("step", [2, 7, 1000])
+def test_ranges_cut_in_two_steps(spark, monkeypatch, step):
+    """More pieces than one query has quantiles, with a doc_id of a third of all rows: same results, ranges of bounded size."""
+    monkeypatch.setattr(fingerprint, "STEP", step)
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 2000)
+    rng = random.Random(8)
+    rows = [(7 if k % 3 == 0 else rng.randrange(-50, 400), f"text {k} " + "x" * rng.randrange(60)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = fingerprint.by_range(docs)
+    sizes = [r.n for r in dealt.where("role = 0").groupBy("part").agg(F.sum(F.length("text")).alias("n")).collect()]
+    assert sum(sizes) == sum(len(t) for _, t in rows) and max(sizes) <= 4 * 2000
+    h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0], h[r[1]], r[1]))
+    want = []
+    for (d, t), (_, after) in zip(order, order[1:] + order[:1]):
+        want.append((d, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+    assert sorted((r.doc_id, r.edited_sha256) for r in fingerprint.with_next(docs).collect()) == sorted(want)
+
+
 # ---- SimHash
 
 

@@ -25,14 +25,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a shingle, part of the hash range that is kept, bits of a hash.
 WORDS, FRACTION, BITS = 5, 1 / 4, 48
 #: Bytes of text in a range of doc_ids (there are as many ranges as shuffle partitions at least), pieces that the bytes are
-#: counted by for each range, pieces that one doc_id may fill.
-RANGE_BYTES, PIECES, MAX_SPLIT = 128 << 20, 4, 1 << 20
+#: counted by for each range, pieces that one doc_id may fill, quantiles of one query.
+RANGE_BYTES, PIECES, MAX_SPLIT, STEP = 512 << 20, 4, 1 << 20, 1000
 #: Stands for a missing doc_id: below every long that occurs as one.
 NO_DOC = -(2**63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -181,6 +181,31 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _cuts(src: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Distinct doc_ids that cut the rows into n pieces of about as many rows, and of those that fill several how many.
+
+    In two steps: quantiles of all rows, STEP at most, and quantiles of the rows between two of these. So no query is written out
+    with more than STEP numbers; the driver gets a number for each piece, in columns."""
+
+    def quantiles(parts: int) -> Column:
+        at = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
+        return F.percentile_approx("doc_id", at, max(10_000, 2 * parts))
+
+    coarse = min(n, STEP)
+    first = src.agg(quantiles(coarse)).first()[0] or []
+    fine = -(-n // coarse)
+    often = {c: k * fine for c, k in Counter(first).items() if k > 1}
+    cuts = sorted(set(first))
+    if fine > 1 and cuts:
+        bounds = np.array(cuts, np.int64)
+        between = F.pandas_udf(lambda i: pd.Series(np.searchsorted(bounds, i.to_numpy(np.int64), "left"), index=i.index), "long")
+        found = src.groupBy(between("doc_id").alias("part")).agg(quantiles(fine).alias("at")).select("at").toArrow().column(0).combine_chunks()
+        again = Counter(found.flatten().to_pylist())
+        often = {c: k for c, k in again.items() if k > 1} | often
+        cuts = sorted(again.keys() | set(cuts))
+    return np.array(cuts, np.int64), often
+
+
 def by_range(docs: DataFrame) -> DataFrame:
     """(part, role, doc_id, h, text), sorted within partitions: each range of (doc_id, h) by itself, and at its end, with
     role 1, the first document of the next range (of the first one after the last). One shuffle of the texts."""
@@ -189,11 +214,7 @@ def by_range(docs: DataFrame) -> DataFrame:
     src = docs.select(doc.alias("doc_id"), text.alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = PIECES * max(least, -(-size // RANGE_BYTES))
-    at = F.array(*[F.lit(k / n) for k in range(1, n)])
-    cuts = src.agg(F.percentile_approx("doc_id", at, max(10_000, 2 * n))).first()[0] or []
-    often = {c: k + 1 for c, k in Counter(cuts).items() if k > 1}  # these fill several pieces
-    cuts = np.array(sorted(set(cuts)), np.int64)
+    cuts, often = _cuts(src, PIECES * max(least, -(-size // RANGE_BYTES)))
     hot = np.array(sorted(often), np.int64)
     split = np.array([min(MAX_SPLIT, often[c]) for c in hot.tolist()], np.uint64)
 
@@ -209,23 +230,25 @@ def by_range(docs: DataFrame) -> DataFrame:
     keyed = src.select("doc_id", F.xxhash64("text").alias("h"), "text")
     measured = keyed.select(F.pandas_udf(lambda i, h: pd.Series(piece(i, h), index=i.index), "long")("doc_id", "h").alias("piece"), "doc_id",
         "h", F.octet_length("text").alias("bytes"))
-    found = measured.groupBy("piece").agg(F.min(F.struct("doc_id", "h")).alias("x"),
-        F.sum("bytes").alias("bytes")).orderBy("piece").select("piece", "x.*", "bytes").collect()  # PIECES a range
+    found = measured.groupBy("piece").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.sum("bytes").alias("bytes"))
+    found = found.select("piece", "x.*", "bytes").toArrow().sort_by("piece")  # numbers, PIECES rows a range
     firsts, upto, limit = [], 0, min(RANGE_BYTES, size // least + 1)
-    for r in found:
-        if not firsts or upto + r["bytes"] > limit:
-            firsts.append(r)
+    for k, bytes_ in enumerate(found.column("bytes").to_pylist()):
+        if not firsts or upto + bytes_ > limit:
+            firsts.append(k)
             upto = 0
-        upto += r["bytes"]
-    starts = np.array([r["piece"] for r in firsts], np.int64)
+        upto += bytes_
+    firsts = found.take(pa.array(firsts, pa.int64()))
+    starts = firsts.column("piece").to_numpy()
 
     @F.pandas_udf("long")
     def part(ids: pd.Series, h: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(starts, piece(ids, h), "right") - 1, index=ids.index)
 
     dealt = keyed.select(part("doc_id", "h").alias("part"), F.lit(0).alias("role"), "doc_id", "h", "text")
-    if firsts:
-        before = spark.createDataFrame([(r["doc_id"], r["h"], (k - 1) % len(firsts)) for k, r in enumerate(firsts)], "doc_id long, h long, part long")
+    if len(firsts):
+        before = spark.createDataFrame(pa.table({"doc_id": firsts.column("doc_id"), "h": firsts.column("h"),
+            "part": pa.array((np.arange(len(firsts)) - 1) % len(firsts))}))
         again = keyed.join(F.broadcast(before), ["doc_id", "h"]).groupBy("doc_id", "h",
             "part").agg(F.min("text").alias("text"))  # a row for each range
         dealt = dealt.unionByName(again.select("part", F.lit(1).alias("role"), "doc_id", "h", "text"))
