@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import percentiles
 from tidemark.functions.rates import two_sided_p, wilson, with_rate
-from tidemark.operators import activity, experiment, funnel, history, sampling, sessions, taxonomy, visitors
+from tidemark.operators import activity, experiment, funnel, history, sampling, sessions, skew, taxonomy, visitors
 
 MIN = 60_000_000
 
@@ -30,10 +30,11 @@ def test_session_goes_on_over_midnight_and_sequence_is_not_reset(spark):
     assert got == [(1, 1), (1, 2), (2, 3), (2, 4)]
 
 
-def test_sessions_equal_a_plain_window(spark):
-    rows = [(i, (i * 7919) % 20000, i % 3, "view", 1) for i in range(600)]
+@pytest.mark.parametrize("hot_from", [None, 250, 1])
+def test_sessions_equal_a_plain_window(spark, hot_from):
+    rows = [(i, (i * 7919) % 20000, (i % 5) // 2, "view", 1) for i in range(600)]
     e = events(spark, rows)
-    got = {r.event_id: (r.session_number, r.event_sequence) for r in sessions.sessionize(e).collect()}
+    got = {r.event_id: (r.session_number, r.event_sequence) for r in sessions.sessionize(e, hot_from=hot_from).collect()}
     want = {}
     for v in range(3):
         last, n = None, 0
@@ -89,6 +90,16 @@ def test_tree(spark):
     assert {r.categoryid for r in taxonomy.ancestors(tree.distinct(), ids).collect()} == {1, 2, 3, 5, 6}
 
 
+def test_hot_keys_are_bounded_and_may_be_null(spark, monkeypatch):
+    df = spark.createDataFrame([(None,)] * 50 + [(1,)] * 30 + [(2,)] * 20 + [(k,) for k in range(10, 40)], "k long")
+    found = lambda least: {r.k for r in skew.hot_keys(df, "k", least).collect()}
+    assert found(20) == {None, 1, 2} and found(21) == {None, 1} and skew.hot_keys(df, "k", 51) is None and skew.hot_keys(df, "k") is None
+    monkeypatch.setattr(skew, "PARTS", 2)
+    assert found(1) == {None, 1}
+    hot, rest = skew.apart(df, "k", skew.hot_keys(df, "k", 20))
+    assert (hot.count(), rest.count()) == (80, 50)
+
+
 def test_segments_cover_all_visitors(spark):
     rows = [(1, 1, 1, "view", 1), (2, 1, 2, "view", 1), (3, 100, 2, "view", 1), (4, 1, 3, "addtocart", 1), (5, 1, 4, "transaction", 1),
         (6, 1, 5, "transaction", 1), (7, 9, 5, "transaction", 1), (8, 1, 6, "error", 1)]
@@ -126,7 +137,8 @@ def test_cycles_and_what_leads_into_them(spark):
         "cycle": 5, "unreachable": 9}
 
 
-def test_as_of_with_a_key_of_half_of_all_rows(spark):
+@pytest.mark.parametrize("hot_from", [None, 600, 1])
+def test_as_of_with_a_key_of_half_of_all_rows(spark, hot_from):
     """Many days, a null key, changes to null, days without changes and a key that never changes."""
     day = history.DAY
     changes = [(1, k * day // 3 + 7, None if k % 17 == 0 else f"v{k}") for k in range(0, 300, 2)] + [(2, 5 * day, "x")]
@@ -140,9 +152,9 @@ def test_as_of_with_a_key_of_half_of_all_rows(spark):
 
     want = {i: brute(k, us) for i, k, us in facts}
     for join in (history.as_of_union, history.as_of_interval):
-        got = join(f, c, "k", "v")
+        got = join(f, c, "k", "v", hot_from=hot_from)
         assert got.columns == ["id", "k", "us", "v"] and {r.id: r.v for r in got.collect()} == want and got.count() == 1500
-    ranges = sorted((r.k, r.valid_from, r.valid_to) for r in history.valid_ranges(c.where("k = 1"), ["k"]).collect())
+    ranges = sorted((r.k, r.valid_from, r.valid_to) for r in history.valid_ranges(c.where("k = 1"), ["k"], hot_from=hot_from and 100).collect())
     assert [r[2] for r in ranges[:-1]] == [r[1] for r in ranges[1:]] and ranges[-1][2] is None
 
 

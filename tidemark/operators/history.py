@@ -1,13 +1,15 @@
 """Histories of slowly changing values, and as-of joins.
 
-All work is dealt by key and day, and what holds at a day's start is carried over one row per key and day, so a key with a
-large part of all rows is no single task."""
+Windows go over a key. For hot keys the work is dealt by key and day, and what holds at a day's start is carried over one row per key
+and day, so a key with a large part of all rows is no single task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import by_heat
+
 DAY = 86_400_000_000
 
 
@@ -15,8 +17,17 @@ def _day(at: str) -> Column:
     return F.expr(f"`{at}` div {DAY}").alias("_day")
 
 
-def valid_ranges(changes: DataFrame, keys: list[str], at: str = "us") -> DataFrame:
+def valid_ranges(changes: DataFrame, keys: list[str], at: str = "us", hot_from: int | None = None) -> DataFrame:
     """changes (one row per key and time) with [valid_from, valid_to); the last one stays open."""
+    return by_heat([changes], keys[0], lambda c: _ranges(c, keys, at), lambda c: _ranges_by_day(c, keys, at), hot_from)
+
+
+def _ranges(changes: DataFrame, keys: list[str], at: str) -> DataFrame:
+    after = F.lead(at).over(Window.partitionBy(*keys).orderBy(at))
+    return changes.withColumn("valid_to", after).withColumnRenamed(at, "valid_from")
+
+
+def _ranges_by_day(changes: DataFrame, keys: list[str], at: str) -> DataFrame:
     dealt = changes.withColumn("_day", _day(at))
     firsts = dealt.groupBy(*keys, "_day").agg(F.min(at).alias("_first"))
     after = firsts.select(*keys, "_day", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_day")).alias("_after"))
@@ -59,28 +70,53 @@ def _at_day_start(facts: DataFrame, changes: DataFrame, key: str, value: str, at
     return both.select(key, "_day", F.last("_v", ignorenulls=True).over(before).alias("_before"))
 
 
-def as_of_union(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str = "us") -> DataFrame:
+def as_of_union(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str = "us", hot_from: int | None = None) -> DataFrame:
     """facts with the value of changes that holds at their time (a change at the same time holds), null before the first
     and for a null key.
 
-    Both sides are stacked and the last value of the day carried forward. facts must not have the column value."""
-    names = facts.columns
+    Both sides are stacked and the last value carried forward. facts must not have the column value."""
     known = facts.where(F.col(key).isNotNull())
-    before = _at_day_start(known, changes, key, value, at)
+    found = by_heat([known, changes], key, lambda f, c: _stacked(f, c, key, value, at), lambda f, c: _stacked_by_day(f, c, key, value, at), hot_from)
+    return found.unionByName(facts.where(F.col(key).isNull()).withColumn(value, F.lit(None).cast(changes.schema[value].dataType)))
+
+
+def _stack(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    """Facts (_side 1) and changes (_side 0) with the change's value as a struct _v, which is not null where the value is."""
     v = F.struct(value)
     held = changes.select(v.alias("_v")).schema["_v"].dataType
-    left = known.select(*names, F.lit(None).cast(held).alias("_v"), F.lit(1).alias("_side"))
-    blank = [F.lit(None).cast(facts.schema[c].dataType).alias(c) if c not in (key, at) else F.col(c) for c in names]
-    right = changes.select(*blank, v.alias("_v"), F.lit(0).alias("_side"))
+    left = facts.select("*", F.lit(None).cast(held).alias("_v"), F.lit(1).alias("_side"))
+    blank = [F.lit(None).cast(facts.schema[c].dataType).alias(c) if c not in (key, at) else F.col(c) for c in facts.columns]
+    return left.unionByName(changes.select(*blank, v.alias("_v"), F.lit(0).alias("_side")))
+
+
+def _stacked(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = _stack(facts, changes, key, value, at).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    return both.withColumn(value, F.col("_v")[value]).select(*facts.columns, value)
+
+
+def _stacked_by_day(known: DataFrame, changes: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    names = known.columns
+    before = _at_day_start(known, changes, key, value, at)
     w = Window.partitionBy(key, "_day").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    stacked = left.unionByName(right).withColumn("_day", _day(at)).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    found = stacked.join(before, [key, "_day"], "left").withColumn(value, F.coalesce("_v", "_before")[value]).select(*names, value)
-    return found.unionByName(facts.where(F.col(key).isNull()).withColumn(value, F.lit(None).cast(changes.schema[value].dataType)))
+    stacked = _stack(known, changes, key, value, at).withColumn("_day", _day(at))
+    stacked = stacked.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    return stacked.join(before, [key, "_day"], "left").withColumn(value, F.coalesce("_v", "_before")[value]).select(*names, value)
+
+
+def as_of_interval(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str = "us", hot_from: int | None = None) -> DataFrame:
+    """The same by an equi-join on the key with the validity interval as condition; for hot keys by key and day, and with what the
+    day began with. Fits where a key (a hot one: a day of it) has few changes."""
+    return by_heat([facts, changes], key, lambda f, c: _interval(f, c, key, value, at), lambda f, c: _interval_by_day(f, c, key, value, at), hot_from)
+
+
+def _interval(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str) -> DataFrame:
+    h = _ranges(changes.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.col(value).alias("_value")), ["_k"], "_at")
+    on = (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
+    return facts.join(h, on, "left").select(*facts.columns, F.col("_value").alias(value))
 
 
-def as_of_interval(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str = "us") -> DataFrame:
-    """The same by joins on key and day: with the validity interval for changes of the day, and with what the day began
-    with. Fits where a key has few changes a day."""
+def _interval_by_day(facts: DataFrame, changes: DataFrame, key: str, value: str, at: str) -> DataFrame:
     names = facts.columns
     before = _at_day_start(facts.where(F.col(key).isNotNull()), changes, key, value, at)
     day = Window.partitionBy(key, "_day").orderBy(at)
