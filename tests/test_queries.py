@@ -40,3 +40,38 @@ def test_equals_sql(spark, name):
 def test_journeys_of_too_few_visitors_are_refused(spark):
     with pytest.raises(ValueError, match="7 candidates, 20 are needed"):
         REGISTRY["sample_journeys"].run(spark, str(DATA))
+
+
+#: The order that some results have, with their columns.
+ORDERS = {"sample_journeys": ("visitorid", "us", "event_id"), "sample_events": ("event_id",), "category_ancestors": ("categoryid",),
+    "sample_properties": ("priority", "itemid", "property", "us", "value")}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+@pytest.mark.parametrize("name", [*ORDERS, "main_paths"])
+def test_ordered_results_are_in_order(spark, name):
+    rows = REGISTRY[name].run(spark, str(LARGER)).collect()
+    key = (lambda r: (-r.sessions, r.path.count(">"), r.path)) if name == "main_paths" else lambda r: tuple(r[c] for c in ORDERS[name])
+    assert rows == sorted(rows, key=key) and len(rows) > 5
+
+
+#: Queries with a session gap, or a number of view sessions, of their own: another one than the official.
+VARIANTS = [(name, {"minutes": 720}, "<= 1800000000", "<= 43200000000") for name in ("session_duration_seconds", "same_item_funnel_rate",
+    "median_step_latency", "main_paths", "order_anomalies", "hypothesis_cart_retention", "hypothesis_lost_step")]
+VARIANTS += [(name, {"least": 20}, ">= 200", ">= 20") for name in ("category_conversion", "category_opportunity_rank", "hypothesis_weak_category")]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the given tables are not here")
+@pytest.mark.parametrize("name, wanted, official, own", VARIANTS)
+def test_parameters_equal_sql(spark, name, wanted, official, own):
+    import duckdb
+
+    assert official in REGISTRY[name].sql
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{LARGER}/{t}.parquet'")
+    df, sql = REGISTRY[name].run(spark, str(LARGER), **wanted), con.sql(REGISTRY[name].sql.replace(official, own))
+    cols = sorted(df.columns)
+    at = [sql.columns.index(c) for c in cols]
+    got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    assert got and got == sorted((tuple(plain(r[k]) for k in at) for r in sql.fetchall()), key=repr)

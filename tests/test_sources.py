@@ -34,6 +34,14 @@ def test_events_have_lineage_and_flags(spark, raw):
     assert [r.is_known_event for r in rows] == [True] * 4 + [False] and rows[0].transactionid is None and rows[0].source_file == "events.csv"
 
 
+def test_days_are_those_of_the_zone(spark, raw):
+    """At 16:00 UTC the next day has begun in Tokyo; times stay what they are."""
+    (raw / "events.csv").write_text("timestamp,visitorid,event,itemid,transactionid\n57600000,1,view,7,\n50000000,1,view,7,\n")
+    for zone, days in (("UTC", [1, 1]), ("Asia/Tokyo", [2, 1])):
+        rows = contract.read_events(spark, str(raw), zone).orderBy("event_id").collect()
+        assert [r.d.day for r in rows] == days and [r.us for r in rows] == [57_600_000_000, 50_000_000_000]
+
+
 def test_properties_and_manifest(spark, raw):
     got = {r.timestamp: (r.categoryid, r.is_bad_category, r.source_file) for r in contract.read_properties(spark, str(raw)).collect()}
     assert got == {1: (7, False, "item_properties_part1.csv"), 2: (None, True, "item_properties_part1.csv"),
