@@ -201,3 +201,13 @@ def test_mart_filters(spark):
     n = lambda **f: [r.n for r in activity.filtered(mart, **f).orderBy("n").collect()]
     assert n() == [1, 2, 3, 4, 5] and n(since="2024-01-02", until="2024-01-04") == [2, 3, 4] and n(segment="a") == [1,
         2] and n(segment=["a", "b"], since="2024-01-02") == [2, 3, 4, 5]
+
+
+def test_two_proportions_of_given_outcomes(spark):
+    """20 of 200 against 35 of 200, and an arm of nobody in another scenario."""
+    rows = [("a", "control", k < 20, k < 60) for k in range(200)] + [("a", "treatment", k < 35, k < 58) for k in range(200)] + [("b", "control", True, True)]
+    r = experiment.two_proportions(spark.createDataFrame(rows, "scenario string, arm string, converted boolean, clicked boolean")).collect()
+    assert len(r) == 1 and (r[0].n_control, r[0].n_treatment, r[0].rate_control, r[0].rate_treatment) == (200, 200, 0.1, 0.175)
+    half, z = 1.959963984540054 * (0.1 * 0.9 / 200 + 0.175 * 0.825 / 200) ** 0.5, 0.075 / (0.1375 * 0.8625 * 2 / 200) ** 0.5
+    assert (r[0].ci_low, r[0].ci_high, r[0].z) == pytest.approx((0.075 - half, 0.075 + half, z), abs=1e-6)
+    assert r[0].p_value == pytest.approx(0.0294, abs=1e-3) and (r[0].guardrail_control, r[0].guardrail_treatment) == (0.3, 0.29)

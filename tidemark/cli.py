@@ -67,9 +67,7 @@ def _ingest(spark, cfg: Config, done: dict) -> None:
 def _build(spark, cfg: Config) -> None:
     """Facts and dimensions: events with sessions, sessions with their funnel steps, transactions, property history, categories,
     visitors. Sessions are made once, here; marts at this gap read them without a shuffle by visitor."""
-    from pyspark.sql import functions as F
-
-    from tidemark.operators import funnel, history, sessions, taxonomy, visitors
+    from tidemark.operators import funnel, sessions, taxonomy, visitors
     from tidemark.plans import behaviour, commerce  # noqa: F401  they register their queries
     from tidemark.plans.registry import REGISTRY
     from tidemark.sources import tables
@@ -81,8 +79,7 @@ def _build(spark, cfg: Config) -> None:
     keys = ["visitorid", "session_number"]
     write(sessions.session_fact(read("core/fct_event")).join(funnel.steps(read("core/fct_event"), keys), keys), "core/fct_session")
     write(REGISTRY["transaction_fact"].run(spark, w), "core/fct_transaction")
-    log = tables.property_log(spark, w).groupBy("itemid", "property", "us").agg(F.max("value").alias("value"))
-    tables.write_history(history.valid_ranges(log, ["itemid", "property"]), store)
+    tables.write_history(tables.value_ranges(tables.property_log(spark, w)), store)
     write(taxonomy.with_paths(tables.category_tree(spark, w)), "core/dim_category")
     write(visitors.segments(visitors.profiles(read("core/fct_event"))), "core/visitor_profile")
 

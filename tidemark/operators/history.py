@@ -36,14 +36,15 @@ def _ranges_by_day(changes: DataFrame, keys: list[str], at: str) -> DataFrame:
     return out.select(*changes.columns, "valid_to").withColumnRenamed(at, "valid_from")
 
 
-def merged(ranges: DataFrame, changes: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+def merged(ranges: DataFrame, changes: DataFrame, keys: list[str], value: str, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """What a file of further changes (keys, us, value) does to stored ranges (keys, value, valid_from, valid_to): the ranges that
     go and those that come instead. Only ranges that a change falls into go; all others stay, those of the same key too.
 
-    Changes may be late, repeat stored ones, or share their time with one: of several values at one time the largest holds, as in
-    a load of all at once."""
+    Changes may be late, repeat stored ones, or share their time with one: of several values at one time the largest (by order, if
+    given) holds, as in a load of all at once."""
     key = F.struct(*keys).alias("_k")
-    new = changes.groupBy(key, "us").agg(F.max(value).alias(value))
+    largest = F.max(value) if order is None else F.max_by(value, order)
+    new = changes.groupBy(key, "us").agg(largest.alias(value))
     own = ranges.select(key, F.col("valid_from").alias("us"), F.struct("valid_from", "valid_to", value).alias("_r"))
     own = own.join(new.select("_k").distinct(), "_k", "left_semi")
     held = as_of_union(new, own, "_k", "_r")  # the range that each change falls into; none before a key's first
@@ -51,7 +52,7 @@ def merged(ranges: DataFrame, changes: DataFrame, keys: list[str], value: str) -
     hit = held.where("_r is not null").select("_k", "_r").distinct()
     log = held.select("_k", F.col("_r.valid_from").alias("_in"), "us", value).unionByName(hit.select("_k", F.col("_r.valid_from").alias("_in"),
         F.col("_r.valid_from").alias("us"), F.col(f"_r.`{value}`").alias(value)))
-    log = log.groupBy("_k", "_in", "us").agg(F.max(value).alias(value)).withColumn("_group", F.struct("_k", "_in")).drop("_k", "_in")
+    log = log.groupBy("_k", "_in", "us").agg(largest.alias(value)).withColumn("_group", F.struct("_k", "_in")).drop("_k", "_in")
     cut = valid_ranges(log, ["_group"]).select(F.col("_group._k").alias("_k"), F.col("_group._in").alias("_in"), value, "valid_from", "valid_to")
     ends = hit.select("_k", F.col("_r.valid_from").alias("_in"), F.col("_r.valid_to").alias("_end"))
     within = cut.where("_in is not null").join(ends, ["_k", "_in"])

@@ -65,6 +65,17 @@ def stored(spark: SparkSession, d: Place, name: str, minutes: int | None) -> Dat
 HISTORY, HISTORY_KEYS = "core/item_property_history", ["itemid", "property"]
 
 
+def largest() -> Column:
+    """Of several values at one time the largest holds: numbers by their size, before other texts."""
+    return F.struct(F.col("value").try_cast("long").isNotNull().alias("number"), F.col("value").try_cast("long").alias("size"), "value")
+
+
+def value_ranges(log: DataFrame) -> DataFrame:
+    """Ranges (itemid, property, value, valid_from, valid_to) of all recorded values."""
+    one = log.groupBy(*HISTORY_KEYS, "us").agg(F.max_by("value", largest()).alias("value"))
+    return history.valid_ranges(one, HISTORY_KEYS)
+
+
 def write_history(ranges: DataFrame, store: str, months: str = "static") -> None:
     """Ranges of values, laid out by the month that they begin in. months: `dynamic` replaces only the months that ranges has."""
     out = ranges.withColumn("month", F.date_format(F.timestamp_micros("valid_from"), "yyyy-MM"))
@@ -72,11 +83,11 @@ def write_history(ranges: DataFrame, store: str, months: str = "static") -> None
 
 
 def add_changes(spark: SparkSession, w: Warehouse, changes: DataFrame) -> None:
-    """Merges further changes (itemid, property, us, value) into the stored history, late ones too. Only months with ranges that
-    go or come are written again; the result is that of one load of all changes."""
+    """Merges further changes (itemid, property, us, value) into the stored history, which marts take categories from; late ones too.
+    Only months with ranges that go or come are written again; the result is that of one load of all changes."""
     stored_ranges = read(spark, w, HISTORY)
     columns = [c for c in stored_ranges.columns if c != "month"]
-    gone, came = (written(df, "ranges") for df in history.merged(stored_ranges.select(*columns), changes, HISTORY_KEYS, "value"))
+    gone, came = (written(df, "ranges") for df in history.merged(stored_ranges.select(*columns), changes, HISTORY_KEYS, "value", largest()))
     month = F.date_format(F.timestamp_micros("valid_from"), "yyyy-MM").alias("month")
     months = gone.select(month).unionByName(came.select(month)).distinct()
     left = stored_ranges.join(months, "month", "left_semi").select(*columns).join(gone, [*HISTORY_KEYS, "valid_from"], "left_anti")
@@ -125,7 +136,10 @@ def property_log(spark: SparkSession, d: Place) -> DataFrame:
 
 def category_changes(spark: SparkSession, d: Place) -> DataFrame:
     """History of the category: itemid, us, categoryid. One row per item and time; of several values at one time the largest
-    number holds. A value that is no number counts as no category."""
+    number holds. A value that is no number counts as no category. A warehouse has the history stored."""
+    if isinstance(d, Warehouse):
+        held = read(spark, d, HISTORY).where("property = 'categoryid'")
+        return held.select("itemid", F.col("valid_from").alias("us"), F.col("value").try_cast("long").alias("categoryid"))
     log = property_log(spark, d).where("property = 'categoryid'").withColumn("categoryid", F.col("value").try_cast("long"))
     return log.groupBy("itemid", "us").agg(F.max("categoryid").alias("categoryid"))
 
