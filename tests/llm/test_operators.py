@@ -580,7 +580,7 @@ def test_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df, sql = queries.queries()[name](spark, DATA), con.sql(queries.oracle_sql()[name])
     cols = sorted(df.columns)
