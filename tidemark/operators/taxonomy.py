@@ -35,16 +35,16 @@ def _doubled(tree: DataFrame, paths: bool = False, circles: bool = False) -> tup
     # a parent that is no key is the end of a way without a root
     live = base.where("up is not null").join(base.select(one.alias("up")), "up", "left_semi")
     live = written(live.select("categoryid", "up", F.lit(1).alias("steps"), one.alias("head"), nodes("categoryid").alias("path")), "pointers")
-    span = 1
+    span, left = 1, live.count()
     while True:
         top = done.select(one.alias("up"), "root", F.col("depth").alias("_depth"), F.col("child").alias("_child"), F.col("path").alias("_path"))
         child = F.when(F.col("_depth") == 0, F.col("head")).otherwise(F.col("_child"))
         reached = written(live.join(top, "up").select("categoryid", "root", (F.col("_depth") + F.col("steps")).alias("depth"),
             child.alias("child"), F.concat("_path", "path").alias("path")), "reached")
-        fresh = not reached.isEmpty()
+        fresh = reached.count()
         done = done.unionByName(reached)
         onward = live.join(reached.select("categoryid"), "categoryid", "left_anti")
-        if not fresh and (not circles or span > live.count()):
+        if fresh == left or not fresh and (not circles or span > left):
             return done, onward.select("categoryid", "up")
         above = live.select(one.alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("head").alias("_head"),
             F.col("path").alias("_path"))
@@ -53,7 +53,7 @@ def _doubled(tree: DataFrame, paths: bool = False, circles: bool = False) -> tup
             steps, path = steps + F.col("_steps"), F.concat("_path", "path")
         live = written(onward.join(above, "up").select("categoryid", F.col("_up").alias("up"), steps.alias("steps"), F.col("_head").alias("head"),
             path.alias("path")), "pointers")
-        span *= 2
+        span, left = 2 * span, live.count()
 
 
 def with_paths(tree: DataFrame) -> DataFrame:
