@@ -108,10 +108,10 @@ def session_count(spark, d):
 
 
 @query("events_per_session", "day and period", f"""WITH {q.EV}, {q.sess(30)}, {q.FACT} SELECT CASE WHEN grouping(d) = 1 THEN 'period' ELSE
-    'day' END AS grain, d, CAST(sum(n_events) AS BIGINT) AS events, count(*) AS sessions, round(sum(n_events) / count(*), 9) AS mean,
+    'day' END AS grain, coalesce(d, min(d)) AS d, CAST(sum(n_events) AS BIGINT) AS events, count(*) AS sessions, round(sum(n_events) / count(*), 9) AS mean,
     {_Q.format(c='n_events')} FROM s GROUP BY GROUPING SETS ((d), ())""")
 def events_per_session(spark, d):
-    """Both grains in one pass; the period has no day."""
+    """Both grains in one pass; the period has its first day."""
     return t.by_day_and_period(_sessions(spark, d).select("d", "n_events"), F.sum("n_events").alias("events"), F.count("*").alias("sessions"),
         F.round(F.sum("n_events") / F.count("*"), 9).alias("mean"), *_quartiles("n_events"))
 

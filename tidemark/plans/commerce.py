@@ -28,10 +28,11 @@ def purchasing_visitor_rate(spark, d):
     return v.agg(F.count_if("x").alias("a"), F.count("*").alias("b")).select(*with_rate(F.col("a"), F.col("b")))
 
 
-@query("transaction_count", "day and period", f"""WITH {q.EV} SELECT CASE WHEN grouping(d) = 1 THEN 'period' ELSE 'day' END AS grain, d,
-    count(DISTINCT transactionid) AS transactions FROM ev WHERE transactionid IS NOT NULL GROUP BY GROUPING SETS ((d), ())""")
+@query("transaction_count", "day and period", f"""WITH {q.EV} SELECT CASE WHEN grouping(d) = 1 THEN 'period' ELSE 'day' END AS grain,
+    coalesce(d, min(d)) AS d, count(DISTINCT transactionid) AS transactions FROM ev WHERE transactionid IS NOT NULL GROUP BY GROUPING SETS ((d), ())""")
 def transaction_count(spark, d):
-    """Both grains in one pass: a transaction on two days is one of the period. Without transactions there is the period's 0."""
+    """Both grains in one pass: a transaction on two days is one of the period, which has its first day. Without transactions there is
+    the period's 0."""
     bought = t.events(spark, d).where("transactionid is not null").select("d", "transactionid")
     return t.by_day_and_period(bought, F.count_distinct("transactionid").alias("transactions"))
 

@@ -191,6 +191,7 @@ def damaged_tree(spark: SparkSession, d: Place) -> DataFrame:
 
 
 def by_day_and_period(df: DataFrame, *what: Column) -> DataFrame:
-    """grain (day or period), d (null for the period) and the aggregates what, by grouping sets in one pass."""
+    """grain (day or period), d (the day, or the period's first one) and the aggregates what, by grouping sets in one pass."""
     grain = F.when(F.grouping("d") == 1, "period").otherwise("day").alias("grain")
-    return df.groupingSets([["d"], []], "d").agg(grain, *what)
+    out = df.withColumn("_day", F.col("d")).groupingSets([["d"], []], "d").agg(grain, F.min("_day").alias("_first"), *what)
+    return out.withColumn("d", F.coalesce("d", "_first")).drop("_first")
