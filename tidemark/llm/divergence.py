@@ -60,10 +60,12 @@ def common_words(docs: DataFrame) -> dict[str, list[str]]:
     are counted one by one, so the vocabulary is never shuffled."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("docs")))  # a row for each language
-    pairs = known.select("lang", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).withColumn("b",
-        F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+    words = known.select("lang", _words(F.col("text")).alias("words"))
+    pairs = words.select("lang", F.explode(F.array_distinct("words")).alias("w")).withColumn("b", bucket(F.col("w")))
+    held = words.select("lang", F.explode(F.array_distinct(F.transform("words", bucket))).alias("b"))
     often = F.col("n") >= SHARE * F.col("docs")
-    full = pairs.groupBy("lang", "b").agg(F.count("*").alias("n")).join(sizes, "lang").where(often).select("lang", "b")
+    full = held.groupBy("lang", "b").agg(F.count("*").alias("n")).join(sizes, "lang").where(often).select("lang", "b")
     counts = pairs.join(F.broadcast(full), ["lang", "b"]).groupBy("lang", "w").agg(F.count("*").alias("n"))  # BUCKETS a language at most
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
     top = counts.join(sizes, "lang").where(often).withColumn("place", F.row_number().over(best)).where(F.col("place") <= WORDS)
@@ -79,38 +81,41 @@ def features(docs: DataFrame, lists: dict[str, list[str]]) -> DataFrame:
     cut = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     cut = cut.select(
         "doc_id", "lang", _words(F.col("text")).alias("words"),
-        F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias("lines"), F.translate("text", _FROM, _TO).alias("shape"),
+        F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias("lines"), F.length("text").alias("chars"),
+            F.translate("text", _FROM[26:] + _FROM[:26], _TO[26:]).alias("rest0"),  # without lower-case letters
     )
     none = F.array().cast("array<string>")
-    common = F.array_sort(F.filter("words", lambda w: w.isin(listed))) if listed else none
+    common = F.sort_array(F.filter("words", lambda w: w.isin(listed))) if listed else none
     cut = cut.select("*", F.size("words").alias("n"), common.alias("common"))
     # the sorted common words: where each begins, and so how many there are
-    marked = F.transform("common", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    first = F.filter(marked, lambda x: (x["i"] == 0) | (F.get("common", x["i"] - 1) != x["w"]))
+    places = F.when(F.size("common") > 0, F.sequence(F.lit(0), F.size("common") - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 0) | (F.get("common", i - 1) != F.get("common", i)))
     cut = cut.select("*", first.alias("first"))
     # windows found twice: hashes of all windows, sorted with their places only where any is repeated
-    after = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
-    both = lambda x, y: F.zip_with(x, y, lambda a, b: F.xxhash64(a, b))
     cut = cut.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("w1"))
-    cut = cut.select("*", both(F.col("w1"), after(F.col("w1"), 1)).alias("w2"))
-    cut = cut.select("*", both(F.col("w2"), after(F.col("w2"), 2)).alias("w4"))
-    windows = F.slice(both(F.col("w4"), after(F.col("w1"), 4)), 1, F.col("n") - (WINDOW - 1))  # the last ones lack words
+    starts = F.sequence(F.lit(0), F.col("n") - WINDOW)
+    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get("w1", i + k) for k in range(WINDOW)]))
     cut = cut.select("*", F.when(F.col("n") >= WINDOW, windows).alias("windows"))
     cut = cut.select("*", F.when(F.size("windows") != F.size(F.array_distinct("windows")),
         F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("run"))
     cut = cut.select("*", F.sort_array(F.transform(F.filter("run", lambda x, i: _equal_neighbour("run", x, i)), lambda x: x["i"])).alias("at"))
     covered = F.aggregate(F.transform("at", lambda x, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), x - F.get("at", i - 1)))),
         F.lit(0), lambda a, x: a + x)
-    of = lambda c: F.length("shape") - F.length(F.replace("shape", F.lit(c), F.lit("")))
-    classes = cut.select("*", F.length("shape").alias("chars"), *[of(m).alias(c) for m, c in zip(_MARKS, CLASSES)])
+    # characters by class: the text gets shorter with each class that is counted, the commonest ones first
+    order = [CLASSES[0], "space", *[c for c in CLASSES[1:-1] if c != "space"]]
+    marks = dict(zip(CLASSES, _MARKS))
+    for k, c in enumerate(order[1:]):
+        cut = cut.select("*", F.replace(f"rest{k}", F.lit(marks[c]), F.lit("")).alias(f"rest{k + 1}"))
+    left = [F.col("chars"), *[F.length(f"rest{k}") for k in range(len(order))]]
+    classes = cut.select("*", *[(x - y).alias(c) for c, x, y in zip(order, left, left[1:])])
     return classes.select(
         "doc_id", "lang", F.col("n").cast("long").alias("n_words"), (F.col("chars") - F.col("space")).cast("long").alias("word_chars"),
             F.col("symbol").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.array(*CLASSES[:-1], F.col("chars") - sum((F.col(c) for c in CLASSES[1:-1]), F.col(CLASSES[0]))).alias("classes"),
-        F.transform("first", lambda x, k: F.struct(x["w"].alias("w"),
-            (F.coalesce(F.get("first", k + 1)["i"], F.size("common")) - x["i"]).alias("c"))).alias("common"),
+        F.array(*CLASSES[:-1], left[-1]).alias("classes"),
+        F.transform("first", lambda x, k: F.struct(F.get("common", x).alias("w"),
+            (F.coalesce(F.get("first", k + 1), F.size("common")) - x).alias("c"))).alias("common"),
     )
 
 
@@ -130,15 +135,36 @@ def references(feats: DataFrame, lists: dict[str, list[str]]) -> dict[str, tuple
     return out
 
 
-def distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, between an array of shares and fixed shares."""
+def _part(x: Column, y: Column) -> Column:
+    """What a pair of shares adds to the Jensen-Shannon divergence, base 2."""
+    half = lambda a: F.when(a > 0, a * F.log2(a * 2 / (x + y))).otherwise(0.0)
+    return (half(x) + half(y)) / 2
 
-    def part(x: Column, y: Column) -> Column:
-        half = lambda a: F.when(a > 0, a * F.log2(a * 2 / (x + y))).otherwise(0.0)
-        return (half(x) + half(y)) / 2
 
-    total = F.aggregate(F.zip_with(p, F.array(*[F.lit(v) for v in q]), part), F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+def _known(refs: dict[str, tuple[list[float], list[float]]], lists: dict[str, list[str]]) -> Column:
+    """The references as a constant array, a struct for each language. A word that a document lacks adds half its share to the
+    divergence, so 'absent' is the sum for none of the words, and a document is charged for those alone that it holds."""
+    of = lambda xs: F.array(*[F.lit(x) for x in xs])
+    return F.array(*[
+        F.struct(F.lit(lang).alias("lang"), of(classes).alias("classes"), F.map_from_arrays(of(lists[lang]), of(words[:-1])).alias("words"),
+            F.lit(words[-1]).alias("rest"), F.lit(sum(words[:-1]) / 2).alias("absent"))
+        for lang, (classes, words) in refs.items()
+    ])
+
+
+def _distances(ref: Column) -> Column:
+    """Jensen-Shannon distances of a row's common words and character shares from a language's."""
+    n = F.col("n_words")
+
+    def step(acc: Column, x: Column) -> Column:
+        q = F.try_element_at(ref["words"], x["w"])
+        return F.when(q.isNull(), acc).otherwise(F.struct((acc["own"] + x["c"]).alias("own"), (acc["sum"] + _part(x["c"] / n, q) - q / 2).alias("sum")))
+
+    words = F.aggregate("common", F.struct(F.lit(0).cast("long").alias("own"), ref["absent"].alias("sum")), step,
+        lambda acc: acc["sum"] + _part((n - acc["own"]) / n, ref["rest"]))
+    classes = F.aggregate(F.zip_with("shares", ref["classes"], _part), F.lit(0.0), lambda acc, x: acc + x)
+    root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
+    return F.struct(root(words).alias("word"), root(classes).alias("class"), ref["lang"].alias("lang"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -147,20 +173,13 @@ def judge(docs: DataFrame) -> DataFrame:
     feats = settle(features(docs, lists), "features")
     refs = references(feats, lists)
     n = F.col("n_words")
-    near = feats.select("*", F.map_from_entries("common").alias("m"))
-    chars = F.aggregate("classes", F.lit(0), lambda a, x: a + x)
-    shares = F.transform("classes", lambda x: x / chars)
-    found = []
-    for lang, (classes, words) in refs.items():
-        own = F.transform(F.array(*[F.lit(w) for w in lists[lang]]), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0)))
-        rest = F.array(n - F.aggregate(own, F.lit(0), lambda a, x: a + x))
-        word_shares = F.transform(F.concat(F.transform(own, lambda x: x.cast("long")), rest), lambda x: x / n)
-        found.append(F.struct(distance(word_shares, words).alias("word"), distance(shares, classes).alias("class"), F.lit(lang).alias("lang")))
+    near = feats.select("*", F.aggregate("classes", F.lit(0), lambda a, x: a + x).alias("chars"))
+    near = near.select("*", F.transform("classes", lambda x: x / F.col("chars")).alias("shares"), failed_base().alias("base_failed"))
     nothing = F.array().cast("array<struct<word:double,class:double,lang:string>>")
-    near = near.select("*", F.when(n > 0, F.array(*found) if found else nothing).otherwise(nothing).alias("d"), failed_base().alias("base_failed"))
+    near = near.select("*", F.when(n > 0, F.transform(_known(refs, lists), _distances) if refs else nothing).otherwise(nothing).alias("d"))
     passes = lambda f: F.exists("d", f) | (F.size("d") == 0)
     both = passes(lambda x: (x["class"] <= MAX_CLASS_LONG) & (x["word"] <= MAX_WORD_LONG))
     fine = F.when(n >= LONG_WORDS, both).when(n >= SHORT_WORDS, passes(lambda x: x["class"] <= MAX_CLASS_SHORT)).otherwise(True)
-    best = F.array_min("d")
-    told = [best["class"].alias("class_distance"), best["word"].alias("word_distance"), best["lang"].alias("nearest")]
-    return near.select("doc_id", *BASE, "base_failed", *told, (~F.col("base_failed") & fine).alias("kept"))
+    near = near.select("doc_id", *BASE, "base_failed", F.array_min("d").alias("best"), (~F.col("base_failed") & fine).alias("kept"))
+    told = [F.col("best.class").alias("class_distance"), F.col("best.word").alias("word_distance"), F.col("best.lang").alias("nearest")]
+    return near.select("doc_id", *BASE, "base_failed", *told, "kept")
