@@ -151,3 +151,35 @@ def test_two_loads_equal_one(spark):
     assert plain(gone) == [(0, 5000, "hot", 6000)]
     first = stored.where("k = 3").agg(F.min("valid_from")).first()[0]
     assert plain(came) == [(0, 5000, "hot", 5500), (0, 5500, "z", 6000), (3, -1, "z", first), (77, 1, "z", None)]
+
+
+def test_all_main_paths_at_two_gaps(spark, endless, monkeypatch):
+    """Every path is there, also the endless session's, with the groups of each kind that have it; texts made stretch by stretch."""
+    e, rows = endless
+    monkeypatch.setattr(funnel, "STRETCH", 7)
+    tagged = e.withColumn("wide", F.lit(True)).union(e.where("visitorid % 2 = 0").withColumn("wide", F.lit(False)))
+    counts = {}
+    for v in {w for _, w, _ in rows}:
+        at = counts.setdefault(">".join(plain_path(sorted((us, k, x) for k, (us, w, x) in enumerate(rows) if w == v))), [0, 0])
+        at[1] += 1
+        at[0] += v % 2 == 0
+    want = sorted(((p, *n) for p, n in counts.items()), key=lambda x: (-x[1], x[0].count(">"), x[0]))
+    keys = ["wide", "visitorid"]
+    got = funnel.main_paths(funnel.turns(tagged, keys), keys, counts={"few": F.count_if(~F.col("wide")), "all": F.count_if("wide")})
+    assert [tuple(r) for r in got.collect()] == want and len(want) > 100 and max(p.count(">") for p in counts) > 700
+
+
+def test_main_paths_shows_every_path_of_both_gaps(spark, tmp_path):
+    """Thirty visitors with a path of their own, whose events are an hour apart, so the official gap knows their first steps alone."""
+    from tidemark.plans import behaviour
+
+    kinds, t0 = ("view", "click", "purchase"), dt.datetime(2024, 1, 1)
+    rows = [(v * 100 + k, t0 + dt.timedelta(hours=k), v, kinds[(v + k) % 3], '{"k": 1}') for v in range(30) for k in range(1 + v)]
+    rows = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = behaviour.main_paths(spark, str(tmp_path)).collect()
+    names = {"view": "view", "click": "addtocart", "purchase": "transaction"}
+    paths = {">".join(names[kinds[(v + k) % 3]] for k in range(1 + v)) for v in range(30)}
+    assert {r.path for r in got if r.wide_sessions} == paths and len(paths) == 30
+    assert {r.path: r.sessions for r in got if r.sessions} == {"view": 155, "addtocart": 155, "transaction": 155}
+    assert sum(r.wide_sessions for r in got) == 30 and len(got) == len(paths | set(names.values()))

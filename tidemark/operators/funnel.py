@@ -5,7 +5,7 @@ whole group's events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
@@ -84,18 +84,28 @@ def turns(events: DataFrame, keys: list[str], slice_us: int = HOUR) -> DataFrame
     return out.where(~((F.col("_again") == 1) & (F.col("_place") == 1))).select(*keys, place, "event")
 
 
-def main_paths(turned: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(path, sessions): the n most frequent paths of turns(), of equally frequent ones those of fewer turns, then by text.
+#: Turns of a path whose text is made at once.
+STRETCH = 10_000
+
+
+def main_paths(turned: DataFrame, keys: list[str], n: int | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+    """(path, sessions): the n most frequent paths of turns(), or all, of equally frequent ones those of fewer turns, then by text.
+    counts: what is counted over a path's groups, by columns of keys, the first one for the order; the number of groups by default.
 
     A path is known by its number of turns and two order-free sums of hashes of its (place, event), so groups are counted
-    without their lists; the text is made only of one group for each path that may be among the n."""
+    without their lists; the text is made only of one group for each path that may be shown, stretch by stretch."""
+    counts = counts or {"sessions": F.count("*")}
+    first, *_ = counts
     mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "place", "event"))
     known = turned.groupBy(*keys).agg(F.count("*").alias("turns"), mark(1).alias("h1"), mark(2).alias("h2"))
-    counts = known.groupBy("turns", "h1", "h2").agg(F.count("*").alias("sessions"), F.min(F.struct(*keys)).alias("one"))
-    rank = F.struct((-F.col("sessions")).alias("s"), "turns")
-    last = counts.orderBy(F.desc("sessions"), "turns").limit(n).agg(F.max(rank).alias("last"))
-    tops = counts.join(F.broadcast(last), rank <= F.col("last")).select("one.*", "sessions")  # one row
-    texts = turned.join(tops, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "event"))).alias("x"),
-        F.first("sessions").alias("sessions"), F.count("*").alias("turns"))
-    path = F.array_join("x.event", ">").alias("path")
-    return texts.select(path, "sessions", "turns").orderBy(F.desc("sessions"), "turns", "path").limit(n).select("path", "sessions")
+    tops = known.groupBy("turns", "h1", "h2").agg(*[c.alias(k) for k, c in counts.items()], F.min(F.struct(*keys)).alias("one"))
+    if n is not None:
+        rank = F.struct((-F.col(first)).alias("s"), "turns")
+        last = tops.orderBy(F.desc(first), "turns").limit(n).agg(F.max(rank).alias("last"))
+        tops = tops.join(F.broadcast(last), rank <= F.col("last"))  # one row
+    each = lambda x, *c: F.array_join(F.sort_array(F.collect_list(F.struct(*c)))[x], ">")
+    known = [*keys, "turns", *counts]
+    stretches = turned.join(tops.select("one.*", "turns", *counts), keys).groupBy(*known, F.expr(f"place div {STRETCH}").alias("part"))
+    texts = stretches.agg(each("event", "place", "event").alias("text")).groupBy(*known).agg(each("text", "part", "text").alias("path"))
+    shown = texts.orderBy(F.desc(first), "turns", "path")
+    return (shown if n is None else shown.limit(n)).select("path", *counts)

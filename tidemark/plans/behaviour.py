@@ -15,7 +15,7 @@ from tidemark.plans.registry import query
 from tidemark.sources import tables as t
 
 DAY = 86_400_000_000
-#: Minutes of the session gap that ordered_funnel_rates compares the official one with.
+#: Minutes of the session gap that ordered_funnel_rates and main_paths compare the official one with.
 WIDE_GAP = 720
 
 
@@ -234,14 +234,20 @@ def abnormal_visitors(spark, d):
     return visitors.abnormal(t.events(spark, d).groupBy("visitorid").agg(F.count("*").alias("n_events")))
 
 
-@query("main_paths", "path", f"""WITH {q.EV}, {q.sess(30)}, k AS (SELECT visitorid, session_number, us, event_id, event, lag(event) OVER
-    (PARTITION BY visitorid, session_number ORDER BY us, event_id) AS prev FROM sx WHERE event IN ('view', 'addtocart', 'transaction')),
-  p AS (SELECT visitorid, session_number, string_agg(event, '>' ORDER BY us, event_id) AS path, count(*) AS turns FROM k WHERE prev IS DISTINCT
-    FROM event GROUP BY visitorid, session_number)
-  SELECT path, count(*) AS sessions FROM p GROUP BY path, turns ORDER BY sessions DESC, turns, path LIMIT 20""")
+@query("main_paths", "path", f"""WITH {q.EV}, {q.sess(30)}, {q.sess(720, 'wx')}, e AS (SELECT false AS wide, * FROM sx UNION ALL SELECT true, *
+    FROM wx), k AS (SELECT wide, visitorid, session_number, us, event_id, event, lag(event) OVER (PARTITION BY wide, visitorid, session_number
+    ORDER BY us, event_id) AS prev FROM e WHERE event IN ('view', 'addtocart', 'transaction')),
+  p AS (SELECT wide, visitorid, session_number, string_agg(event, '>' ORDER BY us, event_id) AS path, count(*) AS turns FROM k WHERE prev IS
+    DISTINCT FROM event GROUP BY wide, visitorid, session_number)
+  SELECT path, count(*) FILTER (NOT wide) AS sessions, count(*) FILTER (wide) AS wide_sessions FROM p GROUP BY path, turns ORDER BY sessions
+    DESC, turns, path""")
 def main_paths(spark, d, minutes=None):
-    known, keys = _sx(spark, d, minutes).where(F.col("event").isin(*t.KNOWN)), ["visitorid", "session_number"]
-    return funnel.main_paths(funnel.turns(known, keys), keys, 20)
+    """Every path, with its sessions at the official gap (a warehouse: its own), and at a wide one to compare with."""
+    at = lambda m, wide: _sx(spark, d, m).where(F.col("event").isin(*t.KNOWN)).select(F.lit(wide).alias("wide"), "visitorid",
+        "session_number", "us", "event_id", "event")
+    keys = ["wide", "visitorid", "session_number"]
+    return funnel.main_paths(funnel.turns(at(minutes, False).union(at(WIDE_GAP, True)), keys), keys,
+        counts={"sessions": F.count_if(~F.col("wide")), "wide_sessions": F.count_if("wide")})
 
 
 @query("order_anomalies", "period", f"""WITH {q.EV}, {q.sess(30)}, {q.steps('visitorid, session_number')}

@@ -37,7 +37,7 @@ PUBLIC = {name: frozenset(columns.split()) | {"data_origin"} for name, columns i
     "item_property_coverage_rate": _RATE,
     "items_per_session": "sessions median p75",
     "lifecycle_segments": "segment visitors",
-    "main_paths": "path sessions",
+    "main_paths": "path sessions wide_sessions",
     "median_step_latency": "step n median p75",
     "null_rates": f"column_name {_RATE}",
     "order_anomalies": "sessions purchase_without_view purchase_without_cart cart_before_view purchase_before_cart",
