@@ -263,23 +263,28 @@ def order_anomalies(spark, d, minutes=None):
     )
 
 
-def _category_sql(level: str, least: int) -> str:
+def _category_sql(level: str, least: int, every: bool = False) -> str:
+    """every: each category with a view session has its opportunity, not only those that count."""
+    peer, scored = f"AS peer FROM c WHERE viewing >= {least}", f"viewing >= {least}"
+    if every:
+        peer, scored = f"""FILTER (viewing >= {least}) AS counting, median(CAST(converted AS DOUBLE) / viewing) AS of_all, coalesce(counting,
+    of_all) AS peer FROM c WHERE viewing > 0""", "viewing > 0"
     return f"""SELECT * FROM (WITH {q.EV}, {q.sess(30)}, {q.in_category('sx')}, g AS (SELECT {level} AS category, visitorid, session_number,
     max(CASE WHEN event = 'view' THEN 1 ELSE 0 END) AS v, max(CASE WHEN event = 'transaction' THEN 1 ELSE 0 END) AS x FROM ec WHERE {level}
     IS NOT NULL GROUP BY ALL),
       c AS (SELECT category, sum(v) AS viewing, sum(x) AS transacting, sum(v * x) AS converted FROM g GROUP BY category), m AS (SELECT
-    median(CAST(converted AS DOUBLE) / viewing) AS peer FROM c WHERE viewing >= {least})
+    median(CAST(converted AS DOUBLE) / viewing) {peer})
       SELECT '{level}' AS level, category, CAST(viewing AS BIGINT) AS viewing, CAST(transacting AS BIGINT) AS transacting, CAST(converted AS
     BIGINT) AS converted, round(CAST(transacting AS DOUBLE) / nullif(viewing, 0), 9) AS literal_rate, viewing >= {least} AS enough,
-        CASE WHEN viewing >= {least} THEN round(viewing * greatest(0, peer - CAST(converted AS DOUBLE) / viewing), 6) END AS opportunity,
+        CASE WHEN {scored} THEN round(viewing * greatest(0, peer - CAST(converted AS DOUBLE) / viewing), 6) END AS opportunity,
         round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low, round((p + z * z / (2 *
     n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high
       FROM (SELECT *, CAST(converted AS DOUBLE) / nullif(viewing, 0) AS p, CAST(nullif(viewing, 0) AS DOUBLE) AS n, 1.959963984540054 AS z
     FROM c), m)"""
 
 
-def _levels_sql(least: int) -> str:
-    return f"{_category_sql('root', least)} UNION ALL {_category_sql('child', least)}"
+def _levels_sql(least: int, every: bool = False) -> str:
+    return f"{_category_sql('root', least, every)} UNION ALL {_category_sql('child', least, every)}"
 
 
 def _in_category(spark: SparkSession, d: t.Place, events: DataFrame) -> DataFrame:
@@ -293,7 +298,8 @@ LEVELS, LEAST = ("root", "child"), 200
 
 
 def _categories(spark: SparkSession, d: t.Place, least: int = LEAST, levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """Sessions by category on each level: viewing, transacting and both, against the level's median category."""
+    """Sessions by category on each level: viewing, transacting and both, against the level's median category of those that count, or
+    of all that are viewed where none counts."""
     seen = lambda e: F.max((F.col("event") == e).cast("long"))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(k).alias("category")) for k in levels])).alias("x")
     placed = _in_category(spark, d, _sx(spark, d)).where("root is not null").select(each, "visitorid", "session_number", "event")
@@ -302,16 +308,17 @@ def _categories(spark: SparkSession, d: t.Place, least: int = LEAST, levels: tup
         F.sum(F.col("v") * F.col("x")).alias("converted"))
     c = c.withColumn("enough", F.col("viewing") >= least)
     own = rate(F.col("converted"), F.col("viewing"))
-    peer = c.where("enough").select("level", own.alias("r")).groupBy("level").agg(F.expr("percentile(r, 0.5)").alias("peer"))
+    median = F.expr("coalesce(percentile(r, 0.5) filter (where enough), percentile(r, 0.5))").alias("peer")
+    peer = c.where("viewing > 0").select("level", "enough", own.alias("r")).groupBy("level").agg(median)
     low, high = wilson(F.col("converted"), F.col("viewing"))
-    opportunity = F.when(F.col("enough"), F.round(F.col("viewing") * F.greatest(F.lit(0.0), F.col("peer") - own), 6))
+    opportunity = F.when(F.col("viewing") > 0, F.round(F.col("viewing") * F.greatest(F.lit(0.0), F.col("peer") - own), 6))
     return c.join(F.broadcast(peer), "level", "left").select(  # a row per level
         "level", "category", "viewing", "transacting", "converted", F.round(rate(F.col("transacting"), F.col("viewing")), 9).alias("literal_rate"),
         "enough", opportunity.alias("opportunity"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"),
     )
 
 
-@query("category_conversion", "category", f"{_levels_sql(200)}")
+@query("category_conversion", "category", _levels_sql(200, every=True))
 def category_conversion(spark, d, least=LEAST):
     return _categories(spark, d, least)
 
